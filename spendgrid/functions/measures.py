@@ -143,6 +143,7 @@ def variance_columns(
     forecast: str | None = None,
     shares: bool = True,
     extra_keys: list[str] | None = None,
+    totals_from: DataFrame | None = None,
 ) -> DataFrame:
     """P5: the measure block per row from decimal sums ``s_*``.
 
@@ -154,7 +155,8 @@ def variance_columns(
     d = {m: as_double(F.col(f"s_{m}"), divisor) for m in MEASURES}
     cols: list[Column] = [F.col(k) for k in keys + (extra_keys or [])]
     if shares:
-        tot = g.agg(*[F.sum(f"s_{m}").alias(m) for m in MEASURES])
+        src = g if totals_from is None else totals_from
+        tot = src.agg(*[F.sum(f"s_{m}").alias(m) for m in MEASURES])
         totals = {m: as_double(tot.select(F.col(m)).scalar(), divisor) for m in MEASURES}
     vs_py = F.col("s_real") - F.col("s_real_py")
     vs_plan = F.col("s_real") - F.col("s_plan")

@@ -96,7 +96,9 @@ def rollup_tree(facts: DataFrame, hier: list[str], period: Period = Period(1, 30
     w = weighted(facts.select(*hier, "sem", *MEASURES), period, smr)
     level = sum((1 - F.grouping(c)) for c in hier)
     g = w.rollup(*hier).agg(*sum_weighted(), level.cast("int").alias("level"))
-    out = variance_columns(g, list(hier), period.divisor, extra_keys=["level"])
+    out = variance_columns(
+        g, list(hier), period.divisor, extra_keys=["level"], totals_from=g.filter(F.col("level") == 0)
+    )
     out = out.withColumns(
         {f"pct_{m}": F.when(F.col("level") == 0, F.lit(100.0)).otherwise(F.col(f"pct_{m}")) for m in MEASURES}
     )

@@ -77,14 +77,27 @@ def weighted_sums(lo: int, hi: int, smr: int = 30, weeks: tuple | None = None) -
     )
 
 
-def variance_select(div: int = 1, shares: bool = True, t: str = "t", forecast: str | None = None) -> str:
+def calendar_sql(year: int) -> str:
+    """(sem, month, days) of the fiscal calendar of ``year`` (own-year days only)."""
+    a = f"(make_date({year}, 1, 1) - CAST(dayofweek(make_date({year}, 1, 1)) AS INTEGER))"
+    return f"""(SELECT CAST(i // 7 + 1 AS INTEGER) AS sem, CAST(month(d) AS INTEGER) AS month,
+         CAST(COUNT(*) AS INTEGER) AS days
+  FROM (SELECT i, {a} + CAST(i AS INTEGER) AS d FROM range(0, 371) r(i)) x
+  WHERE year(d) = {year} GROUP BY 1, 2)"""
+
+
+def variance_select(div: int = 1, shares: bool = True, t: str = "t", forecast: str | None = None,
+                    pct_level0: bool = False) -> str:
     """Select list of the P5 measure block over ``s_*`` columns (and ``t.t_*`` totals)."""
     d = {m: dbl(f"s_{m}", div) for m in MEASURES}
     cols = []
     for m in MEASURES:
         cols.append(f"{money(f's_{m}', div)} AS {m}")
         if shares:
-            cols.append(f"ROUND({pct_signed(d[m], dbl(f'{t}.t_{m}', div))}, 4) AS pct_{m}")
+            e = f"ROUND({pct_signed(d[m], dbl(f'{t}.t_{m}', div))}, 4)"
+            if pct_level0:
+                e = f"CASE WHEN level = 0 THEN 100.0 ELSE {e} END"
+            cols.append(f"{e} AS pct_{m}")
     vs_py, vs_plan, vs_new = "(s_real - s_real_py)", "(s_real - s_plan)", "(s_real - s_new_plan)"
     if forecast is None:
         fc_d = dbl("(s_real + s_plan_rest)", div)
