@@ -25,42 +25,45 @@ def fiscal_week(date_col: Column) -> Column:
     return (F.floor(F.datediff(d, anchor_of(F.year(d))) / 7) + 1).cast("int")
 
 
-def week_calendar(spark: SparkSession, year: int) -> DataFrame:
-    """one row per (sem, month) with the number of own-year days and the fraction."""
-    days = spark.range(1).select(
-        F.explode(
-            F.sequence(
-                anchor_of(F.lit(year)),
-                F.date_add(anchor_of(F.lit(year)), 53 * 7 - 1),
-            )
-        ).alias("d")
+def calendar_for(years: DataFrame) -> DataFrame:
+    """F1 for every year in ``years(year INT)``: rows (year, sem, month, days, frac).
+
+    Each year expands to 371 days (53 weeks) from its anchor; days outside the year are
+    dropped, so ``frac = days / 7`` counts own-year days only.
+    """
+    anchor = anchor_of(F.col("year"))
+    days = years.select(
+        F.col("year").cast("int").alias("year"),
+        F.explode(F.sequence(anchor, F.date_add(anchor, 53 * 7 - 1))).alias("d"),
     )
     return (
         days.select(
-            F.lit(year).alias("year"),
-            (F.floor(F.datediff("d", anchor_of(F.lit(year))) / 7) + 1).cast("int").alias("sem"),
+            "year",
+            (F.floor(F.datediff("d", anchor_of(F.col("year"))) / 7) + 1).cast("int").alias("sem"),
             F.month("d").alias("month"),
             F.year("d").alias("y"),
         )
-        .filter(F.col("y") == year)
+        .filter(F.col("y") == F.col("year"))
         .groupBy("year", "sem", "month")
         .agg(F.count("*").cast("int").alias("days"))
         .withColumn("frac", F.col("days") / F.lit(7.0))
     )
 
 
-def month_weeks(spark: SparkSession, year: int) -> DataFrame:
-    """first and last week touching each month."""
-    return week_calendar(spark, year).groupBy("year", "month").agg(
-        F.min("sem").alias("first_sem"), F.max("sem").alias("last_sem")
-    )
+def week_calendar(spark: SparkSession, year: int) -> DataFrame:
+    """the calendar of one year."""
+    return calendar_for(spark.range(1).select(F.lit(year).alias("year")))
+
+
+def month_weeks(cal: DataFrame) -> DataFrame:
+    """first and last week touching each (year, month) of a calendar."""
+    return cal.groupBy("year", "month").agg(F.min("sem").alias("first_sem"), F.max("sem").alias("last_sem"))
 
 
-def split_weeks(spark: SparkSession, year: int) -> DataFrame:
-    """weeks touching two months, with days and percent in each."""
-    cal = week_calendar(spark, year)
-    multi = cal.groupBy("sem").agg(F.count("*").alias("n_months")).filter("n_months > 1")
-    return cal.join(multi.select("sem"), "sem", "left_semi").select(
+def split_weeks(cal: DataFrame) -> DataFrame:
+    """weeks touching two months, with own-year days and percent in each."""
+    multi = cal.groupBy("year", "sem").agg(F.count("*").alias("n_months")).filter("n_months > 1")
+    return cal.join(multi.select("year", "sem"), ["year", "sem"], "left_semi").select(
         "year", "sem", "month", "days", F.round(F.col("days") / 7 * 100, 4).alias("pct")
     )
 

@@ -46,7 +46,7 @@ def deviation_kpis(points: DataFrame, name: str = "pdc") -> DataFrame:
     """
     g = points.groupBy(name).agg(F.sum("plan").alias("plan"), F.sum("real").alias("real"))
     g = g.filter(F.col("plan") != 0).withColumn(
-        "dev_pct", (F.col("real") - F.col("plan")) / F.abs(F.col("plan")) * 100
+        "dev_pct", (F.col("real") - F.col("plan")).cast("double") / F.abs(F.col("plan").cast("double")) * 100
     )
     k = g.agg(
         F.count("*").alias("n_points"),
@@ -62,8 +62,8 @@ def deviation_kpis(points: DataFrame, name: str = "pdc") -> DataFrame:
         F.col("n_under").cast("bigint").alias("n_under"),
         F.round(F.col("n_over") / F.col("n_points") * 100, 4).alias("pct_over"),
         F.round(F.col("n_under") / F.col("n_points") * 100, 4).alias("pct_under"),
-        F.round(F.col("plan"), 2).alias("plan"),
-        F.round(F.col("real"), 2).alias("real"),
+        F.round(F.col("plan"), 2).cast("double").alias("plan"),
+        F.round(F.col("real"), 2).cast("double").alias("real"),
         F.when(F.col("real") > F.col("plan"), "Sobre plan").otherwise("Bajo plan").alias("status"),
         F.round("median_dev_pct", 4).alias("median_dev_pct"),
     )

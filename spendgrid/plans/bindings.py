@@ -31,7 +31,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     week SMR.
     """
     t = lambda n: table(spark, sf_dir, n)
-    li = t("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
+    li = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_discount")
     o = t("orders").filter(
         (F.col("o_orderdate") >= F.lit(f"{PRIOR_YEAR}-01-01").cast("timestamp_ntz"))
         & (F.col("o_orderdate") < F.lit(f"{CURRENT_YEAR + 1}-01-01").cast("timestamp_ntz"))
@@ -66,6 +66,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("cuenta"),
         F.concat_ws("/", "p_brand", "p_type").alias("account_id"),
         F.col("c_custkey").alias("centre"),
+        F.col("l_linenumber").alias("line"),
         yr.alias("yr"),
         sem.alias("sem"),
         F.when(yr == PRIOR_YEAR, net).otherwise(zero).alias("real_py"),
@@ -73,3 +74,54 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(cur, new_plan).otherwise(zero).alias("new_plan"),
         F.when(cur & (sem <= SMR), net).otherwise(zero).alias("real"),
     )
+
+
+def forecast_by_account_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: (account_id, sem, forecast) = current-year plan x 1.02 per account and week."""
+    f = facts(spark, sf_dir).filter(F.col("yr") == CURRENT_YEAR)
+    return f.groupBy("account_id", "sem").agg(
+        (F.sum("plan") * F.lit(1.02).cast("decimal(3,2)")).cast("decimal(20,7)").alias("forecast")
+    )
+
+
+def forecast_by_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grupo, cuenta, sem, real, forecast) for the forecast tab."""
+    f = facts(spark, sf_dir).filter(F.col("yr") == CURRENT_YEAR)
+    return f.groupBy("grupo", "cuenta", "sem").agg(
+        F.sum("real").alias("real"),
+        (F.sum("plan") * F.lit(1.02).cast("decimal(3,2)")).cast("decimal(20,7)").alias("forecast"),
+    )
+
+
+def account_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account catalog with duplicate keys: one row per part of size <= 40 (the
+    'official' parts), key = brand/type padded with spaces as in raw extracts."""
+    p = table(spark, sf_dir, "part").filter(F.col("p_size") <= 40)
+    return p.select(
+        F.concat(F.lit(" "), F.concat_ws("/", "p_brand", "p_type"), F.lit(" ")).alias("account_raw"),
+        F.col("p_brand").alias("grupo"),
+        F.col("p_type").alias("cuenta"),
+        F.col("p_partkey").alias("pos"),
+    )
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """V4: weekly extracts of actuals and plan, each a whole-year copy.
+
+    Actuals: snapshot 30 = all lines (weeks <= 30), 29 = lines 1..5 (weeks <= 29),
+    28 = lines 1..3 (weeks <= 28). Plan: 30 = all lines, 29 = lines 1..5 (no plan
+    extract exists for 28). Account ids arrive untrimmed.
+    """
+    f = facts(spark, sf_dir).filter(F.col("yr") == CURRENT_YEAR)
+    acc = F.concat(F.lit(" "), F.col("account_id"), F.lit(" ")).alias("account_raw")
+    real_parts, plan_parts = [], []
+    for snap, max_line in ((30, None), (29, 5), (28, 3)):
+        sub = f if max_line is None else f.filter(F.col("line") <= max_line)
+        real_parts.append(
+            sub.filter(F.col("sem") <= snap).select(F.lit(snap).alias("snapshot"), "sem", acc, F.col("real").alias("amount"))
+        )
+        if snap != 28:
+            plan_parts.append(sub.select(F.lit(snap).alias("snapshot"), "sem", acc, F.col("plan").alias("amount")))
+    real = real_parts[0].unionByName(real_parts[1]).unionByName(real_parts[2])
+    plan = plan_parts[0].unionByName(plan_parts[1])
+    return real, plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_variance"]
+MODULES = ["q_variance", "q_joins"]
 
 
 def _load():

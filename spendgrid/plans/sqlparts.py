@@ -13,13 +13,13 @@ DEC = "DECIMAL(18,5)"
 FACTS_CTE = f"""facts AS (
   SELECT r.r_name AS agrupa1, n.n_name AS division, c.c_mktsegment AS territorio,
          c.c_name AS pdc, p.p_brand AS grupo, p.p_type AS cuenta,
-         p.p_brand || '/' || p.p_type AS account_id, c.c_custkey AS centre, f.yr, f.sem,
+         p.p_brand || '/' || p.p_type AS account_id, c.c_custkey AS centre, f.l_linenumber AS line, f.yr, f.sem,
          CASE WHEN f.yr = 1997 THEN f.net ELSE CAST(0 AS {DEC}) END AS real_py,
          CASE WHEN f.yr = 1998 THEN f.gross ELSE CAST(0 AS {DEC}) END AS plan,
          CASE WHEN f.yr = 1998 THEN f.np ELSE CAST(0 AS {DEC}) END AS new_plan,
          CASE WHEN f.yr = 1998 AND f.sem <= 30 THEN f.net ELSE CAST(0 AS {DEC}) END AS real
   FROM (
-    SELECT l.l_partkey, o.o_custkey, year(o.o_orderdate) AS yr,
+    SELECT l.l_partkey, l.l_linenumber, o.o_custkey, year(o.o_orderdate) AS yr,
            CAST(datediff('day',
                 make_date(year(o.o_orderdate), 1, 1)
                   - CAST(dayofweek(make_date(year(o.o_orderdate), 1, 1)) AS INTEGER),
@@ -135,3 +135,22 @@ def mass(div: int = 1) -> str:
 
 def totals(src: str = "g") -> str:
     return "SELECT " + ", ".join(f"SUM(s_{m}) AS t_{m}" for m in MEASURES) + f" FROM {src}"
+
+
+FORECAST_ID_CTE = """fc AS (SELECT account_id, sem, CAST(SUM(plan) * CAST(1.02 AS DECIMAL(3,2)) AS DECIMAL(20,7)) AS forecast
+  FROM facts WHERE yr = 1998 GROUP BY account_id, sem)"""
+
+FORECAST_ACCT_CTE = """fca AS (SELECT grupo, cuenta, sem, SUM(real) AS real,
+    CAST(SUM(plan) * CAST(1.02 AS DECIMAL(3,2)) AS DECIMAL(20,7)) AS forecast
+  FROM facts WHERE yr = 1998 GROUP BY grupo, cuenta, sem)"""
+
+ACCOUNT_CATALOG_CTE = """cat AS (SELECT ' ' || p_brand || '/' || p_type || ' ' AS account_raw, p_brand AS grupo,
+    p_type AS cuenta, p_partkey AS pos FROM part WHERE p_size <= 40)"""
+
+SNAPSHOT_CTE = """sr AS (
+  SELECT 30 AS snapshot, sem, ' ' || account_id || ' ' AS account_raw, real AS amount FROM facts WHERE yr = 1998 AND sem <= 30
+  UNION ALL SELECT 29, sem, ' ' || account_id || ' ', real FROM facts WHERE yr = 1998 AND line <= 5 AND sem <= 29
+  UNION ALL SELECT 28, sem, ' ' || account_id || ' ', real FROM facts WHERE yr = 1998 AND line <= 3 AND sem <= 28),
+sp AS (
+  SELECT 30 AS snapshot, sem, ' ' || account_id || ' ' AS account_raw, plan AS amount FROM facts WHERE yr = 1998
+  UNION ALL SELECT 29, sem, ' ' || account_id || ' ', plan FROM facts WHERE yr = 1998 AND line <= 5)"""
