@@ -125,3 +125,21 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     real = real_parts[0].unionByName(real_parts[1]).unionByName(real_parts[2])
     plan = plan_parts[0].unionByName(plan_parts[1])
     return real, plan
+
+
+def facts_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: the long fact (unpivot of V1), monto DECIMAL."""
+    from spendgrid.operators.longfact import to_long
+
+    ids = ["division", "territorio", "pdc", "grupo", "cuenta", "centre", "sem"]
+    return to_long(facts(spark, sf_dir), ids)
+
+
+def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns of conversations as questions; id = conv-turn, user = conv % 150."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return c.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.concat(F.lit("u"), (F.col("conv_id") % 150).cast("string")).alias("user_id"),
+        F.col("text").alias("question"),
+    )

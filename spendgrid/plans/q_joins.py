@@ -336,10 +336,10 @@ def p06(spark, sf_dir):
 # --- P7/P8: text searches ------------------------------------------------------------------------------------
 @register(
     "p07_search_contains",
-    "SELECT p_partkey, p_name FROM part WHERE coalesce(contains(lower(p_name), 'lace'), false)",
+    "SELECT p_partkey, p_name FROM part WHERE coalesce(contains(lower(p_name), 'gear'), false)",
 )
 def p07(spark, sf_dir):
-    return FL.search_contains(B.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "Lace")
+    return FL.search_contains(B.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "Gear")
 
 
 @register(

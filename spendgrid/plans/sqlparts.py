@@ -154,3 +154,13 @@ SNAPSHOT_CTE = """sr AS (
 sp AS (
   SELECT 30 AS snapshot, sem, ' ' || account_id || ' ' AS account_raw, plan AS amount FROM facts WHERE yr = 1998
   UNION ALL SELECT 29, sem, ' ' || account_id || ' ', plan FROM facts WHERE yr = 1998 AND line <= 5)"""
+
+LONG_CTE = """long AS (
+  SELECT division, territorio, pdc, grupo, cuenta, centre, sem, 'R25' AS serie, real_py AS monto FROM facts UNION ALL
+  SELECT division, territorio, pdc, grupo, cuenta, centre, sem, 'P26', plan FROM facts UNION ALL
+  SELECT division, territorio, pdc, grupo, cuenta, centre, sem, 'NVO', new_plan FROM facts UNION ALL
+  SELECT division, territorio, pdc, grupo, cuenta, centre, sem, 'R26', real FROM facts)"""
+
+
+def fold(x: str) -> str:
+    return f"regexp_replace(lower(strip_accents({x})), '^\\s+|\\s+$', '', 'g')"
