@@ -143,3 +143,16 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), (F.col("conv_id") % 150).cast("string")).alias("user_id"),
         F.col("text").alias("question"),
     )
+
+
+def corpus(spark: SparkSession, sf_dir: str, marker: str = "# ") -> DataFrame:
+    """V6: documents with ``marker`` injected on every 7th line (no document line starts
+    with ``#`` or ``def``, so chunk boundaries are placed by rule)."""
+    from spendgrid.operators.chunking import inject_headings
+
+    return inject_headings(table(spark, sf_dir, "documents").select("doc_id", "text"), marker, 7)
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: benchmark passages as queries (qid, text)."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")

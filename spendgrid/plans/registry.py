@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_variance", "q_joins", "q_longfact"]
+MODULES = ["q_variance", "q_joins", "q_longfact", "q_text"]
 
 
 def _load():
