@@ -156,3 +156,58 @@ def corpus(spark: SparkSession, sf_dir: str, marker: str = "# ") -> DataFrame:
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: benchmark passages as queries (qid, text)."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: weekly average order value per order priority: (date, asset, price)."""
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(
+        F.date_trunc("week", "o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("asset")
+    ).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("price"))
+
+
+def candidate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate portfolios: each customer's mix of order priorities (portfolio, asset, w)."""
+    from pyspark.sql.window import Window
+
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("portfolio"), F.col("o_orderpriority").alias("asset")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return o.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("portfolio"))).drop("n")
+
+
+def order_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity to execute per order priority: (asset, Q)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return j.groupBy(F.col("o_orderpriority").alias("asset")).agg(
+        F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("Q")
+    )
+
+
+def bids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """auctions = brands, agents = parts, bid = retail price (DECIMAL); the
+    quantity on offer in each auction is half its total bid."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("auction"), F.col("p_partkey").alias("agent"), F.col("p_retailprice").cast("decimal(18,2)").alias("bid")
+    )
+    totals = p.groupBy("auction").agg((F.sum("bid") * F.lit(0.5).cast("decimal(2,1)")).alias("total"))
+    return p, totals
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation graph: an edge joins a customer's and a supplier's nation whenever a
+    line item links them (distinct, no self loops, i < j)."""
+    t = lambda n: table(spark, sf_dir, n)
+    j = (
+        t("lineitem").select("l_orderkey", "l_suppkey")
+        .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+    return (
+        j.filter(F.col("c_nationkey") != F.col("s_nationkey"))
+        .select(F.least("c_nationkey", "s_nationkey").alias("i"), F.greatest("c_nationkey", "s_nationkey").alias("j"))
+        .distinct()
+    )
