@@ -211,3 +211,72 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.least("c_nationkey", "s_nationkey").alias("i"), F.greatest("c_nationkey", "s_nationkey").alias("j"))
         .distinct()
     )
+
+
+def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: one order document per customer (users + orders with nested installments).
+
+    Installments are the order's line items: amount = extended price, due date = ship
+    date, status = upcoming for open orders, else failed for returned lines, else paid.
+    Merchant = supplier of the order's first line. Arrays are sorted by the whole struct.
+    """
+    t = lambda n: table(spark, sf_dir, n)
+    li = t("lineitem").join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    o = t("orders")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    status = F.when(F.col("o_orderstatus") == "O", "upcoming").when(F.col("l_returnflag") == "R", "failed").otherwise("paid")
+    inst = F.struct(
+        F.col("l_linenumber").alias("installment"),
+        F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"),
+        F.col("l_shipdate").cast("date").alias("due_date"),
+        status.alias("status"),
+        F.when(status == "paid", F.col("l_shipdate").cast("date")).alias("paid_date"),
+    )
+    is_r = F.col("l_returnflag") == "R"
+    per_order = j.groupBy("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus").agg(
+        F.array_sort(F.collect_list(inst)).alias("installments"),
+        F.min_by("s_name", F.struct("l_linenumber", "l_suppkey")).alias("merchant"),
+        F.sum(is_r.cast("int")).alias("n_r"),
+        F.sum(F.when(is_r, F.col("l_extendedprice").cast("decimal(12,2)"))).alias("r_amount"),
+        F.max(F.when(is_r, F.col("l_shipdate").cast("date"))).alias("r_date"),
+    )
+    order = F.struct(
+        F.concat(F.lit("ord_"), F.col("o_orderkey").cast("string")).alias("order_id"),
+        F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"),
+        F.col("merchant"),
+        F.col("o_orderdate").cast("date").alias("order_date"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("total"),
+        F.col("o_orderpriority").alias("plan"),
+        F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "completed")
+        .otherwise("payment_failed").alias("status"),
+        F.col("n_r").cast("int").alias("reschedules_used"),
+        F.when((F.col("o_orderstatus") == "F") & (F.col("n_r") > 0),
+               F.struct(F.col("r_amount").alias("amount"), F.col("r_date").alias("issued_date"), F.lit("issued").alias("status"))).alias("refund"),
+        F.col("installments"),
+    )
+    per_user = per_order.groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("orders"))
+    c = t("customer").select("c_custkey", "c_name", "c_mktsegment")
+    u = per_user.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    user = F.struct(
+        F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), F.col("c_name").alias("name"),
+        F.col("c_mktsegment").alias("account_status"), F.create_map().cast("map<string,int>").alias("reschedules_used"),
+    )
+    return u.select(F.lit(42).alias("generated_seed"), F.lit("1998-08-02").cast("date").alias("today"),
+                    F.array(user).alias("users"), F.col("orders"))
+
+
+def labeled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7 golden: labelled documents as cases. Expected route: escalate when toxic, policy
+    otherwise; must_include: a common word of the document's language; must_not_include:
+    a password mention or an SSN-like number."""
+    lab = table(spark, sf_dir, "labels")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    j = lab.join(d, "doc_id")
+    word = F.when(F.col("lang") == "fr", "le").when(F.col("lang") == "de", "der").when(F.col("lang") == "es", "el").otherwise("the")
+    return j.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.when(F.col("toxic") == 1, "escalate").otherwise("policy").alias("expected_route"),
+        F.array(F.concat(F.lit("(^|[^a-z])"), word, F.lit("([^a-z]|$)"))).alias("must_include"),
+        F.array(F.lit("password"), F.lit("[0-9]{3}-[0-9]{2}-[0-9]{4}")).alias("must_not_include"),
+        F.col("text"),
+    )

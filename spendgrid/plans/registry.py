@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_variance", "q_joins", "q_longfact", "q_text", "q_finance"]
+MODULES = ["q_variance", "q_joins", "q_longfact", "q_text", "q_finance", "q_support"]
 
 
 def _load():
