@@ -388,3 +388,24 @@ def _notes(spark, sf_dir):
 @register("f13_parse_notes")
 def f13(spark, sf_dir):
     return SP.parse_notes(_notes(spark, sf_dir))
+
+
+# --- X1: the same classification as an incremental stream over case files -------------------------
+@register("x01_stream_cases", f"WITH {E4_SQL} SELECT e4.*, tk.user_id, tk.question FROM e4 JOIN tk ON e4.id = tk.id")
+def x01(spark, sf_dir):
+    from spendgrid.streaming.cases import stream_cases
+
+    t = B.tickets(spark, sf_dir).withColumn("conv", F.split("id", "-")[0].cast("bigint"))
+    base = scratch_path(spark, "stream")
+    src, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+    hints = _hints(spark, sf_dir)
+    cols = ["id", "user_id", "question"]
+    # run 1: tickets of even conversations arrive
+    t.filter(F.col("conv") % 2 == 0).select(*cols).repartition(3, "id").write.json(f"{src}/part1")
+    stream_cases(spark, src + "/*", out, ckpt, hints, CASE_SCHEMA)
+    # run 2 (a restart): odd conversations arrive, plus re-sent copies of run-1 tickets
+    t.filter(F.col("conv") % 2 == 1).select(*cols).repartition(2, "id").write.json(f"{src}/part2")
+    resent = t.filter(F.col("conv") % 2 == 0).select("id", "user_id", F.concat("question", F.lit(" [resent]")).alias("question"))
+    resent.repartition(2, "id").write.json(f"{src}/part3")
+    res = stream_cases(spark, src + "/*", out, ckpt, hints, CASE_SCHEMA)
+    return res.drop("batch_id")
