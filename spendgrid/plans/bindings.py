@@ -280,3 +280,36 @@ def labeled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("password"), F.lit("[0-9]{3}-[0-9]{2}-[0-9]{4}")).alias("must_not_include"),
         F.col("text"),
     )
+
+
+def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: orders with their customer and line aggregates; label = fully shipped ('F'),
+    amount = order total."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("sum_qty"),
+        (F.sum(F.col("l_discount").cast("decimal(4,2)")).cast("double") / F.count(F.lit(1))).alias("avg_disc"),
+        F.sum((F.col("l_extendedprice").cast("decimal(18,2)") * (1 + F.col("l_tax").cast("decimal(4,2)"))
+               * (1 - F.col("l_discount").cast("decimal(4,2)")))).cast("double").alias("line_total"),
+    )
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return j.select(
+        F.col("o_orderkey").alias("id"), "o_orderpriority", "c_mktsegment", "c_acctbal", F.col("n_lines").cast("double").alias("n_lines"),
+        "sum_qty", "avg_disc", F.month("o_orderdate").cast("double").alias("month"), "line_total",
+        (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.col("o_totalprice").alias("amount"),
+    )
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a causal panel: y = extended price, t = discount, x = quantity,
+    fold = order key mod 5."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_extendedprice").cast("decimal(18,2)").cast("double").alias("y"),
+        F.col("l_discount").cast("decimal(4,2)").cast("double").alias("t"),
+        F.col("l_quantity").cast("decimal(18,2)").cast("double").alias("x"),
+        F.col("l_tax").cast("double").alias("x2"),
+        (F.col("l_orderkey") % 5).cast("int").alias("fold"),
+    )

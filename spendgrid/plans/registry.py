@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_variance", "q_joins", "q_longfact", "q_text", "q_finance", "q_support", "q_sources"]
+MODULES = ["q_variance", "q_joins", "q_longfact", "q_text", "q_finance", "q_support", "q_sources", "q_ml"]
 
 
 def _load():
