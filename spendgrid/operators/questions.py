@@ -11,6 +11,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spendgrid.functions.measures import any_of
@@ -47,7 +48,7 @@ def fold_text(c: Column, exact: bool = False) -> Column:
     return strip_ws(F.lower(F.translate(c, FOLD_SRC, FOLD_DST)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd_fold(s):  # pragma: no cover - exercised through fold_text(exact=True)
     def one(x):
         if x is None:
