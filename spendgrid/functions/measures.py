@@ -147,8 +147,10 @@ def variance_columns(
 ) -> DataFrame:
     """P5: the measure block per row from decimal sums ``s_*``.
 
-    Shares divide by the total over *all* rows of ``g``; the total is a one-row scalar
-    subquery (``DataFrame.scalar``), so no global window and no shuffle to one task.
+    Shares divide by the total over *all* rows of ``g``: a global aggregate of the
+    already-aggregated ``g`` (exactly one row by construction) attached to every row by a
+    broadcast. Spark reuses ``g``'s exchange for both consumers, so the facts are scanned
+    once; there is no global window and no shuffle of the rows into one task.
     ``forecast`` names a column holding an allocated forecast (A5); without it the
     forecast is ``real + plan_rest``.
     """
@@ -156,8 +158,9 @@ def variance_columns(
     cols: list[Column] = [F.col(k) for k in keys + (extra_keys or [])]
     if shares:
         src = g if totals_from is None else totals_from
-        tot = src.agg(*[F.sum(f"s_{m}").alias(m) for m in MEASURES])
-        totals = {m: as_double(tot.select(F.col(m)).scalar(), divisor) for m in MEASURES}
+        tot = src.agg(*[F.sum(f"s_{m}").alias(f"_t_{m}") for m in MEASURES])  # one row
+        g = g.crossJoin(F.broadcast(tot))
+        totals = {m: as_double(F.col(f"_t_{m}"), divisor) for m in MEASURES}
     vs_py = F.col("s_real") - F.col("s_real_py")
     vs_plan = F.col("s_real") - F.col("s_plan")
     vs_new = F.col("s_real") - F.col("s_new_plan")

@@ -508,3 +508,17 @@ def u02(spark, sf_dir):
         F.col("c_name").alias("name"), F.col("o_orderkey").alias("centre_id")
     )
     return PT.find_points(catalog, centres, "12")
+
+
+# --- P11: name cleaning with missing-category fill -------------------------------------------------
+@register(
+    "p11_clean_category",
+    """SELECT doc_id, coalesce(nullif(trim(CAST(source AS VARCHAR)), ''), '(Sin dato)') AS source,
+  coalesce(nullif(trim(CAST(quality AS VARCHAR)), ''), '(Sin dato)') AS quality
+FROM documents d LEFT JOIN labels l USING (doc_id)""",
+)
+def p11(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "source")
+    lab = B.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    j = d.join(lab, "doc_id", "left")
+    return j.select("doc_id", K.clean_category(F.col("source")).alias("source"), K.clean_category(F.col("quality")).alias("quality"))

@@ -280,3 +280,26 @@ SELECT qid, round(coalesce(1.0 / min(CASE WHEN rel > 0 THEN rank END), 0.0), 9)
 )
 def t10(spark, sf_dir):
     return RV.mrr(_ranked(spark, sf_dir))
+
+
+# --- O8: top-k per query with a unique tie-break (over T5 candidate scores) ------------------------------
+@register(
+    "o08_top_k",
+    f"""WITH {_chunks_cte(T1_SQL, 'ch')},
+tok AS (SELECT chunk_id, unnest({S.tokens_word('content')}) AS term FROM ch),
+post AS (SELECT chunk_id, term, COUNT(*) AS tf FROM tok GROUP BY chunk_id, term),
+qt AS (SELECT DISTINCT item_id AS qid, unnest({S.tokens_word('text')}) AS term FROM benchmark),
+s AS (SELECT qt.qid, post.chunk_id, SUM(tf) AS score FROM qt JOIN post ON qt.term = post.term GROUP BY 1, 2),
+r AS (SELECT s.qid, ch.doc_id, ch.start_line, s.score,
+        ROW_NUMBER() OVER (PARTITION BY s.qid ORDER BY s.score DESC, ch.doc_id, ch.start_line) AS rank
+      FROM s JOIN ch ON s.chunk_id = ch.chunk_id)
+SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, start_line, score FROM r WHERE rank <= 10""",
+)
+def o08(spark, sf_dir):
+    ch = RV.chunk_key(CH.chunk_headings(B.corpus(spark, sf_dir, "# ")))
+    idx = RV.build_index(ch, TX.tokens_word(F.col("content")))
+    qt = B.passages(spark, sf_dir).select("qid", F.explode(TX.tokens_word(F.col("text"))).alias("term")).distinct()
+    s = qt.join(idx.postings, "term").groupBy("qid", "chunk_id").agg(F.sum("tf").alias("score"))
+    s = s.join(idx.lengths.select("chunk_id", "doc_id", "start_line"), "chunk_id")
+    top = RV.top_k(s, 10, [F.col("score").desc(), "doc_id", "start_line"])
+    return top.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", "start_line", "score")
