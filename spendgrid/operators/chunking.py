@@ -58,8 +58,17 @@ def chunk_headings(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         line = F.element_at(lines, s)
         return F.when(line.startswith("#"), strip_ws(F.regexp_replace(line, "^#+", ""))).otherwise(F.lit("General"))
 
-    starts = _boundary_starts(lines, lambda l: l.startswith("#"))
-    return _explode(d, id_col, _chunks(lines, starts, heading), "markdown")
+    # boundaries are materialised once per document, then read by every chunk lambda
+    d = d.withColumn("_starts", _boundary_starts(lines, lambda l: l.startswith("#")))
+    return _explode(d, id_col, _chunks(lines, F.col("_starts"), heading), "markdown")
+
+
+def _is_h2(line: Column) -> Column:
+    return line.startswith("##") & line.rlike(H2_RE)  # cheap prefix test before the regex
+
+
+def _is_h1(line: Column) -> Column:
+    return line.startswith("#") & line.rlike(H1_RE)
 
 
 H2_RE = rf"^##{WS}+(.+?){WS}*$"
@@ -74,11 +83,12 @@ def chunk_h2(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     lines = F.col("_lines")
     n = F.size(lines)
     idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    h1_lines = F.filter(lines, lambda l: l.rlike(H1_RE))
+    h1_lines = F.filter(lines, lambda l: _is_h1(l))
     title = F.when(F.size(h1_lines) > 0, strip_ws(F.regexp_extract(F.element_at(h1_lines, 1), H1_RE, 1))).otherwise(
         F.regexp_replace(F.col(id_col).cast("string"), r"\.[^./]*$", "")
     )
-    h2 = F.filter(idx, lambda i: F.element_at(lines, i).rlike(H2_RE))
+    d = d.withColumn("_h2", F.filter(idx, lambda i: _is_h2(F.element_at(lines, i)))).withColumn("_title", title)
+    h2, title = F.col("_h2"), F.col("_title")
     no_h2 = F.array(F.struct(F.lit(1).alias("start_line"), n.alias("end_line"), title.alias("heading"), strip_ws(F.col(text)).alias("content")))
     pre_end = F.element_at(h2, 1) - 1
     preamble = F.struct(
@@ -109,7 +119,8 @@ def chunk_code(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         s = strip_ws(l)
         return s.startswith("def ") | s.startswith("class ")
 
-    starts = _boundary_starts(lines, is_def)
+    d = d.withColumn("_starts", _boundary_starts(lines, is_def))
+    starts = F.col("_starts")
 
     def heading(s):
         line = F.element_at(lines, s)

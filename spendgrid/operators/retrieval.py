@@ -18,43 +18,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendgrid.functions.text import expand_query, tokens_stem, tokens_word
+from spendgrid.functions.text import expand_query, tokens_stem, tokens_stem_raw, tokens_word
 
 SCORE_DP = 9  # ranking uses the score rounded to 9 dp so equal scores tie exactly
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # chunk_id, term, tf
+    postings: DataFrame  # chunk_id, doc_id, start_line, len, term, tf  (hash-partitioned by chunk_id)
     dfreq: DataFrame  # term, df
-    lengths: DataFrame  # chunk_id, len (+ carried chunk columns)
+    lengths: DataFrame  # chunk_id, doc_id, start_line, len (+ carried chunk columns)
     n_docs: Column  # scalar subquery
     avgdl: Column  # scalar subquery
 
 
 def chunk_key(df: DataFrame) -> DataFrame:
-    """Add the chunk key struct-free: doc_id and start_line identify a chunk."""
+    """Add the chunk key: doc_id and start_line identify a chunk."""
     return df.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("start_line").cast("string")))
 
 
-def build_index(chunks: DataFrame, tokens: Column, keep=("doc_id", "start_line"), materialize: bool = True) -> Index:
+def build_index(chunks: DataFrame, tokens: Column, keep=("doc_id", "start_line"), stem: bool = False,
+                materialize: bool = True) -> Index:
     """T4: tf per (chunk, term), df per term, chunk length, N and average length.
 
-    ``tokens`` is an array column computed per chunk (e.g. :func:`tokens_word`). The
-    tokenised chunk table feeds several aggregates, so by default it is written once as
-    a reliable checkpoint in the cluster's ``spark.checkpoint.dir`` (the index is a
-    stored artefact, as in any search system) instead of re-chunking per consumer. The
-    df aggregate is combined map-side, so very common terms do not skew it.
+    The tokenised chunks are hash-partitioned by ``chunk_id`` and (by default) written
+    once as a reliable checkpoint in the cluster's ``spark.checkpoint.dir`` -- the index
+    is a stored artefact reused by several aggregates. Postings keep that partitioning
+    (they group by chunk first), so scoring a query batch against them needs no shuffle
+    of the postings. ``stem=True`` stems each token row with code-generated expressions.
+    The df aggregate is combined map-side, so very common terms do not skew it.
     """
-    t = chunks.select("chunk_id", *keep, tokens.alias("toks"))
+    keep = tuple(k for k in keep if k not in ("chunk_id",))
+    t = chunks.select("chunk_id", *keep, tokens.alias("toks")).repartition("chunk_id")
     if materialize:
         from spendgrid.session import cut_lineage
 
         t = cut_lineage(t)
-    lengths = t.select("chunk_id", *keep, F.size("toks").alias("len"))
-    postings = t.select("chunk_id", F.explode("toks").alias("term")).groupBy("chunk_id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    t = t.withColumn("len", F.size("toks"))
+    lengths = t.select("chunk_id", *keep, "len")
+    pos = [k for k in ("doc_id", "start_line") if k in keep]
+    raw = t.select("chunk_id", *pos, "len", F.explode("toks").alias("term"))
+    if stem:
+        from spendgrid.functions.text import with_stem
+
+        raw = with_stem(raw, "term")
+    postings = raw.groupBy("chunk_id", *pos, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if materialize:
+        postings = cut_lineage(postings)  # the stored index: read by df and by every scoring
     dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = lengths.select(F.count(F.lit(1))).scalar()
     avgdl = lengths.select(F.avg("len")).scalar()
@@ -67,6 +77,18 @@ def _query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
     return q.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _score(idx: Index, qt: DataFrame, weight) -> DataFrame:
+    """Sum ``weight`` over matching (query term, posting) pairs per (query, chunk).
+
+    The query-term table (a query batch: bounded, and joined with df first) is broadcast
+    into the chunk-partitioned postings, so the pairs are produced and summed where the
+    postings live; only per-(query, chunk) scores leave the task.
+    """
+    q = qt.join(idx.dfreq, "term")
+    j = idx.postings.join(F.broadcast(q), "term")
+    return j.groupBy("qid", "chunk_id", "doc_id", "start_line").agg(F.sum(weight).alias("score"))
+
+
 def top_k(scores: DataFrame, k: int, order: list[Column]) -> DataFrame:
     """The first ``k`` rows per query under ``order`` with a ``rank`` column."""
     w = Window.partitionBy("qid").orderBy(*order)
@@ -80,14 +102,12 @@ def search_tfidf(queries: DataFrame, chunks: DataFrame, k: int = 5, fields: str
     text = F.col("content") if fields == "content" else F.concat_ws(" ", F.col("content"), F.col("heading"), F.col("doc_id").cast("string"))
     idx = build_index(chunks, tokens_word(text), keep=("doc_id", "start_line", "heading", "end_line", "type", "content"))
     qt = _query_terms(queries, tokens_word(F.col("text")))
-    j = qt.join(idx.postings, "term").join(idx.dfreq, "term").join(idx.lengths.select("chunk_id", "len"), "chunk_id")
     contrib = F.col("qtf") * (F.col("tf") / F.greatest(F.col("len"), F.lit(1))) * (
         F.log((idx.n_docs + 1) / (F.col("df") + 0.5)) + 1.0
     )
-    s = j.groupBy("qid", "chunk_id").agg(F.sum(contrib).alias("score")).filter(F.col("score") > 0)
-    s = s.join(idx.lengths.select("chunk_id", "doc_id", "start_line"), "chunk_id")
+    s = _score(idx, qt, contrib).filter(F.col("score") > 0)
     top = top_k(s, k, [F.round("score", SCORE_DP).desc(), "doc_id", "start_line"])
-    top = top.join(idx.lengths.select("chunk_id", "heading", "end_line", "type", "content"), "chunk_id")
+    top = idx.lengths.select("chunk_id", "heading", "end_line", "type", "content").join(F.broadcast(top), "chunk_id")
     snippet = F.when(F.length("content") > 400, F.concat(F.substring("content", 1, 400), F.lit("..."))).otherwise(F.col("content"))
     return top.select(
         "qid", "rank", "doc_id", "heading", "start_line", "end_line", "type",
@@ -116,19 +136,17 @@ def search_bm25(queries: DataFrame, chunks: DataFrame, k: int = 3, aliases: dict
     tokens of the searchable text; query tokens expanded (F9) with repeats counted;
     score > 0, ties by chunk order; a query with no usable token gets the first k chunks.
     """
-    idx = build_index(chunks, tokens_stem(searchable_text(chunks, aliases)))
+    idx = build_index(chunks, tokens_stem_raw(searchable_text(chunks, aliases)), stem=True)
     qtok = tokens_stem(F.col("text"))
     if expand:
         qtok = expand_query(qtok)
     q = queries.select("qid", qtok.alias("toks"))
     qt = q.select("qid", F.explode("toks").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    j = qt.join(idx.postings, "term").join(idx.dfreq, "term").join(idx.lengths.select("chunk_id", "len"), "chunk_id")
     idf = F.log(1.0 + (idx.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf")
     denom = tf + K1 * (1.0 - B + B * F.col("len") / idx.avgdl)
     contrib = F.col("qtf") * (idf * (tf * (K1 + 1.0)) / denom)
-    s = j.groupBy("qid", "chunk_id").agg(F.sum(contrib).alias("score")).filter(F.col("score") > 0)
-    s = s.join(idx.lengths.select("chunk_id", "doc_id", "start_line"), "chunk_id")
+    s = _score(idx, qt, contrib).filter(F.col("score") > 0)
     hits = top_k(s, k, [F.round("score", SCORE_DP).desc(), "doc_id", "start_line"])
     hits = hits.select("qid", "rank", "doc_id", "start_line", F.round("score", 6).alias("score"))
     # empty queries: the first k chunks in corpus order, as a k-element scalar array

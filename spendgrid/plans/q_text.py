@@ -136,7 +136,7 @@ SELECT chunk_id, term, tf, df FROM post JOIN df USING (term)""",
 def t04(spark, sf_dir):
     ch = RV.chunk_key(CH.chunk_headings(B.corpus(spark, sf_dir, "# ")))
     idx = RV.build_index(ch, TX.tokens_word(F.col("content")))
-    return idx.postings.join(idx.dfreq, "term").select("chunk_id", "term", "tf", "df")
+    return idx.postings.join(idx.dfreq, "term").select("chunk_id", "term", "tf", "df")  # df: vocabulary-sized
 
 
 # --- T5: TF-IDF search over T1 chunks ---------------------------------------------------------------------
@@ -299,7 +299,6 @@ def o08(spark, sf_dir):
     ch = RV.chunk_key(CH.chunk_headings(B.corpus(spark, sf_dir, "# ")))
     idx = RV.build_index(ch, TX.tokens_word(F.col("content")))
     qt = B.passages(spark, sf_dir).select("qid", F.explode(TX.tokens_word(F.col("text"))).alias("term")).distinct()
-    s = qt.join(idx.postings, "term").groupBy("qid", "chunk_id").agg(F.sum("tf").alias("score"))
-    s = s.join(idx.lengths.select("chunk_id", "doc_id", "start_line"), "chunk_id")
+    s = idx.postings.join(F.broadcast(qt), "term").groupBy("qid", "chunk_id", "doc_id", "start_line").agg(F.sum("tf").alias("score"))
     top = RV.top_k(s, 10, [F.col("score").desc(), "doc_id", "start_line"])
     return top.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", "start_line", "score")
