@@ -29,7 +29,8 @@ def _means(df: DataFrame, by: str | None) -> dict:
 
 
 def dp_means(points: DataFrame, lam: float, max_iter: int = 20) -> tuple[DataFrame, list[int]]:
-    """G1: ``points(id, vec array<double>)``; returns (cluster sizes, K per pass)."""
+    """G1: ``points(id, vec array<double>)``; returns (``(id, cluster, dmin)`` per point,
+    K per pass). Cluster sizes are ``groupBy('cluster').count()`` of the first."""
     pts = points.select("id", F.col("vec").cast("array<double>").alias("vec"))
     centres = [_means(pts, None)[0]]
     history: list[int] = []
@@ -49,5 +50,4 @@ def dp_means(points: DataFrame, lam: float, max_iter: int = 20) -> tuple[DataFra
         assigned = a
         if not grew and stable:
             break
-    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    return sizes, history
+    return assigned.select("id", "cluster", "dmin"), history

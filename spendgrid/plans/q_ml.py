@@ -219,7 +219,8 @@ def g01(spark, sf_dir):
     mean = pts.select(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(dims)]).first()
     d2 = sum((F.col("vec")[i] - mean[f"m{i}"]) ** 2 for i in range(dims))
     lam = pts.select(F.avg(d2)).first()[0]
-    sizes, hist = CL.dp_means(pts, lam, 20)
+    assigned, hist = CL.dp_means(pts, lam, 20)
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     return sizes.withColumn("k_final", F.lit(hist[-1])).withColumn("passes", F.lit(len(hist)))
 
 
