@@ -31,3 +31,37 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
     if not inclusive:
         run = run - F.col(value)
     return j.withColumn(out, run).drop("_spid", "_local", "_off")
+
+
+def global_index(df: DataFrame, order: list, out: str = "idx") -> DataFrame:
+    """0-based position of each row in ``order`` without a single-partition window:
+    range-partition, number rows inside each task, add the counts of earlier tasks."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    local = r.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    counts = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    offs = counts.withColumn(
+        "_off", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    # offsets: one row per task
+    return local.join(F.broadcast(offs.select("_p", "_off")), "_p").withColumn(out, F.col("_i") + F.col("_off")).drop("_p", "_i", "_off")
+
+
+def exact_percentile(df: DataFrame, col, q: float):
+    """Exact quantile with linear interpolation (``lo + (hi - lo) * frac``) of a whole
+    column, without buffering all values in one task: a range-partitioned sort (ties
+    broken by a row id so equal values spread over tasks), a global index, then the two
+    neighbouring order statistics. Returns a Python float (None for no rows)."""
+    import math
+
+    d = df.select(F.col(col).cast("double").alias("v") if isinstance(col, str) else col.cast("double").alias("v"))
+    d = d.filter(F.col("v").isNotNull()).withColumn("_tie", F.monotonically_increasing_id())
+    n = d.count()
+    if n == 0:
+        return None
+    pos = q * (n - 1)
+    lo, hi = math.floor(pos), math.ceil(pos)
+    g = global_index(d, [F.col("v"), F.col("_tie")])
+    vals = {r["idx"]: r["v"] for r in g.filter(F.col("idx").isin(lo, hi)).select("idx", "v").collect()}  # <= 2 rows
+    return vals[lo] + (vals[hi] - vals[lo]) * (pos - lo)

@@ -21,10 +21,15 @@ def clean_category(c: Column, fill: str = MISSING) -> Column:
 
 
 def dedupe_first(df: DataFrame, key: list[str] | str, order: list[str]) -> DataFrame:
-    """Keep the first row per key under an explicit order (deterministic)."""
+    """Keep the first row per key under an explicit order (deterministic).
+
+    A ``min_by`` aggregate rather than a window: partial aggregation combines rows
+    map-side, so a key holding a large share of the rows never sits whole in one task.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order]))
+    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def attach_catalog(facts: DataFrame, catalog: DataFrame, key: str, cols: list[str]) -> DataFrame:

@@ -51,23 +51,13 @@ def credit_features(train: DataFrame, categorical: list[str], numeric: list[str]
     return target.select(*cols)
 
 
-def global_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
-    """0-based position of each row in ``order`` without a single-partition window:
-    range-partition, count per partition, add the counts of earlier partitions."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = r.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    counts = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(offs.select("_p", "_off")), "_p").withColumn(out, F.col("_i") + F.col("_off")).drop("_p", "_i", "_off")
-
-
 def sequential_split(df: DataFrame, order: list[str], test_frac: float = 0.2) -> DataFrame:
     """M2: the first ``n - ceil(test_frac * n)`` rows (by ``order``) are train, the rest
     test; adds ``idx`` and ``split``."""
     n = df.count()
     n_train = n - math.ceil(test_frac * n)
+    from spendgrid.functions.windows import global_index
+
     g = global_index(df, order)
     return g.withColumn("split", F.when(F.col("idx") < n_train, "train").otherwise("test"))
 

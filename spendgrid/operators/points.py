@@ -4,6 +4,8 @@ multi-source point search (A17, A18, O2, O3, O6, U2).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,14 +50,16 @@ def deviation_kpis(points: DataFrame, name: str = "pdc") -> DataFrame:
     g = g.filter(F.col("plan") != 0).withColumn(
         "dev_pct", (F.col("real") - F.col("plan")).cast("double") / F.abs(F.col("plan").cast("double")) * 100
     )
+    from spendgrid.functions.windows import exact_percentile
+
+    med = exact_percentile(g, "dev_pct", 0.5)  # distributed exact median
     k = g.agg(
         F.count("*").alias("n_points"),
         F.sum(F.when(F.col("real") > F.col("plan"), 1).otherwise(0)).alias("n_over"),
         F.sum(F.when(F.col("real") <= F.col("plan"), 1).otherwise(0)).alias("n_under"),
         F.sum("plan").alias("plan"),
         F.sum("real").alias("real"),
-        F.percentile(F.col("dev_pct"), F.lit(0.5)).alias("median_dev_pct"),
-    )
+    ).withColumn("median_dev_pct", F.lit(med).cast("double"))
     return k.select(
         F.col("n_points").cast("bigint").alias("n_points"),
         F.col("n_over").cast("bigint").alias("n_over"),
@@ -77,13 +81,12 @@ def deviation_histogram(points: DataFrame, col: str = "vs_plan_abs", bins: int =
     band by |centre| < width -> plan, then |centre|/sigma <= 1, <= 2, else 3 sigma.
     Empty bins appear with count 0 (left join from ``range(bins)``).
     """
+    from spendgrid.functions.windows import exact_percentile
+
     x = points.select((F.col(col) / 1e6).alias("x")).filter(F.col("x").isNotNull())
-    lim = x.select(
-        F.least(
-            F.greatest(F.lit(1.0), F.ceil(F.percentile(F.abs("x"), F.lit(0.99))).cast("double")),
-            F.greatest(F.lit(2.0), F.ceil(F.max(F.abs("x"))).cast("double")),
-        ).alias("L")
-    ).scalar()
+    q99 = exact_percentile(x, F.abs(F.col("x")), 0.99)  # distributed exact quantile
+    mx = x.agg(F.max(F.abs("x"))).first()[0]
+    lim = F.lit(float(min(max(1.0, math.ceil(q99)), max(2.0, math.ceil(mx)))))
     kept = x.filter((F.col("x") >= -lim) & (F.col("x") <= lim))
     sd = kept.select(F.stddev_samp("x").alias("sd")).scalar()
     sigma = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)

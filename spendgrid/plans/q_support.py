@@ -315,10 +315,21 @@ def j07(spark, sf_dir):
 
 
 # --- F13-F15 ---------------------------------------------------------------------------------------
-@register(
-    "f14_policy_terms",
-    None,
-)
+def _f14_sql():
+    from spendgrid.plans.q_text import T2_SQL, _chunks_cte
+    from spendgrid.plans.sqltext import strip
+
+    ws = TX.WS
+    sents = f"list_filter(list_transform(string_split(regexp_replace(content, '([.!?]){ws}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '')"
+    m = f"regexp_extract(sent, '{TX.TERM_RE}', 0)"
+    return f"""WITH {_chunks_cte(T2_SQL, 'ch')},
+f14s AS (SELECT doc_id, start_line, unnest(sl) AS sent, generate_subscripts(sl, 1) AS spos FROM (SELECT doc_id, start_line, {sents} AS sl FROM ch)),
+f14t AS (SELECT *, CASE WHEN {m} <> '' THEN regexp_replace({m}, '^[^a-z0-9A-Z]+|[^a-z0-9A-Z%]+$', '', 'g') END AS term FROM f14s)
+SELECT doc_id, start_line, arg_min(sent, spos) AS sentence, arg_min(term, spos) AS term FROM f14t WHERE term IS NOT NULL
+GROUP BY doc_id, start_line"""
+
+
+@register("f14_policy_terms", _f14_sql())
 def f14(spark, sf_dir):
     ch = CH.chunk_h2(B.corpus(spark, sf_dir, "## "))
     return SP.policy_terms(ch)
@@ -385,7 +396,38 @@ def _notes(spark, sf_dir):
     return lines.select("list_id", order.alias("pos"), "text")
 
 
-@register("f13_parse_notes")
+def _f13_sql():
+    from spendgrid.plans.q_joins import _a1_sql
+    from spendgrid.plans.sqltext import strip
+
+    def fmt(x, dp):
+        return f"format('{{:,.{dp}f}}', {x})"
+
+    note, pipe, head = SP.NOTE_RE, SP.PIPE_RE, SP.HEADER_RE
+    t = "t"
+    ex = lambda rx, i: f"regexp_extract({t}, '{rx}', {i})"
+    return f"""WITH v AS ({_a1_sql('agrupa1, division')}),
+n0 AS (SELECT CASE WHEN vs_plan_abs > 0 THEN 'riesgos' ELSE 'oportunidades' END AS list_id, agrupa1, division,
+         vs_plan_abs, vs_plan_pct, label_plan FROM v),
+n1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY list_id, agrupa1 ORDER BY division) AS k FROM n0),
+l0 AS (SELECT list_id, agrupa1, k * 2 AS pos, CASE WHEN k % 2 = 1
+          THEN CAST(k AS VARCHAR) || '. ' || division || ' (' || {fmt('vs_plan_abs / 1e6', 2)} || ' mdp) / (' || {fmt('vs_plan_pct', 1)} || '%) · ' || label_plan
+          ELSE division || ' | ' || {fmt('vs_plan_abs / 1e6', 2)} || ' | ' || {fmt('vs_plan_pct', 1)} || '% | ' || label_plan END AS text FROM n1
+       UNION ALL SELECT DISTINCT list_id, agrupa1, 0, '— ' || agrupa1 || ' —' FROM n0),
+l AS (SELECT list_id, dense_rank() OVER (PARTITION BY list_id ORDER BY agrupa1, pos) AS pos, text FROM l0),
+x AS (SELECT *, {strip('text')} AS t FROM l),
+x2 AS (SELECT *, CASE WHEN regexp_extract(t, '{head}', 1) <> '' THEN {strip(f"regexp_extract(t, '{head}', 1)")} END AS hdr FROM x),
+y AS (SELECT *, coalesce(last_value(hdr IGNORE NULLS) OVER (PARTITION BY list_id ORDER BY pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '(sin sección)') AS section FROM x2)
+SELECT list_id, pos, section,
+  CASE WHEN regexp_matches(t, '{note}') THEN {strip(ex(note, 1))} WHEN regexp_matches(t, '{pipe}') THEN {strip(ex(pipe, 1))} ELSE t END AS account,
+  CASE WHEN regexp_matches(t, '{note}') THEN replace({ex(note, 2)}, ' ', '') WHEN regexp_matches(t, '{pipe}') THEN {ex(pipe, 2)} ELSE '' END AS amount,
+  CASE WHEN regexp_matches(t, '{note}') THEN {ex(note, 3)} WHEN regexp_matches(t, '{pipe}') THEN {ex(pipe, 3)} ELSE '' END AS pct,
+  CASE WHEN regexp_matches(t, '{note}') THEN {strip(ex(note, 4))} WHEN regexp_matches(t, '{pipe}') THEN {strip(ex(pipe, 4))} ELSE '' END AS comment
+FROM y WHERE hdr IS NULL"""
+
+
+@register("f13_parse_notes", _f13_sql())
 def f13(spark, sf_dir):
     return SP.parse_notes(_notes(spark, sf_dir))
 
