@@ -189,13 +189,16 @@ def route_column() -> Column:
     )
 
 
-def answer_questions(q: DataFrame, long: DataFrame) -> DataFrame:
+def answer_questions(q: DataFrame, long: DataFrame, wide: dict[str, str] | None = None) -> DataFrame:
     """route every question and attach its R25/P26/R26 totals up to its cut week.
 
     Scope per route: weekly -> centre?, division?, group?; centre -> centre, group?;
     division -> division, group?; territory -> territory, group?; group -> group;
     match/general -> everything. A centre id names one centre (exact id).
 
+    ``long`` is the long fact (serie, monto). With ``wide={'R25': col, ...}`` the same
+    sums come straight from a wide fact's measure columns, skipping the 4x unpivot.
+
     The long fact is aggregated once with GROUPING SETS over the scope dimensions and
     ``sem``; each question joins the cube on its scope (null-safe equi-join on four keys
     plus the grouping mask) and sums its weeks <= cut. Nothing is collected.
@@ -221,10 +224,14 @@ def answer_questions(q: DataFrame, long: DataFrame) -> DataFrame:
         ["centre", "division", "grupo"],
     ]
     zero = F.lit(0).cast("decimal(18,5)")
+    if wide:
+        sums = [F.sum(F.col(wide[c])).alias(c) for c in ("R25", "P26", "R26")]
+    else:
+        sums = [F.sum(F.when(F.col("serie") == c, F.col("monto")).otherwise(zero)).alias(c) for c in ("R25", "P26", "R26")]
     cube = long.groupingSets([[*s, "sem"] for s in sets], *dims, "sem").agg(
         # sem is grouped in every set, so its bit (the lowest) is always 0
         (F.grouping_id(*dims, "sem") / 2).cast("int").alias("gid"),
-        *[F.sum(F.when(F.col("serie") == c, F.col("monto")).otherwise(zero)).alias(c) for c in ("R25", "P26", "R26")],
+        *sums,
     )
     cube = cube.select(*[F.col(d).alias(f"k_{d}") for d in dims], "sem", "gid", "R25", "P26", "R26")
     cond = (

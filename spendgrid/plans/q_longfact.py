@@ -243,4 +243,5 @@ def f12(spark, sf_dir):
         t("customer").select(F.col("c_mktsegment").alias("territorio")),
         t("part").select(F.col("p_brand").alias("grupo")),
     )
-    return QN.answer_questions(e, B.facts_long(spark, sf_dir))
+    wide = {"R25": "real_py", "P26": "plan", "R26": "real"}  # the long fact's series, read from the wide fact
+    return QN.answer_questions(e, B.facts(spark, sf_dir), wide=wide)
