@@ -91,10 +91,19 @@ def wide_returns(ret: DataFrame) -> tuple[DataFrame, list[str]]:
     return wide, [c for c in wide.columns if c != "date"]
 
 
+MAX_PAIR_AGGS = 50  # assets; above this the matrix comes from Spark ML's Correlation
+
+
 def cov_corr_matrix(ret: DataFrame) -> DataFrame:
     """Sample covariance and correlation for every asset pair, in one aggregation
-    pass over the date-wide frame (no date x pair self-join); long output."""
+    pass over the date-wide frame (no date x pair self-join); long output.
+
+    Beyond ``MAX_PAIR_AGGS`` assets the n^2 aggregate expressions become unwieldy; the
+    correlation matrix then comes from ``pyspark.ml.stat.Correlation`` (a distributed
+    tree aggregate over assembled vectors) and cov_ij = corr_ij * sd_i * sd_j."""
     wide, assets = wide_returns(ret)
+    if len(assets) > MAX_PAIR_AGGS:
+        return _cov_corr_ml(ret, wide, assets)
     aggs = []
     for a in assets:
         for b in assets:
@@ -107,6 +116,19 @@ def cov_corr_matrix(ret: DataFrame) -> DataFrame:
     return m.select(stacked.alias("c")).select("c.asset_i", "c.asset_j", F.round("c.cov", 12).alias("cov"), F.round("c.corr", DP).alias("corr"))
 
 
+def _cov_corr_ml(ret: DataFrame, wide: DataFrame, assets: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    spark = ret.sparkSession
+    va = VectorAssembler(inputCols=assets, outputCol="v", handleInvalid="skip")
+    corr = Correlation.corr(va.transform(wide.select(*[F.col(f"`{a}`") for a in assets])), "v").first()[0].toArray()
+    sd = {r["asset"]: r["sd"] for r in ret.groupBy("asset").agg(F.stddev_samp("ret").alias("sd")).collect()}  # n values
+    rows = [(a, b, float(corr[i][j]) * sd[a] * sd[b], float(corr[i][j])) for i, a in enumerate(assets) for j, b in enumerate(assets)]
+    m = spark.createDataFrame(rows, "asset_i string, asset_j string, cov double, corr double")
+    return m.select("asset_i", "asset_j", F.round("cov", 12).alias("cov"), F.round("corr", DP).alias("corr"))
+
+
 def vol_comparison(ret: DataFrame, weights: DataFrame) -> DataFrame:
     """Each asset's sample sd next to the portfolio's."""
     a = ret.groupBy("asset").agg(F.stddev_samp("ret").alias("sd"))

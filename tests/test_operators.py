@@ -165,3 +165,16 @@ def test_double_ml_recovers_effect(spark):
     df = spark.createDataFrame(pd.DataFrame({"y": y, "t": t, "x": x, "fold": np.arange(n) % 5}))
     tau = double_ml(df, "y", "t", ["x"], 5, "ols1").first()["tau"]
     assert abs(tau - 1.0) < 0.1
+
+
+def test_cov_corr_branches_agree(spark):
+    from conftest import SF_SMALL
+    from spendgrid.operators import risk as RK
+    from spendgrid.plans import bindings as B
+
+    r = RK.log_returns(B.prices(spark, SF_SMALL))
+    a = {(x.asset_i, x.asset_j): (x.cov, x.corr) for x in RK.cov_corr_matrix(r).collect()}
+    wide, assets = RK.wide_returns(r)
+    b = {(x.asset_i, x.asset_j): (x.cov, x.corr) for x in RK._cov_corr_ml(r, wide, assets).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k][0] - b[k][0]) < 1e-9 and abs(a[k][1] - b[k][1]) < 1e-8 for k in a)
