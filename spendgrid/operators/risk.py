@@ -94,7 +94,7 @@ def wide_returns(ret: DataFrame) -> tuple[DataFrame, list[str]]:
 MAX_PAIR_AGGS = 50  # assets; above this the matrix comes from Spark ML's Correlation
 
 
-def cov_corr_matrix(ret: DataFrame) -> DataFrame:
+def cov_corr_matrix(ret: DataFrame, rounded: bool = True) -> DataFrame:
     """Sample covariance and correlation for every asset pair, in one aggregation
     pass over the date-wide frame (no date x pair self-join); long output.
 
@@ -113,7 +113,10 @@ def cov_corr_matrix(ret: DataFrame) -> DataFrame:
         F.array(*[F.struct(F.lit(a).alias("asset_i"), F.lit(b).alias("asset_j"), F.col(f"`cov|{a}|{b}`").alias("cov"),
                            F.col(f"`corr|{a}|{b}`").alias("corr")) for a in assets for b in assets])
     )
-    return m.select(stacked.alias("c")).select("c.asset_i", "c.asset_j", F.round("c.cov", 12).alias("cov"), F.round("c.corr", DP).alias("corr"))
+    out = m.select(stacked.alias("c")).select("c.asset_i", "c.asset_j", "c.cov", "c.corr")
+    if not rounded:
+        return out
+    return out.select("asset_i", "asset_j", F.round("cov", 12).alias("cov"), F.round("corr", DP).alias("corr"))
 
 
 def _cov_corr_ml(ret: DataFrame, wide: DataFrame, assets: list[str]) -> DataFrame:
@@ -203,11 +206,11 @@ def score_portfolios(weights: DataFrame, ret: DataFrame, buckets: int = 20) -> D
     """
     mu = ret.groupBy("asset").agg(F.avg("ret").alias("mu"))
     assets = mu.select("asset").withColumn("k", F.dense_rank().over(Window.orderBy("asset")))
-    cov = cov_corr_matrix(ret)
+    cov = cov_corr_matrix(ret, rounded=False)  # unrounded: rounded inputs make exact ties
     cov_arr = (
         cov.join(assets.withColumnRenamed("asset", "asset_i").withColumnRenamed("k", "i"), "asset_i")
         .join(assets.withColumnRenamed("asset", "asset_j").withColumnRenamed("k", "j"), "asset_j")
-        .agg(F.collect_list(F.struct("i", "j", "cov")).alias("a"))
+        .agg(F.array_sort(F.collect_list(F.struct("i", "j", "cov"))).alias("a"))
         .scalar()
     )
     wk = weights.join(F.broadcast(assets), "asset").join(F.broadcast(mu), "asset")
@@ -228,10 +231,10 @@ def score_portfolios(weights: DataFrame, ret: DataFrame, buckets: int = 20) -> D
     width = (hi - lo) / buckets
     b = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("ret") - lo) / width), F.lit(buckets - 1))).cast("int")
     s = s.withColumn("bucket", b)
-    best = s.groupBy("bucket").agg(F.min_by("portfolio", F.struct(F.round("var", 12), "portfolio")).alias("portfolio")).withColumn("on_frontier", F.lit(True))
+    best = s.groupBy("bucket").agg(F.min_by("portfolio", F.struct(F.round("var", 10), "portfolio")).alias("portfolio")).withColumn("on_frontier", F.lit(True))
     out = s.join(best, ["bucket", "portfolio"], "left").fillna(False, ["on_frontier"])
     return out.select(
-        "portfolio", F.round("ret", DP).alias("ret"), F.round("var", 12).alias("var"), F.round("sharpe", 6).alias("sharpe"),
+        "portfolio", F.round("ret", DP).alias("ret"), F.round("var", 10).alias("var"), F.round("sharpe", 6).alias("sharpe"),
         "bucket", "on_frontier",
     )
 

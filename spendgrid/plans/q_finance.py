@@ -105,6 +105,10 @@ COV = """cov AS (SELECT a.asset AS asset_i, b.asset AS asset_j, round(covar_samp
     round(corr(a.ret, b.ret), 10) AS corr FROM ret a JOIN ret b ON a.date = b.date GROUP BY a.asset, b.asset)"""
 
 
+COV_RAW = """covr AS (SELECT a.asset AS asset_i, b.asset AS asset_j, covar_samp(a.ret, b.ret) AS cov
+    FROM ret a JOIN ret b ON a.date = b.date GROUP BY a.asset, b.asset)"""
+
+
 @register("r06_cov_corr_matrix", f"WITH {RET}, {COV} SELECT * FROM cov")
 def r06(spark, sf_dir):
     return RK.cov_corr_matrix(_ret(spark, sf_dir))
@@ -149,19 +153,19 @@ def r09(spark, sf_dir):
 
 @register(
     "r10_score_portfolios",
-    f"""WITH {RET}, {COV},
+    f"""WITH {RET}, {COV_RAW},
 cw0 AS (SELECT o_custkey AS portfolio, o_orderpriority AS asset, COUNT(*) AS n FROM orders GROUP BY 1, 2),
 cw AS (SELECT portfolio, asset, n / SUM(n) OVER (PARTITION BY portfolio) AS w FROM cw0),
 mu AS (SELECT asset, avg(ret) AS mu FROM ret GROUP BY asset),
 pr AS (SELECT portfolio, SUM(w * mu) AS ret FROM cw JOIN mu ON cw.asset = mu.asset GROUP BY portfolio),
-pv AS (SELECT a.portfolio, SUM(a.w * b.w * cov.cov) AS var FROM cw a JOIN cw b ON a.portfolio = b.portfolio
-         JOIN cov ON cov.asset_i = a.asset AND cov.asset_j = b.asset GROUP BY a.portfolio),
+pv AS (SELECT a.portfolio, SUM(a.w * b.w * covr.cov) AS var FROM cw a JOIN cw b ON a.portfolio = b.portfolio
+         JOIN covr ON covr.asset_i = a.asset AND covr.asset_j = b.asset GROUP BY a.portfolio),
 s AS (SELECT pr.portfolio, pr.ret, pv.var, (pr.ret - 0.02) / sqrt(pv.var + 1e-8) AS sharpe FROM pr JOIN pv ON pr.portfolio = pv.portfolio),
 lim AS (SELECT min(ret) AS lo, max(ret) AS hi FROM s),
 b AS (SELECT s.*, CAST(CASE WHEN (hi - lo) / 20 = 0 THEN 0 ELSE least(floor((ret - lo) / ((hi - lo) / 20)), 19) END AS INTEGER) AS bucket
       FROM s CROSS JOIN lim),
-best AS (SELECT bucket, arg_min(portfolio, (round(var, 12), portfolio)) AS portfolio FROM b GROUP BY bucket)
-SELECT b.portfolio, round(b.ret, 10) AS ret, round(b.var, 12) AS var, round(b.sharpe, 6) AS sharpe, b.bucket,
+best AS (SELECT bucket, arg_min(portfolio, (round(var, 10), portfolio)) AS portfolio FROM b GROUP BY bucket)
+SELECT b.portfolio, round(b.ret, 10) AS ret, round(b.var, 10) AS var, round(b.sharpe, 6) AS sharpe, b.bucket,
   best.portfolio IS NOT NULL AS on_frontier
 FROM b LEFT JOIN best ON b.bucket = best.bucket AND b.portfolio = best.portfolio""",
 )

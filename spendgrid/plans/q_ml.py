@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from spendgrid.operators import cluster as CL
@@ -223,5 +221,3 @@ def g01(spark, sf_dir):
     sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     return sizes.withColumn("k_final", F.lit(hist[-1])).withColumn("passes", F.lit(len(hist)))
 
-
-_ = math

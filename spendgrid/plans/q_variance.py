@@ -279,3 +279,15 @@ def o03(spark, sf_dir):
     v = R.rollup_variance(B.facts(spark, sf_dir), "cuentas", Period(1, 30), smr=B.SMR)
     keys = ["agrupa1", "grupo", "cuenta"]
     return top_abs(v.select(*keys, "vs_plan_abs", "plan", "real"), "vs_plan_abs", keys, 10)
+
+
+# --- A1 with the null group: one global row (no materiality drop, no ordering) -------------------------
+@register(
+    "a01_rollup_variance_global",
+    f"""WITH {FACTS_CTE},
+g AS (SELECT {weighted_sums(1, 30)} FROM facts),
+t AS ({totals()})
+SELECT {variance_select()} FROM g CROSS JOIN t""",
+)
+def a01g(spark, sf_dir):
+    return R.rollup_variance(B.facts(spark, sf_dir), "global", Period(1, 30), smr=B.SMR)
