@@ -88,7 +88,7 @@ def s03(spark, sf_dir):
 
 @register(
     "s06_read_text_corpus",
-    "SELECT 'lang=' || lang AS dir, SUM(length(replace(text, chr(65533), '')) + 1) AS n_chars FROM documents GROUP BY lang",
+    "SELECT 'lang=' || lang AS dir, CAST(SUM(length(replace(text, chr(65533), '')) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY lang",
 )
 def s06(spark, sf_dir):
     root = scratch_path(spark, "corpus")

@@ -393,7 +393,7 @@ def _notes(spark, sf_dir):
         "list_id", "agrupa1", F.lit(0).alias("pos"), F.concat(F.lit("— "), F.col("agrupa1"), F.lit(" —")).alias("text"))
     lines = notes.unionByName(heads)
     order = F.dense_rank().over(Window.partitionBy("list_id").orderBy("agrupa1", "pos"))
-    return lines.select("list_id", order.alias("pos"), "text")
+    return lines.select("list_id", order.cast("bigint").alias("pos"), "text")
 
 
 def _f13_sql():

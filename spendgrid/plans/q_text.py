@@ -289,7 +289,7 @@ def t10(spark, sf_dir):
 tok AS (SELECT chunk_id, unnest({S.tokens_word('content')}) AS term FROM ch),
 post AS (SELECT chunk_id, term, COUNT(*) AS tf FROM tok GROUP BY chunk_id, term),
 qt AS (SELECT DISTINCT item_id AS qid, unnest({S.tokens_word('text')}) AS term FROM benchmark),
-s AS (SELECT qt.qid, post.chunk_id, SUM(tf) AS score FROM qt JOIN post ON qt.term = post.term GROUP BY 1, 2),
+s AS (SELECT qt.qid, post.chunk_id, CAST(SUM(tf) AS BIGINT) AS score FROM qt JOIN post ON qt.term = post.term GROUP BY 1, 2),
 r AS (SELECT s.qid, ch.doc_id, ch.start_line, s.score,
         ROW_NUMBER() OVER (PARTITION BY s.qid ORDER BY s.score DESC, ch.doc_id, ch.start_line) AS rank
       FROM s JOIN ch ON s.chunk_id = ch.chunk_id)
