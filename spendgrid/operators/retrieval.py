@@ -100,18 +100,20 @@ def search_tfidf(queries: DataFrame, chunks: DataFrame, k: int = 5, fields: str
     score > 0; top-k ties by document position; score rounded to 4; snippet of 400
     characters plus ``...`` when cut. ``fields='all'`` also indexes heading and doc id."""
     text = F.col("content") if fields == "content" else F.concat_ws(" ", F.col("content"), F.col("heading"), F.col("doc_id").cast("string"))
-    idx = build_index(chunks, tokens_word(text), keep=("doc_id", "start_line", "heading", "end_line", "type", "content"))
+    # only the 400-character snippet travels with the index, not the whole chunk text
+    snippet = F.when(F.length("content") > 400, F.concat(F.substring("content", 1, 400), F.lit("..."))).otherwise(F.col("content"))
+    chunks = chunks.withColumn("snippet", snippet)
+    idx = build_index(chunks, tokens_word(text), keep=("doc_id", "start_line", "heading", "end_line", "type", "snippet"))
     qt = _query_terms(queries, tokens_word(F.col("text")))
     contrib = F.col("qtf") * (F.col("tf") / F.greatest(F.col("len"), F.lit(1))) * (
         F.log((idx.n_docs + 1) / (F.col("df") + 0.5)) + 1.0
     )
     s = _score(idx, qt, contrib).filter(F.col("score") > 0)
     top = top_k(s, k, [F.round("score", SCORE_DP).desc(), "doc_id", "start_line"])
-    top = idx.lengths.select("chunk_id", "heading", "end_line", "type", "content").join(F.broadcast(top), "chunk_id")
-    snippet = F.when(F.length("content") > 400, F.concat(F.substring("content", 1, 400), F.lit("..."))).otherwise(F.col("content"))
+    top = idx.lengths.select("chunk_id", "heading", "end_line", "type", "snippet").join(F.broadcast(top), "chunk_id")
     return top.select(
         "qid", "rank", "doc_id", "heading", "start_line", "end_line", "type",
-        F.round("score", 4).alias("score"), snippet.alias("snippet"),
+        F.round("score", 4).alias("score"), "snippet",
     )
 
 
