@@ -49,3 +49,19 @@ def test_entry_smoke(spark):
 
     df = E.entry(spark)
     assert df.count() > 0 and "sort_key" in df.columns
+
+
+def test_bm25_plan_broadcasts_query_terms(spark):
+    from spendgrid.operators import chunking as CH
+    from spendgrid.operators import retrieval as RV
+
+    ch = RV.chunk_key(CH.chunk_h2(B.corpus(spark, SF_SMALL, "## ")))
+    plan = RV.search_bm25(B.passages(spark, SF_SMALL), ch, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
+    assert "CartesianProduct" not in plan
+
+
+def test_flagship_cross_join_is_the_one_row_total(spark):
+    df = R.rollup_variance(B.facts(spark, SF_SMALL), "division", Period(1, 30), smr=B.SMR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastNestedLoopJoin") <= 1 and "CartesianProduct" not in plan
