@@ -193,10 +193,11 @@ def search_cosine(queries: DataFrame, docs: DataFrame, k: int = 3, stopwords: li
     sw = stopwords if stopwords is not None else spark_english_stopwords()
     from spendgrid.session import cut_lineage
 
-    d = cut_lineage(docs.select("doc_id", cosine_tokens(F.col("text"), sw).alias("toks")))
-    post = d.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    d = docs.select("doc_id", cosine_tokens(F.col("text"), sw).alias("toks"))
+    # the postings feed df, the document weights and the norms: written once
+    post = cut_lineage(d.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = d.select(F.count(F.lit(1))).scalar()
+    n = docs.select(F.count(F.lit(1))).scalar()
     idf = dfreq.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1.0).alias("idf"))
     dw = post.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     dnorm = dw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
@@ -210,7 +211,7 @@ def search_cosine(queries: DataFrame, docs: DataFrame, k: int = 3, stopwords: li
         "qid", "doc_id", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score")
     )
     # only the k highest doc ids can fill a gap: a k-element scalar array, exploded per query
-    fill = d.select("doc_id").orderBy(F.col("doc_id").desc()).limit(k).agg(F.collect_list("doc_id")).scalar()
+    fill = docs.select("doc_id").orderBy(F.col("doc_id").desc()).limit(k).agg(F.collect_list("doc_id")).scalar()
     zero = queries.select("qid", F.explode(fill).alias("doc_id")).withColumn("score", F.lit(0.0))
     zero = zero.join(sims.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
     cand = sims.unionByName(zero)
