@@ -88,3 +88,14 @@ def test_months_weight(spark):
     s = weighted(f, Period(mode="months", months=(1,)), 30).agg(*sum_weighted()).first()
     # week 1: 4 January days in 1997 (as in 2025), 3 in 1998 (as in 2026); sums are x7
     assert float(s.s_real_py) / 7 == 4.0 and float(s.s_plan) / 7 == 3.0 and float(s.s_real) / 7 == 3.0
+
+
+def test_credit_features_unknown_level_and_population_sd(spark):
+    from spendgrid.operators.ml import credit_features
+
+    train = spark.createDataFrame([(1, "a", 1.0), (2, "b", 3.0), (3, "c", 5.0)], "id int, cat string, x double")
+    test = spark.createDataFrame([(9, "zzz", 3.0), (8, "b", 5.0)], "id int, cat string, x double")
+    f = {r.id: r for r in credit_features(train, ["cat"], ["x"], apply_to=test, key="id").collect()}
+    # first level 'a' dropped; an unseen level gives all zeros; sd is the population sd (sqrt(8/3))
+    assert (f[9]["cat=b"], f[9]["cat=c"], f[9]["z_x"]) == (0.0, 0.0, 0.0)
+    assert f[8]["cat=b"] == 1.0 and abs(f[8]["z_x"] - 2.0 / (8.0 / 3.0) ** 0.5) < 1e-12
