@@ -99,3 +99,16 @@ def test_credit_features_unknown_level_and_population_sd(spark):
     # first level 'a' dropped; an unseen level gives all zeros; sd is the population sd (sqrt(8/3))
     assert (f[9]["cat=b"], f[9]["cat=c"], f[9]["z_x"]) == (0.0, 0.0, 0.0)
     assert f[8]["cat=b"] == 1.0 and abs(f[8]["z_x"] - 2.0 / (8.0 / 3.0) ** 0.5) < 1e-12
+
+
+def test_monthly_null_rule_and_quarterly_forecast(spark):
+    from spendgrid.operators.rollup import monthly, quarterly
+
+    rows = [(s, 7.0, 7.0, 7.0, 7.0 if s <= 30 else None) for s in range(1, 54)]
+    wk = spark.createDataFrame(rows, "sem int, real_py double, plan double, new_plan double, real double")
+    m = {r.month: r for r in monthly(wk).collect()}
+    assert m[12].real is None and m[1].real is not None  # no non-null week in December -> null, not 0
+    assert abs(sum(r.plan for r in m.values()) - 365.0) < 1e-9  # 7 per week x 365 days / 7
+    q = {r.quarter: r for r in quarterly(wk.filter("sem <= 39"), smr=30).collect()}
+    assert set(q) == {"Q1", "Q2", "Q3"}
+    assert all(r.forecast_ye == 30 * 7.0 + 9 * 7.0 for r in q.values())  # actual to week 30 + plan after
