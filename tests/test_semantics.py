@@ -112,3 +112,18 @@ def test_monthly_null_rule_and_quarterly_forecast(spark):
     q = {r.quarter: r for r in quarterly(wk.filter("sem <= 39"), smr=30).collect()}
     assert set(q) == {"Q1", "Q2", "Q3"}
     assert all(r.forecast_ye == 30 * 7.0 + 9 * 7.0 for r in q.values())  # actual to week 30 + plan after
+
+
+def test_bm25_empty_query_and_ranking(spark):
+    from spendgrid.operators.retrieval import chunk_key, search_bm25
+
+    chunks = spark.createDataFrame(
+        [(1, 1, "Refunds", "refund timeline for returns"), (1, 5, "Fees", "late fee policy"), (2, 1, "Cards", "virtual card setup")],
+        "doc_id int, start_line int, heading string, content string",
+    )
+    q = spark.createDataFrame([(1, "where is my money"), (2, "the and of")], "qid int, text string")
+    r = search_bm25(q, chunk_key(chunks), 2).orderBy("qid", "rank").collect()
+    hits1 = [(x.doc_id, x.start_line) for x in r if x.qid == 1]
+    assert hits1[0] == (1, 1)  # 'money' expands to refund/return -> the refunds chunk first
+    # only stop words: no usable token -> the first k chunks in corpus order, score 0
+    assert [(x.doc_id, x.start_line, x.score) for x in r if x.qid == 2] == [(1, 1, 0.0), (1, 5, 0.0)]
