@@ -127,3 +127,23 @@ def test_bm25_empty_query_and_ranking(spark):
     assert hits1[0] == (1, 1)  # 'money' expands to refund/return -> the refunds chunk first
     # only stop words: no usable token -> the first k chunks in corpus order, score 0
     assert [(x.doc_id, x.start_line, x.score) for x in r if x.qid == 2] == [(1, 1, 0.0), (1, 5, 0.0)]
+
+
+def test_read_jsonl_last_wins(spark):
+    import os
+
+    from pyspark.sql import types as T
+
+    from spendgrid.operators.support import read_jsonl
+    from spendgrid.session import scratch_path
+
+    d = scratch_path(spark, "jsonl-test")
+    local = d.replace("file:", "", 1)  # the test writes the fixture files with plain Python
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, "a.jsonl"), "w") as f:
+        f.write('{"id": "1", "v": "old"}\n\n{"id": "2", "v": "only"}\n{"id": "1", "v": "mid"}\n')
+    with open(os.path.join(local, "b.jsonl"), "w") as f:
+        f.write('\n{"id": "1", "v": "new"}\n')
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.StringType())])
+    got = {r.id: r.v for r in read_jsonl(spark, d, schema).collect()}
+    assert got == {"1": "new", "2": "only"}
