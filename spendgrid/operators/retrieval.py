@@ -9,9 +9,6 @@ shuffle, so a query with many candidate chunks never lands whole in one task.
 
 from __future__ import annotations
 
-import io
-import os
-import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -161,17 +158,26 @@ def search_bm25(queries: DataFrame, chunks: DataFrame, k: int = 3, aliases: dict
     return hits.unionByName(fallback)
 
 
-def spark_english_stopwords() -> list[str]:
-    """Spark ML's bundled English stop-word list (read from the installed mllib jar)."""
-    import pyspark
-
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for name in sorted(os.listdir(jars)):
-        if name.startswith("spark-mllib_") and name.endswith(".jar"):
-            with zipfile.ZipFile(os.path.join(jars, name)) as z:
-                data = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-            return [w.strip() for w in io.StringIO(data) if w.strip()]
-    raise FileNotFoundError("spark-mllib jar not found")
+# The English stop-word list that the cosine search's results depend on
+# (the public scikit-learn list), in alphabetical order.
+ENGLISH_STOP_WORDS = """
+a about above across after afterwards again against all almost alone along already also although always am among
+amongst amoungst amount an and another any anyhow anyone anything anyway anywhere are around as at back be became because
+become becomes becoming been before beforehand behind being below beside besides between beyond bill both bottom but by call
+can cannot cant co con could couldnt cry de describe detail do done down due during each eg eight either eleven else
+elsewhere empty enough etc even ever every everyone everything everywhere except few fifteen fifty fill find fire first
+five for former formerly forty found four from front full further get give go had has hasnt have he hence her here
+hereafter hereby herein hereupon hers herself him himself his how however hundred i ie if in inc indeed interest into is
+it its itself keep last latter latterly least less ltd made many may me meanwhile might mill mine more moreover most
+mostly move much must my myself name namely neither never nevertheless next nine no nobody none noone nor not nothing now
+nowhere of off often on once one only onto or other others otherwise our ours ourselves out over own part per perhaps
+please put rather re same see seem seemed seeming seems serious several she should show side since sincere six sixty so
+some somehow someone something sometime sometimes somewhere still such system take ten than that the their them themselves
+then thence there thereafter thereby therefore therein thereupon these they thick thin third this those though three
+through throughout thru thus to together too top toward towards twelve twenty two un under until up upon us very via was
+we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever whether which
+while whither who whoever whole whom whose why will with within without would yet you your yours yourself yourselves
+""".split()
 
 
 COSINE_TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -190,7 +196,7 @@ def search_cosine(queries: DataFrame, docs: DataFrame, k: int = 3, stopwords: li
     Zero-score fill needs no query x document pairs: only the k highest doc ids can fill
     the gap, so they are a k-row broadcast candidate set.
     """
-    sw = stopwords if stopwords is not None else spark_english_stopwords()
+    sw = stopwords if stopwords is not None else ENGLISH_STOP_WORDS
     from spendgrid.session import cut_lineage
 
     d = docs.select("doc_id", cosine_tokens(F.col("text"), sw).alias("toks"))

@@ -199,7 +199,7 @@ def t06(spark, sf_dir):
 
 # --- T7: cosine TF-IDF over whole documents ---------------------------------------------------------------------
 def _cos_tokens(x):
-    sw = ", ".join("'" + w.replace("'", "''") + "'" for w in RV.spark_english_stopwords())
+    sw = ", ".join("'" + w.replace("'", "''") + "'" for w in RV.ENGLISH_STOP_WORDS)
     return f"list_filter(regexp_extract_all(lower({x}), '{RV.COSINE_TOKEN}'), lambda w: NOT list_contains([{sw}], w))"
 
 
