@@ -1 +1,8 @@
 """Operators of a training-data pipeline: cleaning, deduplication, mixing, counting and packing."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from spendgrid.llm.exact_dedup import exact_dedup
+from spendgrid.llm.simhash import simhash_groups
 from spendgrid.session import read_table
 
+#: Fixed by the task for SimHash: words in a shingle, and differing bits of a link.
+SIMHASH_WORDS = 3
+SIMHASH_BITS = 2
+
 
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"), digest=True)
@@ -16,5 +21,10 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
   row_number() OVER w = 1 AS kept, h AS text_sha256
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST)"""
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+
+def op10_simhash(spark, sf_dir):
+    return simhash_groups(read_table(spark, sf_dir, "documents"), SIMHASH_WORDS, SIMHASH_BITS)
+
+
+QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
 SQL = {"op6_exact_dedup": _OP6_SQL}
