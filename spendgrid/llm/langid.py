@@ -9,7 +9,7 @@ rows that were not trained on, and the same rows set the level below which a tex
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +165,7 @@ def train(docs: DataFrame) -> Model:
 
 def _predictions(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(**shared.value)
         for b in batches:
             found = [model.predict(t.as_py()) for t in b.column(1)]
             lang, score = pa.array([f[0] for f in found], pa.string()), np.array([f[1] for f in found], dtype=float)
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     are ``und`` with score 0 and rejected; a text is also rejected when its score is below the
     model's level. Rows stay rows: repeated ids are each predicted, an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+    shared = docs.sparkSession.sparkContext.broadcast(asdict(model))  # BUCKETS x languages numbers
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_predictions(shared), "doc_id bigint, lang_pred string, score double, rejected boolean")
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
