@@ -43,24 +43,24 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags met since the line before, innermost element, and if it is dropped."""
+    """Lines of a page: text, its tags (the block's own one too), its share of link text, its element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.name, self.drops = [-1], [""], [False]  # of every element, in page order
         self.stack, self.open = [0], Counter()
         self.article = 0  # open article and main elements
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, float, int]] = []
         self.text: list[str] = []
-        self.tags, self.at = 0, 0
+        self.tags, self.linked, self.at = 0, 0, 0
 
     def end_line(self) -> None:
         if self.text:
             words = " ".join("".join(self.text).split())
             if words:
-                self.lines.append((words, self.tags, self.at))
-                self.tags = 0
+                self.lines.append((words, self.tags, self.linked / len(words), self.at))
             self.text = []
+        self.tags, self.linked = 0, 0
 
     def pop(self, tag: str) -> None:
         """Close the innermost open ``tag`` and all that is open inside it."""
@@ -120,6 +120,8 @@ class _Lines(HTMLParser):
         if not self.text:
             self.at = at
         self.text.append(data)
+        if self.open["a"]:
+            self.linked += len(data.strip())
 
 
 def _smooth(ratio: np.ndarray) -> np.ndarray:
@@ -145,8 +147,8 @@ def main_text(html: str | None) -> str:
     Character references are decoded, and white space inside a block becomes one space. Dropped
     elements are those named in ``DROPPED``, or whose class, id or role says so. If articles (or
     ``main``) hold most of the text above the threshold, every other line in them is kept, short
-    ones too. Else the region is the innermost container with nearly all of that text, from its
-    first to its last line above the threshold.
+    ones too. Else the region is the innermost container with nearly all of that text, without the
+    lines at its ends that are below the threshold and mostly links.
     """
     if not html:
         return ""
@@ -157,12 +159,12 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    size = np.array([len(t) for t, _, _ in lines], dtype=float)
-    smooth = _smooth(size / np.maximum([n for _, n, _ in lines], 1))
+    size = np.array([len(t) for t, *_ in lines], dtype=float)
+    where = [at for *_, at in lines]
+    smooth = _smooth(size / np.maximum([n for _, n, _, _ in lines], 1))
     content = smooth >= min(_threshold(smooth), float(smooth.max()))
     held = np.zeros(len(page.name))
-    for (_, _, at), n in zip(lines, np.where(content, size, 0.0), strict=True):
-        held[at] += n
+    np.add.at(held, where, np.where(content, size, 0.0))
     total = held.sum()
     for k in range(len(held) - 1, 0, -1):  # children come after their parents
         held[page.parent[k]] += held[k]
@@ -171,15 +173,16 @@ def main_text(html: str | None) -> str:
         inside[k] = inside[page.parent[k]] or page.name[k] in ("article", "main")
     tops = [k for k in range(1, len(held)) if inside[k] and not inside[page.parent[k]]]
     if tops and sum(held[k] for k in tops) >= MAJORITY * total:
-        return " ".join(t for t, _, at in lines if inside[at])
+        return " ".join(t for t, *_, at in lines if inside[at])
     # innermost: of nested elements the last in page order
     region = max((k for k in range(1, len(held)) if page.name[k] in CONTAINERS and held[k] >= NEARLY_ALL * total), default=0)
     inside[:] = False
     inside[region] = True
     for k in range(region + 1, len(held)):
         inside[k] = inside[page.parent[k]]
-    in_region = [i for i, (_, _, at) in enumerate(lines) if inside[at] and content[i]]
-    return " ".join(t for i, (t, _, at) in enumerate(lines) if inside[at] and in_region[0] <= i <= in_region[-1])
+    kept = [i for i, at in enumerate(where) if inside[at]]
+    solid = [i for i in kept if content[i] or lines[i][2] < MAJORITY]
+    return " ".join(lines[i][0] for i in kept if solid and solid[0] <= i <= solid[-1])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
