@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spendgrid.llm.embedding_dedup import embedding_groups
 from spendgrid.llm.exact_dedup import exact_dedup
 from spendgrid.llm.simhash import simhash_groups
 from spendgrid.session import read_table
@@ -9,6 +10,8 @@ from spendgrid.session import read_table
 #: Fixed by the task for SimHash: words in a shingle, and differing bits of a link.
 SIMHASH_WORDS = 3
 SIMHASH_BITS = 2
+#: Fixed by the task for embeddings: the least cosine of a link.
+EMBEDDING_COSINE = 0.98
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -26,5 +29,9 @@ def op10_simhash(spark, sf_dir):
     return simhash_groups(read_table(spark, sf_dir, "documents"), SIMHASH_WORDS, SIMHASH_BITS)
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_groups(read_table(spark, sf_dir, "embeddings"), EMBEDDING_COSINE)
+
+
+QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op10_simhash": op10_simhash}
 SQL = {"op6_exact_dedup": _OP6_SQL}
