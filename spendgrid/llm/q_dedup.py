@@ -5,6 +5,7 @@ from __future__ import annotations
 from spendgrid.llm.embedding_dedup import embedding_groups
 from spendgrid.llm.exact_dedup import exact_dedup
 from spendgrid.llm.simhash import simhash_groups
+from spendgrid.llm.suffix_dedup import remove_repeats
 from spendgrid.session import read_table
 
 #: Fixed by the task for SimHash: words in a shingle, and differing bits of a link.
@@ -12,6 +13,12 @@ SIMHASH_WORDS = 3
 SIMHASH_BITS = 2
 #: Fixed by the task for embeddings: the least cosine of a link.
 EMBEDDING_COSINE = 0.98
+#: Fixed by the task for repeated passages: bytes of a repeated string.
+REPEAT_BYTES = 200
+
+
+def op1_suffix_dedup(spark, sf_dir):
+    return remove_repeats(read_table(spark, sf_dir, "documents"), REPEAT_BYTES)
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -33,5 +40,5 @@ def op8_embedding_dedup(spark, sf_dir):
     return embedding_groups(read_table(spark, sf_dir, "embeddings"), EMBEDDING_COSINE)
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op10_simhash": op10_simhash}
 SQL = {"op6_exact_dedup": _OP6_SQL}
