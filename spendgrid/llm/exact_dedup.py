@@ -77,3 +77,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (~grouped | (F.col("_row") == F.col("_keep_row"))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; one row of each group of equal texts.
+
+    Of rows that agree in id and normalised text any one stays.
+    """
+    kept = exact_dedup(docs, id_col, text_col, digest=True).filter("kept")
+    kept = kept.select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    rows = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
+    j = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    return j.dropDuplicates([id_col, "_sha"]).drop("_sha")

@@ -186,3 +186,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_predictions(shared), "doc_id bigint, lang_pred string, score double, rejected boolean")
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
+
+
+def _accepted(shared, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**shared.value)
+        for b in batches:
+            found = (model.predict(t.as_py()) for t in b.column(at))
+            yield b.filter(pa.array([lang != UNKNOWN and score >= model.threshold for lang, score in found], pa.bool_()))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is identified; see ``identify``. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(asdict(model))  # BUCKETS x languages numbers
+    return docs.mapInArrow(_accepted(shared, docs.columns.index(text_col)), docs.schema)

@@ -176,3 +176,14 @@ def mix_sources(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+def take_copies(docs: DataFrame, weights: list[float], share: float = 1.5, cap: int = 2, id_col: str = "doc_id", **columns) -> DataFrame:
+    """The rows of the mix: each row of ``docs``, all columns, as often as ``mix_sources`` takes it.
+
+    An id must name one row. ``columns``: ``source_col`` and ``text_col``, as for ``mix_sources``.
+    """
+    taken = mix_sources(docs, weights, share, cap, id_col=id_col, **columns).filter("copies > 0")
+    taken = taken.select(F.col(id_col).alias("_taken_id"), F.col("copies").alias("_copies"))
+    j = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_taken_id")))
+    return j.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)

@@ -148,3 +148,14 @@ def simhash_groups(docs: DataFrame, words_per_shingle: int = 3, max_bits: int =
     by_fp = known.join(comps, known["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex(F.col("fp")), 16, "0"))
     return rows.join(by_fp, "fp", "left").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each group the document with the smallest id.
+
+    An id names one document, so of rows with one id one stays. Rows without an id stay as one row
+    if no document with an id is in their group.
+    """
+    groups = simhash_groups(docs, words_per_shingle, max_bits, id_col, text_col)
+    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id"))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
