@@ -350,27 +350,32 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     other whole; texts shorter than ``length`` keep all. Repeated ids are rows like others.
 
     Texts are keyed by content (64-bit hash and size), so copies are sorted and rewritten once.
-    1. anchors of all texts; 2. in one shuffle by gram, runs of equal bytes around an anchor are
-    found repeated by their digests, and one of each different run of a repeated gram goes on;
+    1. anchors of all texts; 2. runs of equal bytes around an anchor are found repeated by their
+    digests, and one of each different run of a repeated gram goes on;
     3. their suffixes are bucketed by sampled splitters and sorted; 4. cut grams are compared
     across buckets; 5. stretches are united per text and applied. Texts move twice, compressed,
-    and pre-aggregated by content; a gram's anchors pass one task as a stream of small rows.
+    and pre-aggregated by content; a very common gram is counted by partial aggregates and joined
+    in splits, so no task has to take all its anchors.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("k", F.xxhash64("text")).withColumn("n", F.octet_length("text"))
     anchors = keyed.select("k", "text").mapInArrow(_anchor_rows(length), "gram bigint, digest bigint, k bigint, place bigint, lead bigint")
-    order = Window.partitionBy("gram").orderBy("digest", "k", "place")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = F.lag("digest").over(order), F.lead("digest").over(order)
-    same = lambda x: F.coalesce(x == F.col("digest"), F.lit(False))
-    marked = anchors.select("*", same(before).alias("as_before"), same(after).alias("as_after"), (F.first("digest").over(whole) != F.last("digest").over(whole)).alias("differ"))
-    marked = marked.withColumn("repeated", F.col("as_before") | F.col("as_after")).withColumn("sorts", ~F.col("as_before") & F.col("differ"))
+    anchors = written(anchors.withColumn("tie", F.xxhash64("k", "place")), "repeat-anchors")
+    # grams that occur once cannot repeat; what is counted is combined before it is shuffled, and
+    # the joins that bring it back to the anchors can be split where a gram is very common
+    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    grams = grams.filter("c > 1").select("gram", (F.col("low") != F.col("high")).alias("differ"))
+    anchors = written(anchors.join(written(grams, "repeat-grams"), "gram"), "repeat-candidates")
+    runs = anchors.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("c"), F.min("tie").alias("first"), F.first("differ").alias("_differ"))
+    runs = written(runs.filter("c > 1 OR _differ").select("gram", "digest", "c", "first"), "repeat-runs")
+    marked = anchors.join(runs, ["gram", "digest"])
+    marked = marked.withColumn("repeated", F.col("c") > 1).withColumn("sorts", F.col("differ") & (F.col("tie") == F.col("first")))
     marked = marked.filter("repeated OR sorts").select(
         F.when(F.col("sorts"), F.col("gram")).alias("gram"), "k", "place", F.shiftrightunsigned("lead", 32).alias("lead"),
-        F.col("lead").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"), "repeated", "sorts",
+        F.col("lead").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"), "repeated", "sorts", "tie",
     )
-    marked = written(marked, "repeat-anchors")
-    reps = marked.filter("sorts").select("gram", "lead", "k", "n", "place", (~F.col("repeated")).alias("single"), F.xxhash64("k", "place").alias("tie"))
+    marked = written(marked, "repeat-marked")
+    reps = marked.filter("sorts").select("gram", "lead", "k", "n", "place", (~F.col("repeated")).alias("single"), "tie").distinct()
     splitters = _splitters(reps, reps.count())
     texts = keyed.select("k", "n", "text").mapInArrow(_compressed, "k bigint, n int, z binary").groupBy("k", "n").agg(F.first("z").alias("z"))
     of_text = written(reps.groupBy("k", "n").agg(F.collect_list(F.struct("place", "gram", "lead", "tie", "single")).alias("anchors")), "repeat-suffixes")
