@@ -68,7 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter("_size > 1")
         .select("_sha", F.col("_best.id").alias("_keep"), F.col("_best.row").alias("_keep_row"), "_size")
     )
-    j = rows.join(groups, "_sha", "left")
+    j = rows.join(written(groups, "exact-groups"), "_sha", "left")  # a plain join: a hot group's rows can be split
     grouped = F.col("_size").isNotNull()
     return j.select(
         F.col("_id").alias(id_col),
