@@ -146,9 +146,13 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, batch: int = 64, rate: flo
 def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """``text, lang`` of the bounded sample, chosen by hash of the id among the rows not held out."""
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (held_out("doc_id") == F.lit(False)) & F.col("doc_id").isNotNull())
-    # two narrow columns are ranked (each task keeps the first rows of a language), then the texts are fetched
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = learn.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language)
+    # by its language's count, about four times the rows wanted pass a threshold on the hash; those are ranked
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))  # one row a language
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    place = share * F.col("_rows") <= 4.0 * per_language
+    near = learn.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(place).select("doc_id", "lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("rank")), "doc_id"))
+    chosen = near.withColumn("_rank", rank).filter(F.col("_rank") <= per_language)
     ids = chosen.select("doc_id", "lang").distinct()  # at most per_language rows a language
     return learn.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("text", "lang")
 
