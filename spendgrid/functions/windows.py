@@ -1,51 +1,65 @@
-"""Skew-safe ordered prefix sums.
+"""Skew-safe ordered prefix sums, row numbers and exact quantiles.
 
 A window partitioned by a key puts every row of that key in one task; when one key
-holds a large share of the rows that task dominates. ``prefix_sum`` range-partitions on
-(key, order) instead, so a hot key is split across many tasks, sums inside each task,
-and adds the totals of the earlier tasks of the same key (a small per-task table).
+holds a large share of the rows that task dominates. Here the rows are range-partitioned
+on (key, order) instead, so a hot key is split across many tasks. Each row's partition
+number is stored with it, once; partial results and offsets are then both taken by that
+column, so they always belong together, whatever columns a reader of the result uses.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spendgrid.session import stored
+
+
+def _ranged(df: DataFrame, n: int, *cols) -> DataFrame:
+    """``df`` with the number of its range partition along ``cols`` as column ``_part``."""
+    return stored(df.repartitionByRange(n, *cols).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 
 def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str,
                inclusive: bool = True, partitions: int | None = None) -> DataFrame:
     """Running sum of ``value`` per ``keys`` along ``order`` (ties must be broken by
     ``order``). ``inclusive=False`` gives the sum over strictly earlier rows."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_spid", F.spark_partition_id())
-    local_w = Window.partitionBy("_spid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = _ranged(df, partitions or _partitions(df), *[F.col(k) for k in keys], *order)
+    local_w = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_local", F.sum(value).over(local_w))
-    # per (task, key) totals: at most partitions x keys-per-task rows
-    tot = ranged.groupBy("_spid", *keys).agg(F.sum(value).alias("_tot"))
-    off_w = Window.partitionBy(*keys).orderBy("_spid").rowsBetween(Window.unboundedPreceding, -1)
+    # per (partition, key) totals: at most partitions x keys-per-partition rows
+    tot = ranged.groupBy("_part", *keys).agg(F.sum(value).alias("_tot"))
+    off_w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(off_w), F.lit(0)))
-    j = local.join(offsets.select("_spid", *keys, "_off"), ["_spid", *keys])
+    offsets = offsets.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], "_off")
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     run = F.col("_local") + F.col("_off")
     if not inclusive:
         run = run - F.col(value)
-    return j.withColumn(out, run).drop("_spid", "_local", "_off")
+    return local.join(offsets, same).withColumn(out, run).drop("_part", "_local", "_off", "_p", *[f"_k_{k}" for k in keys])
 
 
 def global_index(df: DataFrame, order: list, out: str = "idx") -> DataFrame:
-    """0-based position of each row in ``order`` without a single-partition window:
-    range-partition, number rows inside each task, add the counts of earlier tasks."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = r.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    counts = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    """0-based position of each row in ``order`` without a single-partition window: number
+    rows inside each range partition, add the counts of earlier partitions. Rows that tie in
+    ``order`` take consecutive positions."""
+    r = _ranged(df, _partitions(df), *order)
+    local = r.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    counts = r.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        "_off", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    # offsets: one row per task
-    return local.join(F.broadcast(offs.select("_p", "_off")), "_p").withColumn(out, F.col("_i") + F.col("_off")).drop("_p", "_i", "_off")
+    # offsets: one row per partition
+    return local.join(F.broadcast(offs.select("_part", "_off")), "_part").withColumn(out, F.col("_i") + F.col("_off")).drop("_part", "_i", "_off")
 
 
 def exact_percentile(df: DataFrame, col, q: float):
@@ -53,8 +67,6 @@ def exact_percentile(df: DataFrame, col, q: float):
     column, without buffering all values in one task: a range-partitioned sort (ties
     broken by a row id so equal values spread over tasks), a global index, then the two
     neighbouring order statistics. Returns a Python float (None for no rows)."""
-    import math
-
     d = df.select(F.col(col).cast("double").alias("v") if isinstance(col, str) else col.cast("double").alias("v"))
     d = d.filter(F.col("v").isNotNull()).withColumn("_tie", F.monotonically_increasing_id())
     n = d.count()
@@ -65,3 +77,28 @@ def exact_percentile(df: DataFrame, col, q: float):
     g = global_index(d, [F.col("v"), F.col("_tie")])
     vals = {r["idx"]: r["v"] for r in g.filter(F.col("idx").isin(lo, hi)).select("idx", "v").collect()}  # <= 2 rows
     return vals[lo] + (vals[hi] - vals[lo]) * (pos - lo)
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation per group: ``keys`` and one column per entry
+    of ``qs``. Positions come from row numbers inside range partitions along (keys, value), so
+    no task holds all values of a group. Nulls are left out; groups without values are too."""
+    d = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    d = prefix_sum(d.withColumn("_tie", F.monotonically_increasing_id()).withColumn("_one", F.lit(1).cast("bigint")),
+                   keys, [F.col("_v"), F.col("_tie")], "_one", "_pos", inclusive=False)
+    sizes = d.groupBy(*keys).agg((F.max("_pos") + 1).alias("_n")).select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_n")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    j = d.join(sizes, same)
+    out = []
+    for name, q in qs.items():
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        lo = F.max(F.when(F.col("_pos") == F.floor(at), F.col("_v")))
+        hi = F.max(F.when(F.col("_pos") == F.ceil(at), F.col("_v")))
+        out.append((lo + (hi - lo) * F.max(at - F.floor(at))).alias(name))
+    wanted = F.lit(False)
+    for q in qs.values():
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        wanted = wanted | (F.col("_pos") == F.floor(at)) | (F.col("_pos") == F.ceil(at))
+    return j.filter(wanted).groupBy(*keys).agg(*out)

@@ -4,50 +4,52 @@ The source's collapsed Gibbs sampler is inherently sequential; DP-means (Kulis &
 2012) is its small-variance limit and runs as data-parallel passes. Each pass assigns
 every point to its nearest centre (the centres are a K x D literal held by the driver,
 as in MLlib's k-means), opens at most one new centre at the farthest point when it lies
-beyond ``lam`` (deterministic), and re-averages centres with a grouped aggregate. The
-plan of every pass starts from the source, so lineage does not grow.
+beyond ``lam`` (deterministic), and re-averages centres with one grouped vector mean. The
+points are stored once, so the plan of every pass is one scan of them.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendgrid.session import stored
+
 
 def _centre_literal(centres: list[list[float]]):
     return F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
 
 
-def _means(df: DataFrame, by: str | None) -> dict:
-    keys = [by] if by else []
-    e = df.select(*keys, F.posexplode("vec").alias("d", "v"))
-    g = e.groupBy(*keys, "d").agg(F.avg("v").alias("m"))
-    out: dict = {}
-    for r in g.collect():  # K x D values
-        out.setdefault(r[by] if by else 0, {})[r["d"]] = r["m"]
-    return {k: [v[i] for i in sorted(v)] for k, v in out.items()}
-
-
-def dp_means(points: DataFrame, lam: float, max_iter: int = 20) -> tuple[DataFrame, list[int]]:
+def dp_means(points: DataFrame, lam: float, max_iter: int = 1000) -> tuple[DataFrame, list[int]]:
     """G1: ``points(id, vec array<double>)``; returns (``(id, cluster, dmin)`` per point,
-    K per pass). Cluster sizes are ``groupBy('cluster').count()`` of the first."""
-    pts = points.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    centres = [_means(pts, None)[0]]
+    K per pass). Passes go on until no centre is opened and none moves; if that takes more
+    than ``max_iter`` the run raises, so what is returned has converged and its clusters are
+    the last K. Cluster sizes are ``groupBy('cluster').count()`` of the first."""
+    pts = stored(points.select("id", F.col("vec").cast("array<double>").alias("vec")), "dp-means")
+    mean = Summarizer.mean(array_to_vector("vec")).alias("m")
+    start = pts.agg(mean).first()["m"]
+    if start is None:
+        return pts.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("dmin")), [0]
+    centres = [list(start)]
     history: list[int] = []
-    assigned = None
     for _ in range(max_iter):
         c = _centre_literal(centres)
         dist = F.transform(c, lambda ce: F.aggregate(F.zip_with("vec", ce, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
         a = pts.withColumn("_d", dist).withColumn("dmin", F.array_min("_d"))
         a = a.withColumn("cluster", (F.array_position("_d", F.col("dmin")) - 1).cast("int")).drop("_d")
-        far = a.agg(F.max_by(F.struct("id", "vec", "dmin"), F.struct("dmin", -F.col("id"))).alias("f")).first()["f"]
-        grew = far is not None and far["dmin"] > lam
-        new = _means(a, "cluster")
-        moved = [new.get(k, centres[k]) for k in range(len(centres))]
+        # one pass: each cluster's mean and its farthest point, K rows
+        far = F.max_by(F.struct("id", "vec", "dmin"), F.struct("dmin", -F.col("id"))).alias("far")
+        got = {r["cluster"]: r for r in a.groupBy("cluster").agg(mean, far).collect()}
+        moved = [list(got[k]["m"]) if k in got else centres[k] for k in range(len(centres))]
         stable = all(max(abs(x - y) for x, y in zip(p, q)) < 1e-12 for p, q in zip(moved, centres))
-        centres = moved + ([list(far["vec"])] if grew else [])
-        history.append(len(centres))
-        assigned = a
-        if not grew and stable:
-            break
-    return assigned.select("id", "cluster", "dmin"), history
+        # a centre that no point is nearest to any more is closed
+        lost = [k for k in range(len(centres)) if k not in got]
+        far = max((r["far"] for r in got.values()), key=lambda f: (f["dmin"], -f["id"]))
+        grew = far["dmin"] > lam
+        history.append(len(got))
+        if not grew and stable and not lost:
+            return a.select("id", "cluster", "dmin"), history
+        centres = [c for k, c in enumerate(moved) if k in got] + ([list(far["vec"])] if grew else [])
+    raise RuntimeError(f"not stable after {max_iter} passes (K so far {history[-1]}); lam may be too small")

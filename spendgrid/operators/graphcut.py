@@ -30,12 +30,19 @@ def bit_assignments(nodes: DataFrame, bits: int) -> DataFrame:
     return nodes.select("node", k).select("assignment", "node", _side(F.col("node"), F.col("assignment")).alias("side"))
 
 
-def best_cut(spark: SparkSession, edges: DataFrame, n: int) -> DataFrame:
-    """G2 exhaustive mode: all 2^n assignments of nodes 0..n-1 (bit v of the assignment
-    number is node v's side). Each assignment folds over the (at most n(n-1)/2) edges
-    held as one small scalar array -- no assignment x edge join."""
-    sub = edges.filter((F.col("i") < n) & (F.col("j") < n))
-    arr = sub.agg(F.collect_list(F.struct("i", "j")).alias("e")).scalar()
+MAX_NODES = 24  # 2^n assignments are enumerated
+
+
+def best_cut(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """G2 exhaustive mode: all 2^n assignments of the graph's nodes 0..n-1 (bit v of the
+    assignment number is node v's side), over every edge. Each assignment folds over the (at most
+    n(n-1)/2) distinct edges held as one small scalar array -- no assignment x edge join. A graph
+    with a node outside 0..MAX_NODES-1 raises: 2^n assignments cannot be enumerated for it."""
+    lo, hi = edges.agg(F.min(F.least("i", "j")), F.max(F.greatest("i", "j"))).first()
+    if lo is not None and (lo < 0 or hi >= MAX_NODES):
+        raise ValueError(f"nodes {lo}..{hi}: all assignments can be tried for nodes 0..{MAX_NODES - 1} only")
+    n = 0 if hi is None else hi + 1
+    arr = edges.agg(F.collect_list(F.struct("i", "j")).alias("e")).scalar()  # fewer than MAX_NODES^2 distinct edges
     # the edge array is attached as a column first: subqueries may not sit inside lambdas
     a = spark.range(1 << n).select(F.col("id").alias("assignment"), arr.alias("edges"))
     cut = F.aggregate(

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-MAX_LEVELS = 10_000
 
+from spendgrid.functions.windows import global_index
 
 def sig(x: Column, digits: int = 9) -> Column:
     """Round to ``digits`` significant digits (scale-free, so sums of large values made in
@@ -25,12 +24,8 @@ def sig(x: Column, digits: int = 9) -> Column:
 
 
 def category_levels(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct levels of a categorical column (bounded; checked)."""
-    levels = df.select(col).distinct().filter(F.col(col).isNotNull())
-    n = levels.count()
-    if n > MAX_LEVELS:
-        raise ValueError(f"{col} has {n} levels; not a categorical column")
-    return [r[0] for r in levels.orderBy(col).collect()]
+    """Sorted distinct levels of a categorical column: each becomes a column of the result."""
+    return [r[0] for r in df.select(col).distinct().filter(F.col(col).isNotNull()).orderBy(col).collect()]
 
 
 def credit_features(train: DataFrame, categorical: list[str], numeric: list[str], apply_to: DataFrame | None = None,
@@ -56,8 +51,6 @@ def sequential_split(df: DataFrame, order: list[str], test_frac: float = 0.2) ->
     test; adds ``idx`` and ``split``."""
     n = df.count()
     n_train = n - math.ceil(test_frac * n)
-    from spendgrid.functions.windows import global_index
-
     g = global_index(df, order)
     return g.withColumn("split", F.when(F.col("idx") < n_train, "train").otherwise("test"))
 
@@ -144,14 +137,88 @@ def _ols1_by_fold(df: DataFrame, target: str, x: str, folds: int) -> DataFrame:
     return c.select("fold", "a", "b")
 
 
-def double_ml(df: DataFrame, y: str, t: str, xs: list[str], folds: int = 5, nuisance: str = "ols1") -> DataFrame:
+def _moments(df: DataFrame, groups: list[str], cols: list[str]) -> dict[tuple, np.ndarray]:
+    """Sums of all products of ``(1, *cols)`` per group: a partial sum for each Arrow batch in the
+    tasks, added up by an aggregate. What is collected is (columns + 1)^2 numbers a group."""
+    k = len(groups)
+
+    def partial(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *[b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(k, b.num_columns)]])
+            keys = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(k)])
+            found = np.unique(keys, axis=0)
+            sums = [(x[(keys == g).all(axis=1)].T @ x[(keys == g).all(axis=1)]).ravel() for g in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.float64()))], ["g", "m"])
+
+    rows = df.select(*[F.col(g).cast("bigint") for g in groups], *[F.col(c).cast("double") for c in cols])
+    sums = rows.mapInArrow(partial, "g array<bigint>, m array<double>").select("g", F.posexplode("m").alias("i", "v"))
+    out: dict[tuple, np.ndarray] = {}
+    for r in sums.groupBy("g", "i").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(tuple(r["g"]), np.zeros((len(cols) + 1) ** 2))[r["i"]] = r["v"]
+    return {g: m.reshape(len(cols) + 1, -1) for g, m in out.items()}
+
+
+LASSO_PENALTIES, LASSO_RANGE = 100, 1e-3
+
+
+def _lasso_path(m: np.ndarray, penalties: np.ndarray, intercept: bool, tol: float = 1e-10, sweeps: int = 1000):
+    """Lasso coefficients ``(intercept, w)`` for each penalty, from moments with the target last:
+    coordinate descent on ``|y - Xw|^2 / 2n + penalty |w|``, each penalty from the one before."""
+    n, mean = m[0, 0], m[0, 1:] / m[0, 0] if intercept else np.zeros(len(m) - 1)
+    centred = m[1:, 1:] - n * np.outer(mean, mean)
+    gram, cross, size = centred[:-1, :-1] / n, centred[:-1, -1] / n, np.diag(centred)[:-1] / n
+    w = np.zeros(len(size))
+    for penalty in penalties:
+        for _ in range(sweeps):
+            moved = 0.0
+            for j in np.flatnonzero(size > 0):
+                pull = cross[j] - gram[j] @ w + size[j] * w[j]
+                new = np.sign(pull) * max(abs(pull) - penalty, 0.0) / size[j]
+                moved = max(moved, abs(new - w[j]) * np.sqrt(size[j]))
+                w[j] = new
+            if moved <= tol * (1.0 + np.sqrt(max(centred[-1, -1] / n, 0.0))):
+                break
+        yield mean[-1] - mean[:-1] @ w, w.copy()
+
+
+def lasso_cv(folds: dict[int, np.ndarray], intercept: bool = True) -> tuple[float, np.ndarray, float]:
+    """``(intercept, w, penalty)``: a lasso whose penalty has the least mean squared error over the
+    folds, among ``LASSO_PENALTIES`` log-spaced from the smallest that leaves no coefficient.
+    ``folds``: moments of each fold with the target last."""
+    total = sum(folds.values())
+    mean = total[0, 1:] / total[0, 0] if intercept else np.zeros(len(total) - 1)
+    cross = total[1:-1, -1] / total[0, 0] - mean[:-1] * mean[-1]
+    top = max(np.abs(cross).max(), 1e-300)
+    penalties = np.geomspace(top, top * LASSO_RANGE, LASSO_PENALTIES)
+    loss = np.zeros(len(penalties))
+    for held in folds.values():
+        for i, (b, w) in enumerate(_lasso_path(total - held, penalties, intercept)):
+            v = np.concatenate([[-b], -w, [1.0]])  # y - b - w x
+            loss[i] += (v @ held @ v) / held[0, 0] / len(folds)
+    best = int(loss.argmin())
+    *_, (b, w) = _lasso_path(total, penalties[: best + 1], intercept)
+    return float(b), w, float(penalties[best])
+
+
+NUISANCES = ("ols1", "linear", "forest", "lasso")
+
+
+def double_ml(df: DataFrame, y: str, t: str, xs: list[str], folds: int = 5, nuisance: str = "lasso") -> DataFrame:
     """M8: cross-fitted double ML. Nuisances E[Y|X] and E[T|X] are fitted on the other
     folds and predicted on each fold; tau = sum(t~ y~) / sum(t~^2),
     se = sqrt(mean(e^2) / sum(t~^2)) with e = y~ - tau t~, CI = tau +- 1.96 se.
 
-    ``nuisance='ols1'``: one covariate, closed-form OLS per fold (one aggregate);
-    ``'linear'`` / ``'forest'``: Spark ML models fitted per fold on the complement.
+    ``nuisance``: ``'lasso'`` chooses each penalty by 5-fold cross-validation inside the other
+    folds, from one pass of moments; ``'ols1'`` is the closed form for one covariate;
+    ``'linear'`` and ``'forest'`` are Spark ML models fitted per fold on the complement.
     """
+    if nuisance not in NUISANCES:
+        raise ValueError(f"nuisance {nuisance!r}; one of {NUISANCES}")
+    if nuisance == "ols1" and len(xs) != 1:
+        raise ValueError("'ols1' takes one covariate")
     d = df.select("fold", F.col(y).cast("double").alias("y"), F.col(t).cast("double").alias("t"),
                   *[F.col(x).cast("double").alias(x) for x in xs])
     if nuisance == "ols1":
@@ -161,6 +228,24 @@ def double_ml(df: DataFrame, y: str, t: str, xs: list[str], folds: int = 5, nuis
         r = d.join(F.broadcast(my), "fold").join(F.broadcast(mt), "fold")
         r = r.select((F.col("y") - (F.col("ay") + F.col("by") * F.col(x))).alias("ry"),
                      (F.col("t") - (F.col("at") + F.col("bt") * F.col(x))).alias("rt"))
+    elif nuisance == "lasso":
+        d = d.withColumn("_inner", F.pmod(F.xxhash64("y", "t", *xs), F.lit(5)))
+        m = _moments(d, ["fold", "_inner"], [*xs, "y", "t"])
+        p = len(xs) + 1
+        fitted = {"y": None, "t": None}
+        for target, at in (("y", p), ("t", p + 1)):
+            pick = np.array([*range(p), at])
+            for k in range(folds):
+                inner: dict[int, np.ndarray] = {}
+                for (fold, i), v in m.items():
+                    if fold != k:
+                        inner[i] = inner.get(i, 0) + v[np.ix_(pick, pick)]
+                b, w, _ = lasso_cv(inner)
+                e = F.lit(b)
+                for x, c in zip(xs, w, strict=True):
+                    e = e + F.lit(float(c)) * F.col(x)
+                fitted[target] = F.when(F.col("fold") == k, e) if fitted[target] is None else fitted[target].when(F.col("fold") == k, e)
+        r = d.select((F.col("y") - fitted["y"]).alias("ry"), (F.col("t") - fitted["t"]).alias("rt"))
     else:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -196,28 +281,19 @@ def naive_ols(df: DataFrame, y: str, t: str, x: str) -> DataFrame:
     return g.select(sig(beta).alias("ols_t"))
 
 
-def naive_lasso(df: DataFrame, y: str, t: str, xs: list[str], reg: float = 0.01) -> DataFrame:
-    """M9: coefficient of T in a lasso of Y on (T, X...)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    va = VectorAssembler(inputCols=[t, *xs], outputCol="features")
-    m = LinearRegression(labelCol=y, featuresCol="features", elasticNetParam=1.0, regParam=reg).fit(va.transform(df))
-    return df.sparkSession.createDataFrame([(float(m.coefficients[0]),)], "lasso_t double")
-
+def naive_lasso(df: DataFrame, y: str, t: str, xs: list[str], fold: str = "fold") -> DataFrame:
+    """M9: coefficient of T in a lasso of Y on (T, X...), the penalty by cross-validation over
+    the folds in ``fold``; one pass over the data."""
+    m = _moments(df, [fold], [t, *xs, y])
+    _, w, penalty = lasso_cv({k[0]: v for k, v in m.items()})
+    return df.sparkSession.createDataFrame([(float(w[0]), penalty)], "lasso_t double, penalty double")
 
-def sparse_fit(df: DataFrame, y: str, xs: list[str], folds: int = 5, grid=(1e-4, 1e-3, 1e-2, 1e-1)):
-    """Lasso with the penalty chosen by k-fold cross-validation."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    va = VectorAssembler(inputCols=xs, outputCol="features")
-    lr = LinearRegression(labelCol=y, featuresCol="features", elasticNetParam=1.0, fitIntercept=False)
-    pg = ParamGridBuilder().addGrid(lr.regParam, list(grid)).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=pg, evaluator=RegressionEvaluator(labelCol=y), numFolds=folds, seed=42)
-    return cv.fit(va.transform(df)).bestModel
+def sparse_fit(df: DataFrame, y: str, xs: list[str], fold: str = "fold") -> np.ndarray:
+    """Coefficients of a lasso without intercept, the penalty by cross-validation over the
+    folds in ``fold``; one pass over the data."""
+    m = _moments(df, [fold], [*xs, y])
+    return lasso_cv({k[0]: v for k, v in m.items()}, intercept=False)[1]
 
 
 def recovery_score(true: DataFrame, est: DataFrame, tol: float = 1e-6) -> DataFrame:

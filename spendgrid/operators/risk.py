@@ -1,7 +1,8 @@
 """Market risk over a long price panel (W1, R1-R9, A22) and portfolios.
 
 Inputs are long frames: ``prices(date, asset, price)``, ``ret(date, asset, ret)``,
-``weights(asset, w)``. Quantiles are exact (``percentile``, linear interpolation).
+``weights(asset, w)``. Quantiles are exact (linear interpolation), taken by distributed row
+numbers: no task holds all returns of an asset.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spendgrid.functions.windows import exact_percentiles
+
 DP = 10  # output rounding for ratios of returns
 
 
@@ -21,6 +24,7 @@ def log_returns(prices: DataFrame) -> DataFrame:
     n_assets = prices.select(F.countDistinct("asset")).scalar()
     complete = prices.groupBy("date").agg(F.countDistinct("asset").alias("k")).filter(F.col("k") == n_assets)
     p = prices.join(complete.select("date"), "date", "left_semi")
+    # a window partition is one asset's dates: already aggregated, it grows with time only
     w = Window.partitionBy("asset").orderBy("date")
     r = p.withColumn("ret", F.log(F.col("price") / F.lag("price").over(w)))
     return r.filter(F.col("ret").isNotNull()).select("date", "asset", "ret")
@@ -34,7 +38,7 @@ def var_historical(ret: DataFrame, level: float = 0.95, tail: str = "lower", by:
     """Historical VaR = quantile of returns at 1-level (lower tail) or level (upper,
     as the source notebook does)."""
     q = 1 - level if tail == "lower" else level
-    return ret.groupBy(by).agg(F.percentile("ret", F.lit(q)).alias("var_hist"))
+    return exact_percentiles(ret, [by], "ret", {"var_hist": q})
 
 
 def var_parametric(ret: DataFrame, level: float = 0.95, tail: str = "lower", by: str = "asset") -> DataFrame:
@@ -76,62 +80,29 @@ def portfolio_risk(ret: DataFrame, weights: DataFrame, level: float = 0.95, tail
     stats = pr.agg(
         F.avg("ret").alias("mean"),
         F.stddev_samp("ret").alias("sd"),
-        F.percentile("ret", F.lit(1 - level if tail == "lower" else level)).alias("var_hist"),
         (F.avg("ret") + F.lit(_z(level, tail)) * F.stddev_samp("ret")).alias("var_param"),
     )
+    stats = stats.withColumn("var_hist", var_historical(pr, level, tail).select("var_hist").scalar())
     thr = stats.select("var_param").scalar()
     cv = pr.filter(F.col("ret") <= thr).agg(F.avg("ret").alias("cvar"))
     stats = stats.withColumn("cvar", cv.select("cvar").scalar())
     return stats.select(*[F.round(c, DP).alias(c) for c in ("mean", "sd", "var_hist", "var_param", "cvar")])
 
 
-def wide_returns(ret: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Returns pivoted to one column per asset (asset list = the pivot's distinct values)."""
-    wide = ret.groupBy("date").pivot("asset").agg(F.first("ret"))
-    return wide, [c for c in wide.columns if c != "date"]
-
-
-MAX_PAIR_AGGS = 50  # assets; above this the matrix comes from Spark ML's Correlation
-
-
 def cov_corr_matrix(ret: DataFrame, rounded: bool = True) -> DataFrame:
-    """Sample covariance and correlation for every asset pair, in one aggregation
-    pass over the date-wide frame (no date x pair self-join); long output.
-
-    Beyond ``MAX_PAIR_AGGS`` assets the n^2 aggregate expressions become unwieldy; the
-    correlation matrix then comes from ``pyspark.ml.stat.Correlation`` (a distributed
-    tree aggregate over assembled vectors) and cov_ij = corr_ij * sd_i * sd_j."""
-    wide, assets = wide_returns(ret)
-    if len(assets) > MAX_PAIR_AGGS:
-        return _cov_corr_ml(ret, wide, assets)
-    aggs = []
-    for a in assets:
-        for b in assets:
-            aggs += [F.covar_samp(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"cov|{a}|{b}"), F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"corr|{a}|{b}")]
-    m = wide.agg(*aggs)
-    stacked = F.explode(
-        F.array(*[F.struct(F.lit(a).alias("asset_i"), F.lit(b).alias("asset_j"), F.col(f"`cov|{a}|{b}`").alias("cov"),
-                           F.col(f"`corr|{a}|{b}`").alias("corr")) for a in assets for b in assets])
-    )
-    out = m.select(stacked.alias("c")).select("c.asset_i", "c.asset_j", "c.cov", "c.corr")
+    """Sample covariance and correlation for every asset pair; long output.
+
+    The pairs of a date meet in an equi-join of the long returns with themselves on the date,
+    and both statistics are partial aggregates per pair; dates on which one of the two assets
+    has no return do not count for that pair. One path for any number of assets."""
+    a = ret.select("date", F.col("asset").alias("asset_i"), F.col("ret").alias("ri"))
+    b = ret.select("date", F.col("asset").alias("asset_j"), F.col("ret").alias("rj"))
+    out = a.join(b, "date").groupBy("asset_i", "asset_j").agg(F.covar_samp("ri", "rj").alias("cov"), F.corr("ri", "rj").alias("corr"))
     if not rounded:
         return out
     return out.select("asset_i", "asset_j", F.round("cov", 12).alias("cov"), F.round("corr", DP).alias("corr"))
 
 
-def _cov_corr_ml(ret: DataFrame, wide: DataFrame, assets: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    spark = ret.sparkSession
-    va = VectorAssembler(inputCols=assets, outputCol="v", handleInvalid="skip")
-    corr = Correlation.corr(va.transform(wide.select(*[F.col(f"`{a}`") for a in assets])), "v").first()[0].toArray()
-    sd = {r["asset"]: r["sd"] for r in ret.groupBy("asset").agg(F.stddev_samp("ret").alias("sd")).collect()}  # n values
-    rows = [(a, b, float(corr[i][j]) * sd[a] * sd[b], float(corr[i][j])) for i, a in enumerate(assets) for j, b in enumerate(assets)]
-    m = spark.createDataFrame(rows, "asset_i string, asset_j string, cov double, corr double")
-    return m.select("asset_i", "asset_j", F.round("cov", 12).alias("cov"), F.round("corr", DP).alias("corr"))
-
-
 def vol_comparison(ret: DataFrame, weights: DataFrame) -> DataFrame:
     """Each asset's sample sd next to the portfolio's."""
     a = ret.groupBy("asset").agg(F.stddev_samp("ret").alias("sd"))
@@ -179,17 +150,13 @@ def shrink_cov(cov: DataFrame) -> DataFrame:
 
 def describe_by(df: DataFrame, group: str, col: str) -> DataFrame:
     """Count, mean, sample sd, min, quartiles (linear interpolation), max."""
-    q = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = exact_percentiles(df, [group], col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).withColumnRenamed(group, "_group")
     g = df.groupBy(group).agg(
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-        F.min(col).alias("min"), q.alias("q"), F.max(col).alias("max"),
-    )
-    return g.select(
-        group, "count",
-        *[F.round(c, DP).alias(c) for c in ("mean", "std", "min")],
-        F.round(F.col("q")[0], DP).alias("q25"), F.round(F.col("q")[1], DP).alias("q50"), F.round(F.col("q")[2], DP).alias("q75"),
-        F.round("max", DP).alias("max"),
+        F.min(col).alias("min"), F.max(col).alias("max"),
     )
+    g = g.join(q, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return g.select(group, "count", *[F.round(c, DP).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 RF_ANNUAL = 0.02  # fixed value: risk-free rate of the source
@@ -201,31 +168,18 @@ def score_portfolios(weights: DataFrame, ret: DataFrame, buckets: int = 20) -> D
     1e-8); the lowest-variance portfolio of each of ``buckets`` equal return buckets is on
     the empirical frontier.
 
-    The covariance (n x n, n = assets) is one small scalar array; each portfolio folds
-    over it with ``aggregate`` -- no per-portfolio pair rows are emitted.
+    The variance joins each holding to its asset's covariances and those to the portfolio's
+    other holdings, so a portfolio costs the pairs it holds, whatever the number of assets.
     """
     mu = ret.groupBy("asset").agg(F.avg("ret").alias("mu"))
-    assets = mu.select("asset").withColumn("k", F.dense_rank().over(Window.orderBy("asset")))
     cov = cov_corr_matrix(ret, rounded=False)  # unrounded: rounded inputs make exact ties
-    cov_arr = (
-        cov.join(assets.withColumnRenamed("asset", "asset_i").withColumnRenamed("k", "i"), "asset_i")
-        .join(assets.withColumnRenamed("asset", "asset_j").withColumnRenamed("k", "j"), "asset_j")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "j", "cov"))).alias("a"))
-        .scalar()
-    )
-    wk = weights.join(F.broadcast(assets), "asset").join(F.broadcast(mu), "asset")
-    per = wk.groupBy("portfolio").agg(
-        F.sum(F.col("w") * F.col("mu")).alias("ret"),
-        F.array_sort(F.collect_list(F.struct("k", "w"))).alias("ws"),
-    )
-    n = assets.select(F.count(F.lit(1))).scalar()
-    per = per.withColumn("n_assets", n)
-    dense = F.transform(F.sequence(F.lit(1), F.col("n_assets").cast("int")), lambda i: F.coalesce(
-        F.try_element_at(F.filter("ws", lambda x: x["k"] == i), F.lit(1))["w"], F.lit(0.0)))
-    # the covariance array is attached as a column first: subqueries may not sit inside lambdas
-    per = per.withColumn("wv", dense).withColumn("cov_arr", cov_arr)
-    var = F.aggregate("cov_arr", F.lit(0.0), lambda acc, c: acc + F.element_at("wv", c["i"]) * F.element_at("wv", c["j"]) * c["cov"])
-    s = per.select("portfolio", "ret", var.alias("var"))
+    per = weights.join(mu, "asset").groupBy("portfolio").agg(F.sum(F.col("w") * F.col("mu")).alias("ret"))
+    one = weights.select("portfolio", F.col("asset").alias("asset_i"), F.col("w").alias("wi"))
+    two = weights.select("portfolio", F.col("asset").alias("asset_j"), F.col("w").alias("wj"))
+    # the portfolio's own pairs first: at most its holdings squared, then one covariance each
+    pairs = one.join(two, "portfolio").join(cov, ["asset_i", "asset_j"])
+    var = pairs.groupBy("portfolio").agg(F.sum(F.col("wi") * F.col("wj") * F.col("cov")).alias("var"))
+    s = per.join(var, "portfolio")
     s = s.withColumn("sharpe", (F.col("ret") - RF_ANNUAL) / F.sqrt(F.col("var") + 1e-8))
     lo, hi = s.select(F.min("ret")).scalar(), s.select(F.max("ret")).scalar()
     width = (hi - lo) / buckets

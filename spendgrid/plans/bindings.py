@@ -213,6 +213,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region graph: an edge joins a customer's and a supplier's region whenever a line item
+    links them (distinct, no self loops, i < j; regions are numbered from 0)."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    e = edges(spark, sf_dir)
+    e = e.join(n.select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("ri")), "i")
+    e = e.join(n.select(F.col("n_nationkey").alias("j"), F.col("n_regionkey").alias("rj")), "j")
+    return (
+        e.filter(F.col("ri") != F.col("rj"))
+        .select(F.least("ri", "rj").alias("i"), F.greatest("ri", "rj").alias("j")).distinct()
+    )
+
+
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: one order document per customer (users + orders with nested installments).
 

@@ -12,20 +12,7 @@ from spendgrid.operators import execution as EX
 from spendgrid.operators import graphcut as GC
 from spendgrid.operators import risk as RK
 from spendgrid.plans import bindings as B
-
-QUERIES = {}
-SQL = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return deco
-
+from spendgrid.plans.registry import register
 
 Z = NormalDist().inv_cdf(0.05)
 
@@ -299,11 +286,13 @@ def g02(spark, sf_dir):
 @register(
     "g02_best_cut",
     f"""WITH {EDGES},
-sub AS (SELECT * FROM e WHERE i < 10 AND j < 10),
+sub AS (SELECT DISTINCT least(a.n_regionkey, b.n_regionkey) AS i, greatest(a.n_regionkey, b.n_regionkey) AS j
+        FROM e JOIN nation a ON e.i = a.n_nationkey JOIN nation b ON e.j = b.n_nationkey WHERE a.n_regionkey <> b.n_regionkey),
+n AS (SELECT max(j) + 1 AS n FROM sub),
 cuts AS (SELECT a.a AS assignment, SUM(CASE WHEN ((a.a >> sub.i) & 1) <> ((a.a >> sub.j) & 1) THEN 1 ELSE 0 END) AS cut
-         FROM range(0, 1024) a(a) CROSS JOIN sub GROUP BY a.a)
+         FROM (SELECT unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS a FROM n) a CROSS JOIN sub GROUP BY a.a)
 SELECT CAST(max(cut) AS BIGINT) AS best_cut, COUNT(*) AS n_optimal, min(assignment) AS first_optimal FROM cuts
 WHERE cut = (SELECT max(cut) FROM cuts)""",
 )
 def g02b(spark, sf_dir):
-    return GC.best_cut(spark, B.edges(spark, sf_dir), 10)
+    return GC.best_cut(spark, B.region_edges(spark, sf_dir))

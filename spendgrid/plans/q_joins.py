@@ -27,20 +27,7 @@ from spendgrid.plans.sqlparts import (
     variance_select,
     weighted_sums,
 )
-
-QUERIES = {}
-SQL = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return deco
-
+from spendgrid.plans.registry import register
 
 def _a1_sql(keys: str, where: str = "", lo: int = 1, hi: int = 30, weeks=None, sort_key: str | None = None) -> str:
     sk = sort_key or "-abs(CAST(ROUND(s_real, 2) AS DOUBLE))"

@@ -9,20 +9,7 @@ from spendgrid.operators import longfact as LF
 from spendgrid.operators import questions as QN
 from spendgrid.plans import bindings as B
 from spendgrid.plans.sqlparts import FACTS_CTE, LONG_CTE, fold
-
-QUERIES = {}
-SQL = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return deco
-
+from spendgrid.plans.registry import register
 
 def _money_cols(cols):
     return [F.round(c, 2).cast("double").alias(c) for c in cols]

@@ -7,20 +7,7 @@ from pyspark.sql import functions as F
 from spendgrid.operators import cluster as CL
 from spendgrid.operators import ml as ML
 from spendgrid.plans import bindings as B
-
-QUERIES = {}
-SQL = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return deco
-
+from spendgrid.plans.registry import register
 
 APPL = """li AS (SELECT l_orderkey, COUNT(*) AS n_lines, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty,
     CAST(SUM(CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) / COUNT(*) AS avg_disc,
@@ -45,7 +32,7 @@ def _m01_sql():
     return f"WITH {APPL}, st AS (SELECT {stats} FROM ap) SELECT id, {', '.join(one_hot + z)} FROM ap CROSS JOIN st"
 
 
-@register("m01_credit_features", _m01_sql())
+@register("m01_credit_features", _m01_sql)
 def m01(spark, sf_dir):
     a = B.applicants(spark, sf_dir)
     f = ML.credit_features(a, list(CATS), NUM, key="id")
@@ -172,6 +159,11 @@ def m08(spark, sf_dir):
     return ML.double_ml(B.panel(spark, sf_dir), "y", "t", ["x"], 5, "ols1")
 
 
+@register("m08_double_ml_lasso")
+def m08l(spark, sf_dir):
+    return ML.double_ml(B.panel(spark, sf_dir), "y", "t", ["x", "x2"], 5, "lasso")
+
+
 @register("m08_double_ml_forest")
 def m08f(spark, sf_dir):
     return ML.double_ml(B.panel(spark, sf_dir), "y", "t", ["x", "x2"], 5, "forest")
@@ -189,7 +181,7 @@ def m09(spark, sf_dir):
 
 @register("m09_naive_lasso")
 def m09l(spark, sf_dir):
-    return ML.naive_lasso(B.panel(spark, sf_dir), "y", "t", ["x", "x2"], 0.01)
+    return ML.naive_lasso(B.panel(spark, sf_dir), "y", "t", ["x", "x2"])
 
 
 # fixed values: the sparse signal (5 non-zeros) planted for the recovery test
@@ -202,8 +194,8 @@ def m10(spark, sf_dir):
     xs = [f"f{i}" for i in range(64)]
     wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
     y = sum(F.col(f"f{i}") * c for i, c in TRUE_COEF.items())
-    model = ML.sparse_fit(wide.withColumn("y", y), "y", xs)
-    est = spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.coefficients)], "feature int, coef double")
+    w = ML.sparse_fit(wide.withColumn("y", y).withColumn("fold", F.col("vec_id") % 5), "y", xs)
+    est = spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "feature int, coef double")
     true = spark.createDataFrame(list(TRUE_COEF.items()), "feature int, coef double")
     return ML.recovery_score(true, est)
 
@@ -212,12 +204,11 @@ def m10(spark, sf_dir):
 def g01(spark, sf_dir):
     e = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     pts = e.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    # lambda by rule: the mean squared distance of the points to their global mean
+    # lambda by rule: twice the mean squared distance of the points to their global mean
     dims = pts.select(F.size("vec")).first()[0]
     mean = pts.select(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(dims)]).first()
     d2 = sum((F.col("vec")[i] - mean[f"m{i}"]) ** 2 for i in range(dims))
-    lam = pts.select(F.avg(d2)).first()[0]
-    assigned, hist = CL.dp_means(pts, lam, 20)
+    lam = 2.0 * pts.select(F.avg(d2)).first()[0]
+    assigned, hist = CL.dp_means(pts, lam)
     sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     return sizes.withColumn("k_final", F.lit(hist[-1])).withColumn("passes", F.lit(len(hist)))
-

@@ -16,24 +16,10 @@ from spendgrid.operators import rollup as R
 from spendgrid.operators import snapshots as SN
 from spendgrid.operators import tracker as TR
 from spendgrid.plans import bindings as B
-from spendgrid.plans.q_joins import SQL as JOIN_SQL
 from spendgrid.plans.sqlparts import FACTS_CTE, LONG_CTE
 from spendgrid.session import scratch_path
 from spendgrid.sources import io as IO
-
-QUERIES = {}
-SQL = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return deco
-
+from spendgrid.plans.registry import register, twin
 
 _M = ", ".join(f"CAST(SUM({m}) AS DOUBLE) AS {m}" for m in MEASURES)
 
@@ -125,7 +111,7 @@ def s09(spark, sf_dir):
     return spark.read.json(path)
 
 
-@register("s12_cached_aggregate", JOIN_SQL["j02_attach_catalog"])
+@register("s12_cached_aggregate", lambda: twin("j02_attach_catalog"))
 def s12(spark, sf_dir):
     real, _ = B.snapshots(spark, sf_dir)
     cat = SN.clean_catalog(B.account_catalog(spark, sf_dir))

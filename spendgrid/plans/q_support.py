@@ -15,20 +15,7 @@ from spendgrid.operators import support as SP
 from spendgrid.plans import bindings as B
 from spendgrid.plans import sqltext as S
 from spendgrid.session import scratch_path
-
-QUERIES = {}
-SQL = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return deco
-
+from spendgrid.plans.registry import register
 
 # --- order documents -----------------------------------------------------------------------------
 INST_SQL = """inst AS (
@@ -329,7 +316,7 @@ SELECT doc_id, start_line, arg_min(sent, spos) AS sentence, arg_min(term, spos)
 GROUP BY doc_id, start_line"""
 
 
-@register("f14_policy_terms", _f14_sql())
+@register("f14_policy_terms", _f14_sql)
 def f14(spark, sf_dir):
     ch = CH.chunk_h2(B.corpus(spark, sf_dir, "## "))
     return SP.policy_terms(ch)
@@ -427,7 +414,7 @@ SELECT list_id, pos, section,
 FROM y WHERE hdr IS NULL"""
 
 
-@register("f13_parse_notes", _f13_sql())
+@register("f13_parse_notes", _f13_sql)
 def f13(spark, sf_dir):
     return SP.parse_notes(_notes(spark, sf_dir))
 

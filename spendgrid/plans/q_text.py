@@ -10,20 +10,7 @@ from spendgrid.operators import chunking as CH
 from spendgrid.operators import retrieval as RV
 from spendgrid.plans import bindings as B
 from spendgrid.plans import sqltext as S
-
-QUERIES = {}
-SQL = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return deco
-
+from spendgrid.plans.registry import register
 
 # --- F6-F9 ----------------------------------------------------------------------------------------
 @register(
@@ -225,7 +212,7 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY round(score, 9) DES
 SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 3"""
 
 
-@register("t07_search_cosine", _t7_sql())
+@register("t07_search_cosine", _t7_sql)
 def t07(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     return RV.search_cosine(B.passages(spark, sf_dir), docs, 3).withColumn("rank", F.col("rank").cast("int"))

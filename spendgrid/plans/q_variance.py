@@ -8,20 +8,7 @@ from spendgrid.functions.measures import Period
 from spendgrid.operators import rollup as R
 from spendgrid.plans import bindings as B
 from spendgrid.plans.sqlparts import FACTS_CTE, calendar_sql, mass, money, totals, variance_select, weighted_sums
-
-QUERIES = {}
-SQL = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return deco
-
+from spendgrid.plans.registry import register
 
 # --- A1: flagship roll-up by division, weeks 1-30 -------------------------------------
 A1_SQL = f"""WITH {FACTS_CTE},

@@ -67,14 +67,16 @@ def tokens_stem(x: str) -> str:
 def expansion_ctes(src: str, out: str) -> str:
     """Unrolled F9 over ``src(qid, toks)`` -> ``out(qid, toks)`` (originals + additions)."""
     parts = [f"{out}_0 AS (SELECT qid, toks, list_distinct(toks) AS seen, []::VARCHAR[] AS extra FROM {src})"]
-    for i, (key, kstem, pieces) in enumerate(T.expansion_table(), start=1):
-        arr = "[" + ", ".join(f"'{p}'" for p in pieces) + "]::VARCHAR[]"
+    for i, (key, syns) in enumerate(T.QUERY_EXPANSION, start=1):
+        stems = stem_list("[" + ", ".join(f"'{w}'" for w in syns) + "]")
+        arr = f"list_filter({stems}, lambda p, j: list_position({stems}, p) = j)"
+        kstem = stem_list(f"['{key}']") + "[1]"
         new = f"list_filter({arr}, lambda p: NOT list_contains(seen, p))"
-        hit = f"(list_contains(seen, '{kstem}') OR list_contains(seen, '{key}'))"
+        hit = f"(list_contains(seen, {kstem}) OR list_contains(seen, '{key}'))"
         parts.append(
             f"{out}_{i} AS (SELECT qid, toks, CASE WHEN {hit} THEN list_concat(seen, {new}) ELSE seen END AS seen, "
             f"CASE WHEN {hit} THEN list_concat(extra, {new}) ELSE extra END AS extra FROM {out}_{i - 1})"
         )
-    n = len(T.expansion_table())
+    n = len(T.QUERY_EXPANSION)
     parts.append(f"{out} AS (SELECT qid, list_concat(toks, extra) AS toks FROM {out}_{n})")
     return ",\n".join(parts)

@@ -40,11 +40,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session does not name one (local tests) do we set our own, under a
-    fresh temporary folder.
+    Only a local session that names none (tests) gets one of its own, below a fresh
+    temporary folder; on a cluster a machine-local folder would not be shared, so that raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master {master})")
         d = tempfile.mkdtemp(prefix="spendgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -57,10 +60,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for intermediate tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{os.urandom(6).hex()}")
+    """A fresh path for an intermediate table, below a folder of this application in the
+    shared checkpoint folder; ``clear_scratch`` removes them all."""
+    return os.path.join(_scratch_root(spark), f"{name}-{os.urandom(6).hex()}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table below the shared checkpoint folder and read back: what is
+    computed once (a partition number, a row number) is the same for every later reader."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no DataFrame needs them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
