@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.functions.calendar import month_days_by_week
+from spendgrid.session import stored
 
 MEASURES = ("real_py", "plan", "new_plan", "real")
 MONEY_TYPE = "decimal(18,5)"
@@ -143,21 +144,22 @@ def variance_columns(
     forecast: str | None = None,
     shares: bool = True,
     extra_keys: list[str] | None = None,
-    totals_from: DataFrame | None = None,
+    total_rows: Column | None = None,
 ) -> DataFrame:
     """P5: the measure block per row from decimal sums ``s_*``.
 
-    Shares divide by the total over *all* rows of ``g``: a global aggregate of the
-    already-aggregated ``g`` (exactly one row by construction) attached to every row by a
-    broadcast. Spark reuses ``g``'s exchange for both consumers, so the facts are scanned
-    once; there is no global window and no shuffle of the rows into one task.
+    Shares divide by the total over *all* rows of ``g`` (or those where ``total_rows`` holds):
+    one row, attached to every row by a broadcast. The grouped sums are stored first, so both
+    the rows and their total read them back and the facts are scanned exactly once; there is no
+    global window and no shuffle of the rows into one task.
     ``forecast`` names a column holding an allocated forecast (A5); without it the
     forecast is ``real + plan_rest``.
     """
     d = {m: as_double(F.col(f"s_{m}"), divisor) for m in MEASURES}
     cols: list[Column] = [F.col(k) for k in keys + (extra_keys or [])]
     if shares:
-        src = g if totals_from is None else totals_from
+        g = stored(g, "grouped-sums")
+        src = g if total_rows is None else g.filter(total_rows)
         tot = src.agg(*[F.sum(f"s_{m}").alias(f"_t_{m}") for m in MEASURES])  # one row
         g = g.crossJoin(F.broadcast(tot))
         totals = {m: as_double(F.col(f"_t_{m}"), divisor) for m in MEASURES}

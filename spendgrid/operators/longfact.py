@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendgrid.session import stored
+
 # Series codes of the long fact (prior actual, plan, actual, new plan).
 SERIES = {"real_py": "R25", "plan": "P26", "real": "R26", "new_plan": "NVO"}
 
@@ -68,10 +70,9 @@ def centre_detail(long: DataFrame, centre_id: str, cut: int, grupo: str | None =
     if grupo is not None:
         f = f.filter(F.col("grupo") == grupo)
     keys = ["centre", "pdc", "division", "grupo", "cuenta"]
-    g = pivot_series(f, keys, cut)
-    tot = g.agg(F.sum("R25").alias("t25"), F.sum("P26").alias("t26p"), F.sum("R26").alias("t26"))
-    top = g.orderBy(F.col("R26").desc(), *keys).limit(n)
-    return top.withColumns({"total_R25": tot.select("t25").scalar(), "total_P26": tot.select("t26p").scalar(), "total_R26": tot.select("t26").scalar()})
+    g = stored(pivot_series(f, keys, cut), "centre-detail")  # the rows and their total read it back
+    tot = g.agg(F.sum("R25").alias("total_R25"), F.sum("P26").alias("total_P26"), F.sum("R26").alias("total_R26"))  # one row
+    return g.orderBy(F.col("R26").desc(), *keys).limit(n).crossJoin(F.broadcast(tot))
 
 
 def top_centres(long: DataFrame, cut: int, n: int = 12) -> DataFrame:
@@ -82,13 +83,19 @@ def top_centres(long: DataFrame, cut: int, n: int = 12) -> DataFrame:
 
 
 def build_fast_index(long: DataFrame, top_n: int = 500) -> DataFrame:
-    """Four small aggregates (division, group, top-N centres by R26, week), NULL keys
-    excluded, as one frame ``(kind, key, R25, P26, R26, NVO)``."""
+    """Totals by division, by group, by centre (the top N by R26) and by week, NULL keys
+    excluded, as one frame ``(kind, key, R25, P26, R26, NVO)``. One GROUPING SETS aggregate over
+    the long fact; its rows are stored for the two readers (top centres, and the rest)."""
     codes = ("R25", "P26", "R26", "NVO")
-
-    def agg(col, kind):
-        g = pivot_series(long.filter(F.col(col).isNotNull()), [col], 99, codes)
-        return g.select(F.lit(kind).alias("kind"), F.col(col).cast("string").alias("key"), *codes)
-
-    centres = agg("centre", "centre").orderBy(F.col("R26").desc(), "key").limit(top_n)
-    return agg("division", "division").unionByName(agg("grupo", "group")).unionByName(centres).unionByName(agg("sem", "week"))
+    zero = F.lit(0).cast("decimal(18,5)")
+    dims = {"division": "division", "grupo": "group", "centre": "centre", "sem": "week"}
+    sums = [F.sum(F.when(F.col("serie") == c, F.col("monto")).otherwise(zero)).alias(c) for c in codes]
+    g = long.filter(F.col("sem") <= 99).groupingSets([[d] for d in dims], *dims).agg(F.grouping_id(*dims).alias("gid"), *sums)
+    kind, key = None, None
+    for i, (d, name) in enumerate(dims.items()):
+        mine = F.col("gid") == (2 ** len(dims) - 1) - 2 ** (len(dims) - 1 - i)  # all but this one are rolled up
+        kind = F.when(mine, name) if kind is None else kind.when(mine, name)
+        key = F.when(mine, F.col(d).cast("string")) if key is None else key.when(mine, F.col(d).cast("string"))
+    g = stored(g.select(kind.alias("kind"), key.alias("key"), *codes).filter(F.col("key").isNotNull()), "fast-index")
+    centres = g.filter(F.col("kind") == "centre").orderBy(F.col("R26").desc(), "key").limit(top_n)
+    return g.filter(F.col("kind") != "centre").unionByName(centres)

@@ -2,7 +2,7 @@
 
 Every operator is one DataFrame plan: filter (pushed to the scan) -> weighted decimal
 columns -> partial/final hash aggregate on the group keys -> per-row ratio block.
-Shares divide by a one-row scalar subquery, never by a global window.
+Shares divide by a one-row total of the stored sums, never by a global window.
 """
 
 from __future__ import annotations
@@ -96,9 +96,7 @@ def rollup_tree(facts: DataFrame, hier: list[str], period: Period = Period(1, 30
     w = weighted(facts.select(*hier, "sem", *MEASURES), period, smr)
     level = sum((1 - F.grouping(c)) for c in hier)
     g = w.rollup(*hier).agg(*sum_weighted(), level.cast("int").alias("level"))
-    out = variance_columns(
-        g, list(hier), period.divisor, extra_keys=["level"], totals_from=g.filter(F.col("level") == 0)
-    )
+    out = variance_columns(g, list(hier), period.divisor, extra_keys=["level"], total_rows=F.col("level") == 0)
     out = out.withColumns(
         {f"pct_{m}": F.when(F.col("level") == 0, F.lit(100.0)).otherwise(F.col(f"pct_{m}")) for m in MEASURES}
     )
@@ -179,17 +177,24 @@ def monthly(weekly_df: DataFrame, prior_year: int = 1997, current_year: int = 19
 
 
 def quarter_matrix(facts: DataFrame, cols: list[str], periods=("Q1", "FY"), smr: int = 30) -> DataFrame:
-    """The A2 roll-up on fixed quarter ranges, two periods side by side."""
-    out = None
+    """The A2 roll-up on fixed quarter ranges, periods side by side, in one pass over the
+    facts: every period's weighted measures are columns of the same aggregate."""
+    shown = ("real_py", "plan", "real", "vs_plan_abs", "vs_plan_pct", "vs_py_abs", "vs_py_pct")
+    w = facts.select(*cols, "sem", *MEASURES)
+    parts = (*MEASURES, "plan_rest")
     for q in periods:
         lo, hi = QUARTERS[q]
-        g = _aggregate(facts, list(cols), Period(lo, hi), smr)
-        v = variance_columns(g, list(cols), shares=False).select(
-            *cols,
-            *[F.col(c).alias(f"{q.lower()}_{c}") for c in ("real_py", "plan", "real", "vs_plan_abs", "vs_plan_pct", "vs_py_abs", "vs_py_pct")],
-        )
-        out = v if out is None else out.join(v, list(cols), "full")
-    return out
+        w = weighted(w, Period(lo, hi), smr).withColumnsRenamed({f"w_{m}": f"{q}_{m}" for m in parts})
+    g = w.groupBy(*cols).agg(*[F.sum(f"{q}_{m}").alias(f"{q}_{m}") for q in periods for m in parts])
+    done: list[str] = []
+    for q in periods:
+        g = g.withColumnsRenamed({f"{q}_{m}": f"s_{m}" for m in parts})
+        rest = [c for c in g.columns if c not in cols and not c.startswith("s_")]
+        g = variance_columns(g, list(cols), shares=False, extra_keys=rest)
+        new = {c: f"{q.lower()}_{c}" for c in shown}
+        g = g.select(*cols, *rest, *[F.col(c).alias(n) for c, n in new.items()])
+        done += new.values()
+    return g.select(*cols, *done)
 
 
 def quarterly(weekly_df: DataFrame, smr: int = 30) -> DataFrame:

@@ -43,11 +43,12 @@ def compare_snapshots(
     """
     cat = clean_catalog(catalog)
     keys = ["grupo", "cuenta"]
-    r = snapshot_aggregate(real, cat, "r", week)
+    # one pass over the actuals: both snapshots are columns of the same aggregate
+    both = snapshot_aggregate(real.filter(F.col("snapshot").isin(cur, cmp)), cat, "r", week)
+    at = lambda s: F.sum(F.when(F.col("snapshot") == s, F.col("r")))
+    act = both.groupBy(*keys).agg(at(cur).alias("real_cur"), at(cmp).alias("real_cmp"))
     p = snapshot_aggregate(plan.filter(F.col("snapshot") == cur), cat, "plan", week).drop("snapshot")
-    act = r.filter(F.col("snapshot") == cur).select(*keys, F.col("r").alias("real_cur"))
-    old = r.filter(F.col("snapshot") == cmp).select(*keys, F.col("r").alias("real_cmp"))
-    m = outer_align(outer_align(p, act, keys), old, keys)
+    m = outer_align(p, act, keys)
     lvl = (2 - (F.grouping("grupo") + F.grouping("cuenta"))).cast("int")
     g = m.rollup(*keys).agg(
         F.sum("plan").alias("plan"), F.sum("real_cur").alias("real_cur"), F.sum("real_cmp").alias("real_cmp"), lvl.alias("level")
@@ -65,18 +66,23 @@ def compare_snapshots(
     )
 
 
+def _modified(spark, path: str) -> list:
+    """Modification times of the data files below ``path``, from the file listing alone: no file is
+    opened, and a path that does not exist has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    oldest, newest = files.agg(F.min("modificationTime"), F.max("modificationTime")).first()
+    return [] if oldest is None else [oldest, newest]
+
+
 def cached_aggregate(build, source_paths: list[str], target: str, spark) -> DataFrame:
-    """Build-once cache of an aggregate, rebuilt when any source is newer.
+    """Build-once cache of an aggregate, rebuilt when any source is newer or there is none.
 
-    Source and target freshness come from ``_metadata.file_modification_time`` (a
-    one-row aggregate per side). ``build()`` returns the aggregate DataFrame.
-    """
-    src_t = spark.read.parquet(*source_paths).select(F.max("_metadata.file_modification_time").alias("t")).first()["t"]
-    try:
-        tgt = spark.read.parquet(target)
-        tgt_t = tgt.select(F.min("_metadata.file_modification_time").alias("t")).first()["t"]
-    except Exception:  # noqa: BLE001 - target missing or unreadable -> rebuild
-        tgt_t = None
-    if tgt_t is None or (src_t is not None and src_t > tgt_t):
+    Freshness comes from the files' modification times. ``build()`` returns the aggregate."""
+    newest = max((m[1] for p in source_paths if (m := _modified(spark, p))), default=None)
+    oldest = m[0] if (m := _modified(spark, target)) else None
+    if oldest is None or (newest is not None and newest > oldest):
         build().write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)

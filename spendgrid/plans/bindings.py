@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spendgrid.functions.calendar import fiscal_week
 from spendgrid.functions.measures import MONEY_TYPE
+from spendgrid.session import stored
 
 PRIOR_YEAR = 1997
 CURRENT_YEAR = 1998
@@ -25,7 +26,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: wide weekly fact, one row per line item of an order placed in 1997 or 1998.
 
     Dimensions: agrupa1=region, division=nation, territorio=market segment,
-    pdc=customer name, grupo=brand, cuenta=type, account_id=brand/type,
+    zona and region by customer key, pdc=customer name, grupo=brand, cuenta=type, account_id=brand/type,
     centre=customer key. Measures (DECIMAL): real_py = net price in 1997, plan = gross
     price in 1998, new_plan = gross*(1-disc/2) in 1998, real = net price in 1998 up to
     week SMR.
@@ -61,6 +62,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("agrupa1"),
         F.col("n_name").alias("division"),
         F.col("c_mktsegment").alias("territorio"),
+        F.concat(F.lit("Zona "), (F.col("c_custkey") % 7).cast("string")).alias("zona"),
+        F.concat(F.lit("Region "), (F.col("c_custkey") % 21).cast("string")).alias("region"),
         F.col("c_name").alias("pdc"),
         F.col("p_brand").alias("grupo"),
         F.col("p_type").alias("cuenta"),
@@ -76,9 +79,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def forecast_by_account_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forecast_by_account_id(spark: SparkSession, sf_dir: str, fact: DataFrame | None = None) -> DataFrame:
     """V3: (account_id, sem, forecast) = current-year plan x 1.02 per account and week."""
-    f = facts(spark, sf_dir).filter(F.col("yr") == CURRENT_YEAR)
+    f = (facts(spark, sf_dir) if fact is None else fact).filter(F.col("yr") == CURRENT_YEAR)
     return f.groupBy("account_id", "sem").agg(
         (F.sum("plan") * F.lit(1.02).cast("decimal(3,2)")).cast("decimal(20,7)").alias("forecast")
     )
@@ -112,7 +115,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     28 = lines 1..3 (weeks <= 28). Plan: 30 = all lines, 29 = lines 1..5 (no plan
     extract exists for 28). Account ids arrive untrimmed.
     """
-    f = facts(spark, sf_dir).filter(F.col("yr") == CURRENT_YEAR)
+    f = stored(facts(spark, sf_dir).filter(F.col("yr") == CURRENT_YEAR), "current-facts")  # five extracts are cut from it
     acc = F.concat(F.lit(" "), F.col("account_id"), F.lit(" ")).alias("account_raw")
     real_parts, plan_parts = [], []
     for snap, max_line in ((30, None), (29, 5), (28, 3)):

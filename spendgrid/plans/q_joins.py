@@ -28,6 +28,7 @@ from spendgrid.plans.sqlparts import (
     weighted_sums,
 )
 from spendgrid.plans.registry import register
+from spendgrid.session import stored
 
 def _a1_sql(keys: str, where: str = "", lo: int = 1, hi: int = 30, weeks=None, sort_key: str | None = None) -> str:
     sk = sort_key or "-abs(CAST(ROUND(s_real, 2) AS DOUBLE))"
@@ -61,8 +62,8 @@ SELECT agrupa1, division, {variance_select(forecast='forecast_alloc')},
 FROM g CROSS JOIN t WHERE {mass()}""",
 )
 def a05(spark, sf_dir):
-    facts = B.facts(spark, sf_dir)
-    fc = FC.allocate_forecast(facts, B.forecast_by_account_id(spark, sf_dir), ["agrupa1", "division"], Period(1, 30), B.SMR)
+    facts = stored(B.facts(spark, sf_dir), "weekly-facts")  # the fact table is read by the allocation and the roll-up
+    fc = FC.allocate_forecast(facts, B.forecast_by_account_id(spark, sf_dir, facts), ["agrupa1", "division"], Period(1, 30), B.SMR)
     return R.rollup_variance(facts, "division", Period(1, 30), smr=B.SMR, forecast=fc)
 
 

@@ -41,19 +41,22 @@ def a02(spark, sf_dir):
     return R.rollup_by(B.facts(spark, sf_dir), ["grupo", "division"], Period(1, 30), smr=B.SMR)
 
 
-# --- A3: hierarchy tree region -> nation -> segment as one ROLLUP ------------------------
+# --- A3: the six-level territorial hierarchy as one ROLLUP --------------------------------
+_HIER = ["agrupa1", "division", "territorio", "zona", "region", "pdc"]
+
+
 @register(
     "a03_rollup_tree",
     f"""WITH {FACTS_CTE},
-g AS (SELECT agrupa1, division, territorio, {weighted_sums(1, 30)},
-        CAST(3 - (GROUPING(agrupa1) + GROUPING(division) + GROUPING(territorio)) AS INTEGER) AS level
-      FROM facts GROUP BY ROLLUP (agrupa1, division, territorio)),
+g AS (SELECT {', '.join(_HIER)}, {weighted_sums(1, 30)},
+        CAST(6 - ({' + '.join(f'GROUPING({c})' for c in _HIER)}) AS INTEGER) AS level
+      FROM facts GROUP BY ROLLUP ({', '.join(_HIER)})),
 t AS ({totals()} WHERE level = 0)
-SELECT agrupa1, division, territorio, level, {variance_select(pct_level0=True)}
+SELECT {', '.join(_HIER)}, level, {variance_select(pct_level0=True)}
 FROM g CROSS JOIN t WHERE level = 0 OR {mass()}""",
 )
 def a03(spark, sf_dir):
-    return R.rollup_tree(B.facts(spark, sf_dir), ["agrupa1", "division", "territorio"], Period(1, 30), smr=B.SMR)
+    return R.rollup_tree(B.facts(spark, sf_dir), _HIER, Period(1, 30), smr=B.SMR)
 
 
 # --- A4: drill one level under a parent ---------------------------------------------------

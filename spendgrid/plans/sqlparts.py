@@ -12,6 +12,7 @@ DEC = "DECIMAL(18,5)"
 
 FACTS_CTE = f"""facts AS (
   SELECT r.r_name AS agrupa1, n.n_name AS division, c.c_mktsegment AS territorio,
+         'Zona ' || CAST(c.c_custkey % 7 AS VARCHAR) AS zona, 'Region ' || CAST(c.c_custkey % 21 AS VARCHAR) AS region,
          c.c_name AS pdc, p.p_brand AS grupo, p.p_type AS cuenta,
          p.p_brand || '/' || p.p_type AS account_id, c.c_custkey AS centre, f.l_linenumber AS line, f.yr, f.sem,
          CASE WHEN f.yr = 1997 THEN f.net ELSE CAST(0 AS {DEC}) END AS real_py,

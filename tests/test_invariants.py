@@ -37,11 +37,38 @@ def test_same_answer_from_two_grains(spark):
     assert a == b
 
 
-def test_flagship_plan_is_jvm_only_and_pushed_down(spark):
-    df = R.rollup_variance(B.facts(spark, SF_SMALL), "division", Period(1, 30), smr=B.SMR)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "ArrowEval" not in plan
-    assert "GreaterThanOrEqual(o_orderdate" in plan  # the year filter reaches the orders scan
+def _recorded_plans(monkeypatch, build):
+    """Executed plans of what ``build`` stores on the way, and of its result."""
+    from spendgrid.functions import measures
+
+    plans, store = [], measures.stored
+
+    def recording(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(measures, "stored", recording)
+    df = build()
+    df.collect()
+    return [*plans, df._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_flagship_plan_is_jvm_only_and_pushed_down(spark, monkeypatch):
+    plans = _recorded_plans(monkeypatch, lambda: R.rollup_variance(B.facts(spark, SF_SMALL), "division", Period(1, 30), smr=B.SMR))
+    assert not any("Python" in p or "ArrowEval" in p for p in plans)
+    assert "GreaterThanOrEqual(o_orderdate" in plans[0]  # the year filter reaches the orders scan
+
+
+def test_roll_ups_scan_the_facts_once(spark, monkeypatch):
+    hier = ["agrupa1", "division", "territorio", "zona", "region", "pdc"]
+    for build in (
+        lambda: R.rollup_variance(B.facts(spark, SF_SMALL), "division", Period(1, 30), smr=B.SMR),
+        lambda: R.rollup_tree(B.facts(spark, SF_SMALL), hier, Period(1, 30), smr=B.SMR),
+        lambda: R.quarter_matrix(B.facts(spark, SF_SMALL), ["division"], smr=B.SMR),
+    ):
+        plans = _recorded_plans(monkeypatch, build)
+        final = plans[-1].split("== Initial Plan ==")[0]
+        assert sum(p.count("lineitem.parquet") for p in [*plans[:-1], final]) == 1
 
 
 def test_entry_smoke(spark):
@@ -65,3 +92,42 @@ def test_flagship_cross_join_is_the_one_row_total(spark):
     df = R.rollup_variance(B.facts(spark, SF_SMALL), "division", Period(1, 30), smr=B.SMR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastNestedLoopJoin") <= 1 and "CartesianProduct" not in plan
+
+
+def test_queries_load_when_pyspark_comes_from_its_zip():
+    import os
+    import subprocess
+    import sys
+
+    import pyspark
+
+    zipped = os.path.join(os.path.dirname(pyspark.__file__), "python", "lib", "pyspark.zip")
+    if not os.path.exists(zipped):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path[:0] = [{zipped!r}, {root!r}]; import pyspark, __spark_entry__ as e; print(pyspark.__file__); print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/tmp", timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "pyspark.zip" in out.stdout and int(out.stdout.split()[-2]) >= 135
+
+
+def test_a_cluster_session_needs_a_shared_checkpoint_folder():
+    import pytest
+
+    from spendgrid.session import checkpoint_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())

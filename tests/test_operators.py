@@ -170,14 +170,127 @@ def test_double_ml_recovers_effect(spark):
     assert abs(tau - 1.0) < 0.1
 
 
-def test_cov_corr_branches_agree(spark):
-    from conftest import SF_SMALL
+def test_cov_corr_pairs_with_gaps(spark):
+    """Many assets, and dates on which some have no return: each pair uses its own common dates."""
+    import numpy as np
+
     from spendgrid.operators import risk as RK
-    from spendgrid.plans import bindings as B
-
-    r = RK.log_returns(B.prices(spark, SF_SMALL))
-    a = {(x.asset_i, x.asset_j): (x.cov, x.corr) for x in RK.cov_corr_matrix(r).collect()}
-    wide, assets = RK.wide_returns(r)
-    b = {(x.asset_i, x.asset_j): (x.cov, x.corr) for x in RK._cov_corr_ml(r, wide, assets).collect()}
-    assert a.keys() == b.keys()
-    assert all(abs(a[k][0] - b[k][0]) < 1e-9 and abs(a[k][1] - b[k][1]) < 1e-8 for k in a)
+
+    rng = np.random.default_rng(3)
+    data = {(d, a): float(rng.normal()) for d in range(40) for a in range(60) if rng.random() < 0.8}
+    ret = spark.createDataFrame([(d, f"a{a}", v) for (d, a), v in data.items()], "date int, asset string, ret double")
+    got = {(r.asset_i, r.asset_j): (r.cov, r.corr) for r in RK.cov_corr_matrix(ret, rounded=False).collect()}
+    assert len(got) == 3600
+    for i, j in ((0, 1), (5, 5), (59, 7)):
+        days = [d for d in range(40) if (d, i) in data and (d, j) in data]
+        x, y = [data[d, i] for d in days], [data[d, j] for d in days]
+        cov, corr = np.cov(x, y, ddof=1)[0, 1], np.corrcoef(x, y)[0, 1]
+        assert abs(got[f"a{i}", f"a{j}"][0] - cov) < 1e-12 and abs(got[f"a{i}", f"a{j}"][1] - corr) < 1e-12
+
+
+def test_positions_and_running_sums_with_carried_columns(spark):
+    """400,000 rows in many partitions: dropping or carrying columns changes no position or sum."""
+    from pyspark.sql.window import Window
+
+    from spendgrid.functions.windows import global_index, prefix_sum
+
+    df = spark.range(400_000).select(
+        F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("o"), (F.col("id") % 3).alias("key"), (F.col("id") % 7).alias("v"),
+        F.concat(F.lit("carried "), F.col("id").cast("string")).alias("extra"), "id",
+    )
+    idx = global_index(df, ["o", "id"])
+    for cols in (["idx"], ["idx", "extra"], ["idx", "o", "id"]):
+        r = idx.select(*cols).agg(F.count("idx"), F.countDistinct("idx"), F.min("idx"), F.max("idx")).first()
+        assert tuple(r) == (400_000, 400_000, 0, 399_999)
+    assert idx.filter((F.col("idx") == 0)).select("o").first()[0] == df.agg(F.min("o")).first()[0]
+    run = prefix_sum(df, ["key"], [F.col("o"), F.col("id")], "v", "run", partitions=13)
+    w = Window.partitionBy("key").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("want", F.sum("v").over(w)).select("id", "want")
+    for cols in (["id", "run"], ["id", "run", "extra"]):
+        j = run.select(*cols).join(want, "id")
+        assert j.count() == 400_000 and j.filter(F.col("run") != F.col("want")).count() == 0
+
+
+def test_exact_percentiles_per_group(spark):
+    from spendgrid.functions.windows import exact_percentiles
+
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("x")).union(spark.sql("SELECT 7L, cast(NULL AS double)"))
+    df = spark.createDataFrame(df.collect(), "g bigint, x double")  # the random values once
+    got = {r.g: (r.a, r.b) for r in exact_percentiles(df, ["g"], "x", {"a": 0.05, "b": 0.5}).collect()}
+    want = df.groupBy("g").agg(F.percentile("x", F.lit(0.05)).alias("a"), F.percentile("x", F.lit(0.5)).alias("b")).filter("a IS NOT NULL")
+    assert got.keys() == {0, 1, 2}
+    for r in want.collect():
+        assert abs(got[r.g][0] - r.a) < 1e-12 and abs(got[r.g][1] - r.b) < 1e-12
+
+
+def test_lasso_cv_recovers_sparse_signal(spark):
+    import numpy as np
+
+    from spendgrid.operators.ml import double_ml, naive_lasso, sparse_fit
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 12))
+    y = 3 * x[:, 2] - 2 * x[:, 7] + 0.01 * rng.normal(size=400)
+    xs = [f"x{i}" for i in range(12)]
+    df = spark.createDataFrame([(*map(float, r), float(t), i % 5) for i, (r, t) in enumerate(zip(x, y))], [*xs, "y", "fold"])
+    w = sparse_fit(df, "y", xs)
+    assert abs(w[2] - 3) < 0.02 and abs(w[7] + 2) < 0.02 and np.abs(np.delete(w, [2, 7])).max() < 0.02
+    assert abs(naive_lasso(df, "y", "x2", ["x7", "x1"]).first().lasso_t - 3) < 0.05
+    tau = double_ml(df, "y", "x2", ["x7", "x1"], 5, "lasso").first()
+    assert abs(tau.tau - 3) < 0.02 and tau.ci_lo < 3.01 and tau.ci_hi > 2.99
+
+
+def test_double_ml_refuses_unknown_and_many_covariates(spark):
+    import pytest
+
+    from spendgrid.operators.ml import double_ml
+
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 0)], "y double, t double, a double, b double, fold int")
+    for xs, nuisance in ((["a"], "boosted"), (["a", "b"], "ols1")):
+        with pytest.raises(ValueError):
+            double_ml(df, "y", "t", xs, 1, nuisance)
+
+
+def test_best_cut_uses_every_edge(spark):
+    import pytest
+
+    from spendgrid.operators.graphcut import best_cut
+
+    square = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 3), (0, 2)], "i bigint, j bigint")
+    assert best_cut(spark, square).first().best_cut == 4
+    with pytest.raises(ValueError):
+        best_cut(spark, spark.createDataFrame([(0, 90)], "i bigint, j bigint"))
+
+
+def test_dp_means_raises_when_it_cannot_converge(spark):
+    import pytest
+
+    from spendgrid.operators.cluster import dp_means
+
+    pts = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "id bigint, vec array<double>")
+    with pytest.raises(RuntimeError):
+        dp_means(pts, 0.01, max_iter=3)
+    assigned, history = dp_means(pts, 0.01)
+    assert history[-1] == 12 == assigned.select("cluster").distinct().count()
+
+
+def test_snapshot_cache_rebuilds_when_a_source_is_newer(spark, tmp_path):
+    import os
+
+    from spendgrid.operators.snapshots import cached_aggregate
+
+    src, target, built = str(tmp_path / "src"), str(tmp_path / "t"), []
+    spark.range(3).write.parquet(src)
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(src).agg(F.sum("id").alias("s"))
+
+    for _ in range(2):
+        assert cached_aggregate(build, [src], target, spark).first().s == 3
+    assert len(built) == 1
+    later = max(os.stat(os.path.join(target, f)).st_mtime for f in os.listdir(target)) + 10
+    for f in os.listdir(src):
+        os.utime(os.path.join(src, f), (later, later))
+    cached_aggregate(build, [src], target, spark)
+    assert len(built) == 2
