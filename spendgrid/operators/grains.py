@@ -35,18 +35,29 @@ def write_grains(grains: dict[str, DataFrame], base: str, partition_by: str | No
 FROM_POINT_GRAIN = {"region": "pdc", "zona": "pdc"}
 
 
-def pick_grain(needed: list[str], grains: dict[str, DataFrame], alias: str | None = None, filters=()) -> tuple[str, DataFrame]:
-    """The smallest grain (fewest columns) holding every needed column.
+def grain_size(df: DataFrame) -> int:
+    """Bytes of a grain as the optimiser knows them: its files' size, or the estimate of its plan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
-    Rules: region/zona aliases read the point grain; a filter on the point column moves
-    the query to the point grain when the chosen grain lacks it.
+
+def pick_grain(needed: list[str], grains: dict[str, DataFrame], alias: str | None = None, filters=(),
+               fallback: str = "cuentas") -> tuple[str, DataFrame]:
+    """The smallest grain, by size, that holds every needed column.
+
+    Rules: region/zona aliases read the point grain; a filter on the point column counts as a
+    needed column, so it moves the query to a grain that has it. If the point grain lacks needed
+    columns (grains written by an older spec), the account grain ``fallback`` is read instead
+    when it holds them.
     """
-    if alias in FROM_POINT_GRAIN and FROM_POINT_GRAIN[alias] in grains:
-        name = FROM_POINT_GRAIN[alias]
-        return name, grains[name]
     need = set(needed) | {c for c, _ in filters}
-    fits = [(len(df.columns), name) for name, df in grains.items() if need <= set(df.columns)]
+    holds = lambda name: name in grains and need <= set(grains[name].columns)
+    if alias in FROM_POINT_GRAIN:
+        point = FROM_POINT_GRAIN[alias]
+        for name in (point, fallback):
+            if holds(name):
+                return name, grains[name]
+    fits = [name for name in grains if holds(name)]
     if not fits:
         raise KeyError(f"no grain holds {sorted(need)}")
-    name = min(fits)[1]
+    name = min(fits, key=lambda n: (grain_size(grains[n]), n))
     return name, grains[name]

@@ -1,8 +1,8 @@
 """Finance questions as a table: fold, parse, detect entities, route and answer in one
 batch (F5, F10, F11, F12).
 
-Values stay columns (no SQL strings are built from user text). Entity catalogs are
-small dimension lists; they are broadcast only after a size check.
+Values stay columns (no SQL strings are built from user text). Entity names meet the
+questions in equi-joins on character n-grams, whatever the size of a catalog.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from spendgrid.functions.measures import any_of
+from spendgrid.functions.text import containing
+from spendgrid.session import stored
 
 # ---------------------------------------------------------------------------------------
 # accent folding. The translate table is derived by rule: every code point of the
@@ -110,57 +111,37 @@ def parse_questions(df: DataFrame, text: str = "question", smr: int = 30, loose_
     )
 
 
-MAX_BROADCAST_TOKENS = 200_000
-
-
-def _first_token_hit(q: DataFrame, tokens: DataFrame, out: str) -> DataFrame:
-    """(id, out): the catalog entity (lowest ``ord``) having a token inside ``folded``.
-
-    Catalog tokens are a bounded dimension list; they are broadcast and matched with
-    ``instr`` (a theta join that emits only hits). Beyond the size bound the match falls
-    back to whole-word equality through an equi-join on exploded question words.
-    """
-    n = tokens.count()
-    if n <= MAX_BROADCAST_TOKENS:
-        hits = q.select("id", "folded").join(F.broadcast(tokens), F.instr(F.col("folded"), F.col("tok")) > 0)
-    else:
-        words = q.select("id", F.explode(F.split("folded", r"[^\p{L}\p{N}]+")).alias("tok")).distinct()
-        hits = words.join(tokens, "tok")
-    return hits.groupBy("id").agg(F.min_by("name", F.struct("ord", "name")).alias(out))
-
-
 def catalog_tokens(catalog: DataFrame, name: str, generic: list[str]) -> DataFrame:
-    """Folded catalog names split into tokens longer than 3 letters, generic words out;
-    ``ord`` = catalog order (by name)."""
+    """Folded catalog names split into tokens longer than 3 letters, generic words out."""
     c = catalog.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    c = c.withColumn("ord", F.dense_rank().over(Window.orderBy("name")))
-    t = c.select("name", "ord", F.explode(F.split(fold_text(F.col("name")), r"\s+")).alias("tok"))
+    t = c.select("name", F.explode(F.split(fold_text(F.col("name")), r"\s+")).alias("tok"))
     return t.filter((F.length("tok") > 3) & ~F.col("tok").isin(generic))
 
 
+def _first_hit(q: DataFrame, tokens: DataFrame, out: str) -> DataFrame:
+    """(id, out): the first catalog entity, by name, with a token inside ``folded``; one rule
+    for a catalog of any size."""
+    hits = containing(q.select("id", "folded"), "id", "folded", tokens, "tok")
+    return hits.groupBy("id").agg(F.min("name").alias(out))
+
+
 def detect_entities(q: DataFrame, divisions: DataFrame, territories: DataFrame, groups: DataFrame) -> DataFrame:
     """division and territory by any catalog token (> 3 letters, generic words
-    skipped) found in the folded question, first in catalog order; group by its full
-    folded name, else through the synonym lists (first key in list order, then the
-    first group whose folded name holds the key or a synonym)."""
-    div = _first_token_hit(q, catalog_tokens(divisions, "division", GENERIC_DIVISION_WORDS), "division")
-    ter = _first_token_hit(q, catalog_tokens(territories, "territorio", GENERIC_TERRITORY_WORDS), "territory")
+    skipped) found in the folded question, first by name; group by its full folded name,
+    else through the synonym lists (first key in list order, then the first group whose
+    folded name holds the key or a synonym)."""
+    div = _first_hit(q, catalog_tokens(divisions, "division", GENERIC_DIVISION_WORDS), "division")
+    ter = _first_hit(q, catalog_tokens(territories, "territorio", GENERIC_TERRITORY_WORDS), "territory")
     g = groups.select(F.col("grupo").alias("name")).filter(F.col("name").isNotNull()).distinct()
-    g = g.withColumn("ord", F.dense_rank().over(Window.orderBy("name"))).withColumn("tok", fold_text(F.col("name")))
-    by_name = q.select("id", "folded").join(F.broadcast(g), F.instr("folded", F.col("tok")) > 0)
-    by_name = by_name.groupBy("id").agg(F.min_by("name", F.struct("ord", "name")).alias("g_name"))
-    syn_rows = [(i, key, s) for i, (key, syns) in enumerate(GROUP_SYNONYMS) for s in syns]
+    g = g.withColumn("tok", fold_text(F.col("name")))
+    by_name = _first_hit(q, g, "g_name")
     spark = q.sparkSession
-    syn = spark.createDataFrame(syn_rows, "key_ord int, key string, syn string")
+    syn = spark.createDataFrame([(i, k, s) for i, (k, ss) in enumerate(GROUP_SYNONYMS) for s in ss], "key_ord int, key string, syn string")
     # every synonym key a question mentions
-    key_hit = q.select("id", "folded").join(F.broadcast(syn), F.instr("folded", F.col("syn")) > 0)
-    key_hit = key_hit.select("id", "key", "key_ord").distinct()
-    # groups a key resolves to: folded name holds the key or any of its synonyms
-    key_group = syn.join(F.broadcast(g), F.instr(F.col("tok"), F.col("syn")) > 0).select("key", "ord", "name")
-    key_group = key_group.unionByName(
-        syn.select("key").distinct().join(F.broadcast(g), F.instr(F.col("tok"), F.col("key")) > 0).select("key", "ord", "name")
-    )
-    key_group = key_group.groupBy("key").agg(F.min_by("name", F.struct("ord", "name")).alias("s_name"))
+    key_hit = containing(q.select("id", "folded"), "id", "folded", syn, "syn").select("id", "key", "key_ord").distinct()
+    # the first group a key resolves to: its folded name holds the key or any of its synonyms
+    words = syn.select("key", F.col("syn").alias("word")).unionByName(syn.select("key", F.col("key").alias("word"))).distinct()
+    key_group = containing(g, "name", "tok", words, "word").groupBy("key").agg(F.min("name").alias("s_name"))
     # first key (in list order) that both appears and resolves
     by_syn = key_hit.join(key_group, "key").groupBy("id").agg(F.min_by("s_name", "key_ord").alias("s_name"))
     return (
@@ -199,9 +180,10 @@ def answer_questions(q: DataFrame, long: DataFrame, wide: dict[str, str] | None
     ``long`` is the long fact (serie, monto). With ``wide={'R25': col, ...}`` the same
     sums come straight from a wide fact's measure columns, skipping the 4x unpivot.
 
-    The long fact is aggregated once with GROUPING SETS over the scope dimensions and
-    ``sem``; each question joins the cube on its scope (null-safe equi-join on four keys
-    plus the grouping mask) and sums its weeks <= cut. Nothing is collected.
+    The facts are read once, summed by the four scope dimensions and week. For each kind of
+    scope that some question names (at most ten), only the facts of the named scopes are summed
+    on, up to each cut; a question then takes its scope's answer. Questions with the same scope
+    and cut share one answer, so a scope that most of them name is joined as one row.
     """
     r = q.withColumn("route", route_column())
     rt = F.col("route")
@@ -212,40 +194,37 @@ def answer_questions(q: DataFrame, long: DataFrame, wide: dict[str, str] | None
         "centre_f": F.when(rt.isin("weekly", "centre"), F.col("centre_id").try_cast("bigint")),
     }
     r = r.withColumns(scope)
-    mask = sum(
-        (F.col(c).isNull().cast("int") * (1 << (3 - i)))
-        for i, c in enumerate(["division_f", "territorio_f", "grupo_f", "centre_f"])
-    )
-    r = r.withColumn("mask", mask)
-    dims = ["division", "territorio", "grupo", "centre"]
-    sets = [
-        [], ["division"], ["grupo"], ["centre"], ["territorio"],
-        ["division", "grupo"], ["centre", "grupo"], ["centre", "division"], ["territorio", "grupo"],
-        ["centre", "division", "grupo"],
-    ]
+    scopes = {"division_f": "division", "territorio_f": "territorio", "grupo_f": "grupo", "centre_f": "centre"}
+    named = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(d)) for f, d in scopes.items()]))
+    r = stored(r.select("id", "route", "cut", *scopes).withColumn("named", named), "question-scopes")
+    codes = ("R25", "P26", "R26")
     zero = F.lit(0).cast("decimal(18,5)")
     if wide:
-        sums = [F.sum(F.col(wide[c])).alias(c) for c in ("R25", "P26", "R26")]
+        sums = [F.sum(F.col(wide[c])).alias(c) for c in codes]
     else:
-        sums = [F.sum(F.when(F.col("serie") == c, F.col("monto")).otherwise(zero)).alias(c) for c in ("R25", "P26", "R26")]
-    cube = long.groupingSets([[*s, "sem"] for s in sets], *dims, "sem").agg(
-        # sem is grouped in every set, so its bit (the lowest) is always 0
-        (F.grouping_id(*dims, "sem") / 2).cast("int").alias("gid"),
-        *sums,
-    )
-    cube = cube.select(*[F.col(d).alias(f"k_{d}") for d in dims], "sem", "gid", "R25", "P26", "R26")
-    cond = (
-        (F.col("gid") == F.col("mask"))
-        & F.col("k_division").eqNullSafe(F.col("division_f"))
-        & F.col("k_territorio").eqNullSafe(F.col("territorio_f"))
-        & F.col("k_grupo").eqNullSafe(F.col("grupo_f"))
-        & F.col("k_centre").eqNullSafe(F.col("centre_f"))
-        & (F.col("sem") <= F.col("cut"))
-    )
-    j = r.select("id", "route", "cut", "division_f", "territorio_f", "grupo_f", "centre_f", "mask").join(cube, cond, "left")
-    out = j.groupBy("id", "route", "cut", "division_f", "territorio_f", "grupo_f", "centre_f").agg(
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("R25", "P26", "R26")]
-    )
+        sums = [F.sum(F.when(F.col("serie") == c, F.col("monto")).otherwise(zero)).alias(c) for c in codes]
+    base = stored(long.groupBy(*scopes.values(), "sem").agg(*sums), "question-facts")
+    asked = r.select("named", "cut", *scopes).distinct()
+    answers = None
+    for (kind,) in sorted(r.select("named").distinct().collect()):  # at most ten kinds of scope
+        dims = [(f, d) for f, d in scopes.items() if d in kind]
+        want = asked.filter(F.col("named") == F.array(*[F.lit(d) for d in kind]).cast("array<string>"))
+        f = base
+        if dims:
+            keys = want.select(*[F.col(a).alias(d) for a, d in dims]).distinct()
+            f = f.join(keys, [d for _, d in dims], "left_semi")
+        f = f.groupBy(*[d for _, d in dims], "sem").agg(*[F.sum(c).alias(c) for c in codes])  # a scope's weeks
+        on = F.col("sem") <= F.col("cut")
+        for a, d in dims:
+            on = on & (F.col(a) == F.col(d))
+        part = want.join(f, on, "left").groupBy("named", "cut", *scopes).agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in codes])
+        answers = part if answers is None else answers.unionByName(part)
+    if answers is None:
+        answers = asked.select("*", *[zero.alias(c) for c in codes]).limit(0)
+    same = F.lit(True)
+    for c in ("cut", *scopes):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}"))
+    out = r.alias("r").join(answers.alias("a"), same).select("r.id", "r.route", "r.cut", *[f"r.{f}" for f in scopes], *codes)
     return out.select(
         "id",
         "route",

@@ -2,7 +2,7 @@
 scoring (S4, S5, J7, J8, J9, O7, E1-E8, F13, F14).
 
 Everything is a DataFrame column expression or join; answers produced elsewhere enter
-as a table. Per-question hint and pattern tables are small, size-checked broadcasts.
+as a table. Hint phrases meet the questions in an equi-join, whatever their number.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spendgrid.functions.text import WS, first_term, sentences, split_lines, strip_ws
+from spendgrid.functions.text import WS, containing, first_term, sentences, strip_ws
+from spendgrid.functions.windows import prefix_sum
 
 INSTALLMENT = T.StructType(
     [
@@ -60,11 +61,11 @@ ORDER_DOC = T.StructType(
 
 def read_order_docs(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nested order documents with a declared schema -> users, orders (nested
-    installments kept) and flattened installments. ``multiline=True`` reads one pretty-
+    installments kept; ``pos`` is the place in the document) and flattened installments. ``multiline=True`` reads one pretty-
     printed document per file; the default reads one document per line (splittable)."""
     docs = spark.read.schema(ORDER_DOC).json(path, multiLine=multiline)
     users = docs.select(F.explode("users").alias("u")).select("u.*")
-    orders = docs.select(F.explode("orders").alias("o")).select("o.*")
+    orders = docs.select(F.posexplode("orders").alias("pos", "o")).select("pos", "o.*")
     inst = orders.select("user_id", "order_id", "merchant", F.col("status").alias("order_status"),
                          F.explode("installments").alias("i")).select("user_id", "order_id", "merchant", "order_status", "i.*")
     return users, orders, inst
@@ -74,14 +75,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, key: str =
     """JSON-lines files keyed by ``key``; blank lines skipped; when a key repeats,
     the last line wins (files in name order, then line order).
 
-    Files are read whole (``wholetext``) so every line keeps its exact position; the
-    dedup is one ``max_by`` aggregate on (file, line).
+    Lines are read in splits, so a large file is shared by many tasks. A line's place is its
+    file, the start of the split it was read in, and its row number inside that split's task.
+    The dedup is one ``max_by`` aggregate on that place.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = raw.select("file", F.posexplode(split_lines(F.col("value"))).alias("line_no", "line"))
-    lines = lines.filter(strip_ws(F.col("line")) != "")
-    parsed = lines.select("file", "line_no", F.from_json("line", schema).alias("r"))
-    last = parsed.groupBy(F.col(f"r.{key}").alias("_k")).agg(F.max_by("r", F.struct("file", "line_no")).alias("r"))
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    lines = spark.read.text(path).select(place.alias("place"), "value").filter(strip_ws(F.col("value")) != "")
+    parsed = lines.select("place", F.from_json("value", schema).alias("r"))
+    last = parsed.groupBy(F.col(f"r.{key}").alias("_k")).agg(F.max_by("r", "place").alias("r"))
     return last.select("r.*")
 
 
@@ -111,15 +115,16 @@ def merchant_guess(text: Column) -> Column:
 
 
 def match_merchant(questions: DataFrame, orders: DataFrame) -> DataFrame:
-    """The question's guessed merchant vs the user's own orders' merchants: a match
-    when either contains the other; the first order (by order id) wins.
+    """The question's guessed merchant vs the user's own orders' merchants: a match when
+    either contains the other; the first order of the user's document (``pos``) wins.
 
-    Equi-join on the user first, then the containment test: only a user's own orders
-    are ever compared."""
+    A user's distinct merchants are compared, not all orders: their first orders come from a
+    partial aggregate, so a user with very many orders is one row per merchant in the join."""
     q = questions.select("id", "user_id", merchant_guess(F.col("question")).alias("guess")).filter(F.col("guess").isNotNull())
-    o = orders.select("user_id", "order_id", F.lower("merchant").alias("m"))
-    j = q.join(o, "user_id").filter((F.col("m") != "") & ((F.instr("guess", F.col("m")) > 0) | (F.instr("m", F.col("guess")) > 0)))
-    return j.groupBy("id").agg(F.min("order_id").alias("order_id"))
+    o = orders.select("user_id", "order_id", "pos", F.lower("merchant").alias("m")).filter(F.col("m") != "")
+    o = o.groupBy("user_id", "m").agg(F.min(F.struct("pos", "order_id")).alias("o"))
+    j = q.join(o, "user_id").filter((F.instr("guess", F.col("m")) > 0) | (F.instr("m", F.col("guess")) > 0))
+    return j.groupBy("id").agg(F.min("o")["order_id"].alias("order_id"))
 
 
 def next_payment(inst: DataFrame, by=("user_id",)) -> DataFrame:
@@ -143,7 +148,8 @@ def score_answers(golden: DataFrame, answers: DataFrame) -> DataFrame:
     exc_hit = F.filter("must_not_include", lambda p: F.regexp_like(ans, F.concat(F.lit("(?i)"), p)))
     reasons = F.when(F.col("route").isNull() & F.col("answer").isNull(), F.array(F.lit("missing answer"))).otherwise(
         F.concat(
-            F.when(F.col("route") != F.col("expected_route"), F.array(F.concat(F.lit("route "), F.col("route"))))
+            # a missing route is a wrong one
+            F.when(~F.col("route").eqNullSafe(F.col("expected_route")), F.array(F.concat(F.lit("route "), F.coalesce("route", F.lit("")))))
             .otherwise(F.array().cast("array<string>")),
             F.transform(inc_miss, lambda p: F.concat(F.lit("missing "), p)),
             F.transform(exc_hit, lambda p: F.concat(F.lit("forbidden "), p)),
@@ -182,19 +188,13 @@ def compare_runs(scored: DataFrame) -> DataFrame:
     )
 
 
-MAX_HINTS = 100_000
-
-
 def classify_tickets(questions: DataFrame, hints: DataFrame) -> DataFrame:
     """Ordered categories; inside a category the longest hint first; the first hit
     gives (category, phrase, extra required words). ``hints(category, cat_order, hint,
-    extra)``; the hint table is a size-checked broadcast matched with ``instr``."""
-    n = hints.count()
-    if n > MAX_HINTS:
-        raise ValueError(f"hint table has {n} rows; expected a small rule table")
+    extra)``, matched as substrings through an equi-join, whatever the number of hints."""
     q = questions.select("id", F.lower("question").alias("q"))
     h = hints.select("category", "cat_order", F.lower("hint").alias("hint"), "extra")
-    hit = q.join(F.broadcast(h), F.instr("q", F.col("hint")) > 0)
+    hit = containing(q, "id", "q", h, "hint")
     key = F.struct("cat_order", (-F.length("hint")).alias("neg_len"), "hint")
     best = hit.groupBy("id").agg(F.min_by(F.struct("category", "hint", "extra"), key).alias("b"))
     out = questions.select("id").join(best, "id", "left")
@@ -253,8 +253,8 @@ def guard_answers(answers: DataFrame, decisions: DataFrame, policy_hits: DataFra
     1. a forced escalation sets the route; escalated answers get the escalation sentence
        when no universal phrase is present, then the missing extra words (the security
        sentence when password/2FA is missing);
-    2. outside hardship/fraud/limit/fee_waiver, up to two policy sentences whose term is
-       absent from the answer are quoted (``policy_hits(id, rank, doc, text)``);
+    2. outside hardship/fraud/limit/fee_waiver, up to two policy sentences are quoted whose term is
+       absent from the answer as it stands then (``policy_hits(id, rank, doc, text)``);
     3. true due dates (``due_dates(id, due_date)``) absent in both ISO and ``Month D``
        form are appended.
     """
@@ -275,20 +275,26 @@ def guard_answers(answers: DataFrame, decisions: DataFrame, policy_hits: DataFra
     sec = F.arrays_overlap(missing, F.array(F.lit("password"), F.lit("2fa")))
     add = F.when(sec, F.lit(SECURITY_SENTENCE)).otherwise(F.concat(F.lit("("), F.array_join(missing, "; "), F.lit(")")))
     a = a.withColumn("answer", F.when(esc & F.col("forced_escalate") & (F.size(missing) > 0), _append(F.col("answer"), add)).otherwise(F.col("answer")))
-    # 2. policy quotes: first two (chunk rank, sentence) whose term is not in the answer
+    # 2. policy quotes in (chunk rank, sentence) order; a term that the answer or the quote before
+    # shows already is not quoted again
     s = policy_hits.select("id", "rank", "doc", F.posexplode(sentences(F.col("text"))).alias("spos", "sent"))
     s = s.withColumn("term", first_term(F.col("sent"))).filter(F.col("term").isNotNull())
-    s = s.join(a.select("id", F.lower("answer").alias("la"), "category"), "id")
-    s = s.filter(~F.col("la").contains(F.lower("term")) & (F.col("category").isNull() | ~F.col("category").isin(SUPPRESS_QUOTING)))
-    w = Window.partitionBy("id").orderBy("rank", "spos")
-    s = s.withColumn("k", F.row_number().over(w)).filter("k <= 2")
-    quotes = s.groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "doc", "sent"))),
-                                 lambda x: F.concat(F.lit("Per "), x["doc"], F.lit(': "'), x["sent"], F.lit('"'))), " ").alias("q")
-    )
-    a = a.join(quotes, "id", "left").withColumn(
-        "answer", F.when(F.col("q").isNotNull(), _append(F.col("answer"), F.col("q"))).otherwise(F.col("answer"))
-    )
+    # a question's candidates: the sentences with a term of its few hits
+    s = s.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "spos", "doc", "sent", "term"))).alias("cand"))
+    a = a.join(s, "id", "left")
+    quote = lambda x: F.concat(F.lit("Per "), x["doc"], F.lit(': "'), x["sent"], F.lit('"'))
+    none = F.array().cast("array<string>")
+    may_quote = F.col("category").isNull() | ~F.col("category").isin(SUPPRESS_QUOTING)
+    start = F.struct(F.lower("answer").alias("shown"), none.alias("quotes"))
+
+    def quoted(acc, x):
+        new = (F.size(acc["quotes"]) < 2) & ~acc["shown"].contains(F.lower(x["term"]))
+        shown = F.concat(acc["shown"], F.lit(" "), F.lower(quote(x)))
+        return F.when(new, F.struct(shown.alias("shown"), F.concat(acc["quotes"], F.array(quote(x))).alias("quotes"))).otherwise(acc)
+
+    quotes = F.when(may_quote & F.col("cand").isNotNull(), F.aggregate("cand", start, quoted)["quotes"]).otherwise(none)
+    a = a.withColumn("quotes", quotes)
+    a = a.withColumn("answer", F.when(F.size("quotes") > 0, _append(F.col("answer"), F.array_join("quotes", ". "))).otherwise(F.col("answer")))
     # 3. due dates
     d = due_dates.join(a.select("id", "answer"), "id").filter(~date_present(F.col("answer"), F.col("due_date")))
     d = d.groupBy("id").agg(F.array_sort(F.collect_set("due_date")).alias("ds"))
@@ -304,10 +310,9 @@ def run_batch(cases: DataFrame, answers: DataFrame, out: str, chunk: int | None
     """Attach answer columns to the pending cases (J7 against what ``out`` already
     holds) and append them as JSON lines; rerunning resumes where it stopped."""
     spark = cases.sparkSession
-    try:
-        done = spark.read.schema("id string").json(out)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        done = spark.createDataFrame([], "id string")
+    at = spark._jvm.org.apache.hadoop.fs.Path(out)
+    written = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    done = spark.read.schema("id string").json(out) if written else spark.createDataFrame([], "id string")
     todo = cases.join(done, "id", "left_anti")
     if chunk is not None:
         todo = todo.orderBy("pos").limit(chunk)
@@ -333,8 +338,13 @@ def parse_notes(lines: DataFrame) -> DataFrame:
     t = strip_ws(F.col("text"))
     hdr = F.regexp_extract(t, HEADER_RE, 1)
     x = lines.withColumn("_t", t).withColumn("_hdr", F.when(hdr != "", strip_ws(hdr)))
-    w = Window.partitionBy("list_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("section", F.coalesce(F.last("_hdr", ignorenulls=True).over(w), F.lit(NO_SECTION)))
+    # the last header at or before a note: headers number sections (a running count, split over
+    # tasks however long a list is), notes take the header of their number
+    x = x.withColumn("_one", F.col("_hdr").isNotNull().cast("bigint"))
+    x = prefix_sum(x, ["list_id"], [F.col("pos")], "_one", "_section")
+    heads = x.filter(F.col("_hdr").isNotNull()).select(F.col("list_id").alias("_l"), F.col("_section").alias("_s"), F.col("_hdr").alias("section"))
+    x = x.join(heads, F.col("list_id").eqNullSafe(F.col("_l")) & (F.col("_section") == F.col("_s")), "left")
+    x = x.withColumn("section", F.coalesce("section", F.lit(NO_SECTION)))
     x = x.filter(F.col("_hdr").isNull())
     m1 = F.col("_t").rlike(NOTE_RE)
     m2 = F.col("_t").rlike(PIPE_RE)

@@ -138,14 +138,57 @@ def facts_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_long(facts(spark, sf_dir), ids)
 
 
+def _merchant(key: str):
+    """A two-word merchant name from a nation key, its digits as letters (12 -> ``Casa Mbc``)."""
+    return F.concat(F.lit("Casa M"), F.translate(F.col(key).cast("string"), "0123456789", "abcdefghij"))
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of conversations as questions; id = conv-turn, user = conv % 150."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    """User turns of conversations as questions; id = conv-turn. Askers are customers, dealt
+    by conversation. Three of four conversations open their turns with a phrase of a support
+    ticket: a refund asked of a merchant, an order to postpone, or a merchant's charge."""
+    t = lambda n: table(spark, sf_dir, n)
+    c = t("conversations").filter(F.col("role") == "user")
+    users = t("customer").select(F.max("c_custkey")).scalar()
+    n = t("nation").select(F.col("n_nationkey").alias("_n"), _merchant("n_nationkey").alias("m"))
+    kind = F.col("conv_id") % 4
+    c = c.join(n, F.col("conv_id") % 25 == F.col("_n"))
     return c.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
-        F.concat(F.lit("u"), (F.col("conv_id") % 150).cast("string")).alias("user_id"),
-        F.col("text").alias("question"),
+        F.concat(F.lit("u"), (F.col("conv_id") % users + 1).cast("string")).alias("user_id"),
+        F.concat(
+            F.when(kind == 1, F.concat(F.lit("Where is my refund from "), F.col("m"), F.lit("? ")))
+            .when(kind == 2, F.lit("Can you postpone my order? "))
+            .when(kind == 3, F.concat(F.lit("Today "), F.col("m"), F.lit(" charged me. ")))
+            .otherwise(F.lit("")),
+            F.col("text"),
+        ).alias("question"),
+    )
+
+
+def finance_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as finance questions: seven of eight conversations ask about a nation, segment,
+    cost centre (customer), brand, weekly series or match, with and without a week phrase."""
+    t = lambda n: table(spark, sf_dir, n)
+    c = t("conversations").filter(F.col("role") == "user")
+    centres, parts = t("customer").select(F.max("c_custkey")).scalar(), t("part").select(F.max("p_partkey")).scalar()
+    c = c.withColumn("k", F.col("conv_id") % 8).withColumn("_c", F.lit(100) + F.col("conv_id") % (centres - 99))
+    c = c.withColumn("_p", F.lit(1) + F.col("conv_id") % parts)
+    c = c.join(t("nation").select(F.col("n_nationkey").alias("_n"), "n_name"), F.col("conv_id") % 25 == F.col("_n"))
+    c = c.join(t("customer").select(F.col("c_custkey").alias("_c"), "c_mktsegment"), "_c")
+    c = c.join(t("part").select(F.col("p_partkey").alias("_p"), "p_brand"), "_p")
+    s = lambda e: e.cast("string")
+    q = (
+        F.when(F.col("k") == 0, F.concat(F.lit("¿Cuánto gastó la división "), "n_name", F.lit(" hasta la semana "), s(F.col("conv_id") % 53 + 1)))
+        .when(F.col("k") == 1, F.concat(F.lit("Gasto del territorio "), "c_mktsegment", F.lit(" en la semana "), s(F.col("conv_id") % 60 + 1)))
+        .when(F.col("k") == 2, F.concat(F.lit("Detalle del ceco "), s(F.col("_c")), F.lit(" acumulado a la semana 20")))
+        .when(F.col("k") == 3, F.concat(F.lit("Evolución semanal de "), "n_name"))
+        .when(F.col("k") == 4, F.lit("Match de centros sin punto"))
+        .when(F.col("k") == 5, F.concat(F.lit("Total del grupo "), "p_brand"))
+        .when(F.col("k") == 6, F.concat(F.lit("Por semana del centro "), s(F.col("_c")), F.lit(" "), "p_brand"))
+        .otherwise(F.col("text"))
     )
+    return c.select(F.concat_ws("-", s(F.col("conv_id")), s(F.col("turn"))).alias("id"), q.alias("question"))
 
 
 def corpus(spark: SparkSession, sf_dir: str, marker: str = "# ") -> DataFrame:
@@ -229,29 +272,58 @@ def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5: one order document per customer (users + orders with nested installments).
-
-    Installments are the order's line items: amount = extended price, due date = ship
-    date, status = upcoming for open orders, else failed for returned lines, else paid.
-    Merchant = supplier of the order's first line. Arrays are sorted by the whole struct.
-    """
+def _lines_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their order and the merchant (its supplier's nation) of the line."""
     t = lambda n: table(spark, sf_dir, n)
-    li = t("lineitem").join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    o = t("orders")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    status = F.when(F.col("o_orderstatus") == "O", "upcoming").when(F.col("l_returnflag") == "R", "failed").otherwise("paid")
+    sup = t("supplier").select("s_suppkey", _merchant("s_nationkey").alias("line_merchant"))
+    li = t("lineitem").join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+    return li.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+_ORDER_STATUS = "CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'completed' ELSE 'payment_failed' END"
+_INSTALLMENT_STATUS = "CASE WHEN o_orderstatus = 'O' THEN 'upcoming' WHEN l_returnflag = 'R' THEN 'failed' ELSE 'paid' END"
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5 flat: (user_id, order_id, pos, merchant, status, total) of every order with lines;
+    ``pos`` is the order's place in its user's document, the merchant that of its first line."""
+    g = _lines_of_orders(spark, sf_dir).groupBy("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").agg(
+        F.min_by("line_merchant", F.struct("l_linenumber", "l_suppkey")).alias("merchant")
+    )
+    return g.select(
+        F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"),
+        F.concat(F.lit("ord_"), F.col("o_orderkey").cast("string")).alias("order_id"), F.col("o_orderkey").alias("pos"),
+        "merchant", F.expr(_ORDER_STATUS).alias("status"), F.col("o_totalprice").cast("decimal(12,2)").alias("total"),
+    )
+
+
+def installments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5 flat: an order's line items as its installments: amount = extended price, due date =
+    ship date, status = upcoming for open orders, else failed for returned lines, else paid."""
+    x = _lines_of_orders(spark, sf_dir)
+    return x.select(
+        F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"),
+        F.concat(F.lit("ord_"), F.col("o_orderkey").cast("string")).alias("order_id"),
+        F.col("l_linenumber").alias("installment"), F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"),
+        F.col("l_shipdate").cast("date").alias("due_date"), F.expr(_INSTALLMENT_STATUS).alias("status"),
+    )
+
+
+def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: one order document per customer (users + orders with nested installments), for the
+    document reader S4. A user's orders stand in order of their key, installments by number."""
+    is_r = F.col("l_returnflag") == "R"
     inst = F.struct(
         F.col("l_linenumber").alias("installment"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"),
         F.col("l_shipdate").cast("date").alias("due_date"),
-        status.alias("status"),
-        F.when(status == "paid", F.col("l_shipdate").cast("date")).alias("paid_date"),
+        F.expr(_INSTALLMENT_STATUS).alias("status"),
+        F.when(F.expr(_INSTALLMENT_STATUS) == "paid", F.col("l_shipdate").cast("date")).alias("paid_date"),
     )
-    is_r = F.col("l_returnflag") == "R"
-    per_order = j.groupBy("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus").agg(
+    keys = ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus"]
+    per_order = _lines_of_orders(spark, sf_dir).groupBy(*keys).agg(
         F.array_sort(F.collect_list(inst)).alias("installments"),
-        F.min_by("s_name", F.struct("l_linenumber", "l_suppkey")).alias("merchant"),
+        F.min_by("line_merchant", F.struct("l_linenumber", "l_suppkey")).alias("merchant"),
         F.sum(is_r.cast("int")).alias("n_r"),
         F.sum(F.when(is_r, F.col("l_extendedprice").cast("decimal(12,2)"))).alias("r_amount"),
         F.max(F.when(is_r, F.col("l_shipdate").cast("date"))).alias("r_date"),
@@ -263,15 +335,15 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("order_date"),
         F.col("o_totalprice").cast("decimal(12,2)").alias("total"),
         F.col("o_orderpriority").alias("plan"),
-        F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "completed")
-        .otherwise("payment_failed").alias("status"),
+        F.expr(_ORDER_STATUS).alias("status"),
         F.col("n_r").cast("int").alias("reschedules_used"),
         F.when((F.col("o_orderstatus") == "F") & (F.col("n_r") > 0),
                F.struct(F.col("r_amount").alias("amount"), F.col("r_date").alias("issued_date"), F.lit("issued").alias("status"))).alias("refund"),
         F.col("installments"),
     )
-    per_user = per_order.groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("orders"))
-    c = t("customer").select("c_custkey", "c_name", "c_mktsegment")
+    placed = F.struct(F.col("o_orderkey").alias("key"), order.alias("order"))
+    per_user = per_order.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["order"]).alias("orders"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     u = per_user.join(c, F.col("o_custkey") == F.col("c_custkey"))
     user = F.struct(
         F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), F.col("c_name").alias("name"),

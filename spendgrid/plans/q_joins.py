@@ -28,7 +28,7 @@ from spendgrid.plans.sqlparts import (
     weighted_sums,
 )
 from spendgrid.plans.registry import register
-from spendgrid.session import stored
+from spendgrid.session import scratch_path, stored
 
 def _a1_sql(keys: str, where: str = "", lo: int = 1, hi: int = 30, weeks=None, sort_key: str | None = None) -> str:
     sk = sort_key or "-abs(CAST(ROUND(s_real, 2) AS DOUBLE))"
@@ -296,9 +296,10 @@ def p02b(spark, sf_dir):
 # --- P3: grain routing gives the same answer as the leaf ---------------------------------------------------
 @register("p03_pick_grain", _a1_sql("agrupa1, division"))
 def p03(spark, sf_dir):
-    leaf = B.facts(spark, sf_dir)
+    leaf = stored(B.facts(spark, sf_dir), "leaf-grain")
     grains = G.build_grains(leaf, {"division": ["agrupa1", "division"], "pdc": ["agrupa1", "division", "territorio", "pdc"]})
-    grains["leaf"] = leaf
+    paths = G.write_grains(grains, scratch_path(spark, "grains"))
+    grains = {name: spark.read.parquet(path) for name, path in paths.items()} | {"leaf": leaf}
     _, grain = G.pick_grain(["agrupa1", "division", "sem"], grains)
     return R.rollup_variance(grain, "division", Period(1, 30), smr=B.SMR)
 

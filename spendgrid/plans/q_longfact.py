@@ -61,14 +61,17 @@ def a13(spark, sf_dir):
 
 @register(
     "a14_match_report",
-    f"""WITH {FACTS_CTE}, {LONG_CTE}
+    f"""WITH {FACTS_CTE}, {LONG_CTE}, named AS (
+  SELECT * REPLACE (CASE centre % 20 WHEN 0 THEN NULL WHEN 1 THEN '0' ELSE pdc END AS pdc) FROM long)
 SELECT CASE WHEN pdc IS NULL OR pdc IN ('0', '(Sin dato)', 'Sin agrupar') THEN 'generic' ELSE 'assigned' END AS match,
   COUNT(DISTINCT centre) AS n_centres,
   CAST(ROUND(SUM(CASE WHEN serie = 'R26' THEN monto ELSE {_Z} END), 2) AS DOUBLE) AS R26
-FROM long WHERE sem <= 30 GROUP BY 1""",
+FROM named WHERE sem <= 30 GROUP BY 1""",
 )
 def a14(spark, sf_dir):
-    g = LF.match_report(B.facts_long(spark, sf_dir), 30)
+    # some centres have no point, some a placeholder
+    point = F.when(F.col("centre") % 20 == 0, None).when(F.col("centre") % 20 == 1, "0").otherwise(F.col("pdc"))
+    g = LF.match_report(B.facts_long(spark, sf_dir).withColumn("pdc", point), 30)
     return g.select("match", "n_centres", F.round("R26", 2).cast("double").alias("R26"))
 
 
@@ -123,8 +126,16 @@ def s11(spark, sf_dir):
 
 
 # --- questions ---------------------------------------------------------------------------------------------
-_TICKETS = """q AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, text AS question
-  FROM conversations WHERE role = 'user')"""
+_TICKETS = """q AS (SELECT CAST(c.conv_id AS VARCHAR) || '-' || CAST(c.turn AS VARCHAR) AS id,
+  CASE c.conv_id % 8 WHEN 0 THEN '¿Cuánto gastó la división ' || n.n_name || ' hasta la semana ' || CAST(c.conv_id % 53 + 1 AS VARCHAR)
+    WHEN 1 THEN 'Gasto del territorio ' || u.c_mktsegment || ' en la semana ' || CAST(c.conv_id % 60 + 1 AS VARCHAR)
+    WHEN 2 THEN 'Detalle del ceco ' || CAST(u.c_custkey AS VARCHAR) || ' acumulado a la semana 20'
+    WHEN 3 THEN 'Evolución semanal de ' || n.n_name WHEN 4 THEN 'Match de centros sin punto'
+    WHEN 5 THEN 'Total del grupo ' || p.p_brand WHEN 6 THEN 'Por semana del centro ' || CAST(u.c_custkey AS VARCHAR) || ' ' || p.p_brand
+    ELSE c.text END AS question
+  FROM conversations c JOIN nation n ON c.conv_id % 25 = n.n_nationkey
+  JOIN customer u ON u.c_custkey = 100 + c.conv_id % ((SELECT max(c_custkey) FROM customer) - 99)
+  JOIN part p ON p.p_partkey = 1 + c.conv_id % (SELECT max(p_partkey) FROM part) WHERE c.role = 'user')"""
 
 
 @register(
@@ -132,7 +143,7 @@ _TICKETS = """q AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCH
     f"WITH {_TICKETS} SELECT id, {fold('question')} AS folded FROM q",
 )
 def f05(spark, sf_dir):
-    return B.tickets(spark, sf_dir).select("id", QN.fold_text(F.col("question")).alias("folded"))
+    return B.finance_questions(spark, sf_dir).select("id", QN.fold_text(F.col("question")).alias("folded"))
 
 
 def _parse_sql():
@@ -147,7 +158,7 @@ p AS (SELECT id, folded, CASE WHEN {valid} THEN TRY_CAST({wk} AS INTEGER) ELSE 3
 
 @register("f10_parse_questions", f"WITH {_TICKETS}, {_parse_sql()} SELECT id, folded, cut, cumulative, weekly, centre_id FROM p")
 def f10(spark, sf_dir):
-    p = QN.parse_questions(B.tickets(spark, sf_dir), "question", B.SMR)
+    p = QN.parse_questions(B.finance_questions(spark, sf_dir), "question", B.SMR)
     return p.select("id", "folded", "cut", "cumulative", "weekly", "centre_id")
 
 
@@ -183,7 +194,7 @@ e AS (SELECT p.*, dh.division, th.territory, coalesce(gh.g_name, sh.s_name) AS g
     f"WITH {_TICKETS}, {_parse_sql()}, {_entities_sql()} SELECT id, division, territory, grupo FROM e",
 )
 def f11(spark, sf_dir):
-    p = QN.parse_questions(B.tickets(spark, sf_dir), "question", B.SMR)
+    p = QN.parse_questions(B.finance_questions(spark, sf_dir), "question", B.SMR)
     t = lambda n: B.table(spark, sf_dir, n)
     e = QN.detect_entities(
         p,
@@ -222,7 +233,7 @@ SELECT id, route, cut, division_f AS division, territorio_f AS territorio, grupo
   {_sql_money(('R25', 'P26', 'R26'))}, CAST(ROUND(R26 - P26, 2) AS DOUBLE) AS vs_plan FROM a""",
 )
 def f12(spark, sf_dir):
-    p = QN.parse_questions(B.tickets(spark, sf_dir), "question", B.SMR)
+    p = QN.parse_questions(B.finance_questions(spark, sf_dir), "question", B.SMR)
     t = lambda n: B.table(spark, sf_dir, n)
     e = QN.detect_entities(
         p,

@@ -18,7 +18,9 @@ from spendgrid.session import scratch_path
 from spendgrid.plans.registry import register
 
 # --- order documents -----------------------------------------------------------------------------
-INST_SQL = """inst AS (
+MERCHANT_SQL = """(SELECT l2.l_orderkey, arg_min('Casa M' || translate(CAST(s.s_nationkey AS VARCHAR), '0123456789', 'abcdefghij'),
+    (l2.l_linenumber, l2.l_suppkey)) AS merchant FROM lineitem l2 JOIN supplier s ON l2.l_suppkey = s.s_suppkey GROUP BY l2.l_orderkey)"""
+INST_SQL = f"""inst AS (
   SELECT 'u' || CAST(o.o_custkey AS VARCHAR) AS user_id, 'ord_' || CAST(o.o_orderkey AS VARCHAR) AS order_id,
     m.merchant, CASE WHEN o.o_orderstatus = 'O' THEN 'active' WHEN o.o_orderstatus = 'F' THEN 'completed' ELSE 'payment_failed' END AS order_status,
     l.l_linenumber AS installment, CAST(CAST(l.l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) AS amount,
@@ -26,8 +28,7 @@ INST_SQL = """inst AS (
     CASE WHEN o.o_orderstatus = 'O' THEN 'upcoming' WHEN l.l_returnflag = 'R' THEN 'failed' ELSE 'paid' END AS status,
     CASE WHEN o.o_orderstatus <> 'O' AND l.l_returnflag <> 'R' THEN CAST(l.l_shipdate AS DATE) END AS paid_date
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN (SELECT l2.l_orderkey, arg_min(s.s_name, (l2.l_linenumber, l2.l_suppkey)) AS merchant
-        FROM lineitem l2 JOIN supplier s ON l2.l_suppkey = s.s_suppkey GROUP BY l2.l_orderkey) m ON m.l_orderkey = o.o_orderkey
+  JOIN {MERCHANT_SQL} m ON m.l_orderkey = o.o_orderkey
   JOIN supplier s2 ON l.l_suppkey = s2.s_suppkey)"""
 
 
@@ -37,14 +38,9 @@ def _docs_dir(spark, sf_dir):
     return path
 
 
-def _inst(spark, sf_dir):
-    _, _, inst = SP.read_order_docs(spark, _docs_dir(spark, sf_dir))
-    return inst
-
-
 @register("s04_read_order_docs", f"WITH {INST_SQL} SELECT * FROM inst")
 def s04(spark, sf_dir):
-    inst = _inst(spark, sf_dir)
+    _, _, inst = SP.read_order_docs(spark, _docs_dir(spark, sf_dir))
     return inst.withColumn("amount", F.col("amount").cast("double"))
 
 
@@ -57,7 +53,7 @@ SELECT user_id, n.order_id, n.installment, CAST(n.amount AS DOUBLE) AS amount, n
   FROM inst WHERE status IN ('upcoming', 'failed') GROUP BY user_id)""",
 )
 def o07(spark, sf_dir):
-    n = SP.next_payment(_inst(spark, sf_dir))
+    n = SP.next_payment(B.installments(spark, sf_dir))
     return n.select("user_id", "order_id", "installment", F.col("amount").cast("double").alias("amount"), "due_date", "status")
 
 
@@ -86,46 +82,44 @@ FROM req LEFT JOIN (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey
   ON req.user_id = 'u' || CAST(o.o_custkey AS VARCHAR) AND req.order_id = 'ord_' || CAST(o.o_orderkey AS VARCHAR)""",
 )
 def j08(spark, sf_dir):
-    _, orders, _ = SP.read_order_docs(spark, _docs_dir(spark, sf_dir))
-    return SP.lookup_order(_requests(spark, sf_dir), orders).select("user_id", "order_id", "result")
+    return SP.lookup_order(_requests(spark, sf_dir), B.orders(spark, sf_dir)).select("user_id", "order_id", "result")
 
 
-TICKETS = """tk AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
-  'u' || CAST(conv_id % 150 AS VARCHAR) AS user_id, text AS question, conv_id, turn FROM conversations WHERE role = 'user')"""
+TICKETS = """tk AS (SELECT CAST(c.conv_id AS VARCHAR) || '-' || CAST(c.turn AS VARCHAR) AS id,
+  'u' || CAST(c.conv_id % (SELECT max(c_custkey) FROM customer) + 1 AS VARCHAR) AS user_id,
+  CASE c.conv_id % 4 WHEN 1 THEN 'Where is my refund from ' || m.m || '? ' WHEN 2 THEN 'Can you postpone my order? '
+    WHEN 3 THEN 'Today ' || m.m || ' charged me. ' ELSE '' END || c.text AS question, c.conv_id, c.turn
+  FROM conversations c JOIN (SELECT n_nationkey, 'Casa M' || translate(CAST(n_nationkey AS VARCHAR), '0123456789', 'abcdefghij') AS m FROM nation) m ON c.conv_id % 25 = m.n_nationkey WHERE c.role = 'user')"""
+GUESS_SQL = f"""g AS (SELECT id, user_id, lower(regexp_replace(regexp_extract(question, '{SP.MERCHANT_RE}', 1), '^{TX.WS}+|{TX.WS}+$', '', 'g')) AS guess
+      FROM tk WHERE regexp_extract(question, '{SP.MERCHANT_RE}', 1) <> ''),
+om AS (SELECT 'u' || CAST(o.o_custkey AS VARCHAR) AS user_id, 'ord_' || CAST(o.o_orderkey AS VARCHAR) AS order_id, o.o_orderkey AS pos,
+         lower(m.merchant) AS m FROM orders o JOIN {MERCHANT_SQL} m ON m.l_orderkey = o.o_orderkey),
+j9 AS (SELECT g.id, arg_min(om.order_id, om.pos) AS order_id FROM g JOIN om ON g.user_id = om.user_id
+  WHERE om.m <> '' AND (instr(g.guess, om.m) > 0 OR instr(om.m, g.guess) > 0) GROUP BY g.id)"""
 
 
-@register(
-    "j09_match_merchant",
-    f"""WITH {TICKETS},
-g AS (SELECT id, user_id, lower(regexp_replace(regexp_extract(question, '{SP.MERCHANT_RE}', 1), '^{TX.WS}+|{TX.WS}+$', '', 'g')) AS guess
-      FROM tk WHERE regexp_extract(question, '{SP.MERCHANT_RE}', 1) <> ''),
-om AS (SELECT 'u' || CAST(o.o_custkey AS VARCHAR) AS user_id, 'ord_' || CAST(o.o_orderkey AS VARCHAR) AS order_id,
-         lower(arg_min(s.s_name, (l.l_linenumber, l.l_suppkey))) AS m
-       FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2)
-SELECT g.id, min(om.order_id) AS order_id FROM g JOIN om ON g.user_id = om.user_id
-WHERE om.m <> '' AND (instr(g.guess, om.m) > 0 OR instr(om.m, g.guess) > 0) GROUP BY g.id""",
-)
+@register("j09_match_merchant", f"WITH {TICKETS}, {GUESS_SQL} SELECT id, order_id FROM j9")
 def j09(spark, sf_dir):
-    _, orders, _ = SP.read_order_docs(spark, _docs_dir(spark, sf_dir))
-    return SP.match_merchant(B.tickets(spark, sf_dir), orders)
+    return SP.match_merchant(B.tickets(spark, sf_dir), B.orders(spark, sf_dir))
 
 
-# --- hint table derived from the questions (frequent word pairs, ranked) --------------------------
+# --- hint table derived from the questions: word pairs in at least HINT_SHARE of them ---------------
+HINT_SHARE = 0.02  # so there are at most 50 times the mean number of pairs in a question
 HINTS_SQL = f"""w AS (SELECT id, regexp_extract_all(lower(question), '{TX.WORD_RUN}') AS ws FROM tk),
-bg AS (SELECT ws[i] || ' ' || ws[i + 1] AS hint FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w)),
-rk AS (SELECT hint, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, hint) AS r FROM bg GROUP BY hint),
-hints AS (SELECT 'cat' || CAST((r - 1) // 10 AS VARCHAR) AS category, CAST((r - 1) // 10 AS INTEGER) AS cat_order, hint,
-            CASE WHEN (r - 1) // 10 = 0 THEN ['password', '2fa'] ELSE []::VARCHAR[] END AS extra FROM rk WHERE r <= 40)"""
+bg AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] AS hint FROM (SELECT id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+rk AS (SELECT hint, length(hint) % 4 AS c FROM bg GROUP BY hint HAVING COUNT(*) >= {HINT_SHARE} * (SELECT COUNT(*) FROM tk)),
+hints AS (SELECT 'cat' || CAST(c AS VARCHAR) AS category, CAST(c AS INTEGER) AS cat_order, hint,
+            CASE WHEN c = 0 THEN ['password', '2fa'] ELSE []::VARCHAR[] END AS extra FROM rk)"""
 
 
 def _hints(spark, sf_dir):
-    w = B.tickets(spark, sf_dir).select(F.regexp_extract_all(F.lower("question"), F.lit(TX.WORD_RUN), 0).alias("ws"))
-    bg = w.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.concat(
-        F.element_at("ws", i), F.lit(" "), F.element_at("ws", i + 1)))).alias("hint"))
-    top = bg.groupBy("hint").count().orderBy(F.col("count").desc(), "hint").limit(40)
-    top = top.withColumn("r", F.row_number().over(Window.orderBy(F.col("count").desc(), "hint")))
-    c = ((F.col("r") - 1) / 10).cast("int")
-    return top.select(
+    t = B.tickets(spark, sf_dir)
+    w = t.select("id", F.regexp_extract_all(F.lower("question"), F.lit(TX.WORD_RUN), 0).alias("ws")).filter(F.size("ws") > 1)
+    bg = w.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.concat(
+        F.element_at("ws", i), F.lit(" "), F.element_at("ws", i + 1))))).alias("hint"))
+    rk = bg.groupBy("hint").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HINT_SHARE * t.select(F.count(F.lit(1))).scalar())
+    c = (F.length("hint") % 4).cast("int")
+    return rk.select(
         F.concat(F.lit("cat"), c.cast("string")).alias("category"), c.alias("cat_order"), "hint",
         F.when(c == 0, F.array(F.lit("password"), F.lit("2fa"))).otherwise(F.array().cast("array<string>")).alias("extra"),
     )
@@ -192,7 +186,7 @@ ans AS (SELECT id, 1 AS run, 'policy' AS route, text AS answer FROM gold
                translate(text, '{TX._F6_SRC}', '{TX._F6_DST}') FROM gold),
 sc AS (SELECT g.id, a.run, g.expected_route, a.route,
   CASE WHEN a.route IS NULL AND a.answer IS NULL THEN ['missing answer'] ELSE list_concat(
-    CASE WHEN a.route <> g.expected_route THEN ['route ' || a.route] ELSE []::VARCHAR[] END,
+    CASE WHEN a.route IS DISTINCT FROM g.expected_route THEN ['route ' || coalesce(a.route, '')] ELSE []::VARCHAR[] END,
     list_transform(list_filter(g.must_include, lambda p: NOT regexp_matches(coalesce(a.answer, ''), p, 'i')), lambda p: 'missing ' || p),
     list_transform(list_filter(g.must_not_include, lambda p: regexp_matches(coalesce(a.answer, ''), p, 'i')), lambda p: 'forbidden ' || p))
   END AS reasons FROM gold g LEFT JOIN ans a ON g.id = a.id)"""
@@ -324,16 +318,22 @@ def f14(spark, sf_dir):
 
 @register(
     "f15_date_forms",
-    f"""WITH {INST_SQL}
-SELECT order_id, installment, strftime(due_date, '%B') || ' ' || CAST(day(due_date) AS VARCHAR) AS due_text,
-  contains(order_id || ' due ' || strftime(due_date, '%Y-%m-%d'), strftime(due_date, '%Y-%m-%d')) AS iso_present
-FROM inst""",
+    f"""WITH {INST_SQL}, t AS (
+  SELECT order_id, installment, due_date, strftime(due_date, '%B') || ' ' || CAST(day(due_date) AS VARCHAR) AS due_text,
+    CASE installment % 4 WHEN 0 THEN strftime(due_date, '%Y-%m-%d') WHEN 1 THEN upper(strftime(due_date, '%B') || ' ' || CAST(day(due_date) AS VARCHAR))
+      WHEN 2 THEN strftime(due_date + 40, '%Y-%m-%d') ELSE strftime(due_date, '%d/%m/%Y') END AS said FROM inst)
+SELECT order_id, installment, due_text, contains('Due on ' || said, strftime(due_date, '%Y-%m-%d'))
+  OR contains(lower('Due on ' || said), lower(due_text)) AS present FROM t""",
 )
 def f15(spark, sf_dir):
-    i = _inst(spark, sf_dir)
-    txt = F.concat(F.col("order_id"), F.lit(" due "), F.date_format("due_date", "yyyy-MM-dd"))
-    return i.select("order_id", "installment", TX.date_text(F.col("due_date")).alias("due_text"),
-                    txt.contains(F.date_format("due_date", "yyyy-MM-dd")).alias("iso_present"))
+    i = B.installments(spark, sf_dir)
+    kind, due = F.col("installment") % 4, F.col("due_date")
+    said = (
+        F.when(kind == 0, F.date_format(due, "yyyy-MM-dd")).when(kind == 1, F.upper(TX.date_text(due)))
+        .when(kind == 2, F.date_format(F.date_add(due, 40), "yyyy-MM-dd")).otherwise(F.date_format(due, "dd/MM/yyyy"))
+    )
+    i = i.withColumn("text", F.concat(F.lit("Due on "), said))
+    return i.select("order_id", "installment", TX.date_text(due).alias("due_text"), TX.date_present(F.col("text"), due).alias("present"))
 
 
 # --- E7: guardrails over assistant replies (rows-only: free text assembled from joins) -------------
@@ -355,7 +355,7 @@ def e07(spark, sf_dir):
     hits = RV.search_bm25(t.select(F.col("id").alias("qid"), F.col("question").alias("text")), ch, 3)
     hits = hits.join(ch.select("doc_id", "start_line", "content"), ["doc_id", "start_line"]).select(
         F.col("qid").alias("id"), "rank", F.col("doc_id").cast("string").alias("doc"), F.col("content").alias("text"))
-    nxt = SP.next_payment(_inst(spark, sf_dir))
+    nxt = SP.next_payment(B.installments(spark, sf_dir))
     due = t.join(nxt.select("user_id", "due_date"), "user_id").select("id", "due_date")
     return SP.guard_answers(answers, decisions, hits, due)
 

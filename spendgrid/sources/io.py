@@ -7,6 +7,8 @@ Spark.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,24 +43,22 @@ def read_text_corpus(spark: SparkSession, root: str, exts=(".md", ".py"), ignore
     """Recursive text scan: files with the given extensions, listed directories
     skipped, undecodable bytes dropped, path kept relative to ``root``.
 
-    ``binaryFile`` keeps the raw bytes; ``decode`` marks malformed sequences with U+FFFD,
-    which are then removed.
+    Extensions are a glob filter of the file listing, so other files are never opened; ignored
+    directories are a filter on the file's path.
+    ``binaryFile`` keeps the raw bytes of a file; ``decode`` marks malformed sequences with
+    U+FFFD, which are then removed.
     """
-    import re
-
     root = root.rstrip("/")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    glob = "{" + ",".join("*" + e for e in exts) + "}"
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     bare = re.sub(r"^file:(//)?", "", root)
     path = F.regexp_replace(F.col("path"), r"^file:(//)?", "")
     rel = F.regexp_replace(path, "^" + re.escape(bare) + "/?", "")
-    keep_ext = F.lit(False)
-    for e in exts:
-        keep_ext = keep_ext | rel.endswith(e)
     ignored = F.lit(False)
     for d in ignore:
-        ignored = ignored | rel.rlike(r"(^|/)" + d.replace(".", r"\.") + "(/|$)")
+        ignored = ignored | rel.rlike(r"(^|/)" + re.escape(d) + "(/|$)")
     text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "�", "")
-    return df.filter(keep_ext & ~ignored).select(rel.alias("path"), text.alias("text"))
+    return df.filter(~ignored).select(rel.alias("path"), text.alias("text"))
 
 
 def export_csv(df: DataFrame, path: str, id_prefix: dict[str, str] | None = None, dp: int = 2) -> str:
