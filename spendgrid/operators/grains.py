@@ -37,7 +37,7 @@ FROM_POINT_GRAIN = {"region": "pdc", "zona": "pdc"}
 
 def grain_size(df: DataFrame) -> int:
     """Bytes of a grain as the optimiser knows them: its files' size, or the estimate of its plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def pick_grain(needed: list[str], grains: dict[str, DataFrame], alias: str | None = None, filters=(),

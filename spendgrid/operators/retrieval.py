@@ -1,10 +1,12 @@
 """Inverted index and lexical retrieval, context assembly and ranking metrics.
 
-The index is three DataFrames (postings, document frequencies, chunk lengths). A batch
-of queries is scored by joining query terms to postings on ``term`` and summing per
-(query, chunk); only postings of query terms are touched. Top-k per query is
-``row_number() <= k``, which Spark plans with a per-partition group limit before the
-shuffle, so a query with many candidate chunks never lands whole in one task.
+The index is built and stored once per corpus and passed to the searches: postings (hash-
+partitioned by chunk), document frequencies, chunk lengths. A batch of queries is joined with the
+document frequencies and written, so its size is known; the planner then broadcasts it into the
+postings if it is small enough for the session, and shuffles both sides otherwise. Scores are
+summed per (query, chunk) with a partial sum where the postings lie. Top-k per query is
+``row_number() <= k``, which Spark plans with a per-partition group limit before the shuffle, so a
+query with many candidate chunks never lands whole in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendgrid.functions.text import expand_query, tokens_stem, tokens_stem_raw, tokens_word
+from spendgrid.functions.text import expand_query, tokens_stem, tokens_stem_raw, tokens_word, with_stem
+from spendgrid.session import cut_lineage, stored
 
 SCORE_DP = 9  # ranking uses the score rounded to 9 dp so equal scores tie exactly
 
@@ -25,8 +28,8 @@ class Index:
     postings: DataFrame  # chunk_id, doc_id, start_line, len, term, tf  (hash-partitioned by chunk_id)
     dfreq: DataFrame  # term, df
     lengths: DataFrame  # chunk_id, doc_id, start_line, len (+ carried chunk columns)
-    n_docs: Column  # scalar subquery
-    avgdl: Column  # scalar subquery
+    n_docs: int
+    avgdl: float | None
 
 
 def chunk_key(df: DataFrame) -> DataFrame:
@@ -34,38 +37,27 @@ def chunk_key(df: DataFrame) -> DataFrame:
     return df.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("start_line").cast("string")))
 
 
-def build_index(chunks: DataFrame, tokens: Column, keep=("doc_id", "start_line"), stem: bool = False,
-                materialize: bool = True) -> Index:
+def build_index(chunks: DataFrame, tokens: Column, keep=("doc_id", "start_line"), stem: bool = False) -> Index:
     """T4: tf per (chunk, term), df per term, chunk length, N and average length.
 
-    The tokenised chunks are hash-partitioned by ``chunk_id`` and (by default) written
-    once as a reliable checkpoint in the cluster's ``spark.checkpoint.dir`` -- the index
-    is a stored artefact reused by several aggregates. Postings keep that partitioning
-    (they group by chunk first), so scoring a query batch against them needs no shuffle
-    of the postings. ``stem=True`` stems each token row with code-generated expressions.
-    The df aggregate is combined map-side, so very common terms do not skew it.
+    The tokenised chunks are hash-partitioned by ``chunk_id`` and written once as a reliable
+    checkpoint in the cluster's ``spark.checkpoint.dir``; postings keep that partitioning (they
+    group by chunk first), so neither building nor scoring them shuffles them. ``stem=True`` stems
+    each token row with code-generated expressions. The df aggregate is combined map-side, so very
+    common terms do not skew it.
     """
     keep = tuple(k for k in keep if k not in ("chunk_id",))
-    t = chunks.select("chunk_id", *keep, tokens.alias("toks")).repartition("chunk_id")
-    if materialize:
-        from spendgrid.session import cut_lineage
-
-        t = cut_lineage(t)
+    t = cut_lineage(chunks.select("chunk_id", *keep, tokens.alias("toks")).repartition("chunk_id"))
     t = t.withColumn("len", F.size("toks"))
     lengths = t.select("chunk_id", *keep, "len")
     pos = [k for k in ("doc_id", "start_line") if k in keep]
     raw = t.select("chunk_id", *pos, "len", F.explode("toks").alias("term"))
     if stem:
-        from spendgrid.functions.text import with_stem
-
         raw = with_stem(raw, "term")
-    postings = raw.groupBy("chunk_id", *pos, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    if materialize:
-        postings = cut_lineage(postings)  # the stored index: read by df and by every scoring
-    dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = lengths.select(F.count(F.lit(1))).scalar()
-    avgdl = lengths.select(F.avg("len")).scalar()
-    return Index(postings, dfreq, lengths, n_docs, avgdl)
+    postings = cut_lineage(raw.groupBy("chunk_id", *pos, "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    dfreq = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "index-df")
+    n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("len")).first()
+    return Index(postings, dfreq, lengths, n, avgdl)
 
 
 def _query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
@@ -75,14 +67,9 @@ def _query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
 
 
 def _score(idx: Index, qt: DataFrame, weight) -> DataFrame:
-    """Sum ``weight`` over matching (query term, posting) pairs per (query, chunk).
-
-    The query-term table (a query batch: bounded, and joined with df first) is broadcast
-    into the chunk-partitioned postings, so the pairs are produced and summed where the
-    postings live; only per-(query, chunk) scores leave the task.
-    """
-    q = qt.join(idx.dfreq, "term")
-    j = idx.postings.join(F.broadcast(q), "term")
+    """Sum ``weight`` over matching (query term, posting) pairs per (query, chunk)."""
+    q = stored(qt.join(idx.dfreq, "term"), "query-terms")
+    j = idx.postings.join(q, "term")
     return j.groupBy("qid", "chunk_id", "doc_id", "start_line").agg(F.sum(weight).alias("score"))
 
 
@@ -92,22 +79,26 @@ def top_k(scores: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def search_tfidf(queries: DataFrame, chunks: DataFrame, k: int = 5, fields: str = "content") -> DataFrame:
-    """T5: score = sum over query tokens (repeats count) of tf/len * (ln((N+1)/(df+0.5)) + 1);
-    score > 0; top-k ties by document position; score rounded to 4; snippet of 400
-    characters plus ``...`` when cut. ``fields='all'`` also indexes heading and doc id."""
+def tfidf_index(chunks: DataFrame, fields: str = "content") -> Index:
+    """The index of T5; ``fields='all'`` also indexes heading and doc id. Only the 400-character
+    snippet of a chunk travels with it, not the whole text."""
     text = F.col("content") if fields == "content" else F.concat_ws(" ", F.col("content"), F.col("heading"), F.col("doc_id").cast("string"))
-    # only the 400-character snippet travels with the index, not the whole chunk text
     snippet = F.when(F.length("content") > 400, F.concat(F.substring("content", 1, 400), F.lit("..."))).otherwise(F.col("content"))
     chunks = chunks.withColumn("snippet", snippet)
-    idx = build_index(chunks, tokens_word(text), keep=("doc_id", "start_line", "heading", "end_line", "type", "snippet"))
+    return build_index(chunks, tokens_word(text), keep=("doc_id", "start_line", "heading", "end_line", "type", "snippet"))
+
+
+def search_tfidf(queries: DataFrame, idx: Index, k: int = 5) -> DataFrame:
+    """T5: score = sum over query tokens (repeats count) of tf/len * (ln((N+1)/(df+0.5)) + 1);
+    score > 0; top-k ties by document position; score rounded to 4; snippet of 400
+    characters plus ``...`` when cut."""
     qt = _query_terms(queries, tokens_word(F.col("text")))
     contrib = F.col("qtf") * (F.col("tf") / F.greatest(F.col("len"), F.lit(1))) * (
-        F.log((idx.n_docs + 1) / (F.col("df") + 0.5)) + 1.0
+        F.log((F.lit(idx.n_docs) + 1) / (F.col("df") + 0.5)) + 1.0
     )
     s = _score(idx, qt, contrib).filter(F.col("score") > 0)
     top = top_k(s, k, [F.round("score", SCORE_DP).desc(), "doc_id", "start_line"])
-    top = idx.lengths.select("chunk_id", "heading", "end_line", "type", "snippet").join(F.broadcast(top), "chunk_id")
+    top = idx.lengths.select("chunk_id", "heading", "end_line", "type", "snippet").join(top, "chunk_id")
     return top.select(
         "qid", "rank", "doc_id", "heading", "start_line", "end_line", "type",
         F.round("score", 4).alias("score"), "snippet",
@@ -129,21 +120,24 @@ def searchable_text(chunks: DataFrame, aliases: dict[str, str] | None = None) ->
     return F.concat_ws(" ", *parts)
 
 
-def search_bm25(queries: DataFrame, chunks: DataFrame, k: int = 3, aliases: dict[str, str] | None = None,
-                expand: bool = True) -> DataFrame:
+def bm25_index(chunks: DataFrame, aliases: dict[str, str] | None = None) -> Index:
+    """The index of T6: tokeniser-B stems of the searchable text."""
+    return build_index(chunks, tokens_stem_raw(searchable_text(chunks, aliases)), stem=True)
+
+
+def search_bm25(queries: DataFrame, idx: Index, k: int = 3, expand: bool = True) -> DataFrame:
     """Okapi BM25 (k1=1.5, b=0.75, idf ln(1+(N-df+.5)/(df+.5))) over tokeniser-B
     tokens of the searchable text; query tokens expanded (F9) with repeats counted;
     score > 0, ties by chunk order; a query with no usable token gets the first k chunks.
     """
-    idx = build_index(chunks, tokens_stem_raw(searchable_text(chunks, aliases)), stem=True)
     qtok = tokens_stem(F.col("text"))
     if expand:
         qtok = expand_query(qtok)
     q = queries.select("qid", qtok.alias("toks"))
     qt = q.select("qid", F.explode("toks").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    idf = F.log(1.0 + (idx.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1.0 + (F.lit(idx.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf")
-    denom = tf + K1 * (1.0 - B + B * F.col("len") / idx.avgdl)
+    denom = tf + K1 * (1.0 - B + B * F.col("len") / F.lit(idx.avgdl))
     contrib = F.col("qtf") * (idf * (tf * (K1 + 1.0)) / denom)
     s = _score(idx, qt, contrib).filter(F.col("score") > 0)
     hits = top_k(s, k, [F.round("score", SCORE_DP).desc(), "doc_id", "start_line"])
@@ -188,40 +182,39 @@ def cosine_tokens(text: Column, stopwords: list[str]) -> Column:
     return F.filter(toks, lambda w: ~w.isin(stopwords))
 
 
-def search_cosine(queries: DataFrame, docs: DataFrame, k: int = 3, stopwords: list[str] | None = None) -> DataFrame:
+def cosine_index(docs: DataFrame, stopwords: list[str] | None = None) -> tuple[Index, DataFrame]:
+    """The index of T7 over whole documents, and each document's norm ``(chunk_id, dn)``."""
+    sw = stopwords if stopwords is not None else ENGLISH_STOP_WORDS
+    d = docs.withColumn("start_line", F.lit(1)).withColumn("chunk_id", F.col("doc_id").cast("string"))
+    idx = build_index(d, cosine_tokens(F.col("text"), sw))
+    w = F.col("tf") * _smooth_idf(idx)
+    norms = idx.postings.join(idx.dfreq, "term").groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("dn"))
+    return idx, stored(norms, "index-norms")
+
+
+def _smooth_idf(idx: Index) -> Column:
+    return F.log((F.lit(idx.n_docs) + 1) / (1 + F.col("df"))) + 1.0
+
+
+def search_cosine(queries: DataFrame, idx: Index, norms: DataFrame, k: int = 3, stopwords: list[str] | None = None) -> DataFrame:
     """TF-IDF cosine, idf = ln((1+n)/(1+df)) + 1 (smooth), raw tf, L2-normalised,
     English stop words out, tokens of 2+ word characters; top-k *including* zero scores
     (ties by doc id descending).
 
     Zero-score fill needs no query x document pairs: only the k highest doc ids can fill
-    the gap, so they are a k-row broadcast candidate set.
+    the gap, so they are a k-element array exploded per query.
     """
     sw = stopwords if stopwords is not None else ENGLISH_STOP_WORDS
-    from spendgrid.session import cut_lineage
-
-    d = docs.select("doc_id", cosine_tokens(F.col("text"), sw).alias("toks"))
-    # the postings feed df, the document weights and the norms: written once
-    post = cut_lineage(d.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.select(F.count(F.lit(1))).scalar()
-    idf = dfreq.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1.0).alias("idf"))
-    dw = post.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    dnorm = dw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    q = queries.select("qid", cosine_tokens(F.col("text"), sw).alias("toks"))
-    qp = q.select("qid", F.explode("toks").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("tf"))
-    qw = qp.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))  # unknown terms have no idf
-    qnorm = qw.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    dot = qw.select("qid", "term", F.col("w").alias("wq")).join(dw.select("doc_id", "term", F.col("w").alias("wd")), "term")
-    sims = dot.groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
-    sims = sims.join(qnorm, "qid").join(dnorm, "doc_id").select(
-        "qid", "doc_id", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score")
-    )
-    # only the k highest doc ids can fill a gap: a k-element scalar array, exploded per query
-    fill = docs.select("doc_id").orderBy(F.col("doc_id").desc()).limit(k).agg(F.collect_list("doc_id")).scalar()
+    qt = _query_terms(queries, cosine_tokens(F.col("text"), sw))
+    idf = _smooth_idf(idx)
+    # unknown terms have no idf
+    qnorm = qt.join(idx.dfreq, "term").groupBy("qid").agg(F.sqrt(F.sum(F.col("qtf") * idf * F.col("qtf") * idf)).alias("qn"))
+    dot = _score(idx, qt, (F.col("qtf") * idf) * (F.col("tf") * idf))
+    sims = dot.join(qnorm, "qid").join(norms, "chunk_id").select("qid", "doc_id", (F.col("score") / (F.col("qn") * F.col("dn"))).alias("score"))
+    fill = idx.lengths.select("doc_id").orderBy(F.col("doc_id").desc()).limit(k).agg(F.collect_list("doc_id")).scalar()
     zero = queries.select("qid", F.explode(fill).alias("doc_id")).withColumn("score", F.lit(0.0))
     zero = zero.join(sims.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-    cand = sims.unionByName(zero)
-    top = top_k(cand, k, [F.round("score", SCORE_DP).desc(), F.col("doc_id").desc()])
+    top = top_k(sims.unionByName(zero), k, [F.round("score", SCORE_DP).desc(), F.col("doc_id").desc()])
     return top.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -14,7 +14,7 @@ from spendgrid.operators import questions as QN
 from spendgrid.operators import support as SP
 from spendgrid.plans import bindings as B
 from spendgrid.plans import sqltext as S
-from spendgrid.session import scratch_path
+from spendgrid.session import scratch_path, stored
 from spendgrid.plans.registry import register
 
 # --- order documents -----------------------------------------------------------------------------
@@ -90,12 +90,12 @@ TICKETS = """tk AS (SELECT CAST(c.conv_id AS VARCHAR) || '-' || CAST(c.turn AS V
   CASE c.conv_id % 4 WHEN 1 THEN 'Where is my refund from ' || m.m || '? ' WHEN 2 THEN 'Can you postpone my order? '
     WHEN 3 THEN 'Today ' || m.m || ' charged me. ' ELSE '' END || c.text AS question, c.conv_id, c.turn
   FROM conversations c JOIN (SELECT n_nationkey, 'Casa M' || translate(CAST(n_nationkey AS VARCHAR), '0123456789', 'abcdefghij') AS m FROM nation) m ON c.conv_id % 25 = m.n_nationkey WHERE c.role = 'user')"""
-GUESS_SQL = f"""g AS (SELECT id, user_id, lower(regexp_replace(regexp_extract(question, '{SP.MERCHANT_RE}', 1), '^{TX.WS}+|{TX.WS}+$', '', 'g')) AS guess
+GUESS_SQL = f"""guessed AS (SELECT id, user_id, lower(regexp_replace(regexp_extract(question, '{SP.MERCHANT_RE}', 1), '^{TX.WS}+|{TX.WS}+$', '', 'g')) AS guess
       FROM tk WHERE regexp_extract(question, '{SP.MERCHANT_RE}', 1) <> ''),
 om AS (SELECT 'u' || CAST(o.o_custkey AS VARCHAR) AS user_id, 'ord_' || CAST(o.o_orderkey AS VARCHAR) AS order_id, o.o_orderkey AS pos,
          lower(m.merchant) AS m FROM orders o JOIN {MERCHANT_SQL} m ON m.l_orderkey = o.o_orderkey),
-j9 AS (SELECT g.id, arg_min(om.order_id, om.pos) AS order_id FROM g JOIN om ON g.user_id = om.user_id
-  WHERE om.m <> '' AND (instr(g.guess, om.m) > 0 OR instr(om.m, g.guess) > 0) GROUP BY g.id)"""
+j9 AS (SELECT gs.id, arg_min(om.order_id, om.pos) AS order_id FROM guessed gs JOIN om ON gs.user_id = om.user_id
+  WHERE om.m <> '' AND (instr(gs.guess, om.m) > 0 OR instr(om.m, gs.guess) > 0) GROUP BY gs.id)"""
 
 
 @register("j09_match_merchant", f"WITH {TICKETS}, {GUESS_SQL} SELECT id, order_id FROM j9")
@@ -340,6 +340,7 @@ def f15(spark, sf_dir):
 @register("e07_guard_answers")
 def e07(spark, sf_dir):
     from spendgrid.operators import retrieval as RV
+    from spendgrid.plans.q_text import corpus_index
 
     t = B.tickets(spark, sf_dir)
     conv = B.table(spark, sf_dir, "conversations")
@@ -351,8 +352,8 @@ def e07(spark, sf_dir):
         F.lit("policy").alias("route"), "answer",
     )
     decisions = SP.classify_tickets(t, _hints(spark, sf_dir))
-    ch = RV.chunk_key(CH.chunk_h2(B.corpus(spark, sf_dir, "## ")))
-    hits = RV.search_bm25(t.select(F.col("id").alias("qid"), F.col("question").alias("text")), ch, 3)
+    ch = CH.chunk_h2(B.corpus(spark, sf_dir, "## "))
+    hits = RV.search_bm25(t.select(F.col("id").alias("qid"), F.col("question").alias("text")), corpus_index(spark, sf_dir, "bm25"), 3)
     hits = hits.join(ch.select("doc_id", "start_line", "content"), ["doc_id", "start_line"]).select(
         F.col("qid").alias("id"), "rank", F.col("doc_id").cast("string").alias("doc"), F.col("content").alias("text"))
     nxt = SP.next_payment(B.installments(spark, sf_dir))
@@ -419,22 +420,43 @@ def f13(spark, sf_dir):
     return SP.parse_notes(_notes(spark, sf_dir))
 
 
-# --- X1: the same classification as an incremental stream over case files -------------------------
-@register("x01_stream_cases", f"WITH {E4_SQL} SELECT e4.*, tk.user_id, tk.question FROM e4 JOIN tk ON e4.id = tk.id")
+# --- X1: the same scoring as an incremental stream over case files --------------------------------
+def _x01_sql():
+    from spendgrid.plans.q_text import bm25_ctes
+
+    return f"""WITH {E4_SQL}, {GUESS_SQL}, {INST_SQL}, {bm25_ctes('SELECT id AS qid, question AS text FROM tk')},
+due AS (SELECT user_id, arg_min(due_date, (due_date, order_id, installment)) AS next_due
+        FROM inst WHERE status IN ('upcoming', 'failed') GROUP BY user_id)
+SELECT e4.*, tk.user_id, tk.question, j9.order_id, CASE WHEN j9.order_id IS NOT NULL THEN 'found' END AS order_result, due.next_due,
+  CAST(hits.doc_id AS VARCHAR) AS policy_doc
+FROM e4 JOIN tk ON e4.id = tk.id LEFT JOIN j9 ON tk.id = j9.id LEFT JOIN due ON tk.user_id = due.user_id
+LEFT JOIN hits ON tk.id = hits.qid AND hits.rank = 1"""
+
+
+@register("x01_stream_cases", _x01_sql)
 def x01(spark, sf_dir):
+    from spendgrid.operators import retrieval as RV
+    from spendgrid.plans.q_text import corpus_index
     from spendgrid.streaming.cases import stream_cases
 
     t = B.tickets(spark, sf_dir).withColumn("conv", F.split("id", "-")[0].cast("bigint"))
     base = scratch_path(spark, "stream")
     src, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
-    hints = _hints(spark, sf_dir)
+    hints, idx = stored(_hints(spark, sf_dir), "hints"), corpus_index(spark, sf_dir, "bm25")
+    orders, inst = stored(B.orders(spark, sf_dir), "orders"), stored(B.installments(spark, sf_dir), "installments")
+
+    def search(q):
+        return RV.search_bm25(q, idx, 1).select("qid", F.col("doc_id").alias("doc"))
+
+    def run():
+        return stream_cases(spark, src + "/*", out, ckpt, hints, orders, inst, search, CASE_SCHEMA)
+
     cols = ["id", "user_id", "question"]
     # run 1: tickets of even conversations arrive
     t.filter(F.col("conv") % 2 == 0).select(*cols).repartition(3, "id").write.json(f"{src}/part1")
-    stream_cases(spark, src + "/*", out, ckpt, hints, CASE_SCHEMA)
+    run()
     # run 2 (a restart): odd conversations arrive, plus re-sent copies of run-1 tickets
     t.filter(F.col("conv") % 2 == 1).select(*cols).repartition(2, "id").write.json(f"{src}/part2")
     resent = t.filter(F.col("conv") % 2 == 0).select("id", "user_id", F.concat("question", F.lit(" [resent]")).alias("question"))
     resent.repartition(2, "id").write.json(f"{src}/part3")
-    res = stream_cases(spark, src + "/*", out, ckpt, hints, CASE_SCHEMA)
-    return res.drop("batch_id")
+    return run().drop("batch_id")

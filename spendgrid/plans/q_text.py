@@ -11,6 +11,7 @@ from spendgrid.operators import retrieval as RV
 from spendgrid.plans import bindings as B
 from spendgrid.plans import sqltext as S
 from spendgrid.plans.registry import register
+from spendgrid.session import stored
 
 # --- F6-F9 ----------------------------------------------------------------------------------------
 @register(
@@ -112,6 +113,23 @@ def _chunks_cte(sql: str, name: str) -> str:
     return f"{ctes},\n{name} AS (SELECT doc_id || ':' || start_line AS chunk_id, * FROM (SELECT {sel}))"
 
 
+_INDEXES: dict[tuple, object] = {}
+
+
+def corpus_index(spark, sf_dir: str, kind: str):
+    """The stored index of a corpus: built by the first query of the application that needs it,
+    then read by all (``tfidf`` over T1 chunks, ``bm25`` over T2 chunks, ``cosine`` over documents)."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _INDEXES:
+        if kind == "tfidf":
+            _INDEXES[key] = RV.tfidf_index(RV.chunk_key(CH.chunk_headings(B.corpus(spark, sf_dir, "# "))))
+        elif kind == "bm25":
+            _INDEXES[key] = RV.bm25_index(RV.chunk_key(CH.chunk_h2(B.corpus(spark, sf_dir, "## "))))
+        else:
+            _INDEXES[key] = RV.cosine_index(B.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _INDEXES[key]
+
+
 @register(
     "t04_build_index",
     f"""WITH {_chunks_cte(T1_SQL, 'ch')},
@@ -121,8 +139,7 @@ df AS (SELECT term, COUNT(*) AS df FROM post GROUP BY term)
 SELECT chunk_id, term, tf, df FROM post JOIN df USING (term)""",
 )
 def t04(spark, sf_dir):
-    ch = RV.chunk_key(CH.chunk_headings(B.corpus(spark, sf_dir, "# ")))
-    idx = RV.build_index(ch, TX.tokens_word(F.col("content")))
+    idx = corpus_index(spark, sf_dir, "tfidf")
     return idx.postings.join(idx.dfreq, "term").select("chunk_id", "term", "tf", "df")  # df: vocabulary-sized
 
 
@@ -148,19 +165,20 @@ SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, heading, start_line, end_line
 FROM r WHERE rank <= 5""",
 )
 def t05(spark, sf_dir):
-    ch = RV.chunk_key(CH.chunk_headings(B.corpus(spark, sf_dir, "# ")))
-    return RV.search_tfidf(B.passages(spark, sf_dir), ch, 5).withColumn("rank", F.col("rank").cast("int"))
+    return RV.search_tfidf(B.passages(spark, sf_dir), corpus_index(spark, sf_dir, "tfidf"), 5).withColumn("rank", F.col("rank").cast("int"))
 
 
 # --- T6: BM25 over T2 chunks ------------------------------------------------------------------------------------
 _SEARCHABLE = "heading || ' ' || content || ' ' || translate(CAST(doc_id AS VARCHAR), '_-', '  ')"
-_BM25_CTES = f"""{_chunks_cte(T2_SQL, 'ch')},
+def bm25_ctes(queries: str) -> str:
+    """CTEs up to ``hits`` for the queries ``(qid, text)``."""
+    return f"""{_chunks_cte(T2_SQL, 'ch')},
 tok AS (SELECT chunk_id, unnest({S.tokens_stem(_SEARCHABLE)}) AS term FROM ch),
 post AS (SELECT chunk_id, term, COUNT(*) AS tf FROM tok GROUP BY chunk_id, term),
 lens AS (SELECT chunk_id, len({S.tokens_stem(_SEARCHABLE)}) AS len FROM ch),
 df AS (SELECT term, COUNT(*) AS df FROM post GROUP BY term),
 nn AS (SELECT COUNT(*) AS n, avg(len) AS avgdl FROM lens),
-q0 AS (SELECT item_id AS qid, {S.tokens_stem('text')} AS toks FROM benchmark),
+q0 AS (SELECT qid, {S.tokens_stem('text')} AS toks FROM ({queries})),
 {S.expansion_ctes('q0', 'q')},
 qt AS (SELECT qid, term, COUNT(*) AS qtf FROM (SELECT qid, unnest(toks) AS term FROM q) GROUP BY qid, term),
 s AS (SELECT qt.qid, post.chunk_id,
@@ -178,10 +196,12 @@ hits AS (SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, start_line, round(sc
          FROM q JOIN q0 ON q.qid = q0.qid CROSS JOIN first WHERE len(q0.toks) = 0)"""
 
 
+_BM25_CTES = bm25_ctes("SELECT item_id AS qid, text FROM benchmark")
+
+
 @register("t06_search_bm25", f"WITH {_BM25_CTES} SELECT * FROM hits")
 def t06(spark, sf_dir):
-    ch = RV.chunk_key(CH.chunk_h2(B.corpus(spark, sf_dir, "## ")))
-    return RV.search_bm25(B.passages(spark, sf_dir), ch, 3).withColumn("rank", F.col("rank").cast("int"))
+    return RV.search_bm25(B.passages(spark, sf_dir), corpus_index(spark, sf_dir, "bm25"), 3).withColumn("rank", F.col("rank").cast("int"))
 
 
 # --- T7: cosine TF-IDF over whole documents ---------------------------------------------------------------------
@@ -214,14 +234,14 @@ SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM
 
 @register("t07_search_cosine", _t7_sql)
 def t07(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return RV.search_cosine(B.passages(spark, sf_dir), docs, 3).withColumn("rank", F.col("rank").cast("int"))
+    idx, norms = corpus_index(spark, sf_dir, "cosine")
+    return RV.search_cosine(B.passages(spark, sf_dir), idx, norms, 3).withColumn("rank", F.col("rank").cast("int"))
 
 
 # --- T8-T10 over BM25 hits --------------------------------------------------------------------------------------------
 def _bm25_hits(spark, sf_dir):
     ch = RV.chunk_key(CH.chunk_h2(B.corpus(spark, sf_dir, "## ")))
-    hits = RV.search_bm25(B.passages(spark, sf_dir), ch, 3)
+    hits = RV.search_bm25(B.passages(spark, sf_dir), corpus_index(spark, sf_dir, "bm25"), 3)
     return ch, hits
 
 
@@ -283,9 +303,9 @@ r AS (SELECT s.qid, ch.doc_id, ch.start_line, s.score,
 SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, start_line, score FROM r WHERE rank <= 10""",
 )
 def o08(spark, sf_dir):
-    ch = RV.chunk_key(CH.chunk_headings(B.corpus(spark, sf_dir, "# ")))
-    idx = RV.build_index(ch, TX.tokens_word(F.col("content")))
+    idx = corpus_index(spark, sf_dir, "tfidf")
     qt = B.passages(spark, sf_dir).select("qid", F.explode(TX.tokens_word(F.col("text"))).alias("term")).distinct()
-    s = idx.postings.join(F.broadcast(qt), "term").groupBy("qid", "chunk_id", "doc_id", "start_line").agg(F.sum("tf").alias("score"))
+    qt = stored(qt, "query-terms")  # of known size: the planner broadcasts it if it is small
+    s = idx.postings.join(qt, "term").groupBy("qid", "chunk_id", "doc_id", "start_line").agg(F.sum("tf").alias("score"))
     top = RV.top_k(s, 10, [F.col("score").desc(), "doc_id", "start_line"])
     return top.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", "start_line", "score")

@@ -43,21 +43,26 @@ def read_text_corpus(spark: SparkSession, root: str, exts=(".md", ".py"), ignore
     """Recursive text scan: files with the given extensions, listed directories
     skipped, undecodable bytes dropped, path kept relative to ``root``.
 
-    Extensions are a glob filter of the file listing, so other files are never opened; ignored
-    directories are a filter on the file's path.
-    ``binaryFile`` keeps the raw bytes of a file; ``decode`` marks malformed sequences with
-    U+FFFD, which are then removed.
+    Extensions are a glob filter of the file listing. The listed names alone tell which
+    directories are ignored; only the others are then loaded, so no skipped file is opened.
+    ``binaryFile`` keeps the raw bytes of a file; ``make_valid_utf8`` marks malformed sequences
+    with U+FFFD, which are then removed.
     """
     root = root.rstrip("/")
     glob = "{" + ",".join("*" + e for e in exts) + "}"
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    listed = files.option("recursiveFileLookup", "true").load(root)
     bare = re.sub(r"^file:(//)?", "", root)
     path = F.regexp_replace(F.col("path"), r"^file:(//)?", "")
     rel = F.regexp_replace(path, "^" + re.escape(bare) + "/?", "")
     ignored = F.lit(False)
     for d in ignore:
         ignored = ignored | rel.rlike(r"(^|/)" + re.escape(d) + "(/|$)")
-    text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "�", "")
+    # directory names, as the listing has them: the content column is not read
+    folders = listed.filter(~ignored).select(F.regexp_replace("path", r"/[^/]*$", "").alias("d")).distinct()
+    folders = [r["d"] for r in folders.collect()]
+    text = F.translate(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
+    df = files.option("recursiveFileLookup", "false").load(folders) if folders else listed.limit(0)
     return df.filter(~ignored).select(rel.alias("path"), text.alias("text"))
 
 

@@ -1,31 +1,65 @@
-"""Incremental case scorer (X1): new case files -> classification columns -> append.
+"""Incremental case scorer (X1): new case files -> E4, J8, O7 and T6 columns -> append.
 
-A file-source stream with a declared schema; ``dropDuplicates(['id'])`` keeps each id
-once across restarts (its state lives in the checkpoint); each micro-batch is scored
-with the batch operators inside ``foreachBatch`` and written to its own
-``batch_id=N`` folder with overwrite, so a replayed batch is idempotent.
-``trigger(availableNow=True)`` processes what is there and stops.
+A file-source stream with a declared schema; each micro-batch is scored with the batch operators
+inside ``foreachBatch`` and written to its own ``batch_id=N`` folder with overwrite, so a replayed
+batch is idempotent. Each id is kept once across restarts: the output itself is the record of what
+has been scored, so the stream holds no state that grows with the ids. Of copies of an id inside
+one batch the first stays, by file name, then text. ``trigger(availableNow=True)`` processes what
+is there and stops.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendgrid.operators.support import classify_tickets
+from spendgrid.operators.support import classify_tickets, lookup_order, match_merchant, next_payment
+from spendgrid.session import stored
+
+OUTPUT = (
+    "id string, user_id string, question string, forced_escalate boolean, category string, matched_phrase string, "
+    "extra_required array<string>, order_id string, order_result string, next_due date, policy_doc string"
+)
+
+
+def score_cases(cases: DataFrame, hints: DataFrame, orders: DataFrame, installments: DataFrame,
+                search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of one batch of ``cases(id, user_id, question)``: E4's decision; the order of a
+    merchant that the question names (J9), looked up for its user (J8); the due date of the user's
+    next payment (O7); the best policy document (T6). ``search`` takes ``(qid, text)`` queries and
+    returns ``(qid, doc)``, one row a query at most."""
+    e4 = classify_tickets(cases, hints)
+    named = match_merchant(cases, orders)
+    asked = cases.select("id", "user_id").join(named, "id")
+    found = lookup_order(asked, orders).select("id", "order_id", F.col("result").alias("order_result"))
+    due = next_payment(installments).select("user_id", F.col("due_date").alias("next_due"))
+    hits = search(cases.select(F.col("id").alias("qid"), F.col("question").alias("text")))
+    out = cases.join(e4, "id").join(found, "id", "left").join(due, "user_id", "left")
+    out = out.join(hits.select(F.col("qid").alias("id"), F.col("doc").cast("string").alias("policy_doc")), "id", "left")
+    return out.select(*[c.split()[0] for c in OUTPUT.split(", ")])
 
 
-def stream_cases(spark: SparkSession, src: str, out: str, ckpt: str, hints: DataFrame, schema: str,
-                 max_files: int = 2) -> DataFrame:
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(src)
-        .dropDuplicates(["id"])
-    )
+def stream_cases(spark: SparkSession, src: str, out: str, ckpt: str, hints: DataFrame, orders: DataFrame, installments: DataFrame,
+                 search: Callable[[DataFrame], DataFrame], schema: str, max_files: int = 1000) -> DataFrame:
+    """Process the case files below ``src`` that the checkpoint has not seen; returns the whole
+    output. ``max_files`` only paces micro-batches: every file is processed."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(src)
+    stream = stream.withColumn("_file", F.col("_metadata.file_path"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        res = classify_tickets(batch, hints).join(batch.select("id", "user_id", "question"), "id")
-        res.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        first = batch.groupBy("id").agg(F.min(F.struct("_file", "question", "user_id")).alias("f"))
+        cases = first.select("id", "f.user_id", "f.question")
+        if files.exists(at):
+            seen = spark.read.schema(f"{OUTPUT}, batch_id bigint").parquet(out).filter(F.col("batch_id") != batch_id)
+            cases = cases.join(seen.select("id"), "id", "left_anti")
+        cases = stored(cases, "stream-batch")
+        scored = score_cases(cases, hints, orders, installments, search)
+        scored.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = stream.writeStream.foreachBatch(score).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(f"{OUTPUT}, batch_id bigint").parquet(out)

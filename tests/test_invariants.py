@@ -78,14 +78,22 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "sort_key" in df.columns
 
 
-def test_bm25_plan_broadcasts_query_terms(spark):
+def test_query_terms_are_broadcast_only_while_small(spark):
     from spendgrid.operators import chunking as CH
     from spendgrid.operators import retrieval as RV
 
-    ch = RV.chunk_key(CH.chunk_h2(B.corpus(spark, SF_SMALL, "## ")))
-    plan = RV.search_bm25(B.passages(spark, SF_SMALL), ch, 3)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Python" not in plan
-    assert "CartesianProduct" not in plan
+    idx = RV.bm25_index(RV.chunk_key(CH.chunk_h2(B.corpus(spark, SF_SMALL, "## "))))
+
+    def plan():
+        return RV.search_bm25(B.passages(spark, SF_SMALL), idx, 3)._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan() and "Python" not in plan() and "CartesianProduct" not in plan()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        assert "BroadcastHashJoin" not in plan()  # beyond the session's bound both sides are shuffled
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_flagship_cross_join_is_the_one_row_total(spark):

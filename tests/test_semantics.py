@@ -115,14 +115,14 @@ def test_monthly_null_rule_and_quarterly_forecast(spark):
 
 
 def test_bm25_empty_query_and_ranking(spark):
-    from spendgrid.operators.retrieval import chunk_key, search_bm25
+    from spendgrid.operators.retrieval import bm25_index, chunk_key, search_bm25
 
     chunks = spark.createDataFrame(
         [(1, 1, "Refunds", "refund timeline for returns"), (1, 5, "Fees", "late fee policy"), (2, 1, "Cards", "virtual card setup")],
         "doc_id int, start_line int, heading string, content string",
     )
     q = spark.createDataFrame([(1, "where is my money"), (2, "the and of")], "qid int, text string")
-    r = search_bm25(q, chunk_key(chunks), 2).orderBy("qid", "rank").collect()
+    r = search_bm25(q, bm25_index(chunk_key(chunks)), 2).orderBy("qid", "rank").collect()
     hits1 = [(x.doc_id, x.start_line) for x in r if x.qid == 1]
     assert hits1[0] == (1, 1)  # 'money' expands to refund/return -> the refunds chunk first
     # only stop words: no usable token -> the first k chunks in corpus order, score 0
@@ -147,3 +147,122 @@ def test_read_jsonl_last_wins(spark):
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.StringType())])
     got = {r.id: r.v for r in read_jsonl(spark, d, schema).collect()}
     assert got == {"1": "new", "2": "only"}
+
+
+def test_quotes_follow_each_other(spark):
+    """A term that the first quote shows is not quoted again; at most two quotes, joined as sentences."""
+    import datetime
+
+    from spendgrid.operators.support import guard_answers
+
+    answers = spark.createDataFrame([("a", "policy", "You can return it"), ("b", "policy", "It takes 30 days!"), ("c", "policy", "Hello.")], "id string, route string, answer string")
+    decisions = spark.createDataFrame([("c", True, "fraud", "hacked", ["password"])], "id string, forced_escalate boolean, category string, matched_phrase string, extra_required array<string>")
+    text = "Refunds take 30 days. Returns within 30 days are free. There is no fee. We pause plans."
+    hits = spark.createDataFrame([(i, 1, "POLICY", text) for i in "abc"], "id string, rank int, doc string, text string")
+    due = spark.createDataFrame([("b", datetime.date(2026, 7, 11)), ("b", datetime.date(2026, 8, 1))], "id string, due_date date")
+    got = {r.id: r for r in guard_answers(answers, decisions, hits, due).collect()}
+    assert got["a"].answer == 'You can return it. Per POLICY: "Refunds take 30 days.". Per POLICY: "There is no fee."'
+    assert got["b"].answer == (
+        'It takes 30 days! Per POLICY: "There is no fee.". Per POLICY: "We pause plans.". '
+        "(Actual due date on file: 2026-07-11, July 11.) (Actual due date on file: 2026-08-01, August 1.)"
+    )
+    assert got["c"].route == "escalate" and "Per POLICY" not in got["c"].answer
+    assert got["c"].answer.endswith("please change your password and enable 2FA right away.")
+
+
+def test_missing_route_fails_the_route_check(spark):
+    from spendgrid.operators.support import score_answers
+
+    g = spark.createDataFrame([("1", "policy", ["ok"], ["bad"])], "id string, expected_route string, must_include array<string>, must_not_include array<string>")
+    a = spark.createDataFrame([("1", None, "ok")], "id string, route string, answer string")
+    r = score_answers(g, a).first()
+    assert not r.passed and r.reasons == ["route "]
+
+
+def test_first_order_of_the_document_wins(spark):
+    from spendgrid.operators.support import match_merchant, read_order_docs
+
+    q = spark.createDataFrame([("q", "u1", "Where is my refund from Blue Shop?"), ("r", "u2", "Blue Shop?"), ("s", "u1", "no name")], "id string, user_id string, question string")
+    o = spark.createDataFrame([("u1", "ord_9", 0, "Blue Shop"), ("u1", "ord_10", 1, "blue shop"), ("u2", "ord_1", 0, "Red")], "user_id string, order_id string, pos int, merchant string")
+    assert [(r.id, r.order_id) for r in match_merchant(q, o).collect()] == [("q", "ord_9")]
+    assert read_order_docs  # its orders carry the place in the document
+
+
+def test_pick_grain_by_size_and_account_fallback(spark, tmp_path):
+    import pytest
+
+    from spendgrid.operators.grains import pick_grain
+
+    small, large = str(tmp_path / "s"), str(tmp_path / "l")
+    spark.range(10).selectExpr("id AS sem", "id AS division", "id AS a", "id AS b").write.parquet(small)
+    spark.range(100_000).selectExpr("id AS sem", "id AS division").write.parquet(large)
+    grains = {"few_rows": spark.read.parquet(small), "few_columns": spark.read.parquet(large)}
+    assert pick_grain(["sem", "division"], grains)[0] == "few_rows"
+    old = {"pdc": spark.read.parquet(large), "cuentas": spark.read.parquet(small)}
+    assert pick_grain(["sem", "division"], old, alias="zona")[0] == "pdc"
+    assert pick_grain(["sem", "a"], old, alias="zona")[0] == "cuentas"  # the point grain lacks the account column
+    with pytest.raises(KeyError):
+        pick_grain(["sem", "c"], old, alias="zona")
+
+
+def test_containing_matches_any_pattern_length(spark):
+    from spendgrid.functions.text import containing
+
+    q = spark.createDataFrame([(1, "a refund was pushed"), (2, "xy"), (3, None), (4, "")], "id int, t string")
+    p = spark.createDataFrame([("refund",), ("was p",), ("xy",), ("x",), ("",), (None,), ("pushed!",)], "pat string")
+    got = sorted((r.id, r.pat) for r in containing(q, "id", "t", p, "pat").collect())
+    assert got == [(1, "refund"), (1, "was p"), (2, "x"), (2, "xy")]
+    assert containing(q, "id", "t", p.limit(0), "pat").collect() == []
+
+
+def test_stream_keeps_the_first_copy_of_an_id(spark, tmp_path):
+    import datetime
+
+    from spendgrid.streaming.cases import stream_cases
+
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    hints = spark.createDataFrame([("fraud", 0, "hacked", ["password"])], "category string, cat_order int, hint string, extra array<string>")
+    orders = spark.createDataFrame([("u1", "ord_1", 0, "Blue Shop", "active", 5)], "user_id string, order_id string, pos int, merchant string, status string, total int")
+    inst = spark.createDataFrame([("u1", "ord_1", 1, 2, datetime.date(2026, 7, 1), "upcoming")], "user_id string, order_id string, installment int, amount int, due_date date, status string")
+    search = lambda q: q.selectExpr("qid", "'P1' AS doc")
+    schema = "id string, user_id string, question string"
+
+    def run(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{src}/{name}")
+        return {r.id: r for r in stream_cases(spark, src + "/*", out, ckpt, hints, orders, inst, search, schema).collect()}
+
+    got = run("a", [("1", "u1", "refund from Blue Shop"), ("2", "u2", "I was hacked")])
+    assert (got["1"].order_id, got["1"].order_result, str(got["1"].next_due), got["1"].policy_doc) == ("ord_1", "found", "2026-07-01", "P1")
+    assert got["2"].forced_escalate and got["2"].order_id is None
+    got = run("b", [("1", "u1", "sent again"), ("3", "u1", "new")])
+    assert len(got) == 3 and got["1"].question == "refund from Blue Shop"
+
+
+def test_jsonl_keeps_the_last_line_over_files_and_splits(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from spendgrid.operators.support import read_jsonl
+
+    lines = [f'{{"id": "{i % 500}", "v": "{i}"}}' for i in range(40_000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n\n")
+    (tmp_path / "b.jsonl").write_text('{"id": "7", "v": "last"}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.StringType())])
+        got = {r.id: r.v for r in read_jsonl(spark, str(tmp_path / "*.jsonl"), schema).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 500 and got["7"] == "last" and got["8"] == str(40_000 - 500 + 8)
+
+
+def test_text_corpus_skips_ignored_folders(spark, tmp_path):
+    from spendgrid.sources.io import read_text_corpus
+
+    for name, text in (("a.md", b"one"), ("x/b.py", b"two\xff!"), ("x/c.txt", b"no"), (".git/d.md", b"no"), ("x/__pycache__/e.py", b"no")):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(text)
+    got = sorted((r.path, r.text) for r in read_text_corpus(spark, str(tmp_path)).collect())
+    assert got == [("a.md", "one"), ("x/b.py", "two!")]
+    assert read_text_corpus(spark, str(tmp_path / "x" / "__pycache__"), exts=(".md",)).collect() == []
