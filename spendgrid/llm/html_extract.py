@@ -47,7 +47,8 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.name, self.drops = [-1], [""], [False]  # of every element, in page order
+        # of every element, in page order; ``marks``: its class, id or role speaks against it
+        self.parent, self.name, self.drops, self.marks = [-1], [""], [False], [False]
         self.stack, self.open = [0], Counter()
         self.article = 0  # open article and main elements
         self.lines: list[tuple[str, int, float, int]] = []
@@ -71,20 +72,21 @@ class _Lines(HTMLParser):
             if name == tag:
                 return
 
-    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def judged(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether the element is dropped, and whether it is only marked."""
         if tag in DROPPED or (tag == "header" and not self.article):
-            return True
+            return True, False
         words = set()
         for key, value in attrs:
             if key in ("class", "id", "role"):
                 words.update(_WORD.findall((value or "").lower()))
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-                return True
+                return True, False
         if tag in ("html", "body", "main"):
-            return False
+            return False, False
         if words & COMMENTS:
-            return True
-        return tag != "article" and bool(words & MARKS or ("header" in words and not self.article))
+            return True, False
+        return False, tag != "article" and bool(words & MARKS or ("header" in words and not self.article))
 
     def handle_starttag(self, tag, attrs):
         if self.open["head"] and tag not in IN_HEAD:
@@ -101,7 +103,9 @@ class _Lines(HTMLParser):
         up = self.stack[-1]
         self.parent.append(up)
         self.name.append(tag)
-        self.drops.append(self.drops[up] or self.marked(tag, attrs))
+        dropped, marked = self.judged(tag, attrs)
+        self.drops.append(self.drops[up] or dropped)
+        self.marks.append(marked)
         self.stack.append(len(self.name) - 1)
         self.open[tag] += 1
         self.article += tag in ("article", "main")
@@ -141,11 +145,30 @@ def _threshold(x: np.ndarray) -> float:
     return float(border)
 
 
+def _unmarked(page: _Lines) -> list[tuple[str, int, float, int]]:
+    """The lines outside marked elements. A mark on a wrapper is not believed: an element that holds
+    an article is no menu, sidebar or notice, nor is, on a page without one, nearly all its text."""
+    if not any(page.marks):
+        return page.lines
+    size, wraps = [0] * len(page.name), [n in ("article", "main") for n in page.name]
+    for text, _, _, at in page.lines:
+        size[at] += len(text)
+    for k in range(len(size) - 1, 0, -1):  # children come after their parents
+        size[page.parent[k]] += size[k]
+        wraps[page.parent[k]] |= wraps[k]
+    out = [False] * len(size)
+    for k in range(1, len(size)):
+        wrapper = wraps[k] if wraps[0] else size[k] >= NEARLY_ALL * size[0]
+        out[k] = out[page.parent[k]] or (page.marks[k] and not wrapper)
+    return [x for x in page.lines if not out[x[3]]]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one space; empty if there is none.
 
     Character references are decoded, and white space inside a block becomes one space. Dropped
-    elements are those named in ``DROPPED``, or whose class, id or role says so. If articles (or
+    elements are those named in ``DROPPED``, reader comments, and those that their class, id or
+    role marks unless they wrap an article, or nearly all text where there is none. If articles (or
     ``main``) hold most of the text above the threshold, every other line in them is kept, short
     ones too. Else the region is the innermost container with nearly all of that text, without the
     lines at its ends that are below the threshold and mostly links.
@@ -156,7 +179,7 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.end_line()
-    lines = page.lines
+    lines = _unmarked(page)
     if not lines:
         return ""
     size = np.array([len(t) for t, *_ in lines], dtype=float)

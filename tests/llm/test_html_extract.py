@@ -25,6 +25,10 @@ LONG = "A long paragraph of running text that goes on for quite a while, with ma
         (f"<div class='cookie notice'>{LONG}</div><div><p>{LONG}</p></div><div class=ad>{LONG}</div>", LONG),
         (f"<script>var t='</p><p>no</p>';</script><style>p{{}}</style><p>{LONG}</p><!-- <p>no</p> -->", LONG),
         ("<div>" * 3000 + LONG, LONG),
+        (f"<div class='page with-sidebar'><div class='nav'>Menu one</div><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div id=page class='has-banner'><div class=sidebar>Links here</div><div><p>{LONG}</p><p>{LONG}</p></div></div>", f"{LONG} {LONG}"),
+        (f"<div class=ad>{LONG}</div><article><p>Tiny.</p></article>", "Tiny."),
+        (f"<article><p>{LONG}</p></article><div class=comments><article class=comment>{LONG * 9}</article></div>", LONG),
     ],
 )
 def test_fixtures(page, want):
