@@ -10,6 +10,8 @@ points are stored once, so the plan of every pass is one scan of them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -22,11 +24,11 @@ def _centre_literal(centres: list[list[float]]):
     return F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
 
 
-def dp_means(points: DataFrame, lam: float, max_iter: int = 1000) -> tuple[DataFrame, list[int]]:
+def dp_means(points: DataFrame, lam: float, max_iter: int = 1000, tol: float = 1e-3) -> tuple[DataFrame, list[int]]:
     """G1: ``points(id, vec array<double>)``; returns (``(id, cluster, dmin)`` per point,
-    K per pass). Passes go on until no centre is opened and none moves; if that takes more
-    than ``max_iter`` the run raises, so what is returned has converged and its clusters are
-    the last K. Cluster sizes are ``groupBy('cluster').count()`` of the first."""
+    K per pass). Passes go on until no centre is opened or closed and none moves by more than
+    ``tol`` times the radius ``sqrt(lam)``; if that takes more than ``max_iter`` the run raises,
+    so what is returned has converged and its clusters are the last K. Cluster sizes are ``groupBy('cluster').count()`` of the first."""
     pts = stored(points.select("id", F.col("vec").cast("array<double>").alias("vec")), "dp-means")
     mean = Summarizer.mean(array_to_vector("vec")).alias("m")
     start = pts.agg(mean).first()["m"]
@@ -43,7 +45,7 @@ def dp_means(points: DataFrame, lam: float, max_iter: int = 1000) -> tuple[DataF
         far = F.max_by(F.struct("id", "vec", "dmin"), F.struct("dmin", -F.col("id"))).alias("far")
         got = {r["cluster"]: r for r in a.groupBy("cluster").agg(mean, far).collect()}
         moved = [list(got[k]["m"]) if k in got else centres[k] for k in range(len(centres))]
-        stable = all(max(abs(x - y) for x, y in zip(p, q)) < 1e-12 for p, q in zip(moved, centres))
+        stable = all(math.dist(p, q) <= tol * math.sqrt(lam) for p, q in zip(moved, centres, strict=True))
         # a centre that no point is nearest to any more is closed
         lost = [k for k in range(len(centres)) if k not in got]
         far = max((r["far"] for r in got.values()), key=lambda f: (f["dmin"], -f["id"]))

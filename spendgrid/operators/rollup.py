@@ -257,7 +257,7 @@ def order_result(df: DataFrame, keys: list[str], group_order: DataFrame | None =
     """
     grp = DIMS["grupo_cuentas"]
     if keys == [grp] and group_order is not None:
-        j = df.join(F.broadcast(group_order.select(F.col("group").alias(grp), "ord")), grp, "left")
+        j = df.join(group_order.select(F.col("group").alias(grp), "ord"), grp, "left")
         j = j.withColumn("sort_key", F.coalesce(F.col("ord"), F.lit(999)).cast("double")).drop("ord")
         return j.orderBy("sort_key", grp)
     if keys and keys[0] == DIMS["division"]:

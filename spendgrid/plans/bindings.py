@@ -22,20 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: wide weekly fact, one row per line item of an order placed in 1997 or 1998.
+def facts(spark: SparkSession, sf_dir: str, prior: int = PRIOR_YEAR, current: int = CURRENT_YEAR, smr: int = SMR) -> DataFrame:
+    """V1: wide weekly fact, one row per line item of an order placed in the two compared years.
 
     Dimensions: agrupa1=region, division=nation, territorio=market segment,
     zona and region by customer key, pdc=customer name, grupo=brand, cuenta=type, account_id=brand/type,
-    centre=customer key. Measures (DECIMAL): real_py = net price in 1997, plan = gross
-    price in 1998, new_plan = gross*(1-disc/2) in 1998, real = net price in 1998 up to
-    week SMR.
+    centre=customer key. Measures (DECIMAL): real_py = net price in ``prior``,
+    plan = gross price, new_plan = gross*(1-disc/2) and real = net price up to week ``smr``
+    in ``current``.
     """
     t = lambda n: table(spark, sf_dir, n)
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_discount")
     o = t("orders").filter(
-        (F.col("o_orderdate") >= F.lit(f"{PRIOR_YEAR}-01-01").cast("timestamp_ntz"))
-        & (F.col("o_orderdate") < F.lit(f"{CURRENT_YEAR + 1}-01-01").cast("timestamp_ntz"))
+        F.year("o_orderdate").isin(prior, current)
+        & (F.col("o_orderdate") >= F.lit(f"{prior}-01-01").cast("timestamp_ntz"))
+        & (F.col("o_orderdate") < F.lit(f"{current + 1}-01-01").cast("timestamp_ntz"))
     ).select("o_orderkey", "o_custkey", "o_orderdate")
     c = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     # nation (25 rows) and region (5 rows) are fixed-size dimension tables
@@ -57,7 +58,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast(MONEY_TYPE)
     yr = F.year("o_orderdate")
     sem = fiscal_week(F.col("o_orderdate"))
-    cur = yr == CURRENT_YEAR
+    cur = yr == current
     return j.select(
         F.col("r_name").alias("agrupa1"),
         F.col("n_name").alias("division"),
@@ -72,10 +73,10 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("line"),
         yr.alias("yr"),
         sem.alias("sem"),
-        F.when(yr == PRIOR_YEAR, net).otherwise(zero).alias("real_py"),
+        F.when(yr == prior, net).otherwise(zero).alias("real_py"),
         F.when(cur, gross).otherwise(zero).alias("plan"),
         F.when(cur, new_plan).otherwise(zero).alias("new_plan"),
-        F.when(cur & (sem <= SMR), net).otherwise(zero).alias("real"),
+        F.when(cur & (sem <= smr), net).otherwise(zero).alias("real"),
     )
 
 
@@ -401,3 +402,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_tax").cast("double").alias("x2"),
         (F.col("l_orderkey") % 5).cast("int").alias("fold"),
     )
+
+
+def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as points (id, vec): account balance in thousands, order value in millions."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("t"))
+    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    spent = F.coalesce(F.col("t"), F.lit(0)).cast("double") / 1e6
+    return c.select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, spent).alias("vec"))

@@ -202,13 +202,10 @@ def m10(spark, sf_dir):
 
 @register("g01_dp_means")
 def g01(spark, sf_dir):
-    e = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    pts = e.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    # lambda by rule: twice the mean squared distance of the points to their global mean
-    dims = pts.select(F.size("vec")).first()[0]
-    mean = pts.select(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(dims)]).first()
-    d2 = sum((F.col("vec")[i] - mean[f"m{i}"]) ** 2 for i in range(dims))
-    lam = 2.0 * pts.select(F.avg(d2)).first()[0]
+    pts = B.customer_points(spark, sf_dir)
+    # lambda by rule: the mean squared distance of the points to their global mean
+    mean = pts.select(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(2)]).first()
+    lam = pts.select(F.avg(sum((F.col("vec")[i] - mean[f"m{i}"]) ** 2 for i in range(2)))).first()[0]
     assigned, hist = CL.dp_means(pts, lam)
     sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     return sizes.withColumn("k_final", F.lit(hist[-1])).withColumn("passes", F.lit(len(hist)))
