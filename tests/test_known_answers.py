@@ -50,7 +50,7 @@ def test_best_cut(spark):
     from spendgrid.operators.graphcut import best_cut
 
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 3), (0, 2)], "i int, j int")
-    assert best_cut(spark, e, 4).first()["best_cut"] == 4
+    assert best_cut(spark, e).first()["best_cut"] == 4
 
 
 def test_mrr_ndcg(spark):
