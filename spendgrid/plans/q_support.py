@@ -336,8 +336,56 @@ def f15(spark, sf_dir):
     return i.select("order_id", "installment", TX.date_text(due).alias("due_text"), TX.date_present(F.col("text"), due).alias("present"))
 
 
-# --- E7: guardrails over assistant replies (rows-only: free text assembled from joins) -------------
-@register("e07_guard_answers")
+# --- E7: guardrails over assistant replies ---------------------------------------------------------
+def _appended(ans: str, clause: str) -> str:
+    """SQL of ``ans`` with a clause appended as a sentence."""
+    a = f"regexp_replace({ans}, '{TX.WS}+$', '')"
+    return f"({a} || CASE WHEN {a} <> '' AND NOT regexp_matches({a}, '[.!?]$') THEN '.' ELSE '' END || ' ' || {clause})"
+
+
+def _e07_sql():
+    from spendgrid.plans.q_text import bm25_ctes
+    from spendgrid.plans.sqltext import strip
+
+    q = lambda x: x.replace("'", "''")
+    policy = "(ch.content || '. Refunds take ' || CAST(ch.doc_id % 30 + 1 AS VARCHAR) || ' business days. There is no fee.')"
+    universal = " OR ".join(f"contains(lower(answer), '{p}')" for p in SP.UNIVERSAL_ESCALATE_PHRASES)
+    sents = f"list_filter(list_transform(string_split(regexp_replace({policy}, '([.!?]){TX.WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '')"
+    term = f"regexp_extract(sent, '{TX.TERM_RE}', 0)"
+    suppressed = ", ".join(f"'{c}'" for c in SP.SUPPRESS_QUOTING)
+    quote = "'Per ' || doc || ': \"' || sent || '\"'"
+    when = "strftime(due_date, '%B') || ' ' || CAST(day(due_date) AS VARCHAR)"
+    return f"""WITH {E4_SQL}, {INST_SQL}, {bm25_ctes('SELECT id AS qid, question AS text FROM tk')},
+due AS (SELECT user_id, arg_min(due_date, (due_date, order_id, installment)) AS due_date
+        FROM inst WHERE status IN ('upcoming', 'failed') GROUP BY user_id),
+a0 AS (SELECT CAST(u.conv_id AS VARCHAR) || '-' || CAST(u.turn AS VARCHAR) AS id, a.text AS answer
+       FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+       WHERE u.role = 'user' AND a.role = 'assistant'),
+a1 AS (SELECT a0.id, coalesce(e4.forced_escalate, false) AS esc, e4.category, coalesce(e4.extra_required, []::VARCHAR[]) AS extra,
+         CASE WHEN coalesce(e4.forced_escalate, false) AND NOT ({universal}) THEN {_appended('answer', f"'{q(SP.ESCALATION_SENTENCE)}'")} ELSE answer END AS answer
+       FROM a0 LEFT JOIN e4 ON a0.id = e4.id),
+a2 AS (SELECT *, list_filter(extra, lambda p: NOT contains(lower(answer), p)) AS missing FROM a1),
+a3 AS (SELECT id, esc, category, CASE WHEN esc AND len(missing) > 0 THEN {_appended('answer', f"CASE WHEN list_has_any(missing, ['password', '2fa']) THEN '{q(SP.SECURITY_SENTENCE)}' ELSE '(' || array_to_string(missing, '; ') || ')' END")}
+         ELSE answer END AS answer FROM a2),
+s0 AS (SELECT hits.qid AS id, hits.rank, CAST(ch.doc_id AS VARCHAR) AS doc, {sents} AS sl
+       FROM hits JOIN ch ON hits.doc_id = ch.doc_id AND hits.start_line = ch.start_line),
+s1 AS (SELECT id, rank, doc, unnest(sl) AS sent, generate_subscripts(sl, 1) AS spos FROM s0),
+cand AS (SELECT s1.id, rank, spos, {quote} AS quote, lower(regexp_replace({term}, '^[^a-z0-9A-Z]+|[^a-z0-9A-Z%]+$', '', 'g')) AS term
+         FROM s1 JOIN a3 ON s1.id = a3.id WHERE {term} <> '' AND (a3.category IS NULL OR a3.category NOT IN ({suppressed}))),
+q1 AS (SELECT c.id, arg_min({{'r': c.rank, 's': c.spos, 'q': c.quote}}, (c.rank, c.spos)) AS q FROM cand c JOIN a3 ON c.id = a3.id
+       WHERE NOT contains(lower(a3.answer), c.term) GROUP BY c.id),
+q2 AS (SELECT c.id, arg_min(c.quote, (c.rank, c.spos)) AS q FROM cand c JOIN a3 ON c.id = a3.id JOIN q1 ON c.id = q1.id
+       WHERE (c.rank, c.spos) > (q1.q.r, q1.q.s) AND NOT contains(lower(a3.answer) || ' ' || lower(q1.q.q), c.term) GROUP BY c.id),
+a4 AS (SELECT a3.id, a3.esc, CASE WHEN q1.q IS NOT NULL THEN {_appended('a3.answer', "(q1.q.q || coalesce('. ' || q2.q, ''))")} ELSE a3.answer END AS answer
+       FROM a3 LEFT JOIN q1 ON a3.id = q1.id LEFT JOIN q2 ON a3.id = q2.id),
+a5 AS (SELECT a4.*, due.due_date FROM a4 JOIN tk ON a4.id = tk.id LEFT JOIN due ON tk.user_id = due.user_id)
+SELECT id, CASE WHEN esc THEN 'escalate' ELSE 'policy' END AS route,
+  CASE WHEN due_date IS NOT NULL AND NOT contains(answer, strftime(due_date, '%Y-%m-%d')) AND NOT contains(lower(answer), lower({when}))
+    THEN {_appended('answer', f"('(Actual due date on file: ' || strftime(due_date, '%Y-%m-%d') || ', ' || {when} || '.)')")} ELSE answer END AS answer
+FROM a5"""
+
+
+@register("e07_guard_answers", _e07_sql)
 def e07(spark, sf_dir):
     from spendgrid.operators import retrieval as RV
     from spendgrid.plans.q_text import corpus_index
@@ -355,7 +403,9 @@ def e07(spark, sf_dir):
     ch = CH.chunk_h2(B.corpus(spark, sf_dir, "## "))
     hits = RV.search_bm25(t.select(F.col("id").alias("qid"), F.col("question").alias("text")), corpus_index(spark, sf_dir, "bm25"), 3)
     hits = hits.join(ch.select("doc_id", "start_line", "content"), ["doc_id", "start_line"]).select(
-        F.col("qid").alias("id"), "rank", F.col("doc_id").cast("string").alias("doc"), F.col("content").alias("text"))
+        F.col("qid").alias("id"), "rank", F.col("doc_id").cast("string").alias("doc"),
+        # the documents hold no policy terms: two sentences with some stand at the end of each chunk
+        F.concat("content", F.lit(". Refunds take "), (F.col("doc_id") % 30 + 1).cast("string"), F.lit(" business days. There is no fee.")).alias("text"))
     nxt = SP.next_payment(B.installments(spark, sf_dir))
     due = t.join(nxt.select("user_id", "due_date"), "user_id").select("id", "due_date")
     return SP.guard_answers(answers, decisions, hits, due)
