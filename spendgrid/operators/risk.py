@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spendgrid.functions.windows import exact_percentiles
+from spendgrid.session import stored
 
 DP = 10  # output rounding for ratios of returns
 
@@ -54,7 +55,9 @@ def cvar(ret: DataFrame, thresholds: DataFrame, col: str, by: str = "asset") ->
 
 
 def risk_table(ret: DataFrame, level: float = 0.95, tail: str = "lower") -> DataFrame:
-    """Per asset mean, sample sd, historical and parametric VaR, historical CVaR."""
+    """Per asset mean, sample sd, historical and parametric VaR, historical CVaR. The returns
+    are stored once for the four readers."""
+    ret = stored(ret.select("date", "asset", "ret"), "returns")
     base = ret.groupBy("asset").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
     vh = var_historical(ret, level, tail)
     vp = var_parametric(ret, level, tail)
