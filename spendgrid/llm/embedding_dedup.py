@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from spendgrid.llm.common import connected_components, written
 
-#: Distinct vectors for each k-means cell, and the most cells; the codebook is fitted on at most
-#: ``SAMPLE_PER_CELL`` vectors a cell, chosen by hash. Every vector is indexed.
-VECTORS_PER_CELL, MAX_CELLS, SAMPLE_PER_CELL = 4096, 4096, 256
+#: Distinct vectors for each k-means cell, and the most cells.
+VECTORS_PER_CELL, MAX_CELLS = 4096, 4096
+#: The codebook is fitted on about this many vectors a cell, and this many at least, chosen by
+#: hash. It is the only bound: every vector is indexed.
+SAMPLE_PER_CELL, LEAST_SAMPLE = 32, 4096
 #: Vectors in a block; a block pair is one task's matrix product.
 BLOCK = 2048
 ITERATIONS = 10
@@ -159,9 +161,9 @@ def embedding_groups(
     by_length = reps.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     n, dim = (by_length["n"], by_length["d"]) if by_length else (0, 1)
     k = int(min(MAX_CELLS, max(1, -(-n // vectors_per_cell))))
-    share = min(1.0, k * SAMPLE_PER_CELL / max(n, 1))
+    share = min(1.0, max(k * SAMPLE_PER_CELL, LEAST_SAMPLE) / max(n, 1))
     picked = (F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1) & (F.size("vector") == dim)
-    sample = reps.filter(picked).select("vector").toArrow().column("vector")  # about k * SAMPLE_PER_CELL vectors
+    sample = reps.filter(picked).select("vector").toArrow().column("vector")  # the bounded sample
     codebook = spherical_kmeans(unit(_matrix(sample)), k) if len(sample) else np.ones((1, dim)) / np.sqrt(dim)
     shared = spark.sparkContext.broadcast(codebook)
     placed = reps.select("vid", "label", "mult", "vector").mapInArrow(

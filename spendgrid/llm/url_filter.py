@@ -54,8 +54,8 @@ def build_filter(keys: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> np.ndarr
         blocks *= 2
     block, mask = _block_and_mask(F.col("key"), blocks)
     words = np.zeros(blocks, dtype=np.int64)
-    for r in keys.select(block.alias("b"), mask.alias("m")).groupBy("b").agg(F.expr("bit_or(m)").alias("m")).collect():
-        words[r["b"]] = r["m"]
+    found = keys.select(block.alias("b"), mask.alias("m")).groupBy("b").agg(F.expr("bit_or(m)").alias("m")).toArrow()
+    words[found.column("b").to_numpy()] = found.column("m").to_numpy()
     return words
 
 
@@ -89,8 +89,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_
     urls = pages.select(F.col(url_col).alias("url")).distinct().withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fit = [n for n in lengths]
-    starts = F.filter(F.array(*[F.lit(n) for n in fit]), lambda n: n <= F.char_length("path")) if fit else F.array().cast("array<int>")
+    starts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length("path"))
     cand = urls.filter("host <> ''").withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(starts))
     cand = cand.select("url", F.concat_ws(" ", "suffix", F.expr("substring(path, 1, start)")).alias("key"))
     block, mask = _block_and_mask(F.col("key"), len(words))
