@@ -43,15 +43,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a local session that names none (tests) gets one of its own, below a fresh
     temporary folder; on a cluster a machine-local folder would not be shared, so that raises.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    if current := sc.getCheckpointDir():  # Spark's own folder below the named one, made once
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master {master})")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master {sc.master})")
         d = tempfile.mkdtemp(prefix="spendgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

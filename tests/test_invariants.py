@@ -140,3 +140,21 @@ def test_a_cluster_session_needs_a_shared_checkpoint_folder():
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Session())
+
+
+def test_scratch_tables_share_a_folder_that_can_be_cleared(spark, tmp_path):
+    import os
+
+    from spendgrid import session
+
+    a, b = session.scratch_path(spark, "a"), session.scratch_path(spark, "b")
+    assert os.path.dirname(a) == os.path.dirname(b) and a != b
+    root = session._scratch_root
+    session._scratch_root = lambda _: str(tmp_path / "tables")  # not the folder that other tests still read
+    try:
+        assert session.stored(spark.range(5), "five").count() == 5
+        assert len(os.listdir(tmp_path / "tables")) == 1
+        session.clear_scratch(spark)
+        assert not (tmp_path / "tables").exists()
+    finally:
+        session._scratch_root = root
