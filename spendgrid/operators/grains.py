@@ -18,16 +18,26 @@ def build_grains(leaf: DataFrame, spec: dict[str, list[str]], helpers: dict[str,
     return out
 
 
-def write_grains(grains: dict[str, DataFrame], base: str, partition_by: str | None = None) -> dict[str, str]:
-    """Write each grain as parquet under ``base/<alias>`` (optionally partitioned)."""
-    paths = {}
-    for alias, df in grains.items():
-        w = df.write.mode("overwrite")
+def write_grains(leaf: DataFrame, spec: dict[str, list[str]], base: str, helpers: dict[str, list[str]] | None = None,
+                 partition_by: str | None = None) -> dict[str, str]:
+    """Write each grain of ``spec`` as parquet under ``base/<alias>``; returns the paths.
+
+    The finest grains come first; a grain whose columns an already written one holds is summed
+    from that (the smallest such), so the leaf fact is read once per grain that nothing covers.
+    Sums are exact decimals, so the way they are summed does not show."""
+    helpers = helpers or {}
+    written: dict[str, DataFrame] = {}
+    paths: dict[str, str] = {}
+    for alias in sorted(spec, key=lambda a: (-len(spec[a]), a)):
+        need = {*spec[alias], *helpers.get(alias, [])}
+        covers = [df for df in written.values() if need <= set(df.columns)]
+        source = min(covers, key=grain_size) if covers else leaf
+        w = build_grains(source, {alias: spec[alias]}, helpers)[alias].write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(partition_by)
-        path = f"{base.rstrip('/')}/{alias}"
-        w.parquet(path)
-        paths[alias] = path
+        paths[alias] = f"{base.rstrip('/')}/{alias}"
+        w.parquet(paths[alias])
+        written[alias] = leaf.sparkSession.read.parquet(paths[alias])
     return paths
 
 

@@ -297,8 +297,8 @@ def p02b(spark, sf_dir):
 @register("p03_pick_grain", _a1_sql("agrupa1, division"))
 def p03(spark, sf_dir):
     leaf = stored(B.facts(spark, sf_dir), "leaf-grain")
-    grains = G.build_grains(leaf, {"division": ["agrupa1", "division"], "pdc": ["agrupa1", "division", "territorio", "pdc"]})
-    paths = G.write_grains(grains, scratch_path(spark, "grains"))
+    spec = {"division": ["agrupa1", "division"], "pdc": ["agrupa1", "division", "territorio", "pdc"]}
+    paths = G.write_grains(leaf, spec, scratch_path(spark, "grains"))
     grains = {name: spark.read.parquet(path) for name, path in paths.items()} | {"leaf": leaf}
     _, grain = G.pick_grain(["agrupa1", "division", "sem"], grains)
     return R.rollup_variance(grain, "division", Period(1, 30), smr=B.SMR)

@@ -28,7 +28,7 @@ def _grains(spark, sf_dir):
     leaf = B.facts(spark, sf_dir)
     spec = {"division": ["agrupa1", "division"], "territorio": ["agrupa1", "division", "territorio"]}
     base = scratch_path(spark, "grains")
-    G.write_grains(G.build_grains(leaf, spec), base)
+    G.write_grains(leaf, spec, base)
     return base
 
 

@@ -266,3 +266,20 @@ def test_text_corpus_skips_ignored_folders(spark, tmp_path):
     got = sorted((r.path, r.text) for r in read_text_corpus(spark, str(tmp_path)).collect())
     assert got == [("a.md", "one"), ("x/b.py", "two!")]
     assert read_text_corpus(spark, str(tmp_path / "x" / "__pycache__"), exts=(".md",)).collect() == []
+
+
+def test_coarse_grains_come_from_written_finer_ones(spark, tmp_path):
+    from spendgrid.functions.measures import MEASURES
+    from spendgrid.operators import grains as G
+
+    rows = [(1 + i % 3, f"d{i % 2}", f"t{i % 4}", *[i + k for k in range(4)]) for i in range(40)]
+    leaf = spark.createDataFrame(rows, "sem int, division string, territorio string, " + ", ".join(f"{m} int" for m in MEASURES))
+    read, build = [], G.build_grains
+    G.build_grains = lambda source, spec, helpers=None: (read.append(source), build(source, spec, helpers))[1]
+    try:
+        paths = G.write_grains(leaf, {"division": ["division"], "territorio": ["division", "territorio"]}, str(tmp_path))
+    finally:
+        G.build_grains = build
+    assert [s is leaf for s in read] == [True, False]
+    got = {(r.sem, r.division): r.plan for r in spark.read.parquet(paths["division"]).collect()}
+    assert got == {(r.sem, r.division): r.plan for r in build(leaf, {"x": ["division"]})["x"].collect()}
