@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from spendgrid.llm.common import WORD, written
 
 #: A (source, size) cell is dealt out in parts of about this many rows, so that none is sorted whole.
-CELL_PART_ROWS = 50_000
+CELL_PART_ROWS = 1_000
 
 
 def word_count(text: Column) -> Column:
