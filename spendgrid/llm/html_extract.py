@@ -3,7 +3,8 @@
 The standard library's parser calls back for each tag and text; nothing but a stack of open
 elements is kept. Text between block tags is a line. Each line has a text-to-tag ratio; the
 ratios are smoothed by a Gaussian along the page and split in two clusters by a threshold. The
-lines above it choose the content region; what pages mark as not being the article is left out.
+lines above it choose the content region, which holds them all and the text next to it; what
+pages mark as not being the article is left out.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of formulas. Each token inside one is a word, and a formula counts as one tag.
+MATH = set(
+    "annotation annotation-xml maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+INLINE = MATH | set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 IN_HEAD = set("base link meta noscript script style template title".split())
-#: Elements that hold no article text.
+#: Elements that hold no article text; ``annotation`` is a formula's source, which is not shown.
 DROPPED = set(
-    "applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label map math menu "
+    "annotation annotation-xml applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label map menu "
     "meter nav noembed noframes noscript object option output progress script select style svg template textarea title video".split()
 )
 #: Words of a class, id or role that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
@@ -35,7 +41,8 @@ MARKS = set(
 )
 COMMENTS = set("comment comments commentlist disqus reply replies respond".split())
 CONTAINERS = set("html body main article section div td blockquote center".split())
-#: Share of the content text that a region must hold.
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Share of a line that makes it link text or of the content text that makes articles the region; share of a page's text that a marked wrapper holds.
 MAJORITY, NEARLY_ALL = 0.5, 0.9
 SIGMA, RADIUS = 1.0, 2
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
@@ -51,6 +58,7 @@ class _Lines(HTMLParser):
         self.parent, self.name, self.drops, self.marks = [-1], [""], [False], [False]
         self.stack, self.open = [0], Counter()
         self.article = 0  # open article and main elements
+        self.formula = False  # a token of the open formula is written
         self.lines: list[tuple[str, int, float, int]] = []
         self.text: list[str] = []
         self.tags, self.linked, self.at = 0, 0, 0
@@ -97,7 +105,8 @@ class _Lines(HTMLParser):
                 self.pop("p")
             if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and self.name[self.stack[-1]] == tag:
                 self.pop(tag)
-        self.tags += 1
+        self.tags += not self.open["math"]
+        self.formula &= tag != "math"
         if tag in VOID:
             return
         up = self.stack[-1]
@@ -113,7 +122,7 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.end_line()
-        self.tags += 1
+        self.tags += tag == "math" or not self.open["math"]
         if self.open[tag] > 0:
             self.pop(tag)
 
@@ -123,6 +132,10 @@ class _Lines(HTMLParser):
             return
         if not self.text:
             self.at = at
+        if self.open["math"]:
+            if self.formula:
+                self.text.append(" ")
+            self.formula = True
         self.text.append(data)
         if self.open["a"]:
             self.linked += len(data.strip())
@@ -163,6 +176,21 @@ def _unmarked(page: _Lines) -> list[tuple[str, int, float, int]]:
     return [x for x in page.lines if not out[x[3]]]
 
 
+def _with_neighbours(base: np.ndarray, link: np.ndarray, heading: np.ndarray) -> np.ndarray:
+    """``base`` and the lines next to it, up to the menus: two link lines or more in a row.
+
+    A run of lines begins with text or a heading, also a linked one, and ends with text.
+    """
+    stop = np.append(link & ~heading & ~base, False)
+    stop = (stop & (np.roll(stop, 1) | np.roll(stop, -1)))[:-1]
+    keep, run = base.copy(), np.cumsum(stop)
+    for r in np.unique(run[base]):
+        at = np.flatnonzero((run == r) & ~stop)
+        first, last = at[(base | ~link | heading)[at]][0], at[(base | ~link)[at]][-1]
+        keep[first : last + 1] = True
+    return keep
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one space; empty if there is none.
 
@@ -170,8 +198,11 @@ def main_text(html: str | None) -> str:
     elements are those named in ``DROPPED``, reader comments, and those that their class, id or
     role marks unless they wrap an article, or nearly all text where there is none. If articles (or
     ``main``) hold most of the text above the threshold, every other line in them is kept, short
-    ones too. Else the region is the innermost container with nearly all of that text, without the
-    lines at its ends that are below the threshold and mostly links.
+    ones too, and all text above it that stands outside. Else the region is the innermost container
+    with all of that text, without the lines at its ends that are below the threshold and mostly
+    links. Lines beside what is kept, such as a title or a last remark, stay as well as far as the
+    next menu. A mostly linked line chooses no region if only the smoothing lifts it over the
+    threshold, unless the whole page is such lines.
     """
     if not html:
         return ""
@@ -184,28 +215,39 @@ def main_text(html: str | None) -> str:
         return ""
     size = np.array([len(t) for t, *_ in lines], dtype=float)
     where = [at for *_, at in lines]
-    smooth = _smooth(size / np.maximum([n for _, n, _, _ in lines], 1))
-    content = smooth >= min(_threshold(smooth), float(smooth.max()))
+    link = np.array([share for _, _, share, _ in lines]) >= MAJORITY
+    ratio = size / np.maximum([n for _, n, _, _ in lines], 1)
+    smooth = _smooth(ratio)
+    border = min(_threshold(smooth), float(smooth.max()))
+    content = smooth >= border
     held = np.zeros(len(page.name))
-    np.add.at(held, where, np.where(content, size, 0.0))
+    solid = content & (~link | (ratio >= border))  # a menu line beside a paragraph is only smoothed over the threshold
+    if not solid.any():
+        solid = content
+    np.add.at(held, where, np.where(solid, size, 0.0))
     total = held.sum()
     for k in range(len(held) - 1, 0, -1):  # children come after their parents
         held[page.parent[k]] += held[k]
     inside = np.zeros(len(held), dtype=bool)
+    heads = np.zeros(len(held), dtype=bool)
     for k in range(1, len(held)):
         inside[k] = inside[page.parent[k]] or page.name[k] in ("article", "main")
+        heads[k] = heads[page.parent[k]] or page.name[k] in HEADINGS
     tops = [k for k in range(1, len(held)) if inside[k] and not inside[page.parent[k]]]
     if tops and sum(held[k] for k in tops) >= MAJORITY * total:
-        return " ".join(t for t, *_, at in lines if inside[at])
-    # innermost: of nested elements the last in page order
-    region = max((k for k in range(1, len(held)) if page.name[k] in CONTAINERS and held[k] >= NEARLY_ALL * total), default=0)
-    inside[:] = False
-    inside[region] = True
-    for k in range(region + 1, len(held)):
-        inside[k] = inside[page.parent[k]]
-    kept = [i for i, at in enumerate(where) if inside[at]]
-    solid = [i for i in kept if content[i] or lines[i][2] < MAJORITY]
-    return " ".join(lines[i][0] for i in kept if solid and solid[0] <= i <= solid[-1])
+        base = inside[where] | solid
+    else:
+        # innermost: of nested elements the last in page order
+        region = max((k for k in range(1, len(held)) if page.name[k] in CONTAINERS and held[k] == total), default=0)
+        inside[:] = False
+        inside[region] = True
+        for k in range(region + 1, len(held)):
+            inside[k] = inside[page.parent[k]]
+        base = inside[where]
+        ends = np.flatnonzero(base & (content | ~link))
+        base[: ends[0]] = base[ends[-1] + 1 :] = False
+    keep = _with_neighbours(base, link, heads[where])
+    return " ".join(lines[i][0] for i in np.flatnonzero(keep))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,27 @@ def test_fixtures(page, want):
     assert main_text(page) == want
 
 
+MENU = "<ul><li><a href=1>Home</a><li><a href=2>News</a></ul>"
+FORMULA = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x=2</annotation></semantics></math>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"{MENU}<div><h1>Title</h1><p>Lead</p><div class=body><p>{LONG}</p><p>{LONG}</p></div><div><p>Last.</p></div></div>{MENU}", f"Title Lead {LONG} {LONG} Last."),
+        (f"<div>{MENU}<h1><a href=3>Title</a></h1><p><a href=4>Jane</a></p></div><div><p>{LONG}</p><p>{LONG}</p></div>{MENU}<p>Far</p>", f"Title Jane {LONG} {LONG}"),
+        (f"{MENU}<div><p>{LONG * 20}</p></div><div><p>{LONG}</p></div>", f"{LONG * 20} {LONG}"),
+        (f"{MENU}<div><p>{LONG * 9}</p></div>{MENU}<div><p>{LONG * 9}</p></div>{MENU}", f"{LONG * 9} Home News {LONG * 9}"),
+        (f"{MENU}<div><p>{LONG * 9}</p></div>{MENU}<div><p><a href=1>{LONG * 20}</a></p></div>", f"{LONG * 9} Home News {LONG * 20}"),
+        (f"{MENU}<h1>Title</h1><article><p>{LONG}</p><p>{LONG}</p></article><h2>Part</h2><div><p>{LONG}</p></div>{MENU}", f"Title {LONG} {LONG} Part {LONG}"),
+        (f"<article><p>{LONG * 9}</p><p>{LONG}</p></article>{MENU}<div><p>{LONG * 8}</p></div>{MENU}", f"{LONG * 9} {LONG} {LONG * 8}"),
+        (f"<article><p>{LONG} {FORMULA}.</p></article>", f"{LONG} x = 2."),
+    ],
+)
+def test_text_beside_the_region_and_formulas(page, want):
+    assert main_text(page) == want
+
+
 def own_article(page):
     inner = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
     blocks = (" ".join(html.unescape(re.sub(r"</?b>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", inner))
