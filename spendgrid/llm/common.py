@@ -22,6 +22,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written with a row number, and the name of that column, which ``df`` does not have.
+
+    Once written, the numbers are fixed and tell rows apart that agree in everything.
+    """
+    taken, column = {c.lower() for c in df.columns}, "_row"
+    while column in taken:
+        column += "_"
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph given as ``edges(a, b)`` (bigint, no nulls).
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendgrid.llm.common import connected_components, written
+from spendgrid.llm.common import connected_components, numbered, written
 
 SEED = 42
 BYTES = 8
@@ -52,10 +52,12 @@ def fingerprint(text: str | None, words_per_shingle: int) -> int:
 
 
 def _fingerprints(words_per_shingle: int):
+    """The columns before the last, which is the text, and its fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words_per_shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), words_per_shingle) for t in b.columns[-1]], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], [*b.schema.names[:-1], "fp"])
 
     return run
 
@@ -99,15 +101,14 @@ def _connect(open_bytes: list[int], max_bits: int) -> list[tuple[int, int]]:
 
 
 def _links(max_bits: int):
-    """Tally and verify each index list: (rep, rep) links that connect what is within ``max_bits``."""
+    """Tally and verify each index list: pairs of fingerprints that connect what is within ``max_bits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members, a, b = batch.column(1), [], []
             ends = members.offsets.to_numpy()
-            items = members.values
-            fps = items.field(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            reps = items.field(1).to_numpy(zero_copy_only=False)
+            nodes = members.flatten().to_numpy(zero_copy_only=False)
+            fps = nodes.view(np.uint64)
             sets = batch.column(0).to_numpy()
             byte = fps.view(np.uint8).reshape(-1, BYTES).astype(np.int64)
             which = np.repeat(sets, np.diff(ends))
@@ -115,47 +116,64 @@ def _links(max_bits: int):
             value = byte[np.arange(len(byte)), OPEN[which, 0]] << 8 | byte[np.arange(len(byte)), OPEN[which, 1]]
             for lo, hi in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True):
                 for i, j in _connect(value[lo:hi].tolist(), max_bits):
-                    a.append(reps[lo + i])
-                    b.append(reps[lo + j])
+                    a.append(nodes[lo + i])
+                    b.append(nodes[lo + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _components(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``node, component`` for each of the distinct fingerprints ``fp`` that links to another; the smallest is the component.
+
+    1. the inverted index over sets of six byte positions, and its lists of two or more; 2. verified
+    links, each list reduced to a connecting set; 3. components.
+    """
+    if not 0 <= max_bits <= 2:
+        raise ValueError("the index over six of eight bytes is complete for up to 2 differing bits")
+    masks = [np.uint64(sum(0xFF << (8 * p) for p in c)).astype(np.int64).item() for c in SETS]
+    keys = F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])
+    postings = prints.select("fp", F.explode(keys).alias("key")).select("key.set", "key.bytes", "fp")
+    lists = postings.groupBy("set", "bytes").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
+    links = lists.select("set", "members").mapInArrow(_links(max_bits), "a bigint, b bigint")
+    return connected_components(links, "simhash")
+
+
 def simhash_groups(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row; ``component_id`` is the smallest id reachable.
 
-    Fingerprints within ``max_bits`` (0 to 2) bits link. Null and empty texts have the fingerprint
-    zero and link like any other. Rows with a null id get a fingerprint and, as component, the
-    smallest known id their fingerprint reaches (null if there is none). Repeated rows stay rows.
+    Fingerprints within ``max_bits`` (0 to 2) bits link; rows link by their fingerprints only, not
+    by equal ids. Null and empty texts have the fingerprint zero and link like any other. Rows with
+    a null id link too and get, as component, the smallest known id that they reach (null if there
+    is none). Repeated rows stay rows.
 
     1. fingerprints, in Python tasks over whole texts; 2. distinct fingerprints with their smallest
-    id, so copies meet once; 3. the inverted index over sets of six byte positions, and its lists of
-    two or more; 4. verified links, each list reduced to a connecting set; 5. components.
+    id, so copies meet once; 3. components of fingerprints; 4. the smallest id of each.
     """
-    if not 0 <= max_bits <= 2:
-        raise ValueError("the index over six of eight bytes is complete for up to 2 differing bits")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = written(rows.mapInArrow(_fingerprints(words_per_shingle), "id bigint, fp bigint"), "simhash-fingerprints")
     reps = rows.groupBy("fp").agg(F.min("id").alias("rep"))
-    known = reps.filter("rep IS NOT NULL")
-    masks = [np.uint64(sum(0xFF << (8 * p) for p in c)).astype(np.int64).item() for c in SETS]
-    keys = F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])
-    postings = known.select("fp", "rep", F.explode(keys).alias("key")).select("key.set", "key.bytes", "fp", "rep")
-    lists = postings.groupBy("set", "bytes").agg(F.collect_list(F.struct("fp", "rep")).alias("members")).filter(F.size("members") > 1)
-    links = lists.select("set", "members").mapInArrow(_links(max_bits), "a bigint, b bigint")
-    comps = connected_components(links, "simhash")
-    by_fp = known.join(comps, known["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    comps = _components(reps.select("fp"), max_bits)
+    least = reps.join(comps, reps["fp"] == comps["node"]).groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = written(least, "simhash-least")  # plain joins here and below: the rows of a hot key can be split
+    linked = comps.join(least, "component").select("node", "component_id")
+    by_fp = reps.join(linked, reps["fp"] == linked["node"], "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex(F.col("fp")), 16, "0"))
+    by_fp = written(by_fp, "simhash-groups")
     return rows.join(by_fp, "fp", "left").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each group the document with the smallest id.
+    """The rows of ``docs``, all columns, that stay: of each component of fingerprints one row.
 
-    An id names one document, so of rows with one id one stays. Rows without an id stay as one row
-    if no document with an id is in their group.
+    It is the row with the smallest id; null ids come last, and of equal ids the first stored row
+    stays. Ids decide nothing else: rows without an id, or of one id, whose texts differ all stay.
     """
-    groups = simhash_groups(docs, words_per_shingle, max_bits, id_col, text_col)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    stored, number = numbered(docs, "simhash-rows")
+    rows = stored.select(F.col(number).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = written(rows.mapInArrow(_fingerprints(words_per_shingle), "row bigint, id bigint, fp bigint"), "simhash-fingerprints")
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "row")).alias("best"))
+    comps = _components(best.select("fp"), max_bits)
+    groups = best.join(comps, best["fp"] == comps["node"], "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    kept = groups.agg(F.min("best").alias("best")).select(F.col("best.row").alias(number))
+    return stored.join(kept, number, "left_semi").drop(number)

@@ -90,6 +90,39 @@ def test_empty_table_and_columns(make_docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def two_bits_off(words, rng):
+    """A copy of the words with one changed, whose fingerprint is near but not the same."""
+    for _ in range(10_000):
+        other = list(words)
+        other[rng.randrange(len(words))] = "X%d" % rng.randrange(10**6)
+        if 0 < (brute_fingerprint(" ".join(words)) ^ brute_fingerprint(" ".join(other))).bit_count() <= 2:
+            return other
+    raise AssertionError("no near copy found")
+
+
+def test_null_and_repeated_ids_keep_each_different_text(make_docs):
+    rng = random.Random(1)
+    a, b, c, d = ([f"{v}{rng.randrange(10**6)}" for _ in range(400)] for v in "abcd")
+    near_a, near_d = two_bits_off(a, rng), two_bits_off(d, rng)
+    rows = [(7, a), (None, near_a), (None, b), (None, b), (None, c), (5, ["same", "id", "one"]), (5, ["same", "id", "two", "other"]), (None, d), (None, near_d)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    kept = [(r.doc_id, r.text) for r in keep_representatives(make_docs(rows)).collect()]
+    want = [rows[0], rows[2], rows[4], rows[5], rows[6]]
+    assert sorted((x for x in kept if x not in rows[7:]), key=str) == sorted(want, key=str)
+    assert len([x for x in kept if x in rows[7:]]) == 1  # two near copies without an id: one of them
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash_groups(make_docs(rows)).collect()), key=str)
+    assert got == brute_groups(rows)
+
+
+def test_one_id_does_not_merge_groups(make_docs):
+    rng = random.Random(2)
+    a, b = ([f"{v}{rng.randrange(10**6)}" for _ in range(400)] for v in "ab")
+    rows = [(i, " ".join(t)) for i, t in [(4, a), (4, b), (2, two_bits_off(a, rng))]]
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash_groups(make_docs(rows)).collect()}
+    assert got == {(i, format(brute_fingerprint(t), "016x"), c) for (i, t), c in zip(rows, [2, 4, 2])}
+    assert {(r.doc_id, r.text) for r in keep_representatives(make_docs(rows)).collect()} == {rows[1], rows[2]}
+
+
 def test_more_bits_than_the_index_covers(make_docs):
     with pytest.raises(ValueError):
         simhash_groups(make_docs([]), max_bits=3)
