@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from spendgrid.llm import q_count, q_dedup, q_text, q_mix
+from spendgrid.llm import q_audit, q_count, q_dedup, q_embed, q_mix, q_pieces, q_text
 
-QUERIES = q_dedup.QUERIES | q_text.QUERIES | q_mix.QUERIES | q_count.QUERIES
-SQL = q_dedup.SQL | q_text.SQL | q_mix.SQL | q_count.SQL
+_MODULES = (q_dedup, q_text, q_mix, q_count, q_audit, q_pieces, q_embed)
+
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
