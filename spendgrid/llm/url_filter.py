@@ -1,8 +1,8 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
 A rule is a canonical ``host + path`` key and a verdict; it fits its host and all subdomains when
-the URL's path starts with the rule's. A URL is probed under each of its host suffixes and each
-listed path length. Probes that pass the filter are possible hits; the join keeps the true ones.
+the URL's path starts with the rule's. A URL is probed under its host suffixes of as many labels
+as some listed host has, and each listed path length. Probes that pass the filter are possible hits; the join keeps the true ones.
 """
 
 from __future__ import annotations
@@ -84,11 +84,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_
     spark = pages.sparkSession
     listed = rules.select(F.concat("host", "path").alias("rule"), "host", "path", "verdict").groupBy("rule", "host", "path").agg(F.min("verdict").alias("verdict"))
     keyed = listed.withColumn("key", F.concat_ws(" ", "host", "path"))
-    lengths = sorted(r[0] for r in keyed.select(F.char_length("path")).distinct().collect())  # distinct path lengths of the list
+    # distinct path lengths and label counts of the list
+    lengths = sorted(r[0] for r in keyed.select(F.char_length("path")).distinct().collect())
+    labels = sorted(r[0] for r in keyed.select(F.size(F.split("host", r"\."))).distinct().collect())
     words = build_filter(keyed, max_bytes)
     urls = pages.select(F.col(url_col).alias("url")).distinct().withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # a host that has fewer labels is its own suffix, once
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in labels]).cast("array<string>"))
     starts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length("path"))
     cand = urls.filter("host <> ''").withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(starts))
     cand = cand.select("url", F.concat_ws(" ", "suffix", F.expr("substring(path, 1, start)")).alias("key"))

@@ -1,5 +1,7 @@
 """URL rules against a plain reading of them."""
 
+import time
+
 from spendgrid.llm.q_mix import URL_RULES
 from spendgrid.llm.url_filter import build_filter, judge_pages
 
@@ -52,3 +54,15 @@ def test_full_filter_only_passes_more(spark):
     assert len(small) == 8
     got = {r.page_id: r.rule for r in judge_pages(p, rules).collect()}
     assert got[len(URLS)] == "h7.org/" and got[len(URLS) + 1] is None and got[0] == "example.com/en/"
+
+
+def test_hosts_of_any_length_and_rules_of_any_depth(spark):
+    """A host of 100,000 dots is probed as often as the list has label counts, not once per label."""
+    long = "a." * 100_000 + "x.net"
+    rules = spark.createDataFrame([("net", "/es/", "block"), ("b.c.d.e.com", "/", "block"), ("x.", "/", "block")], "host string, path string, verdict string")
+    urls = [f"http://{long}/es/1", f"http://{long}/", "http://d.e.com/", "http://z.b.c.d.e.com/", "http://x./", "http://.x./", "http://b.c.d.e.com", "http://...net/es/"]
+    start = time.time()
+    got = {r.page_id: (r.rule, r.verdict, len(r.host)) for r in judge_pages(pages(spark, list(enumerate(urls))), rules).collect()}
+    assert time.time() - start < 20
+    assert [got[i][0] for i in range(len(urls))] == ["net/es/", None, None, "b.c.d.e.com/", "x./", "x./", None, "net/es/"]
+    assert got[0] == ("net/es/", "block", len(long)) and got[2][1] == "allow"
