@@ -22,14 +22,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused_name(df: DataFrame, column: str) -> str:
+    """``column``, with underscores added until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while column.lower() in taken:
+        column += "_"
+    return column
+
+
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written with a row number, and the name of that column, which ``df`` does not have.
 
     Once written, the numbers are fixed and tell rows apart that agree in everything.
     """
-    taken, column = {c.lower() for c in df.columns}, "_row"
-    while column in taken:
-        column += "_"
+    column = unused_name(df, "_row")
     return written(df.withColumn(column, F.monotonically_increasing_id()), name), column
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendgrid.llm.common import WORD, written
+from spendgrid.llm.common import WORD, numbered, unused_name, written
 
 #: A (source, size) cell is dealt out in parts of about this many rows, so that none is sorted whole.
 CELL_PART_ROWS = 1_000
@@ -89,7 +89,7 @@ def _solve(hist: DataFrame, sources: DataFrame, cap: float, steps: int, tol: flo
                     step = (lo + hi) / 2
                 else:
                     step = s["lam"] + (1.0 if gap < 0 else -1.0) * max(1.0, abs(s["lam"]))
-            s["lam"] = step
+            s["lam"] = float(f"{step:.12g}")  # the order in which Spark adds doubles does not show
     return spark.createDataFrame([(k, s["lam"]) for k, s in state.items()], "key int, lam double")
 
 
@@ -118,9 +118,17 @@ def mix_sources(
     What is collected is one row per source. Windows run over histogram cells (at most the
     distinct sizes of a source) and over hashed parts of one cell, never over the rows of a source.
     """
+    mixed = _mixed(docs, weights, share, cap, size, id_col, source_col, text_col, newton_steps, tol)
+    return mixed.drop("row").withColumnsRenamed({"id": id_col, "source": source_col})
+
+
+def _mixed(docs, weights, share, cap, size, id_col, source_col, text_col, newton_steps=60, tol=1e-6, row=None) -> DataFrame:
+    """``id, source, size, source_size, target, rate, copies, taken`` and ``row``, the number of each row (given, or made here)."""
     spark = docs.sparkSession
     size = word_count(F.col(text_col)) if size is None else size
-    base = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    row = F.monotonically_increasing_id() if row is None else row
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row.alias("row"))
+    base = written(base, "mix-sizes")
     hist = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     sizes = hist.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"), F.max("size").alias("max_size")
@@ -160,30 +168,40 @@ def mix_sources(
     parts = F.ceil(F.col("n") / F.lit(CELL_PART_ROWS)).cast("int")
     cells = cells.select("key", "size", "rate", "copies", "n", parts.alias("parts"))
     cells = written(cells, "mix-cells")
-    rows = base.alias("h").join(sources.alias("s"), by_source).select("id", "h.source", "size", "key", "source_size", "target")
+    rows = base.alias("h").join(sources.alias("s"), by_source).select("id", "row", "h.source", "size", "key", "source_size", "target")
     rows = rows.join(cells.withColumnRenamed("n", "cell_rows"), ["key", "size"])
-    rows = rows.withColumn("hash", F.xxhash64("id")).withColumn("part", F.pmod("hash", "parts"))
-    # extra copies of a cell go to its first ``copies mod n`` rows along (part, hash, id)
+    # rows without an id are told apart by their number alone
+    rows = rows.withColumn("hash", F.when(F.col("id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("id")))
+    rows = rows.withColumn("part", F.pmod("hash", "parts"))
+    # extra copies of a cell go to its first ``copies mod n`` rows along (part, hash, id, row)
     in_parts = rows.groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("part_rows"))
     earlier = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     in_parts = in_parts.withColumn("offset", F.coalesce(F.sum("part_rows").over(earlier), F.lit(0))).drop("part_rows")
     rows = rows.join(in_parts, ["key", "size", "part"])
-    rank = F.col("offset") + F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("hash", "id"))
+    rank = F.col("offset") + F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("hash", "id", "row"))
     rows = rows.withColumn("rank", rank)
     extra = (F.col("rank") <= F.col("copies") % F.col("cell_rows")).cast("bigint")
     rows = rows.withColumn("copies", F.expr("copies div cell_rows") + extra)
-    return rows.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
-    )
+    return rows.select("id", "row", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def take_copies(docs: DataFrame, weights: list[float], share: float = 1.5, cap: int = 2, id_col: str = "doc_id", **columns) -> DataFrame:
+def take_copies(
+    docs: DataFrame,
+    weights: list[float],
+    share: float = 1.5,
+    cap: int = 2,
+    size: Column | None = None,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
     """The rows of the mix: each row of ``docs``, all columns, as often as ``mix_sources`` takes it.
 
-    An id must name one row. ``columns``: ``source_col`` and ``text_col``, as for ``mix_sources``.
+    Rows are told apart by a number that they are written with, so null and repeated ids are rows
+    like any other, and no column name is reserved.
     """
-    taken = mix_sources(docs, weights, share, cap, id_col=id_col, **columns).filter("copies > 0")
-    taken = taken.select(F.col(id_col).alias("_taken_id"), F.col("copies").alias("_copies"))
-    j = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_taken_id")))
-    return j.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)
+    stored, number = numbered(docs, "mix-rows")
+    copies = unused_name(stored, "_copies")
+    taken = _mixed(stored, weights, share, cap, size, id_col, source_col, text_col, row=F.col(number)).filter("copies > 0")
+    j = stored.join(taken.select(F.col("row").alias(number), F.col("copies").cast("int").alias(copies)), number)
+    return j.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(number, copies)

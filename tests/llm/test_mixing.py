@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -78,13 +78,41 @@ def test_reruns_agree_whatever_the_order(make_docs):
 
 
 def test_copies_are_rows(make_docs):
-    rows = [r for r in rows_of(3, 200) if r[0] != 9002]
-    docs = make_docs(rows)
+    docs = make_docs(rows_of(3, 200))
     out = take_copies(docs, [3, 1, 2])
     assert out.columns == docs.columns
     assert out.count() == sum(r.copies for r in mix_sources(docs, [3, 1, 2]).collect())
 
 
+def test_null_and_repeated_ids_are_rows(spark):
+    """Each row gives exactly its own copies, whatever its id; no column name is reserved."""
+    rng = random.Random(4)
+    rows = [(None if i % 2 else i % 7, "w " * rng.randint(1, 60), rng.choice("ab"), f"row {i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, tag string")
+    for clash in ("_row", "_copies", "_copy", "_taken_id", "copies", "row", "id", "size"):
+        docs = docs.selectExpr("*", f"'mine' AS `{clash}`")
+    out = take_copies(docs, [3, 1, 2])
+    assert out.columns == docs.columns
+    got = out.collect()
+    times, of_tag = Counter(r.tag for r in got), {tag: (i, t, s) for i, t, s, tag in rows}
+    assert max(times.values()) <= 2 and all((r.doc_id, r.text, r.source) == of_tag[r.tag] and r._copies == r.size == "mine" for r in got)
+    mixed = mix_sources(docs, [3, 1, 2]).collect()
+    assert len(got) == sum(r.copies for r in mixed)
+    want = defaultdict(float)
+    for r in mixed:
+        want[r.source] = r.target
+    for s in "ab":
+        taken = sum(words(r.text) for r in got if r.source == s)
+        assert taken == sum(r.taken for r in mixed if r.source == s) == pytest.approx(want[s], rel=0.02)
+
+
+def test_rows_without_an_id_are_spread(make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_PART_ROWS", 7)
+    rows = [(None, "same size here", "en", "a")] * 100 + [(i, "two words", "en", "b") for i in range(100)]
+    got = mix_sources(make_docs(rows), [1, 3]).collect()
+    assert sum(r.taken for r in got if r.source == "a") == pytest.approx(got[0].target if got[0].source == "a" else next(r.target for r in got if r.source == "a"), abs=3)
+
+
 def test_degenerate_tables(make_docs):
     assert mix_sources(make_docs([]), [3, 1, 2]).collect() == []
     got = mix_sources(make_docs([(1, None, "en", None), (2, "", "en", "a")]), [3, 1, 2]).collect()
