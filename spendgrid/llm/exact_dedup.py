@@ -6,10 +6,10 @@ text decides only inside groups that share both.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendgrid.llm.common import SPACE_CLASS, written
+from spendgrid.llm.common import SPACE_CLASS, numbered, written
 
 PREFIX_CHARS = 64
 
@@ -34,13 +34,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     join that marks repeated keys, whose hot keys adaptive execution splits. An empty table gives
     no rows; extra columns of ``docs`` are ignored.
     """
+    return _decided(docs, id_col, text_col, digest).drop("_row").withColumnRenamed("_id", id_col)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, digest: bool, row: Column | None = None) -> DataFrame:
+    """``exact_dedup`` with ``_id`` and ``_row``, the number of each row (given, or made here)."""
     full = F.sha2("_norm", 256)
+    numbers = [] if row is None else [row.alias("_row")]
     keyed = docs.select(
+        *numbers,
         F.col(id_col).alias("_id"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("_n"),
         normalised(F.col(text_col)).alias("_norm"),
     ).select(
-        "_id", "_n", "_norm",
+        *(["_row"] if numbers else []), "_id", "_n", "_norm",
         F.char_length("_norm").alias("_len"),
         F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)).alias("_prefix"),
     )
@@ -54,11 +61,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter("_c > 1")
         .select("_len", "_prefix", F.lit(True).alias("_survives"))
     )
+    if not digest:  # once written, its size is known: texts move only if it is too large to be sent to them
+        repeated = written(repeated, "exact-repeated")
     marked = keyed.join(repeated, ["_len", "_prefix"], "left").withColumn("_survives", F.coalesce("_survives", F.lit(False)))
     sha = F.col("_norm") if digest else F.when(F.col("_survives"), full)
-    rows = marked.select("_id", "_n", "_survives", sha.alias("_sha"))
     # once written, the row number is fixed and tells rows apart that agree in everything
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "exact-keys")
+    number = F.col("_row") if numbers else F.monotonically_increasing_id().alias("_row")
+    rows = written(marked.select("_id", "_n", "_survives", sha.alias("_sha"), number), "exact-keys")
     # the row that stays: most code points, then the smallest known id, then any one row
     best = F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("x"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     groups = (
@@ -71,7 +80,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     j = rows.join(written(groups, "exact-groups"), "_sha", "left")  # a plain join: a hot group's rows can be split
     grouped = F.col("_size").isNotNull()
     return j.select(
-        F.col("_id").alias(id_col),
+        "_id", "_row",
         F.when(grouped, F.col("_keep")).otherwise(F.col("_id")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
         (~grouped | (F.col("_row") == F.col("_keep_row"))).alias("kept"),
@@ -82,10 +91,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; one row of each group of equal texts.
 
-    Of rows that agree in id and normalised text any one stays.
+    Only texts that share length and prefix hash with another are hashed whole. Rows are told apart
+    by a number that they are written with, so null and repeated ids are rows like any other, and
+    no column name is reserved.
     """
-    kept = exact_dedup(docs, id_col, text_col, digest=True).filter("kept")
-    kept = kept.select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    j = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return j.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    stored, number = numbered(docs, "exact-rows")
+    dropped = _decided(stored, id_col, text_col, False, F.col(number)).filter("NOT kept").select(F.col("_row").alias(number))
+    return stored.join(dropped, number, "left_anti").drop(number)

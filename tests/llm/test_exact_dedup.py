@@ -55,3 +55,25 @@ def test_drop_copies_keeps_all_columns(make_docs):
     kept = drop_copies(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.keep_id for r in exact_dedup(docs).collect()}
+
+
+def test_drop_copies_with_any_ids_and_names(spark):
+    """Null and repeated ids are rows like any other; no column name is reserved."""
+    rows = [(None, f"text {i % 40}") for i in range(60)] + [(5, f"other {i}") for i in range(10)] + [(5, "other 1 "), (6, "text 3"), (7, None), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for clash in ("_row", "_kept_id", "_sha", "_norm", "_id", "_survives", "a.b"):
+        docs = docs.selectExpr("*", f"'mine' AS `{clash}`")
+    got = drop_copies(docs)
+    assert got.columns == docs.columns
+    found = got.collect()
+    assert sorted(SPACE.sub("", r.text or "") for r in found) == sorted({SPACE.sub("", t or "") for _, t in rows})
+    assert {c for r in found for c in r[2:]} == {"mine"}
+    assert [r.doc_id for r in found if r.text == "text 3"] == [6] and [r.text for r in found if r.text and r.text.startswith("other 1")] == ["other 1 "]
+
+
+def test_only_groups_of_one_length_and_prefix_are_hashed(spark):
+    """The refinement's last step reads what the first two left over."""
+    head = "x" * 64
+    rows = [(1, head + "a"), (2, head + "b"), (3, head + "bc"), (4, head + "b "), (5, "y" * 65)]
+    got = {r.doc_id: (r.kept, r.text_sha256 is not None) for r in exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (True, True), 2: (False, True), 3: (True, False), 4: (True, True), 5: (True, False)}

@@ -74,3 +74,39 @@ def test_pack_and_run(spark, stages):
     assert sorted({r.bucket_len for r in got}) == packing.optimal_boundaries(list(hist.items()), corpus_pipeline.PACK_BUCKETS)
     again = corpus_pipeline.run(spark, SF)
     assert sorted((r.doc_id, r.n_tokens, r.bucket_len) for r in again.collect()) == sorted((r.doc_id, r.n_tokens, r.bucket_len) for r in got)
+
+
+def test_null_and_repeated_ids_and_clashing_names(spark, stages):
+    """Every stage keeps the rows of unlike texts, whatever their ids; other columns pass through."""
+    base = [r for r in stages[0].collect() if r.text and r.lang][:150]
+    rows = [(None if i % 3 == 0 else i % 5, r.text, r.lang, r.source, r.n_chars, f"tag {i}") for i, r in enumerate(base)]
+    rows += [(None, base[0].text + " ", "en", base[0].source, 1, "copy"), (3, None, None, None, None, "null")]
+    docs = spark.createDataFrame(rows, stages[0].schema.add("_row", "string"))
+    for clash in ("_copies", "_sha", "fp", "row", "id", "size", "k"):
+        docs = docs.selectExpr("*", f"'mine' AS `{clash}`")
+    model = langid.train(stages[0])
+    got = written(langid.keep_identified(docs, model), "pipeline-test")
+    assert got.columns == docs.columns and "null" not in {r._row for r in got.collect()}
+    before = {r._row: r.text for r in got.collect()}
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        got = written(stage(spark, got, SF), "pipeline-test")
+        assert got.columns == docs.columns, name
+        tags = [r._row for r in got.collect()]
+        if name == "exact dedup":
+            assert sorted(SPACE.sub("", before[t]) for t in tags) == sorted({SPACE.sub("", t) for t in before.values()})
+            before = {t: before[t] for t in tags}
+        elif name == "SimHash near-dedup":
+            number = {t: i for i, t in enumerate(sorted(before))}
+            groups = {c for _, _, c in brute_groups([(number[t], x) for t, x in before.items()])}
+            assert len(tags) == len(groups)
+            before = {t: before[t] for t in tags}
+        else:
+            assert set(tags) <= set(before) and max(map(tags.count, tags)) <= 2 and {r.fp for r in got.collect()} == {"mine"}
+    assert corpus_pipeline.STAGES[4][1](spark, got, SF).count() == got.count()
+
+
+def test_empty_table(spark, stages):
+    got = stages[0].limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        got = stage(spark, got, SF)
+        assert got.collect() == []
