@@ -1,10 +1,9 @@
 """SentencePiece encoding and decoding through a table of distinct marked words.
 
 Where no piece of the vocabulary continues across a white-space marker, a text falls into words
-that each begin with their markers, and a word is segmented alike wherever it stands. Tasks cut
-texts to words and keep each block of texts as positions into the block's own word list; the lists
-together, made distinct, are the word table. Each word is segmented once, its ids are joined back
-to the lists, and the positions read them off.
+that each begin with their markers, and a word is segmented alike wherever it stands. A task keeps
+a table of the distinct words that it has met: texts become positions in the table, each word new to
+it is segmented once, and the positions read the ids off.
 """
 
 from __future__ import annotations
@@ -12,23 +11,21 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark import SparkFiles, TaskContext
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from spendgrid.llm.common import written
-
 MARKER = "▁"
-#: A block closes when its texts reach this many characters; a longer text is a block of its own.
-BLOCK_CHARS = 8 << 20
-#: Words handed to the library at a time.
-WORDS_AT_A_TIME = 4096
+#: Texts that a task holds at a time.
+TEXTS_AT_A_TIME = 256
+#: Words of a table; a full one is dropped before the next texts, which bounds memory only.
+TABLE_WORDS = 1 << 18
 
 _WORDS = re.compile(" +[^ ]*")
 
@@ -50,76 +47,32 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(" " + text.replace(MARKER, " ")) if text else []
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of texts: a row with the ids, the words of each text and their positions in the block's word list, and a row per word of the list."""
-    task, number = TaskContext.get().partitionId() << 32, count()
-
-    def close():
-        block = task | next(number)
-        words = list(place)
-        width = np.uint16 if len(words) <= 1 << 16 else np.uint32  # the narrower packs better
-        n = 1 + len(words)
-        empty = [None] * len(words)
-        positions = [a.astype(width).tobytes() for a in held]
-        columns = [
-            pa.array([block] * n, pa.int64()),
-            pa.array([None, *range(len(words))], pa.int32()),
-            pa.array([None, *words], pa.string()),
-            pa.array([ids, *empty], pa.list_(pa.int64())),
-            pa.array([positions, *empty], pa.list_(pa.binary())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["block", "slot", "word", "ids", "positions"])
-
-    ids, held, chars, place = [], [], 0, defaultdict(count().__next__)
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text or "")
-            held.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
-            ids.append(i)
-            chars += len(text or "")
-            if chars >= BLOCK_CHARS:
-                yield close()
-                ids, held, chars, place = [], [], 0, defaultdict(count().__next__)
-    if ids:
-        yield close()
-
-
-def _segment(file: str):
-    """Ids of each word, little-endian unsigned 32-bit."""
+def _encode(file: str, before: bytes, after: bytes):
+    """Ids of each text: those of its words, in the order of their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(file))
-        lone = [sp.piece_to_id(MARKER)]
-        for b in batches:
-            for at in range(0, b.num_rows, WORDS_AT_A_TIME):
-                words = b.column(0).slice(at, WORDS_AT_A_TIME)
-                texts = words.to_pylist()
-                # the library puts the first marker in front itself, but not before an empty text
-                found = sp.encode([w[1:] for w in texts], num_threads=1)
-                packed = [np.array(f if w != " " else lone, "<u4").tobytes() for w, f in zip(texts, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([words, pa.array(packed, pa.binary())], ["word", "pieces"])
+        place, pieces = defaultdict(count().__next__), []  # position of each word, and its ids
+        for b in _slices(batches):
+            if len(place) > TABLE_WORDS:
+                place, pieces = defaultdict(count().__next__), []
+            positions = [list(map(place.__getitem__, words_of(t or ""))) for t in b.column(1).to_pylist()]
+            pieces += _segment(sp, list(islice(place, len(pieces), None)))
+            out = [before + b"".join(map(pieces.__getitem__, at)) + after for at in positions]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "ids"])
 
     return run
 
 
-def _read_off(before: bytes, after: bytes):
-    """Ids of each text of a block: its words' ids in the order of their positions."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, TEXTS_AT_A_TIME) for b in batches for at in range(0, b.num_rows, TEXTS_AT_A_TIME))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = {name: b.column(name)[k] for name in ("ids", "positions", "words")}
-                words = row["words"].values  # structs (slot, pieces); null for a block without words
-                n = 0 if words is None else len(words)
-                width = np.uint16 if n <= 1 << 16 else np.uint32
-                table: list = [b""] * n
-                if n:
-                    for slot, pieces in zip(words.field("slot").to_pylist(), words.field("pieces").to_pylist(), strict=True):
-                        table[slot] = pieces
-                out = [before + b"".join(map(table.__getitem__, np.frombuffer(p, width).tolist())) + after for p in row["positions"].as_py()]
-                yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(out, pa.binary())], ["id", "ids"])
 
-    return run
+def _segment(sp: sentencepiece.SentencePieceProcessor, words: list[str]) -> list[bytes]:
+    """Ids of each marked word. The library puts the first marker in front itself, but not before an empty text."""
+    found = sp.encode([w[1:] for w in words], num_threads=1)
+    lone = [sp.piece_to_id(MARKER)]
+    return [np.array(ids if w != " " else lone, "<u4").tobytes() for w, ids in zip(words, found, strict=True)]
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", begin: bool = True, end: bool = True) -> DataFrame:
@@ -127,26 +80,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     They equal the library's for the same model, without sampling. Null and empty texts have the
     begin and end ids only. Repeated and null document ids stay rows; other columns are ignored; an
-    empty table gives no rows. ``unpack`` turns the ids into an array.
-
-    A block holds at most ``BLOCK_CHARS`` characters and one text more, so a list of words, its
-    segments and its positions are bounded by that; the word table is spread by word, and a common
-    word has one row per block there. Only the lists move, not the texts.
+    empty table gives no rows. ``unpack`` turns the ids into an array. One pass without a shuffle;
+    a task holds ``TEXTS_AT_A_TIME`` texts and a table of about ``TABLE_WORDS`` words.
     """
     sp = load(model_path)
-    spark = docs.sparkSession
-    spark.sparkContext.addFile(model_path)
-    file = model_path.rsplit("/", 1)[-1]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    blocks = rows.mapInArrow(_blocks, "block bigint, slot int, word string, ids array<bigint>, positions array<binary>")
-    blocks = written(blocks, "pieces-blocks")
-    lists = blocks.filter("slot IS NOT NULL").select("block", "slot", "word")
-    table = lists.select("word").distinct().mapInArrow(_segment(file), "word string, pieces binary")
-    table = written(table, "pieces-words")
-    back = lists.join(table, "word").groupBy("block").agg(F.collect_list(F.struct("slot", "pieces")).alias("words"))
-    joined = blocks.filter("slot IS NULL").select("block", "ids", "positions").join(back, "block", "left").drop("block")
+    docs.sparkSession.sparkContext.addFile(model_path)
     special = [np.array([i] if on else [], "<u4").tobytes() for i, on in ((sp.bos_id(), begin), (sp.eos_id(), end))]
-    return joined.mapInArrow(_read_off(*special), "id bigint, ids binary").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInArrow(_encode(model_path.rsplit("/", 1)[-1], *special), "id bigint, ids binary")
+    return out.withColumnRenamed("id", id_col)
 
 
 def _decode(file: str):
@@ -168,7 +110,7 @@ def _decode(file: str):
                 surface.append(piece.replace(MARKER, " ").encode())
                 if piece[0] == MARKER:
                     marked.add(i)
-        for b in batches:
+        for b in _slices(batches):
             texts = []
             for packed in b.column(b.num_columns - 1).to_pylist():
                 ids = np.frombuffer(packed or b"", "<u4").tolist()

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -28,9 +29,10 @@ def odd_texts(n=400):
     return [*texts, None, "", " ", "  ", "▁", "▁ ▁", "\n", "<s> </s> <unk> <0x41>", "x" * 30_000, "ab " * 40_000, "中" * 5_000, "tail  ", "  head"]
 
 
-@pytest.mark.parametrize("block", [8 << 20, 50])
-def test_ids_and_texts_equal_the_library(make_docs, monkeypatch, block):
-    monkeypatch.setattr(sentencepieces, "BLOCK_CHARS", block)
+@pytest.mark.parametrize(("texts", "words"), [(256, 1 << 18), (3, 7)])
+def test_ids_and_texts_equal_the_library(make_docs, monkeypatch, texts, words):
+    monkeypatch.setattr(sentencepieces, "TEXTS_AT_A_TIME", texts)
+    monkeypatch.setattr(sentencepieces, "TABLE_WORDS", words)
     rows = list(enumerate(odd_texts()))
     got = decode(encode(make_docs(rows), MODEL), MODEL).collect()
     assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
@@ -41,15 +43,23 @@ def test_ids_and_texts_equal_the_library(make_docs, monkeypatch, block):
         assert r.decoded == SP.decode(ids)
 
 
-def test_every_word_is_segmented_once(make_docs, spark):
-    docs = make_docs([(i, "the cat  sat on the mat\nthe cat") for i in range(50)])
-    encode(docs.repartition(5), MODEL)
-    words = sentencepieces.written(docs.select("text").distinct(), "unused")  # the table of the call lies beside this one
-    folder = words.inputFiles()[0].rsplit("/", 2)[0]
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder + "/pieces-words-*")
-    tables = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    newest = max(tables, key=lambda t: t.getModificationTime()).getPath().toString()
-    assert sorted(r.word for r in spark.read.parquet(newest).collect()) == sorted(set(sentencepieces.words_of("the cat  sat on the mat\nthe cat")))
+@pytest.mark.parametrize(("limit", "times"), [(1 << 18, 1), (1, 4)])
+def test_every_word_of_a_table_is_segmented_once(monkeypatch, limit, times):
+    calls = []
+
+    class Counting(sentencepiece.SentencePieceProcessor):
+        def encode(self, words, **options):
+            calls.extend(words)
+            return super().encode(words, **options)
+
+    monkeypatch.setattr(sentencepieces.sentencepiece, "SentencePieceProcessor", Counting)
+    monkeypatch.setattr(sentencepieces.SparkFiles, "get", lambda file: MODEL)
+    monkeypatch.setattr(sentencepieces, "TEXTS_AT_A_TIME", 2)
+    monkeypatch.setattr(sentencepieces, "TABLE_WORDS", limit)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "text": ["the  cat the", None, "the sat  cat "]})
+    out = [r for b in sentencepieces._encode("file", b"", b"")(iter([batch, batch])) for r in b.to_pylist()]
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in out] == 2 * [SP.encode("the  cat the"), [], SP.encode("the sat  cat ")]
+    assert calls.count("the") == times and set(calls) == {"the", " cat", "sat", ""}
 
 
 def test_options_and_repeated_rows(make_docs):
