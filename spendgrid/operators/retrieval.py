@@ -1,16 +1,20 @@
 """Inverted index and lexical retrieval, context assembly and ranking metrics.
 
-The index is built and stored once per corpus and passed to the searches: postings (hash-
-partitioned by chunk), document frequencies, chunk lengths. A batch of queries is joined with the
-document frequencies and written, so its size is known; the planner then broadcasts it into the
-postings if it is small enough for the session, and shuffles both sides otherwise. Scores are
-summed per (query, chunk) with a partial sum where the postings lie. Top-k per query is
-``row_number() <= k``, which Spark plans with a per-partition group limit before the shuffle, so a
-query with many candidate chunks never lands whole in one task.
+The index is built and stored once per corpus and passed to the searches. Its postings lie in
+directories by hash bucket of the term, so a search lists only the buckets of its terms, and in
+blocks: the postings of one term in one range of chunks, with the largest impact among them. Ranges
+hold chunks of like length, because impact depends on it. A search weighs, per query, the ranges by
+the sum of its terms' block maxima: the best range is scored first, its k-th score is a bar, and
+the blocks of every range whose sum stays below the bar are skipped whole. Block lists, bounds and
+scores are partial aggregates and equi-joins over the batch; the planner broadcasts a side if it is
+small enough for the session. Top-k per query is ``row_number() <= k``, which Spark plans with a
+per-partition group limit before the shuffle, so a query with many candidate chunks never lands
+whole in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,46 +22,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spendgrid.functions.text import expand_query, tokens_stem, tokens_stem_raw, tokens_word, with_stem
-from spendgrid.session import cut_lineage, stored
+from spendgrid.session import cut_lineage, scratch_path, stored
 
 SCORE_DP = 9  # ranking uses the score rounded to 9 dp so equal scores tie exactly
+#: A range is skipped only if its bound is below the bar by more than rounding can move a score.
+SLACK = 1e-8
+#: Directories of an index; its ranges: chunks of a full one, classes of length, ranges of a file.
+BUCKETS, RANGE_CHUNKS, CLASSES, RANGES_PER_FILE = 32, 65_536, 64, 16
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # chunk_id, doc_id, start_line, len, term, tf  (hash-partitioned by chunk_id)
+    blocks: DataFrame  # bucket, term, range, n, most, entries: [chunk_id, doc_id, start_line, tf, impact]
     dfreq: DataFrame  # term, df
     lengths: DataFrame  # chunk_id, doc_id, start_line, len (+ carried chunk columns)
     n_docs: int
     avgdl: float | None
 
+    @property
+    def postings(self) -> DataFrame:
+        """``chunk_id, doc_id, start_line, tf, impact, term``: every posting."""
+        return self.blocks.select("term", F.explode("entries").alias("e")).select("e.*", "term")
+
 
 def chunk_key(df: DataFrame) -> DataFrame:
     """Add the chunk key: doc_id and start_line identify a chunk."""
     return df.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("start_line").cast("string")))
 
 
-def build_index(chunks: DataFrame, tokens: Column, keep=("doc_id", "start_line"), stem: bool = False) -> Index:
-    """T4: tf per (chunk, term), df per term, chunk length, N and average length.
+def _bucket(term: str) -> Column:
+    return F.pmod(F.hash(term), F.lit(BUCKETS))
+
+
+def _ranges(t: DataFrame, n: int) -> tuple[Column, int]:
+    """The range of a chunk, by class of ``len`` and then hash, and the number of ranges."""
+    wanted = max(1, -(-n // max(64, min(RANGE_CHUNKS, n // CLASSES))))
+    classes = min(CLASSES, wanted)
+    hashed = -(-wanted // classes)
+    at = [i / classes for i in range(1, classes)]
+    cuts = t.agg(F.percentile_approx("len", at, 10_000)).first()[0] if at else None
+    cuts = F.array(*[F.lit(c) for c in cuts or []]).cast("array<int>")
+    return F.size(F.filter(cuts, lambda c: c < F.col("len"))) * hashed + F.pmod(F.xxhash64("chunk_id"), F.lit(hashed)).cast("int"), classes * hashed
+
 
-    The tokenised chunks are hash-partitioned by ``chunk_id`` and written once as a reliable
-    checkpoint in the cluster's ``spark.checkpoint.dir``; postings keep that partitioning (they
-    group by chunk first), so neither building nor scoring them shuffles them. ``stem=True`` stems
-    each token row with code-generated expressions. The df aggregate is combined map-side, so very
-    common terms do not skew it.
+def build_index(chunks: DataFrame, tokens: Column, weigh: Callable[[DataFrame, DataFrame, int, float], DataFrame],
+                keep=("doc_id", "start_line"), stem: bool = False) -> Index:
+    """T4: tf per (chunk, term), df per term, chunk length, N and average length, stored in blocks.
+
+    ``weigh(postings, dfreq, n, average length)`` adds ``impact``, the part of a posting's score
+    that no query changes. The tokenised chunks are a reliable checkpoint in the cluster's
+    ``spark.checkpoint.dir``. ``stem=True`` stems each token row with code-generated expressions.
+    Counts are combined map-side, so very common terms do not skew them; a common term has a block
+    in every range, none of more than a range's chunks, and files are dealt by bucket and ranges.
     """
     keep = tuple(k for k in keep if k not in ("chunk_id",))
-    t = cut_lineage(chunks.select("chunk_id", *keep, tokens.alias("toks")).repartition("chunk_id"))
+    t = cut_lineage(chunks.select("chunk_id", *keep, tokens.alias("toks")))
     t = t.withColumn("len", F.size("toks"))
     lengths = t.select("chunk_id", *keep, "len")
+    n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("len")).first()
+    number, total = _ranges(t, n)
     pos = [k for k in ("doc_id", "start_line") if k in keep]
-    raw = t.select("chunk_id", *pos, "len", F.explode("toks").alias("term"))
+    raw = t.select("chunk_id", *pos, "len", number.alias("range"), F.explode("toks").alias("term"))
     if stem:
         raw = with_stem(raw, "term")
-    postings = cut_lineage(raw.groupBy("chunk_id", *pos, "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    postings = stored(raw.groupBy("chunk_id", *pos, "len", "range", "term").agg(F.count(F.lit(1)).alias("tf")), "index-postings")
     dfreq = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "index-df")
-    n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("len")).first()
-    return Index(postings, dfreq, lengths, n, avgdl)
+    p = weigh(postings, dfreq, n, avgdl).withColumn("bucket", _bucket("term")).withColumn("part", F.expr(f"range div {RANGES_PER_FILE}"))
+    entry = F.struct("chunk_id", *pos, "tf", "impact")
+    files = BUCKETS * -(-total // RANGES_PER_FILE)
+    blocks = p.repartition(files, "bucket", "part").groupBy("bucket", "part", "term", "range")
+    blocks = blocks.agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("most"), F.collect_list(entry).alias("entries")).drop("part")
+    path = scratch_path(chunks.sparkSession, "index-blocks")
+    blocks.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(path)
+    return Index(chunks.sparkSession.read.schema(blocks.schema).parquet(path), dfreq, lengths, n, avgdl)
 
 
 def _query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
@@ -66,11 +103,42 @@ def _query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
     return q.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _score(idx: Index, qt: DataFrame, weight) -> DataFrame:
-    """Sum ``weight`` over matching (query term, posting) pairs per (query, chunk)."""
-    q = stored(qt.join(idx.dfreq, "term"), "query-terms")
-    j = idx.postings.join(q, "term")
-    return j.groupBy("qid", "chunk_id", "doc_id", "start_line").agg(F.sum(weight).alias("score"))
+def _scored(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Score of every (query, chunk) in the blocks that ``wanted(bucket, term, range, qid, w)`` names."""
+    hits = blocks.join(wanted.select("bucket", "term", "range", "qid", "w"), ["bucket", "term", "range"])
+    hits = hits.select("qid", "w", F.explode("entries").alias("e"))
+    return hits.groupBy("qid", "e.chunk_id", "e.doc_id", "e.start_line").agg(F.sum(F.col("w") * F.col("e.impact")).alias("score"))
+
+
+def reading_plan(idx: Index, weighted: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(blocks, first, rest)``: the blocks of the queries' buckets, the scores in each query's best range, and
+    the blocks that are read after it.
+
+    ``weighted(qid, term, w)`` are the query terms with their weights. All of a query's blocks of a
+    range are read or none, so a chunk's score is always whole. A range is left out when even all
+    its block maxima together stay below the k-th score of the best range.
+    """
+    q = stored(weighted.withColumn("bucket", _bucket("term")), "query-terms")
+    held = [r[0] for r in q.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    blocks = idx.blocks.filter(F.col("bucket").isin(held))
+    matched = blocks.select("bucket", "term", "range", "most").join(q, ["bucket", "term"])
+    matched = stored(matched, "query-blocks")  # without their entries
+    bounds = matched.groupBy("qid", "range").agg(F.sum(F.col("w") * F.col("most")).alias("bound"))
+    best = bounds.groupBy("qid").agg(F.max_by("range", F.struct("bound", "range")).alias("best"))
+    best = stored(best, "query-best")
+    first = _scored(blocks, matched.join(best.withColumnRenamed("best", "range"), ["qid", "range"], "left_semi"))
+    first = stored(first, "query-first")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc()))
+    bar = first.withColumn("place", place).filter(F.col("place") == k).select("qid", F.col("score").alias("bar"))
+    rest = bounds.join(best, "qid").filter("range <> best").join(bar, "qid", "left")
+    rest = rest.filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - SLACK))
+    return blocks, first, matched.join(rest.select("qid", "range"), ["qid", "range"], "left_semi")
+
+
+def _score(idx: Index, weighted: DataFrame, k: int) -> DataFrame:
+    """Scores of (query, chunk), of all that can be among a query's first ``k``."""
+    blocks, first, rest = reading_plan(idx, weighted, k)
+    return first.unionByName(_scored(blocks, rest))
 
 
 def top_k(scores: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -85,18 +153,18 @@ def tfidf_index(chunks: DataFrame, fields: str = "content") -> Index:
     text = F.col("content") if fields == "content" else F.concat_ws(" ", F.col("content"), F.col("heading"), F.col("doc_id").cast("string"))
     snippet = F.when(F.length("content") > 400, F.concat(F.substring("content", 1, 400), F.lit("..."))).otherwise(F.col("content"))
     chunks = chunks.withColumn("snippet", snippet)
-    return build_index(chunks, tokens_word(text), keep=("doc_id", "start_line", "heading", "end_line", "type", "snippet"))
+    keep = ("doc_id", "start_line", "heading", "end_line", "type", "snippet")
+    per_length = F.col("tf") / F.greatest(F.col("len"), F.lit(1))
+    return build_index(chunks, tokens_word(text), lambda p, df, n, avgdl: p.withColumn("impact", per_length), keep)
 
 
 def search_tfidf(queries: DataFrame, idx: Index, k: int = 5) -> DataFrame:
     """T5: score = sum over query tokens (repeats count) of tf/len * (ln((N+1)/(df+0.5)) + 1);
     score > 0; top-k ties by document position; score rounded to 4; snippet of 400
     characters plus ``...`` when cut."""
-    qt = _query_terms(queries, tokens_word(F.col("text")))
-    contrib = F.col("qtf") * (F.col("tf") / F.greatest(F.col("len"), F.lit(1))) * (
-        F.log((F.lit(idx.n_docs) + 1) / (F.col("df") + 0.5)) + 1.0
-    )
-    s = _score(idx, qt, contrib).filter(F.col("score") > 0)
+    qt = _query_terms(queries, tokens_word(F.col("text"))).join(idx.dfreq, "term")
+    weight = F.col("qtf") * (F.log((F.lit(idx.n_docs) + 1) / (F.col("df") + 0.5)) + 1.0)
+    s = _score(idx, qt.select("qid", "term", weight.alias("w")), k).filter(F.col("score") > 0)
     top = top_k(s, k, [F.round("score", SCORE_DP).desc(), "doc_id", "start_line"])
     top = idx.lengths.select("chunk_id", "heading", "end_line", "type", "snippet").join(top, "chunk_id")
     return top.select(
@@ -122,7 +190,12 @@ def searchable_text(chunks: DataFrame, aliases: dict[str, str] | None = None) ->
 
 def bm25_index(chunks: DataFrame, aliases: dict[str, str] | None = None) -> Index:
     """The index of T6: tokeniser-B stems of the searchable text."""
-    return build_index(chunks, tokens_stem_raw(searchable_text(chunks, aliases)), stem=True)
+
+    def weigh(postings, dfreq, n, avgdl):
+        tf = F.col("tf")
+        return postings.withColumn("impact", tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("len") / F.lit(avgdl))))
+
+    return build_index(chunks, tokens_stem_raw(searchable_text(chunks, aliases)), weigh, stem=True)
 
 
 def search_bm25(queries: DataFrame, idx: Index, k: int = 3, expand: bool = True) -> DataFrame:
@@ -136,10 +209,8 @@ def search_bm25(queries: DataFrame, idx: Index, k: int = 3, expand: bool = True)
     q = queries.select("qid", qtok.alias("toks"))
     qt = q.select("qid", F.explode("toks").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     idf = F.log(1.0 + (F.lit(idx.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf")
-    denom = tf + K1 * (1.0 - B + B * F.col("len") / F.lit(idx.avgdl))
-    contrib = F.col("qtf") * (idf * (tf * (K1 + 1.0)) / denom)
-    s = _score(idx, qt, contrib).filter(F.col("score") > 0)
+    weighted = qt.join(idx.dfreq, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))
+    s = _score(idx, weighted, k).filter(F.col("score") > 0)
     hits = top_k(s, k, [F.round("score", SCORE_DP).desc(), "doc_id", "start_line"])
     hits = hits.select("qid", "rank", "doc_id", "start_line", F.round("score", 6).alias("score"))
     # empty queries: the first k chunks in corpus order, as a k-element scalar array
@@ -182,21 +253,24 @@ def cosine_tokens(text: Column, stopwords: list[str]) -> Column:
     return F.filter(toks, lambda w: ~w.isin(stopwords))
 
 
-def cosine_index(docs: DataFrame, stopwords: list[str] | None = None) -> tuple[Index, DataFrame]:
-    """The index of T7 over whole documents, and each document's norm ``(chunk_id, dn)``."""
+def cosine_index(docs: DataFrame, stopwords: list[str] | None = None) -> Index:
+    """The index of T7 over whole documents; impacts are tf over the document's norm."""
     sw = stopwords if stopwords is not None else ENGLISH_STOP_WORDS
     d = docs.withColumn("start_line", F.lit(1)).withColumn("chunk_id", F.col("doc_id").cast("string"))
-    idx = build_index(d, cosine_tokens(F.col("text"), sw))
-    w = F.col("tf") * _smooth_idf(idx)
-    norms = idx.postings.join(idx.dfreq, "term").groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("dn"))
-    return idx, stored(norms, "index-norms")
+
+    def weigh(postings, dfreq, n, avgdl):
+        w = F.col("tf") * _smooth_idf(n)
+        norms = postings.join(dfreq, "term").groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("dn"))
+        return postings.join(norms, "chunk_id").withColumn("impact", F.col("tf") / F.col("dn"))
+
+    return build_index(d, cosine_tokens(F.col("text"), sw), weigh)
 
 
-def _smooth_idf(idx: Index) -> Column:
-    return F.log((F.lit(idx.n_docs) + 1) / (1 + F.col("df"))) + 1.0
+def _smooth_idf(n: int) -> Column:
+    return F.log((F.lit(n) + 1) / (1 + F.col("df"))) + 1.0
 
 
-def search_cosine(queries: DataFrame, idx: Index, norms: DataFrame, k: int = 3, stopwords: list[str] | None = None) -> DataFrame:
+def search_cosine(queries: DataFrame, idx: Index, k: int = 3, stopwords: list[str] | None = None) -> DataFrame:
     """TF-IDF cosine, idf = ln((1+n)/(1+df)) + 1 (smooth), raw tf, L2-normalised,
     English stop words out, tokens of 2+ word characters; top-k *including* zero scores
     (ties by doc id descending).
@@ -205,12 +279,12 @@ def search_cosine(queries: DataFrame, idx: Index, norms: DataFrame, k: int = 3,
     the gap, so they are a k-element array exploded per query.
     """
     sw = stopwords if stopwords is not None else ENGLISH_STOP_WORDS
-    qt = _query_terms(queries, cosine_tokens(F.col("text"), sw))
-    idf = _smooth_idf(idx)
+    idf = _smooth_idf(idx.n_docs)
     # unknown terms have no idf
-    qnorm = qt.join(idx.dfreq, "term").groupBy("qid").agg(F.sqrt(F.sum(F.col("qtf") * idf * F.col("qtf") * idf)).alias("qn"))
-    dot = _score(idx, qt, (F.col("qtf") * idf) * (F.col("tf") * idf))
-    sims = dot.join(qnorm, "qid").join(norms, "chunk_id").select("qid", "doc_id", (F.col("score") / (F.col("qn") * F.col("dn"))).alias("score"))
+    qt = _query_terms(queries, cosine_tokens(F.col("text"), sw)).join(idx.dfreq, "term").withColumn("v", F.col("qtf") * idf)
+    qnorm = qt.groupBy("qid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("qn"))
+    weighted = qt.join(qnorm, "qid").select("qid", "term", (F.col("v") * idf / F.col("qn")).alias("w"))
+    sims = _score(idx, weighted, k).select("qid", "doc_id", "score")
     fill = idx.lengths.select("doc_id").orderBy(F.col("doc_id").desc()).limit(k).agg(F.collect_list("doc_id")).scalar()
     zero = queries.select("qid", F.explode(fill).alias("doc_id")).withColumn("score", F.lit(0.0))
     zero = zero.join(sims.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")

@@ -231,14 +231,12 @@ def f03(spark, sf_dir):
 # --- F4: homologation of case variants, learned over two text tables ---------------------------------
 @register(
     "f04_learn_canonical",
-    r"""WITH w AS (SELECT DISTINCT 'word' AS "column", value FROM (
-    SELECT unnest(regexp_split_to_array(text, '[^\pL]+')) AS value FROM documents
-    UNION ALL SELECT unnest(regexp_split_to_array(text, '[^\pL]+')) FROM conversations) WHERE value <> ''),
-r AS (SELECT "column", value, lower(value) AS lv,
-        length(value) - length(regexp_replace(value, '\p{Lu}', '', 'g')) AS nu FROM w),
-b AS (SELECT "column", lv, value AS canonical FROM (
-        SELECT *, ROW_NUMBER() OVER (PARTITION BY "column", lv ORDER BY nu, value) AS rn FROM r) WHERE rn = 1)
-SELECT r."column", r.value, b.canonical FROM r JOIN b ON r."column" = b."column" AND r.lv = b.lv""",
+    r"""WITH part AS (SELECT unnest(string_split(text, ' ')) AS p FROM documents UNION SELECT unnest(string_split(text, ' ')) FROM conversations),
+w AS (SELECT DISTINCT 'word' AS "column", unnest(regexp_extract_all(p, '\pL+')) AS value FROM part),
+r AS (SELECT "column", value, lower(value) AS lv, length(value) - length(regexp_replace(value, '\p{Lu}', '', 'g')) AS nu FROM w),
+least AS (SELECT "column", lv, min(nu) AS nu FROM r GROUP BY ALL),
+b AS (SELECT r."column", r.lv, min(value) AS canonical FROM r JOIN least USING ("column", lv, nu) GROUP BY ALL)
+SELECT r."column", r.value, b.canonical FROM r JOIN b USING ("column", lv)""",
 )
 def f04(spark, sf_dir):
     def words(t):

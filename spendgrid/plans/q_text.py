@@ -11,7 +11,7 @@ from spendgrid.operators import retrieval as RV
 from spendgrid.plans import bindings as B
 from spendgrid.plans import sqltext as S
 from spendgrid.plans.registry import register
-from spendgrid.session import stored
+from spendgrid.session import file_version, stored
 
 # --- F6-F9 ----------------------------------------------------------------------------------------
 @register(
@@ -118,8 +118,9 @@ _INDEXES: dict[tuple, object] = {}
 
 def corpus_index(spark, sf_dir: str, kind: str):
     """The stored index of a corpus: built by the first query of the application that needs it,
-    then read by all (``tfidf`` over T1 chunks, ``bm25`` over T2 chunks, ``cosine`` over documents)."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    then read by all (``tfidf`` over T1 chunks, ``bm25`` over T2 chunks, ``cosine`` over documents).
+    A corpus whose files changed is indexed anew."""
+    key = (spark.sparkContext.applicationId, file_version(spark, f"{sf_dir}/documents.parquet"), kind)
     if key not in _INDEXES:
         if kind == "tfidf":
             _INDEXES[key] = RV.tfidf_index(RV.chunk_key(CH.chunk_headings(B.corpus(spark, sf_dir, "# "))))
@@ -234,8 +235,8 @@ SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM
 
 @register("t07_search_cosine", _t7_sql)
 def t07(spark, sf_dir):
-    idx, norms = corpus_index(spark, sf_dir, "cosine")
-    return RV.search_cosine(B.passages(spark, sf_dir), idx, norms, 3).withColumn("rank", F.col("rank").cast("int"))
+    idx = corpus_index(spark, sf_dir, "cosine")
+    return RV.search_cosine(B.passages(spark, sf_dir), idx, 3).withColumn("rank", F.col("rank").cast("int"))
 
 
 # --- T8-T10 over BM25 hits --------------------------------------------------------------------------------------------
