@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendgrid.functions.matching import containing
 from spendgrid.functions.measures import any_of
-from spendgrid.functions.text import containing
 from spendgrid.session import stored
 
 # ---------------------------------------------------------------------------------------
@@ -118,36 +118,37 @@ def catalog_tokens(catalog: DataFrame, name: str, generic: list[str]) -> DataFra
     return t.filter((F.length("tok") > 3) & ~F.col("tok").isin(generic))
 
 
-def _first_hit(q: DataFrame, tokens: DataFrame, out: str) -> DataFrame:
-    """(id, out): the first catalog entity, by name, with a token inside ``folded``; one rule
-    for a catalog of any size."""
-    hits = containing(q.select("id", "folded"), "id", "folded", tokens, "tok")
-    return hits.groupBy("id").agg(F.min("name").alias(out))
-
-
 def detect_entities(q: DataFrame, divisions: DataFrame, territories: DataFrame, groups: DataFrame) -> DataFrame:
     """division and territory by any catalog token (> 3 letters, generic words
     skipped) found in the folded question, first by name; group by its full folded name,
     else through the synonym lists (first key in list order, then the first group whose
     folded name holds the key or a synonym)."""
-    div = _first_hit(q, catalog_tokens(divisions, "division", GENERIC_DIVISION_WORDS), "division")
-    ter = _first_hit(q, catalog_tokens(territories, "territorio", GENERIC_TERRITORY_WORDS), "territory")
+    spark = q.sparkSession
     g = groups.select(F.col("grupo").alias("name")).filter(F.col("name").isNotNull()).distinct()
     g = g.withColumn("tok", fold_text(F.col("name")))
-    by_name = _first_hit(q, g, "g_name")
-    spark = q.sparkSession
-    syn = spark.createDataFrame([(i, k, s) for i, (k, ss) in enumerate(GROUP_SYNONYMS) for s in ss], "key_ord int, key string, syn string")
+    syn = spark.createDataFrame([(i, k, s) for i, (k, ss) in enumerate(GROUP_SYNONYMS) for s in ss], "key_ord int, name string, tok string")
+    kinds = {
+        "division": catalog_tokens(divisions, "division", GENERIC_DIVISION_WORDS),
+        "territory": catalog_tokens(territories, "territorio", GENERIC_TERRITORY_WORDS),
+        "g_name": g,
+        "key": syn,
+    }
+    tokens = None
+    for kind, t in kinds.items():  # all catalogs at once: each question is read once
+        t = t.select(F.lit(kind).alias("kind"), "name", "tok", F.col("key_ord") if kind == "key" else F.lit(None).cast("int").alias("key_ord"))
+        tokens = t if tokens is None else tokens.unionByName(t)
+    hits = stored(containing(q.select("id", "folded"), "id", "folded", tokens, "tok").drop("tok"), "question-entities")
+    first = hits.groupBy("id").agg(*[F.min(F.when(F.col("kind") == k, F.col("name"))).alias(k) for k in ("division", "territory", "g_name")])
     # every synonym key a question mentions
-    key_hit = containing(q.select("id", "folded"), "id", "folded", syn, "syn").select("id", "key", "key_ord").distinct()
+    key_hit = hits.filter("kind = 'key'").select("id", F.col("name").alias("key"), "key_ord").distinct()
     # the first group a key resolves to: its folded name holds the key or any of its synonyms
-    words = syn.select("key", F.col("syn").alias("word")).unionByName(syn.select("key", F.col("key").alias("word"))).distinct()
+    words = syn.select(F.col("name").alias("key"), F.col("tok").alias("word"))
+    words = words.unionByName(syn.select(F.col("name").alias("key"), F.col("name").alias("word"))).distinct()
     key_group = containing(g, "name", "tok", words, "word").groupBy("key").agg(F.min("name").alias("s_name"))
     # first key (in list order) that both appears and resolves
     by_syn = key_hit.join(key_group, "key").groupBy("id").agg(F.min_by("s_name", "key_ord").alias("s_name"))
     return (
-        q.join(div, "id", "left")
-        .join(ter, "id", "left")
-        .join(by_name, "id", "left")
+        q.join(first, "id", "left")
         .join(by_syn, "id", "left")
         .withColumn("grupo", F.coalesce("g_name", "s_name"))
         .drop("g_name", "s_name")

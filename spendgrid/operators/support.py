@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spendgrid.functions.text import WS, containing, first_term, sentences, strip_ws
+from spendgrid.functions.matching import containing
+from spendgrid.functions.text import WS, first_term, sentences, strip_ws
 from spendgrid.functions.windows import prefix_sum
 
 INSTALLMENT = T.StructType(
@@ -191,7 +192,7 @@ def compare_runs(scored: DataFrame) -> DataFrame:
 def classify_tickets(questions: DataFrame, hints: DataFrame) -> DataFrame:
     """Ordered categories; inside a category the longest hint first; the first hit
     gives (category, phrase, extra required words). ``hints(category, cat_order, hint,
-    extra)``, matched as substrings through an equi-join, whatever the number of hints."""
+    extra)``, matched as substrings by one automaton pass over each text, whatever the number of hints."""
     q = questions.select("id", F.lower("question").alias("q"))
     h = hints.select("category", "cat_order", F.lower("hint").alias("hint"), "extra")
     hit = containing(q, "id", "q", h, "hint")

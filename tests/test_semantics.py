@@ -206,7 +206,7 @@ def test_pick_grain_by_size_and_account_fallback(spark, tmp_path):
 
 
 def test_containing_matches_any_pattern_length(spark):
-    from spendgrid.functions.text import containing
+    from spendgrid.functions.matching import containing
 
     q = spark.createDataFrame([(1, "a refund was pushed"), (2, "xy"), (3, None), (4, "")], "id int, t string")
     p = spark.createDataFrame([("refund",), ("was p",), ("xy",), ("x",), ("",), (None,), ("pushed!",)], "pat string")
