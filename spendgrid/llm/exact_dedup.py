@@ -92,9 +92,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; one row of each group of equal texts.
 
     Only texts that share length and prefix hash with another are hashed whole. Rows are told apart
-    by a number that they are written with, so null and repeated ids are rows like any other, and
+    by a number, so null and repeated ids are rows like any other, and
     no column name is reserved.
     """
     stored, number = numbered(docs, "exact-rows")
     dropped = _decided(stored, id_col, text_col, False, F.col(number)).filter("NOT kept").select(F.col("_row").alias(number))
-    return stored.join(dropped, number, "left_anti").drop(number)
+    # written, so that its size is known: documents move only if it is too large to be sent to them
+    return stored.join(written(dropped, "exact-dropped"), number, "left_anti").drop(number)

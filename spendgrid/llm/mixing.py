@@ -197,11 +197,12 @@ def take_copies(
 ) -> DataFrame:
     """The rows of the mix: each row of ``docs``, all columns, as often as ``mix_sources`` takes it.
 
-    Rows are told apart by a number that they are written with, so null and repeated ids are rows
+    Rows are told apart by a number, so null and repeated ids are rows
     like any other, and no column name is reserved.
     """
     stored, number = numbered(docs, "mix-rows")
     copies = unused_name(stored, "_copies")
     taken = _mixed(stored, weights, share, cap, size, id_col, source_col, text_col, row=F.col(number)).filter("copies > 0")
-    j = stored.join(taken.select(F.col("row").alias(number), F.col("copies").cast("int").alias(copies)), number)
+    taken = written(taken.select(F.col("row").alias(number), F.col("copies").cast("int").alias(copies)), "mix-taken")
+    j = stored.join(taken, number)
     return j.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(number, copies)

@@ -133,6 +133,8 @@ def _components(prints: DataFrame, max_bits: int) -> DataFrame:
         raise ValueError("the index over six of eight bytes is complete for up to 2 differing bits")
     masks = [np.uint64(sum(0xFF << (8 * p) for p in c)).astype(np.int64).item() for c in SETS]
     keys = F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = prints.repartition(parts, "fp")  # few bytes, but each becomes a posting per set
     postings = prints.select("fp", F.explode(keys).alias("key")).select("key.set", "key.bytes", "fp")
     lists = postings.groupBy("set", "bytes").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
     links = lists.select("set", "members").mapInArrow(_links(max_bits), "a bigint, b bigint")
@@ -176,4 +178,4 @@ def keep_representatives(docs: DataFrame, words_per_shingle: int = 3, max_bits:
     comps = _components(best.select("fp"), max_bits)
     groups = best.join(comps, best["fp"] == comps["node"], "left").groupBy(F.coalesce("component", "fp").alias("component"))
     kept = groups.agg(F.min("best").alias("best")).select(F.col("best.row").alias(number))
-    return stored.join(kept, number, "left_semi").drop(number)
+    return stored.join(written(kept, "simhash-kept"), number, "left_semi").drop(number)
