@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendgrid.functions.windows import exact_percentiles
+from spendgrid.functions.windows import exact_percentiles, global_index
 from spendgrid.session import stored
 
 DP = 10  # output rounding for ratios of returns
@@ -92,15 +94,65 @@ def portfolio_risk(ret: DataFrame, weights: DataFrame, level: float = 0.95, tail
     return stats.select(*[F.round(c, DP).alias(c) for c in ("mean", "sd", "var_hist", "var_param", "cvar")])
 
 
+#: Assets of a block of the Gram matrix, and dates of one on average.
+ASSET_BLOCK, DATE_BLOCK = 256, 1024
+GRAMS = ("n", "si", "sj", "sii", "sjj", "sij")
+
+
+def _gram_block(size: int):
+    """Partial sums of the pairs of two blocks of ``size`` assets over a block of dates, each over the dates that both assets have."""
+
+    def sums_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, a, b = key
+        at, dates = pd.factorize(rows["date"])
+        assets, column = np.unique(rows["k"].to_numpy(), return_inverse=True)
+        x, here = np.zeros((len(dates), len(assets))), np.zeros((len(dates), len(assets)))
+        x[at, column], here[at, column] = rows["x"].to_numpy(), 1.0
+        one, two = assets // size == a, assets // size == b
+        xa, ma, xb, mb = x[:, one], here[:, one], x[:, two], here[:, two]
+        sums = dict(zip(GRAMS, (ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb), strict=True))
+        i, j = np.nonzero((assets[one][:, None] <= assets[two][None, :]) & (sums["n"] > 0))
+        return pd.DataFrame({"i": assets[one][i], "j": assets[two][j], **{c: m[i, j] for c, m in sums.items()}})
+
+    return sums_of
+
+
 def cov_corr_matrix(ret: DataFrame, rounded: bool = True) -> DataFrame:
     """Sample covariance and correlation for every asset pair; long output.
 
-    The pairs of a date meet in an equi-join of the long returns with themselves on the date,
-    and both statistics are partial aggregates per pair; dates on which one of the two assets
-    has no return do not count for that pair. One path for any number of assets."""
-    a = ret.select("date", F.col("asset").alias("asset_i"), F.col("ret").alias("ri"))
-    b = ret.select("date", F.col("asset").alias("asset_j"), F.col("ret").alias("rj"))
-    out = a.join(b, "date").groupBy("asset_i", "asset_j").agg(F.covar_samp("ri", "rj").alias("cov"), F.corr("ri", "rj").alias("corr"))
+    ``ret`` has one return per date and asset; dates on which one of two assets has none do not
+    count for the pair. Blocked Gram products: a task multiplies the returns of two blocks of
+    assets over a block of dates, and beside them the matrices of which are there; only the half
+    with i <= j is computed. The partial sums of a pair are then added over the date blocks. A
+    return is copied once per asset block and no rows of pairs of returns exist. Returns are taken
+    less their asset's mean, so that large means cancel nothing. Fewer than two common dates give
+    no covariance, and a variance of zero no correlation.
+    """
+    r = stored(ret.select("date", "asset", F.col("ret").cast("double").alias("ret")).filter("ret IS NOT NULL"), "gram-returns")
+    names = r.groupBy("asset").agg(F.avg("ret").alias("mean"), F.min("ret").alias("lo"), F.max("ret").alias("hi"))
+    names = names.select("asset", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("mean")).alias("mean"))
+    names = stored(global_index(names, [F.col("asset")], "k"), "gram-assets")
+    assets, dates = names.count(), r.select(F.countDistinct("date")).first()[0]
+    blocks, parts = -(-assets // ASSET_BLOCK), -(-dates // DATE_BLOCK)
+    x = r.join(names, "asset").select("date", "k", (F.col("ret") - F.col("mean")).alias("x"))
+    x = x.withColumn("part", F.pmod(F.xxhash64("date"), F.lit(max(parts, 1)))).withColumn("own", F.expr(f"k div {ASSET_BLOCK}"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(blocks, 1) - 1).cast("bigint"))))
+    x = x.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    schema = "i bigint, j bigint, " + ", ".join(f"{c} double" for c in GRAMS)
+    grams = x.select("part", "a", "b", "date", "k", "x").groupBy("part", "a", "b").applyInPandas(_gram_block(ASSET_BLOCK), schema)
+    g = grams.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in GRAMS])
+    n = F.col("n")
+    less = lambda square, s: square - s * s / n
+    spread = lambda square, s: F.when(less(square, s) > square * 1e-12, less(square, s))
+    both = F.col("sij") - F.col("si") * F.col("sj") / n
+    cov = F.when(n > 1, both / F.nullif(n - 1, F.lit(0.0)))
+    corr = F.when(n > 1, both / F.sqrt(spread(F.col("sii"), F.col("si")) * spread(F.col("sjj"), F.col("sj"))))
+    corr = F.when(corr.isNotNull(), F.least(F.greatest(corr, F.lit(-1.0)), F.lit(1.0)))
+    g = stored(g.select("i", "j", cov.alias("cov"), corr.alias("corr")), "grams")
+    g = g.unionByName(g.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "cov", "corr"))
+    one = names.select(F.col("k").alias("i"), F.col("asset").alias("asset_i"))
+    two = names.select(F.col("k").alias("j"), F.col("asset").alias("asset_j"))
+    out = g.join(one, "i").join(two, "j").select("asset_i", "asset_j", "cov", "corr")
     if not rounded:
         return out
     return out.select("asset_i", "asset_j", F.round("cov", 12).alias("cov"), F.round("corr", DP).alias("corr"))
