@@ -260,19 +260,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Region graph: an edge joins a customer's and a supplier's region whenever a line item
-    links them (distinct, no self loops, i < j; regions are numbered from 0)."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    e = edges(spark, sf_dir)
-    e = e.join(n.select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("ri")), "i")
-    e = e.join(n.select(F.col("n_nationkey").alias("j"), F.col("n_regionkey").alias("rj")), "j")
-    return (
-        e.filter(F.col("ri") != F.col("rj"))
-        .select(F.least("ri", "rj").alias("i"), F.greatest("ri", "rj").alias("j")).distinct()
-    )
-
-
 def _lines_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their order and the merchant (its supplier's nation) of the line."""
     t = lambda n: table(spark, sf_dir, n)
@@ -405,8 +392,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as points (id, vec): account balance in thousands, order value in millions."""
+    """V14, second binding: customers as points (id, vec): account balance in thousands, order value in millions."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("t"))
     c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     spent = F.coalesce(F.col("t"), F.lit(0)).cast("double") / 1e6
     return c.select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, spent).alias("vec"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as points (id, vec); vectors that are null stay out."""
+    e = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull())
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))

@@ -283,16 +283,16 @@ def g02(spark, sf_dir):
     return GC.cut_values(e, GC.bit_assignments(nodes, 5)).withColumn("assignment", F.col("assignment").cast("bigint"))
 
 
-@register(
-    "g02_best_cut",
-    f"""WITH {EDGES},
-sub AS (SELECT DISTINCT least(a.n_regionkey, b.n_regionkey) AS i, greatest(a.n_regionkey, b.n_regionkey) AS j
-        FROM e JOIN nation a ON e.i = a.n_nationkey JOIN nation b ON e.j = b.n_nationkey WHERE a.n_regionkey <> b.n_regionkey),
-n AS (SELECT max(j) + 1 AS n FROM sub),
-cuts AS (SELECT a.a AS assignment, SUM(CASE WHEN ((a.a >> sub.i) & 1) <> ((a.a >> sub.j) & 1) THEN 1 ELSE 0 END) AS cut
-         FROM (SELECT unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS a FROM n) a CROSS JOIN sub GROUP BY a.a)
-SELECT CAST(max(cut) AS BIGINT) AS best_cut, COUNT(*) AS n_optimal, min(assignment) AS first_optimal FROM cuts
-WHERE cut = (SELECT max(cut) FROM cuts)""",
-)
+def _best_cut_sql() -> str:
+    nodes = range(25)  # the nations
+    masks = ", ".join(f"coalesce(sum(1 << w) FILTER (WHERE v = {v}), 0)::BIGINT AS m{v}" for v in nodes)
+    cut = " + ".join(f"((a >> {v}) & 1) * bit_count(m{v} & ~a)" for v in nodes)
+    return f"""WITH {EDGES},
+m AS (SELECT {masks} FROM (SELECT CAST(i AS BIGINT) AS v, CAST(j AS BIGINT) AS w FROM e UNION ALL SELECT j, i FROM e)),
+cuts AS (SELECT a, {cut} AS cut FROM range(0, {1 << len(nodes)}) r(a) CROSS JOIN m)
+SELECT CAST(cut AS BIGINT) AS best_cut, COUNT(*) AS n_optimal, min(a) AS first_optimal FROM cuts GROUP BY cut ORDER BY cut DESC LIMIT 1"""
+
+
+@register("g02_best_cut", _best_cut_sql)
 def g02b(spark, sf_dir):
-    return GC.best_cut(spark, B.region_edges(spark, sf_dir))
+    return GC.best_cut(spark, B.edges(spark, sf_dir))

@@ -200,12 +200,19 @@ def m10(spark, sf_dir):
     return ML.recovery_score(true, est)
 
 
-@register("g01_dp_means")
-def g01(spark, sf_dir):
-    pts = B.customer_points(spark, sf_dir)
-    # lambda by rule: the mean squared distance of the points to their global mean
-    mean = pts.select(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(2)]).first()
-    lam = pts.select(F.avg(sum((F.col("vec")[i] - mean[f"m{i}"]) ** 2 for i in range(2)))).first()[0]
-    assigned, hist = CL.dp_means(pts, lam)
+def _dp_means(points, times):
+    """Cluster sizes, K and passes; lambda by rule, ``times`` the mean squared distance to the global mean."""
+    spread = points.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("s"))
+    assigned, hist = CL.dp_means(points, times * spread.agg(F.sum("s")).first()[0])
     sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     return sizes.withColumn("k_final", F.lit(hist[-1])).withColumn("passes", F.lit(len(hist)))
+
+
+@register("g01_dp_means")
+def g01(spark, sf_dir):
+    return _dp_means(B.vectors(spark, sf_dir), 1.0)
+
+
+@register("g01_dp_means_customers")
+def g01c(spark, sf_dir):
+    return _dp_means(B.customer_points(spark, sf_dir), 1.0)

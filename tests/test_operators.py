@@ -294,3 +294,50 @@ def test_snapshot_cache_rebuilds_when_a_source_is_newer(spark, tmp_path):
         os.utime(os.path.join(src, f), (later, later))
     cached_aggregate(build, [src], target, spark)
     assert len(built) == 2
+
+
+def test_best_cut_against_every_assignment(spark):
+    """Sparse and dense graphs of up to 12 nodes, nodes without edges, repeated and reversed edges, self loops."""
+    import random
+
+    from spendgrid.operators.graphcut import best_cut
+
+    rng = random.Random(2)
+    for n, p in ((2, 1.0), (7, 0.3), (10, 0.6), (12, 1.0)):
+        edges = [(i, j) for i in range(n) for j in range(i) if rng.random() < p] or [(1, 0)]
+        n = max(max(e) for e in edges) + 1
+        rows = edges + [(j, i) for i, j in edges[:2]] + [(0, 0)]
+        cuts = [sum((a >> i ^ a >> j) & 1 for i, j in edges) for a in range(1 << n)]
+        got = best_cut(spark, spark.createDataFrame(rows, "i bigint, j bigint")).first()
+        assert (got.best_cut, got.n_optimal, got.first_optimal) == (max(cuts), cuts.count(max(cuts)), cuts.index(max(cuts)))
+    assert tuple(best_cut(spark, spark.createDataFrame([], "i bigint, j bigint")).first()) == (0, 1, 0)
+
+
+def test_dp_means_is_a_fixed_point_whatever_the_partitions(spark):
+    """Every point lies within lambda of its nearest centre, centres are means, and the choice of new ones
+    does not depend on how points are spread; hundreds of clusters take few passes."""
+    import numpy as np
+
+    from spendgrid.operators.cluster import dp_means
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((60, 8))[rng.integers(0, 60, 900)] * 3 + 0.3 * rng.standard_normal((900, 8))
+    x[:20] = x[20:40]  # ties
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    runs = [dp_means(df.repartition(n), 4.0) for n in (1, 5)]
+    (one, h1), (two, h2) = [(sorted(map(tuple, a.collect())), h) for a, h in runs]
+    assert [r[:2] for r in one] == [r[:2] for r in two] and h1 == h2
+    assert 40 <= h1[-1] <= 70 and len(h1) < 25
+    own = np.array([c for _, c, _ in one])
+    centres = np.array([x[own == c].mean(axis=0) for c in range(own.max() + 1)])
+    d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert (d.argmin(axis=1) == own).mean() > 0.99 and max(r[2] for r in one) <= 4.0
+    assert dp_means(df.limit(0), 1.0)[1] == [0]
+
+
+def test_new_centres_lie_beyond_lambda_of_each_other():
+    from spendgrid.operators.cluster import _opened
+
+    far = [(9.0, -1, [0.0, 0.0]), (8.0, -2, [0.5, 0.0]), (7.0, -3, [3.0, 0.0]), (6.0, -4, [0.0, 3.0])]
+    assert _opened(far, 1.0, 10) == [[0.0, 0.0], [3.0, 0.0], [0.0, 3.0]]
+    assert _opened(far, 1.0, 2) == [[0.0, 0.0], [3.0, 0.0]]
