@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.functions.windows import global_index
+from spendgrid.session import stored
 
 def sig(x: Column, digits: int = 9) -> Column:
     """Round to ``digits`` significant digits (scale-free, so sums of large values made in
@@ -296,6 +297,45 @@ def sparse_fit(df: DataFrame, y: str, xs: list[str], fold: str = "fold") -> np.n
     return lasso_cv({k[0]: v for k, v in m.items()}, intercept=False)[1]
 
 
+def matching_pursuit(df: DataFrame, y: str, xs: list[str], k: int, tol: float = 1e-12) -> np.ndarray:
+    """Coefficients of orthogonal matching pursuit without intercept, at most ``k`` of them non-zero.
+
+    Each step takes the column that correlates most with the residual, per unit of its length (the
+    first of equals), and refits all columns taken. One aggregate a step sums the products of the
+    new column with all others; from those follow the residual's correlations, and a Cholesky
+    factor that grows by a row. Columns that the taken ones already span are passed over. It ends
+    early when the residual's square is below ``tol`` times that of ``y``. Rows with a null are
+    left out; what is collected is one number per column and step.
+    """
+    d = stored(df.select(*[F.col(c).cast("double").alias(c) for c in (*xs, y)]).dropna(), "pursuit")
+    names = [f"c{i}" for i in range(len(xs))]
+
+    def products(c):  # of one column with every column
+        row = d.agg(*[F.coalesce(F.sum(F.col(x) * F.col(c)), F.lit(0.0)).alias(n) for x, n in zip(xs, names, strict=True)]).first()
+        return np.array([row[n] for n in names])
+
+    size = d.agg(*[F.coalesce(F.sum(F.col(x) * F.col(x)), F.lit(0.0)).alias(n) for x, n in zip([*xs, y], [*names, "y"], strict=True)]).first()
+    total, size = size["y"], np.array([size[n] for n in names])
+    target = products(y)
+    taken, gram, factor = [], np.zeros((0, len(xs))), np.zeros((0, 0))
+    free, w = size > 0, np.zeros(0)
+    while len(taken) < k and free.any() and total - target[taken] @ w > tol * total:
+        left = target - w @ gram
+        j = int(np.where(free, np.abs(left) / np.sqrt(np.where(size > 0, size, 1.0)), -1.0).argmax())
+        free[j] = False
+        row = np.linalg.solve(factor, gram[:, j]) if taken else np.zeros(0)
+        rest = size[j] - row @ row
+        if rest <= 1e-10 * size[j]:
+            continue
+        factor = np.block([[factor, np.zeros((len(taken), 1))], [row[None, :], np.array([[np.sqrt(rest)]])]])
+        gram = np.vstack([gram, products(xs[j])])
+        taken.append(j)
+        w = np.linalg.solve(factor.T, np.linalg.solve(factor, target[taken]))
+    out = np.zeros(len(xs))
+    out[taken] = w
+    return out
+
+
 def recovery_score(true: DataFrame, est: DataFrame, tol: float = 1e-6) -> DataFrame:
     """Relative L2 error ||est - true|| / ||true|| and non-zero counts, by a full
     join of the two coefficient tables on the feature."""

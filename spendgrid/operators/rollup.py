@@ -23,6 +23,7 @@ from spendgrid.functions.measures import (
     weighted,
 )
 from spendgrid.operators.filters import apply_filters
+from spendgrid.session import stored
 
 # Display order of divisions (anything else sorts after, by name).
 DIVISION_ORDER = [
@@ -86,16 +87,24 @@ def rollup_by(facts: DataFrame, cols: list[str], period: Period = Period(1, 30),
 
 
 def rollup_tree(facts: DataFrame, hier: list[str], period: Period = Period(1, 30), filters=(), smr: int = 30) -> DataFrame:
-    """A3: one roll-up per prefix of ``hier`` in a single ``ROLLUP`` aggregate.
+    """A3: one roll-up per prefix of ``hier``, each summed from the next finer one.
 
+    The facts are summed once, to the deepest level, which is stored; every level above adds up the
+    rows of the level below it, so no fact is copied per level.
     ``level`` = number of grouped columns (0 is the total row). Shares divide by the
     grand total; P6 applies to every level except the total, whose shares are 100.
     Deeper levels keep their full parent path in the key columns.
     """
     facts = apply_filters(facts, filters)
     w = weighted(facts.select(*hier, "sem", *MEASURES), period, smr)
-    level = sum((1 - F.grouping(c)) for c in hier)
-    g = w.rollup(*hier).agg(*sum_weighted(), level.cast("int").alias("level"))
+    deepest = stored(w.groupBy(*hier).agg(*sum_weighted()), "tree-deepest")
+    sums = [f for f in deepest.schema.fields if f.name not in hier]
+    below, g = deepest, deepest.withColumn("level", F.lit(len(hier)))
+    for depth in range(len(hier) - 1, -1, -1):
+        keys = [F.col(c) for c in hier[:depth]] or [F.lit(0).alias("all")]
+        below = below.groupBy(*keys).agg(*[F.sum(f.name).cast(f.dataType).alias(f.name) for f in sums])
+        gone = {c: F.lit(None).cast(deepest.schema[c].dataType) for c in hier[depth:]}
+        g = g.unionByName(below.withColumns(gone | {"level": F.lit(depth)}).select(*g.columns))
     out = variance_columns(g, list(hier), period.divisor, extra_keys=["level"], total_rows=F.col("level") == 0)
     out = out.withColumns(
         {f"pct_{m}": F.when(F.col("level") == 0, F.lit(100.0)).otherwise(F.col(f"pct_{m}")) for m in MEASURES}

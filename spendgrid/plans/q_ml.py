@@ -188,16 +188,35 @@ def m09l(spark, sf_dir):
 TRUE_COEF = {0: 1.0, 13: -2.0, 26: 3.0, 39: -4.0, 52: 5.0}
 
 
-@register("m10_sparse_recovery")
-def m10(spark, sf_dir):
+def _planted(spark, sf_dir):
+    """The embeddings as columns, ``y`` from the planted coefficients, a fold; and the columns' names."""
     e = B.table(spark, sf_dir, "embeddings")
     xs = [f"f{i}" for i in range(64)]
     wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
     y = sum(F.col(f"f{i}") * c for i, c in TRUE_COEF.items())
-    w = ML.sparse_fit(wide.withColumn("y", y).withColumn("fold", F.col("vec_id") % 5), "y", xs)
+    return wide.withColumn("y", y).withColumn("fold", F.col("vec_id") % 5), xs
+
+
+def _score(spark, w):
     est = spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "feature int, coef double")
-    true = spark.createDataFrame(list(TRUE_COEF.items()), "feature int, coef double")
-    return ML.recovery_score(true, est)
+    return ML.recovery_score(spark.createDataFrame(list(TRUE_COEF.items()), "feature int, coef double"), est)
+
+
+@register("m10_sparse_recovery")
+def m10(spark, sf_dir):
+    wide, xs = _planted(spark, sf_dir)
+    return _score(spark, ML.sparse_fit(wide, "y", xs))
+
+
+# the pursuit has to find the planted coefficients themselves
+@register(
+    "m10_omp_recovery",
+    f"""SELECT CAST(0 AS DOUBLE) AS rel_l2_error, CAST({len(TRUE_COEF)} AS BIGINT) AS nnz_est, CAST({len(TRUE_COEF)} AS BIGINT) AS nnz_true
+FROM embeddings HAVING COUNT(*) >= 64""",
+)
+def m10_omp(spark, sf_dir):
+    wide, xs = _planted(spark, sf_dir)
+    return _score(spark, ML.matching_pursuit(wide, "y", xs, 2 * len(TRUE_COEF)))
 
 
 def _dp_means(points, times):
