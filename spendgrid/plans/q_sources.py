@@ -13,6 +13,7 @@ from spendgrid.functions.measures import MEASURES
 from spendgrid.operators import grains as G
 from spendgrid.operators import longfact as LF
 from spendgrid.operators import rollup as R
+from spendgrid.operators import refresh as RF
 from spendgrid.operators import snapshots as SN
 from spendgrid.operators import tracker as TR
 from spendgrid.plans import bindings as B
@@ -127,6 +128,31 @@ def s12(spark, sf_dir):
     return SN.cached_aggregate(build, [src], target, spark)  # reuses: the source is not newer
 
 
+@register(
+    "s12_refreshed_aggregate",
+    """SELECT l_returnflag, l_linestatus, SUM(CAST(l_quantity AS BIGINT)) AS qty, COUNT(*) AS n
+FROM lineitem WHERE l_orderkey % 4 <> 1 GROUP BY ALL""",
+)
+def s12_refresh(spark, sf_dir):
+    """Four files of line items arrive, one of them late; then one is removed and one rewritten."""
+    li = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("bigint").alias("qty"), F.lit(1).cast("bigint").alias("n"))
+    src, target = scratch_path(spark, "refresh-src"), scratch_path(spark, "refresh-sums")
+
+    def arrive(part, rows):
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{src}/{part}")
+
+    def refresh():
+        return RF.refresh_aggregate(spark, src, target, ["l_returnflag", "l_linestatus"], ["qty", "n"], li.schema)
+
+    of = lambda r: li.filter(F.col("l_orderkey") % 4 == r)
+    for r in (0, 1, 2):
+        arrive(f"p{r}", of(r).limit(10) if r == 2 else of(r))
+    refresh()
+    arrive("p1", of(3))  # other rows in place of its own
+    arrive("p2", of(2))
+    return refresh().aggregate
+
+
 # --- tracker ----------------------------------------------------------------------------------
 _ECO = "CASE WHEN c_acctbal < 0 THEN c_name WHEN c_acctbal > 5000 THEN CAST(c_custkey AS VARCHAR) || '.0' ELSE CAST(c_custkey AS VARCHAR) END"
 
