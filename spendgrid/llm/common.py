@@ -30,27 +30,29 @@ def unused_name(df: DataFrame, column: str) -> str:
     return column
 
 
-#: Rows of one file that a number can tell apart.
+#: Rows of one file that a number can tell apart, and files whose numbers are sent to the tasks.
 FILE_ROWS = 1 << 36
+MAX_FILES = 100_000
 
 
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` with a row number, and the name of that column, which ``df`` does not have.
 
     The numbers are the same in every reading and tell rows apart that agree in everything. A table
-    as it was read from files is not copied: a row is the number of its file and its place in it.
-    Anything else is written with its numbers.
+    as it was read from at most ``MAX_FILES`` files is not copied: a row is the number of its file
+    and its place in it. Anything else is written with its numbers.
     """
     column = unused_name(df, "_row")
     bare = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
-    if not bare or unused_name(df, "_metadata") != "_metadata":
-        return written(df.withColumn(column, F.monotonically_increasing_id()), name), column
-    file = unused_name(df, "_file")
-    placed = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(column))
-    paths = sorted(r[0] for r in placed.select(file).distinct().collect())  # one row per file
-    first = unused_name(placed, "_first")
-    files = df.sparkSession.createDataFrame([(p, i * FILE_ROWS) for i, p in enumerate(paths)], f"`{file}` string, `{first}` bigint")
-    return placed.join(files, file).withColumn(column, F.col(column) + F.col(first)).drop(file, first), column
+    if bare and unused_name(df, "_metadata") == "_metadata":
+        file, first = unused_name(df, "_file"), unused_name(df, "_first")
+        placed = df.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(column))
+        paths = [r[0] for r in placed.select(file).distinct().limit(MAX_FILES + 1).collect()]  # one row per file
+        if len(paths) <= MAX_FILES:
+            files = df.sparkSession.createDataFrame([(p, i * FILE_ROWS) for i, p in enumerate(sorted(paths))], f"`{file}` string, `{first}` bigint")
+            placed = placed.join(F.broadcast(files), file)  # at most MAX_FILES rows
+            return placed.withColumn(column, F.col(column) + F.col(first)).drop(file, first), column
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name), column
 
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 100) -> DataFrame:

@@ -26,8 +26,9 @@ GROUP_CHARS = 1 << 20
 CHUNK = 256
 #: Pieces longer than this leave the lockstep walk and go byte by byte.
 LOCKSTEP = 64
-#: States kept; a full table is dropped and made again as needed, which bounds memory only.
+#: States and looked-up pairs of tokens kept; full tables are dropped and made again as needed, which bounds memory only.
 MAX_STATES = 1 << 18
+MAX_PAIRS = 1 << 20
 
 # Character classes of the splitter. S1 are letters that end a contraction alone ('s 't 'm 'd).
 LETTER, S1, R, V, LL, E, NUMBER, SPACE, WHITE, APOSTROPHE, OTHER, END = range(12)
@@ -160,11 +161,11 @@ class Counter:
         tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in ranks}
         self.tokens = {t for t in tokens if self.encode(t) == [t]}
         self.inner = {t[:i] for t in self.tokens for i in range(1, len(t))}  # prefixes that can still grow
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        """An empty transducer: the start state, and a table column for each byte met so far."""
+        """An empty transducer: the start state, no table column, and no pair of neighbours looked up."""
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.ids = {((b"", None, 0),): 0}
         self.states = [((b"", None, 0),)]
         self.columns = np.full(256, -1, dtype=np.int32)
@@ -232,7 +233,7 @@ class Counter:
 
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each piece ``data[start:end]``."""
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES or len(self.pairs) > MAX_PAIRS:
             self.reset()
         column = self.columns_of(data)
         total = np.zeros(len(starts), dtype=np.int64)

@@ -41,7 +41,7 @@ def test_hard_texts(tables, library):
 
 def test_groups_chunks_and_full_table_change_nothing(tables, library, monkeypatch):
     texts = HARD + noise(2, 200) + [" ".join(noise(3, 60)), "x" * 3000 + " " + "y z  " * 900]
-    for name, value in (("GROUP_CHARS", 50), ("MAX_STATES", 40), ("LOCKSTEP", 3), ("CHUNK", 8)):
+    for name, value in (("GROUP_CHARS", 50), ("MAX_STATES", 40), ("MAX_PAIRS", 30), ("LOCKSTEP", 3), ("CHUNK", 8)):
         monkeypatch.setattr(token_count, name, value)
     assert count_texts(texts, tables) == library(texts)
 
