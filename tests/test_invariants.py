@@ -48,7 +48,8 @@ def _recorded_plans(monkeypatch, build):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return store(df, name)
 
-    monkeypatch.setattr(measures, "stored", recording)
+    for module in (measures, R):
+        monkeypatch.setattr(module, "stored", recording)
     df = build()
     df.collect()
     return [*plans, df._jdf.queryExecution().executedPlan().toString()]
