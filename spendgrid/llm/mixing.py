@@ -204,5 +204,5 @@ def take_copies(
     copies = unused_name(stored, "_copies")
     taken = _mixed(stored, weights, share, cap, size, id_col, source_col, text_col, row=F.col(number)).filter("copies > 0")
     taken = written(taken.select(F.col("row").alias(number), F.col("copies").cast("int").alias(copies)), "mix-taken")
-    j = stored.join(taken, number)
+    j = stored.join(taken.hint("merge"), number)  # both sides grow with the documents: one plan at every size
     return j.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(number, copies)

@@ -178,4 +178,5 @@ def keep_representatives(docs: DataFrame, words_per_shingle: int = 3, max_bits:
     comps = _components(best.select("fp"), max_bits)
     groups = best.join(comps, best["fp"] == comps["node"], "left").groupBy(F.coalesce("component", "fp").alias("component"))
     kept = groups.agg(F.min("best").alias("best")).select(F.col("best.row").alias(number))
-    return stored.join(written(kept, "simhash-kept"), number, "left_semi").drop(number)
+    kept = written(kept, "simhash-kept").hint("merge")  # both sides grow with the documents: one plan at every size
+    return stored.join(kept, number, "left_semi").drop(number)
