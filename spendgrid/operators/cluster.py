@@ -10,6 +10,7 @@ ones opens at far points. Centres are K x D numbers, sent to the tasks as in MLl
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +73,7 @@ def _opened(far: list, lam: float, room: int) -> list[list[float]]:
     return [t.tolist() for t in taken]
 
 
-def dp_means(points: DataFrame, lam: float, max_iter: int = 200, tol: float = 1e-3) -> tuple[DataFrame, list[int]]:
+def dp_means(points: DataFrame, lam: float, max_iter: int | None = None, tol: float = 1e-3) -> tuple[DataFrame, list[int]]:
     """G1: ``points(id bigint, vec array<double>)``; returns (``(id, cluster, dmin)`` per point, K per pass).
 
     A pass moves each centre to its points' mean, closes those without points, and opens new ones:
@@ -80,8 +81,10 @@ def dp_means(points: DataFrame, lam: float, max_iter: int = 200, tol: float = 1e
     those that lie beyond ``lam`` of each other, the farthest first. That choice depends on the
     points alone, not on how they are spread over tasks. As many as there are centres (eight at
     least) open at a time, so that means settle before the next. Passes go on until no centre is
-    opened or closed and none moves by more than ``tol`` times the radius ``sqrt(lam)``; if that
-    takes more than ``max_iter`` the run raises, so what is returned has converged. Cluster sizes
+    opened or closed and none moves by more than ``tol`` times the radius ``sqrt(lam)``. They end:
+    means, nearest centres, and a centre opened beyond ``lam`` of all others each lower the sum of
+    squared distances plus ``lam`` a centre, and there are finitely many assignments. A run given
+    ``max_iter`` raises beyond it, so what is returned has converged. Cluster sizes
     are ``groupBy('cluster').count()`` of the first. Vectors have one length; an empty table has no
     clusters. What is collected in a pass: a sum per cluster, and ``FAR_POINTS`` points.
     """
@@ -102,7 +105,7 @@ def dp_means(points: DataFrame, lam: float, max_iter: int = 200, tol: float = 1e
 
     centres, history = np.zeros((1, d)), []
     centres = np.array([gathered(centres)[0][0]])  # the mean of all
-    for _ in range(max_iter):
+    for _ in itertools.count() if max_iter is None else range(max_iter):
         means, far = gathered(centres)
         kept = sorted(means)
         moved = np.array([means[k] for k in kept])
