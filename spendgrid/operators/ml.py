@@ -39,9 +39,10 @@ def credit_features(train: DataFrame, categorical: list[str], numeric: list[str]
     for c in categorical:
         for lv in category_levels(train, c)[1:]:
             cols.append((F.col(c) == F.lit(lv)).cast("double").alias(f"{c}={lv}"))
-    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric], *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric])
+    each = [F.avg(c).alias(f"m_{c}") for c in numeric], [F.stddev_pop(c).alias(f"s_{c}") for c in numeric]
+    stats = train.agg(F.struct(*each[0], *each[1]).alias("s")).scalar() if numeric else None  # one pass for all
     for c in numeric:
-        m, s = stats.select(f"m_{c}").scalar(), stats.select(f"s_{c}").scalar()
+        m, s = stats[f"m_{c}"], stats[f"s_{c}"]
         sd = F.when(s == 0, F.lit(1.0)).otherwise(s)
         cols.append(((F.col(c).cast("double") - m) / sd).alias(f"z_{c}"))
     return target.select(*cols)
@@ -204,6 +205,15 @@ def lasso_cv(folds: dict[int, np.ndarray], intercept: bool = True) -> tuple[floa
     return float(b), w, float(penalties[best])
 
 
+#: Rows of a task that fits forests.
+FOREST_ROWS = 65_536
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` stored in files of about ``FOREST_ROWS`` rows, so that a fit is shared by tasks whatever the files it came from."""
+    return stored(df.repartition(max(1, -(-df.count() // FOREST_ROWS))), "forest-rows")
+
+
 NUISANCES = ("ols1", "linear", "forest", "lasso")
 
 
@@ -252,7 +262,7 @@ def double_ml(df: DataFrame, y: str, t: str, xs: list[str], folds: int = 5, nuis
         from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
         va = VectorAssembler(inputCols=xs, outputCol="features")
-        dv = va.transform(d)
+        dv = va.transform(_spread(d) if nuisance == "forest" else d)
         parts = []
         for k in range(folds):
             train, test = dv.filter(F.col("fold") != k), dv.filter(F.col("fold") == k)
@@ -264,6 +274,7 @@ def double_ml(df: DataFrame, y: str, t: str, xs: list[str], folds: int = 5, nuis
         r = parts[0]
         for p in parts[1:]:
             r = r.unionByName(p)
+        r = stored(r, "residuals")  # predictions are made once
     s = r.agg(F.sum(F.col("rt") * F.col("ry")).alias("stt_y"), F.sum(F.col("rt") * F.col("rt")).alias("stt"), F.count(F.lit(1)).alias("n"))
     tau = F.col("stt_y") / F.col("stt")
     tau_v = s.select(tau).first()[0]  # one scalar per fit
