@@ -134,12 +134,12 @@ def s12(spark, sf_dir):
 FROM lineitem WHERE l_orderkey % 4 <> 1 GROUP BY ALL""",
 )
 def s12_refresh(spark, sf_dir):
-    """Four files of line items arrive, one of them late; then one is removed and one rewritten."""
+    """Three folders of line items arrive, one of them in part; then one gets other rows and one all of its own."""
     li = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("bigint").alias("qty"), F.lit(1).cast("bigint").alias("n"))
     src, target = scratch_path(spark, "refresh-src"), scratch_path(spark, "refresh-sums")
 
     def arrive(part, rows):
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{src}/{part}")
+        rows.write.mode("overwrite").parquet(f"{src}/{part}")
 
     def refresh():
         return RF.refresh_aggregate(spark, src, target, ["l_returnflag", "l_linestatus"], ["qty", "n"], li.schema)

@@ -55,3 +55,22 @@ def test_unchanged_files_are_not_opened(spark, tmp_path):
     spark.range(4).selectExpr("cast(id % 2 AS string) AS k", "cast(1 AS decimal(10,2)) AS v").coalesce(1).write.parquet(f"{src}/late")
     r = refresh_aggregate(spark, src, target, ["k"], ["v"], SCHEMA, prepare)
     assert len(r.read) == 1 and [(x.k, float(x.v)) for x in r.aggregate.collect()] == [("1", 17.0)]
+
+
+def test_arriving_line_items_are_written_by_many_tasks(spark, tmp_path):
+    """s12: a folder of line items is not squeezed into one file, and the sums are whole."""
+    import glob
+
+    from spendgrid.plans.registry import queries
+
+    src = str(tmp_path / "sf")
+    rows = spark.range(0, 400, 1, 4).selectExpr("id AS l_orderkey", "'R' AS l_returnflag", "'F' AS l_linestatus", "CAST(2 AS DECIMAL(15,2)) AS l_quantity")
+    rows.write.parquet(f"{src}/lineitem.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = queries()["s12_refreshed_aggregate"](spark, src).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.qty, r.n) for r in got] == [(600, 300)]
+    newest = max(glob.glob(spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/tables/*/refresh-src-*"), key=__import__("os").path.getmtime)
+    assert len(glob.glob(newest + "/p0/*.parquet")) > 1
