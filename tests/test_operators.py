@@ -341,3 +341,36 @@ def test_new_centres_lie_beyond_lambda_of_each_other():
     far = [(9.0, -1, [0.0, 0.0]), (8.0, -2, [0.5, 0.0]), (7.0, -3, [3.0, 0.0]), (6.0, -4, [0.0, 3.0])]
     assert _opened(far, 1.0, 10) == [[0.0, 0.0], [3.0, 0.0], [0.0, 3.0]]
     assert _opened(far, 1.0, 2) == [[0.0, 0.0], [3.0, 0.0]]
+
+
+def test_dp_means_passes_go_on_until_it_has_converged(spark):
+    """No number of passes ends a run that nobody limits; before, 200 did."""
+    import inspect
+
+    from spendgrid.operators.cluster import dp_means
+
+    assert inspect.signature(dp_means).parameters["max_iter"].default is None
+    pts = spark.createDataFrame([(i, [float(i % 40), 0.0]) for i in range(80)], "id bigint, vec array<double>")
+    assigned, history = dp_means(pts, 9.0)
+    assert history[-1] == assigned.select("cluster").distinct().count() and assigned.filter("dmin > 9").count() == 0
+
+
+def test_forest_rows_are_spread_whatever_the_files(spark, monkeypatch):
+    """Rows of one partition are fitted by several tasks; every row stays."""
+    from spendgrid.operators import ml as ML
+
+    monkeypatch.setattr(ML, "FOREST_ROWS", 100)
+    df = spark.range(0, 950, 1, 1).selectExpr("id", "id * 1.0 AS x")
+    out = ML._spread(df)
+    assert len(out.inputFiles()) == 10 and out.agg(F.sum("id"), F.count("x")).first()[:] == (950 * 949 // 2, 950)
+
+
+def test_credit_features_scale_in_one_pass(spark):
+    """All means and deviations come from one scalar subquery, not two a column."""
+    from spendgrid.operators.ml import credit_features
+
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i), float(i * i), 3.0) for i in range(8)], "id int, c string, x double, y double, z double")
+    out = credit_features(df, ["c"], ["x", "y", "z"])
+    plan = out._jdf.queryExecution().executedPlan()
+    assert len(set(__import__("re").findall(r"Subquery scalar-subquery#(\d+)", plan.toString()))) <= 1 and out.filter("z_z <> 0").count() == 0
+    assert out.selectExpr("round(avg(z_x), 9)", "round(stddev_pop(z_y), 9)").first()[:] == (0.0, 1.0)
