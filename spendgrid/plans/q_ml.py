@@ -8,7 +8,7 @@ from spendgrid.operators import cluster as CL
 from spendgrid.operators import ml as ML
 from spendgrid.plans import bindings as B
 from spendgrid.plans.registry import register
-from spendgrid.session import stored
+from spendgrid.session import cut_lineage
 
 APPL = """li AS (SELECT l_orderkey, COUNT(*) AS n_lines, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty,
     CAST(SUM(CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) / COUNT(*) AS avg_disc,
@@ -52,12 +52,13 @@ def m02(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    a = stored(B.applicants(spark, sf_dir), "applicants")  # read by the levels, the scaling, the split and the features
+    a = cut_lineage(B.applicants(spark, sf_dir))  # read by the levels, the scaling, the split and the features
     f = ML.credit_features(a, list(CATS), NUM, key="id")
     feats = [c for c in f.columns if c != "id"]
     s = ML.sequential_split(a.select("id", "label", "amount"), ["id"], 0.2)
     d = f.join(s, "id")
-    d = stored(d.toDF(*[c.replace(".", "_") for c in d.columns]), "features")  # a fit reads its rows several times
+    # a fit reads its rows several times; a checkpoint keeps their order, which a forest's bags follow
+    d = cut_lineage(d.toDF(*[c.replace(".", "_") for c in d.columns]))
     return d, [c.replace(".", "_") for c in feats]
 
 
