@@ -140,8 +140,7 @@ df AS (SELECT term, COUNT(*) AS df FROM post GROUP BY term)
 SELECT chunk_id, term, tf, df FROM post JOIN df USING (term)""",
 )
 def t04(spark, sf_dir):
-    idx = corpus_index(spark, sf_dir, "tfidf")
-    return idx.postings.join(idx.dfreq, "term").select("chunk_id", "term", "tf", "df")  # df: vocabulary-sized
+    return corpus_index(spark, sf_dir, "tfidf").counts.select("chunk_id", "term", "tf", "df")
 
 
 # --- T5: TF-IDF search over T1 chunks ---------------------------------------------------------------------
