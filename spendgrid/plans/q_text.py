@@ -240,9 +240,8 @@ def t07(spark, sf_dir):
 
 # --- T8-T10 over BM25 hits --------------------------------------------------------------------------------------------
 def _bm25_hits(spark, sf_dir):
-    ch = RV.chunk_key(CH.chunk_h2(B.corpus(spark, sf_dir, "## ")))
     hits = RV.search_bm25(B.passages(spark, sf_dir), corpus_index(spark, sf_dir, "bm25"), 3)
-    return ch, stored(hits, "hits")  # of known size: the texts they meet need no shuffle if it is small
+    return stored(hits, "hits")  # of known size: the texts they meet need no shuffle if it is small
 
 
 @register(
@@ -252,8 +251,9 @@ SELECT hits.qid, string_agg('- ' || ch.content, chr(10) ORDER BY hits.rank) AS c
 FROM hits JOIN ch ON hits.doc_id = ch.doc_id AND hits.start_line = ch.start_line GROUP BY hits.qid""",
 )
 def t08(spark, sf_dir):
-    ch, hits = _bm25_hits(spark, sf_dir)
-    return RV.build_context(hits, ch.withColumnRenamed("content", "text"), ("doc_id", "start_line"))
+    hits = _bm25_hits(spark, sf_dir)
+    docs = B.corpus(spark, sf_dir, "## ").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")  # others are not cut again
+    return RV.build_context(hits, CH.chunk_h2(docs).withColumnRenamed("content", "text"), ("doc_id", "start_line"))
 
 
 _RANKED = """ranked AS (SELECT hits.qid, hits.rank, CASE WHEN instr(d.text, b.text) > 0 THEN 1 ELSE 0 END AS rel
@@ -261,7 +261,7 @@ _RANKED = """ranked AS (SELECT hits.qid, hits.rank, CASE WHEN instr(d.text, b.te
 
 
 def _ranked(spark, sf_dir):
-    _, hits = _bm25_hits(spark, sf_dir)
+    hits = _bm25_hits(spark, sf_dir)
     docs = B.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
     q = B.passages(spark, sf_dir).withColumnRenamed("text", "q_text")
     j = hits.join(docs, "doc_id").join(q, "qid")
