@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendgrid.functions.windows import global_index
+from spendgrid.operators import forest
 from spendgrid.session import stored
 
 def sig(x: Column, digits: int = 9) -> Column:
@@ -205,13 +206,13 @@ def lasso_cv(folds: dict[int, np.ndarray], intercept: bool = True) -> tuple[floa
     return float(b), w, float(penalties[best])
 
 
-#: Rows of a task that fits forests.
-FOREST_ROWS = 65_536
+#: Rows of a task that fits forests; rows up to which Spark ML fits them.
+FOREST_ROWS, FITTED_ROWS = 65_536, 1 << 19
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, n: int) -> DataFrame:
     """``df`` stored in files of about ``FOREST_ROWS`` rows, so that a fit is shared by tasks whatever the files it came from."""
-    return stored(df.repartition(max(1, -(-df.count() // FOREST_ROWS))), "forest-rows")
+    return stored(df.repartition(max(1, -(-n // FOREST_ROWS))), "forest-rows")
 
 
 NUISANCES = ("ols1", "linear", "forest", "lasso")
@@ -224,7 +225,8 @@ def double_ml(df: DataFrame, y: str, t: str, xs: list[str], folds: int = 5, nuis
 
     ``nuisance``: ``'lasso'`` chooses each penalty by 5-fold cross-validation inside the other
     folds, from one pass of moments; ``'ols1'`` is the closed form for one covariate;
-    ``'linear'`` and ``'forest'`` are Spark ML models fitted per fold on the complement.
+    ``'linear'`` and ``'forest'`` are Spark ML models fitted per fold on the complement; forests of more than
+    ``FITTED_ROWS`` rows and few covariates grow from sums per cell, of which one pass serves all folds.
     """
     if nuisance not in NUISANCES:
         raise ValueError(f"nuisance {nuisance!r}; one of {NUISANCES}")
@@ -257,12 +259,14 @@ def double_ml(df: DataFrame, y: str, t: str, xs: list[str], folds: int = 5, nuis
                     e = e + F.lit(float(c)) * F.col(x)
                 fitted[target] = F.when(F.col("fold") == k, e) if fitted[target] is None else fitted[target].when(F.col("fold") == k, e)
         r = d.select((F.col("y") - fitted["y"]).alias("ry"), (F.col("t") - fitted["t"]).alias("rt"))
+    elif nuisance == "forest" and forest.fits(len(xs)) and d.count() > FITTED_ROWS:
+        r = forest.residuals(stored(d, "forest-rows"), xs, folds)
     else:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
         va = VectorAssembler(inputCols=xs, outputCol="features")
-        dv = va.transform(_spread(d) if nuisance == "forest" else d)
+        dv = va.transform(_spread(d, d.count()) if nuisance == "forest" else d)
         parts = []
         for k in range(folds):
             train, test = dv.filter(F.col("fold") != k), dv.filter(F.col("fold") == k)
@@ -276,6 +280,7 @@ def double_ml(df: DataFrame, y: str, t: str, xs: list[str], folds: int = 5, nuis
             r = r.unionByName(p)
         r = stored(r, "residuals")  # predictions are made once
     s = r.agg(F.sum(F.col("rt") * F.col("ry")).alias("stt_y"), F.sum(F.col("rt") * F.col("rt")).alias("stt"), F.count(F.lit(1)).alias("n"))
+    s = stored(s, "residual-sums")  # one row, read twice
     tau = F.col("stt_y") / F.col("stt")
     tau_v = s.select(tau).first()[0]  # one scalar per fit
     e2 = r.agg(F.avg((F.col("ry") - F.lit(tau_v) * F.col("rt")) ** 2)).first()[0]
